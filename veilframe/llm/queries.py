@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .licenses import report_sql
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
@@ -21,12 +22,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+#: The key of the registered query; a real run passes its own.
+PII_KEY = "registered-query-key"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -42,6 +59,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8_SQL = f"""
@@ -57,8 +80,11 @@ FROM j GROUP BY r
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_license_scan": report_sql()}
