@@ -44,6 +44,12 @@ def op4_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
 
+def op5_recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
+    "op5_recurrent_lm_scores": op5_recurrent_lm_scores,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op10_license_scan": op10_license_scan,
