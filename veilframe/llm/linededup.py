@@ -124,10 +124,11 @@ def repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_c
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text rewritten, and n_lines (before) and n_dropped beside its columns.
+    """docs with text rewritten, and n_lines (before) and n_dropped beside its columns (replacing such names).
 
     A line whose key has at least min_chars code points and stands in at least min_docs documents stays
     only in the largest id that holds it."""
+    docs = docs.drop("n_lines", "n_dropped", "_lost_by", "_lost")
     lost = repeated_lines(docs, min_docs, min_chars, id_col, text_col).withColumnRenamed("doc_id", "_lost_by").withColumnRenamed("keys", "_lost")
     joined = docs.join(lost, F.col(f"`{id_col}`") == F.col("_lost_by"), "left").drop("_lost_by")
     schema = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]).schema.add("n_lines", "long").add("n_dropped", "long")
