@@ -50,6 +50,12 @@ def op5_recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_posterior", "quality_score", "quality_keep")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -65,6 +71,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import derive, responses_from_pages
+
+    records = derive(responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
+    return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "refers_to_block_digest", "refers_to_payload_digest", F.octet_length("block").cast("long").alias("block_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_report
 
@@ -90,8 +105,10 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
     "op5_recurrent_lm_scores": op5_recurrent_lm_scores,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_license_scan": report_sql()}
