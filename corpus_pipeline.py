@@ -1,28 +1,75 @@
-"""A corpus from raw documents to packed sequences: the stages run in this order, each on all its predecessor kept."""
+"""A corpus from raw documents to packed sequences: the stages run in this order, each on all its predecessor kept.
+
+Each stage takes and, but for the last, returns the columns of documents. Rows with a null doc_id pass the
+stages that decide by id (near copies, decontamination) as they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut
+from veilframe.llm.common import cut, table
+from veilframe.llm.decontaminate import contaminated
+from veilframe.llm.jaccard import jaccard_components
+from veilframe.llm.linededup import drop_repeated_lines
 from veilframe.llm.packing import pack_documents
+from veilframe.llm.quality import classify
 from veilframe.llm.queries import tokenizer_json
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify(docs).where("quality_keep").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that five documents or more share stay in one of them; n_chars follows the text."""
+    out = drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the smallest id."""
+    groups = cut(jaccard_components(docs, n=5, num=80, den=100), "groups")
+    ids = groups.where("doc_id IS NOT NULL")
+    gone = ids.where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():  # rows under one id: one of each text stays
+        again = cut(again, "again")
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(cut(hits, "hits"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_json())
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: No SQL: the stages fit a model, search an index and tokenize.
+#: No SQL: the stages fit a model, link near copies, search an index and tokenize.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs, name)
+            docs = cut(docs, f"stage{k}")
     return docs
