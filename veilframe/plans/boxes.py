@@ -1 +1,180 @@
-"""Queries."""
+"""Queries of box suppression, fusion, gating and association."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.geometry import box, iou
+from ..operators import gating, suppress
+from ..registry import query
+from ..sources.fixtures import view
+
+IOU_SQL = "(greatest(least({a}x2, {b}x2) - greatest({a}x1, {b}x1), 0) * greatest(least({a}y2, {b}y2) - greatest({a}y1, {b}y1), 0))"
+
+
+def nms_sql(source: str, conf: float, max_iou: float, most: int | None, tail: str) -> str:
+    """Greedy suppression as a recursion over each frame's boxes in score order."""
+    x = IOU_SQL.format(a="o.b.", b="k.")
+    cap = f" AND len(s.kept) < {most}" if most else ""
+    return f"""-- views: {source}
+, o AS (SELECT frame_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, det_id) AS i, {{'det_id': det_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b FROM {source} WHERE score >= {conf}),
+s AS (SELECT frame_idx, 1::BIGINT AS i, [b] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT s.frame_idx, s.i + 1, CASE WHEN len(list_filter(s.kept, lambda k: {x} / ((o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {x}) > {max_iou}::DOUBLE)) = 0{cap} THEN list_append(s.kept, o.b) ELSE s.kept END
+ FROM s JOIN o ON o.frame_idx = s.frame_idx AND o.i = s.i + 1),
+z AS (SELECT frame_idx, unnest(arg_max(kept, i)) AS k FROM s GROUP BY frame_idx)
+{tail}"""
+
+
+KEPT = "SELECT frame_idx, k.det_id AS det_id, round(k.score, 6) AS score FROM z"
+
+
+def _kept(df):
+    return df.select("frame_idx", "det_id", F.round("score", 6).alias("score"))
+
+
+@query("nms_report", nms_sql("boxes", 0.35, 0.45, 300, "SELECT frame_idx, count(*)::BIGINT AS objects, round(avg(k.score), 6) AS mean_score, round(sum((k.x2 - k.x1) * (k.y2 - k.y1)) / 20736.0::DOUBLE, 4)::DOUBLE AS coverage_pct FROM z GROUP BY frame_idx"))
+def nms_report(spark, sf_dir):
+    """Objects of each frame after suppression, their mean score and the share of the frame their boxes cover."""
+    kept = suppress.suppress(view(spark, sf_dir, "boxes").where("score >= 0.35"), "frame_idx", 0.45)
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return kept.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("objects"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.sum(area) / 20736.0, 4).alias("coverage_pct"))
+
+
+@query("nms_045", nms_sql("boxes", 0.1, 0.45, 300, KEPT))
+def nms_045(spark, sf_dir):
+    return _kept(suppress.suppress(view(spark, sf_dir, "boxes").where("score >= 0.1"), "frame_idx", 0.45))
+
+
+@query("nms_face_030", nms_sql("faces", 0.0, 0.3, 300, KEPT))
+def nms_face_030(spark, sf_dir):
+    return _kept(suppress.suppress(view(spark, sf_dir, "faces").where("score >= 0.0"), "frame_idx", 0.3))
+
+
+@query("tile_merge_040", nms_sql("persons", 0.0, 0.4, None, KEPT))
+def tile_merge_040(spark, sf_dir):
+    return _kept(suppress.suppress(view(spark, sf_dir, "persons").where("score >= 0.0"), "frame_idx", 0.4, None))
+
+
+MIRROR = "-- views: faces\n, t AS (SELECT frame_idx, det_id * 2 AS det_id, score, x1, y1, x2, y2 FROM faces UNION ALL SELECT frame_idx, det_id * 2 + 1, score * 0.9::DOUBLE, {x1}, y1 + 1, {x2}, y2 + 1 FROM faces WHERE det_id % 3 = 0)"
+
+
+def _merged_sql(max_iou: float, most: int | None) -> str:
+    body = nms_sql("t", 0.0, max_iou, most, KEPT).split("\n", 1)[1]
+    return MIRROR.format(x1="x1 + 3", x2="x2 + 3") + "\n" + body
+
+
+def _two_passes(spark, sf_dir):
+    """Faces of one pass, and of a second that finds a third of them again, a little off and less surely."""
+    f = view(spark, sf_dir, "faces").select("frame_idx", "det_id", "score", "x1", "y1", "x2", "y2")
+    again = f.where("det_id % 3 = 0").select("frame_idx", (F.col("det_id") * 2 + 1).alias("det_id"), (F.col("score") * 0.9).alias("score"), *((F.col(n) + d).alias(n) for n, d in (("x1", 3), ("y1", 1), ("x2", 3), ("y2", 1))))
+    return f.withColumn("det_id", F.col("det_id") * 2).unionByName(again)
+
+
+@query("tta_merge", _merged_sql(0.45, 300))
+def tta_merge(spark, sf_dir):
+    return _kept(suppress.suppress(_two_passes(spark, sf_dir), "frame_idx", 0.45))
+
+
+@query("merge_faces_060", _merged_sql(0.6, None))
+def merge_faces_060(spark, sf_dir):
+    return _kept(suppress.suppress(_two_passes(spark, sf_dir), "frame_idx", 0.6, None))
+
+
+_INSIDE = "(f.x1 + f.x2) * 0.5::DOUBLE BETWEEN p.x1 - (p.x2 - p.x1) * {m}::DOUBLE AND p.x2 + (p.x2 - p.x1) * {m}::DOUBLE AND (f.y1 + f.y2) * 0.5::DOUBLE BETWEEN p.y1 - (p.y2 - p.y1) * {m}::DOUBLE AND p.y2 + (p.y2 - p.y1) * {m}::DOUBLE"
+
+
+@query("face_gate", f"""-- views: faces persons
+SELECT frame_idx, det_id, round(score, 6) AS score FROM faces f WHERE score >= 0.6 OR EXISTS (SELECT 1 FROM persons p WHERE p.frame_idx = f.frame_idx AND {_INSIDE.format(m=0.08)})""")
+def face_gate(spark, sf_dir):
+    return _kept(gating.gate(view(spark, sf_dir, "faces"), view(spark, sf_dir, "persons"), 0.6))
+
+
+@query("face_plausible", f"""-- views: faces persons
+, h AS (SELECT f.det_id, min(p.det_id) AS host FROM faces f JOIN persons p ON p.frame_idx = f.frame_idx AND {_INSIDE.format(m=0)} GROUP BY f.det_id)
+SELECT f.frame_idx, f.det_id, round(f.score, 6) AS score FROM faces f LEFT JOIN h ON h.det_id = f.det_id LEFT JOIN persons p ON p.det_id = h.host
+WHERE f.x2 > f.x1 AND f.y2 > f.y1 AND (f.x2 - f.x1) / (f.y2 - f.y1) BETWEEN 0.5 AND 1.8 AND (p.det_id IS NULL OR (f.y2 - f.y1) / (p.y2 - p.y1) <= 0.5)""")
+def face_plausible(spark, sf_dir):
+    return _kept(gating.plausible(view(spark, sf_dir, "faces"), view(spark, sf_dir, "persons")))
+
+
+@query("face_host", f"""-- views: faces persons
+SELECT f.frame_idx, f.det_id, min(p.det_id) AS host_id, min(p.det_id) IS NULL AS orphan FROM faces f LEFT JOIN persons p ON p.frame_idx = f.frame_idx AND {_INSIDE.format(m=0.08)} GROUP BY ALL""")
+def face_host(spark, sf_dir):
+    h = gating.hosts(view(spark, sf_dir, "faces"), view(spark, sf_dir, "persons"), 0.08)
+    return h.select("frame_idx", "det_id", F.col("host.p_det_id").alias("host_id"), F.col("host").isNull().alias("orphan"))
+
+
+@query("held_face_shift", f"""-- views: faces persons
+, h AS (SELECT f.det_id, min(p.det_id) AS host FROM faces f JOIN persons p ON p.frame_idx = f.frame_idx AND {_INSIDE.format(m=0)} GROUP BY f.det_id)
+SELECT f.det_id, (f.x1 + coalesce(h.host % 7, 0))::DOUBLE AS x1, (f.y1 + coalesce(h.host % 5, 0))::DOUBLE AS y1, (f.x2 + coalesce(h.host % 7, 0))::DOUBLE AS x2, (f.y2 + coalesce(h.host % 5, 0))::DOUBLE AS y2 FROM faces f LEFT JOIN h ON h.det_id = f.det_id""")
+def held_face_shift(spark, sf_dir):
+    """Held faces moved with their host's track (here by remainders of its id); others stay."""
+    h = gating.hosts(view(spark, sf_dir, "faces"), view(spark, sf_dir, "persons"), 0.0)
+    move = lambda n, m: (F.col(n) + F.coalesce(F.col("host.p_det_id") % m, F.lit(0))).alias(n)
+    return h.select("det_id", move("x1", 7), move("y1", 5), move("x2", 7), move("y2", 5))
+
+
+@query("best_match", f"""-- views: persons faces
+, m AS (SELECT f.det_id, p.det_id AS pid, p.score AS ps, {IOU_SQL.format(a='f.', b='p.')} AS x, (f.x2 - f.x1) * (f.y2 - f.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s FROM persons f JOIN persons p ON p.frame_idx = f.frame_idx AND p.det_id <> f.det_id),
+r AS (SELECT det_id, pid, x / (s - x) AS iou, row_number() OVER (PARTITION BY det_id ORDER BY ps DESC, pid DESC) AS k FROM m WHERE x / (s - x) > 0.3)
+SELECT p.det_id, r.pid AS match_id, round(r.iou, 6) AS iou FROM persons p LEFT JOIN r ON r.det_id = p.det_id AND r.k = 1""")
+def best_match(spark, sf_dir):
+    p = view(spark, sf_dir, "persons")
+    r = p.select("frame_idx", "score", *(F.col(n).alias("r_" + n) for n in ("det_id", "x1", "y1", "x2", "y2")), F.col("score").alias("r_score")).drop("score")
+    pairs = p.join(r, "frame_idx").where("det_id <> r_det_id").withColumn("iou", iou(box(), box("r_"))).where("iou > 0.3")
+    best = pairs.groupBy("det_id").agg(F.max(F.struct("r_score", "r_det_id", "iou")).alias("m"))
+    return p.select("det_id").join(best, "det_id", "left").select("det_id", F.col("m.r_det_id").alias("match_id"), F.round("m.iou", 6).alias("iou"))
+
+
+_IOU_REP = "greatest(least(c.sx2 / c.sw, o.b.x2) - greatest(c.sx1 / c.sw, o.b.x1), 0) * greatest(least(c.sy2 / c.sw, o.b.y2) - greatest(c.sy1 / c.sw, o.b.y1), 0)"
+_REP_AREA = "(c.sx2 / c.sw - c.sx1 / c.sw) * (c.sy2 / c.sw - c.sy1 / c.sw)"
+_OWN = "CASE WHEN o.b.src = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
+FUSE_SQL = f"""-- views: boxes
+, o AS (SELECT frame_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, det_id) AS i, {{'det_id': det_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'src': src}} AS b FROM boxes WHERE score >= 0.1),
+n AS (SELECT o.*, {{'sx1': {_OWN} * b.x1, 'sy1': {_OWN} * b.y1, 'sx2': {_OWN} * b.x2, 'sy2': {_OWN} * b.y2, 'sw': {_OWN}, 'ss': {_OWN} * b.score, 'srcs': [b.src], 'best': b.score, 'best_src': b.src}} AS one FROM o),
+s AS (SELECT frame_idx, 1::BIGINT AS i, [one] AS cs FROM n WHERE i = 1
+ UNION ALL SELECT s.frame_idx, s.i + 1,
+  CASE WHEN a.at IS NULL THEN list_append(s.cs, a.one) ELSE list_transform(s.cs, lambda c, j: CASE WHEN j = a.at AND NOT list_contains(c.srcs, a.b.src) THEN
+    {{'sx1': c.sx1 + a.one.sx1, 'sy1': c.sy1 + a.one.sy1, 'sx2': c.sx2 + a.one.sx2, 'sy2': c.sy2 + a.one.sy2, 'sw': c.sw + a.one.sw, 'ss': c.ss + a.one.ss, 'srcs': list_append(c.srcs, a.b.src), 'best': greatest(c.best, a.b.score), 'best_src': CASE WHEN a.b.score >= c.best AND a.b.score > 0 THEN a.b.src ELSE c.best_src END}} ELSE c END) END
+ FROM s JOIN n AS o ON o.frame_idx = s.frame_idx AND o.i = s.i + 1,
+  LATERAL (SELECT o.b AS b, o.one AS one, list_position(list_transform(s.cs, lambda c: {_IOU_REP} / ({_REP_AREA} + (o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) - {_IOU_REP}) >= 0.55::DOUBLE), true) AS at) AS a),
+f AS (SELECT frame_idx, arg_max(cs, i) AS cs FROM s GROUP BY frame_idx),
+g AS (SELECT frame_idx, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS cluster FROM f),
+fused AS (SELECT frame_idx, cluster::INT AS cluster, c.ss / 3.0::DOUBLE AS score, len(c.srcs)::INT AS votes, c.best AS best_score, c.best_src AS best_src, c.sx1 / c.sw AS x1, c.sy2 / c.sw AS y2 FROM g)
+SELECT frame_idx, cluster, round(score, 6) AS score, votes, round(best_score, 6) AS best_score, best_src, round(x1, 4) AS x1, round(y2, 4) AS y2 FROM fused"""
+
+
+def _fused(spark, sf_dir):
+    return suppress.fuse(view(spark, sf_dir, "boxes").where("score >= 0.1"), "frame_idx", [2.0, 1.0])
+
+
+def _shown(df):
+    return df.select("frame_idx", "cluster", F.round("score", 6).alias("score"), "votes", F.round("best_score", 6).alias("best_score"), "best_src", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
+
+
+@query("wbf_fuse", FUSE_SQL)
+def wbf_fuse(spark, sf_dir):
+    return _shown(_fused(spark, sf_dir))
+
+
+@query("wbf_filtered", FUSE_SQL + " WHERE votes >= 2 OR score >= 0.10 OR best_score >= 0.6::DOUBLE * 0.35::DOUBLE")
+def wbf_filtered(spark, sf_dir):
+    return _shown(suppress.confirmed(_fused(spark, sf_dir), 0.35))
+
+
+@query("conf_split", """-- views: boxes
+SELECT det_id, CASE WHEN score >= 0.35 THEN 'high' ELSE 'low' END AS band FROM boxes WHERE score >= 0.1""")
+def conf_split(spark, sf_dir):
+    """Boxes over the decoder's floor, in the bands that association treats apart."""
+    return view(spark, sf_dir, "boxes").where("score >= 0.1").select("det_id", F.when(F.col("score") >= 0.35, "high").otherwise("low").alias("band"))
+
+
+@query("mask_host_overlap", """-- views: rects pixels
+SELECT r.rect_id, round(count(p.x) / count(*)::DOUBLE, 6) AS covered FROM rects r, unnest(range(r.ry, r.ry + r.rh + 6, 4)) AS a(y), unnest(range(r.rx, r.rx + r.rw + 6, 4)) AS b(x)
+LEFT JOIN pixels p ON p.frame_idx = r.frame_idx AND p.y = a.y AND p.x = b.x GROUP BY r.rect_id""")
+def mask_host_overlap(spark, sf_dir):
+    """Share of a box (here six pixels wider and higher than a rectangle) that the frame's mask covers, looked at on every fourth pixel."""
+    r = view(spark, sf_dir, "rects")
+    grid = r.select("frame_idx", "rect_id", F.explode(F.sequence(F.col("ry"), F.col("ry") + F.col("rh") + 5, F.lit(4))).alias("y"), "rx", "rw").select("frame_idx", "rect_id", "y", F.explode(F.sequence(F.col("rx"), F.col("rx") + F.col("rw") + 5, F.lit(4))).alias("x"))
+    set_ = view(spark, sf_dir, "pixels").withColumn("hit", F.lit(1))
+    return grid.join(set_, ["frame_idx", "y", "x"], "left").groupBy("rect_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("covered"))
