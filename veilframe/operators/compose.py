@@ -1,0 +1,66 @@
+"""Hiding masked pixels: solid fill, mosaic and box blur, on pixel rows (frame_idx, y, x, v, m)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Limited-range black.
+BLACK_Y, NEUTRAL_UV = 16, 128
+
+
+def solid(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumn("v", F.when(F.col("m") == 1, BLACK_Y).otherwise(F.col("v")))
+
+
+def _region(pixels: DataFrame, pad: int, w: int, h: int) -> DataFrame:
+    """pixels with their frame's padded box of masked pixels (bx1, by1, bx2, by2), nulls where nothing is masked."""
+    lit = F.col("m") == 1
+    win = Window.partitionBy("frame_idx")
+    at = lambda f, c: f(F.when(lit, F.col(c))).over(win)
+    return pixels.select(
+        "*", F.greatest(at(F.min, "x") - pad, F.lit(0)).alias("bx1"), F.greatest(at(F.min, "y") - pad, F.lit(0)).alias("by1"),
+        F.least(at(F.max, "x") + 1 + pad, F.lit(w)).alias("bx2"), F.least(at(F.max, "y") + 1 + pad, F.lit(h)).alias("by2"),
+    )
+
+
+def mosaic(pixels: DataFrame, cell: int, w: int, h: int) -> DataFrame:
+    """Masked pixels take the whole-number mean of their block; blocks start at the padded box's corner."""
+    cols = pixels.columns
+    r = _region(pixels, cell, w, h)
+    inside = F.col("x").between(F.col("bx1"), F.col("bx2") - 1) & F.col("y").between(F.col("by1"), F.col("by2") - 1)
+    r = r.withColumn("cx", F.when(inside, F.floor((F.col("x") - F.col("bx1")) / cell))).withColumn("cy", F.when(inside, F.floor((F.col("y") - F.col("by1")) / cell)))
+    block = Window.partitionBy("frame_idx", "cx", "cy")
+    mean = F.floor(F.sum("v").over(block) / F.count(F.lit(1)).over(block)).cast("int")
+    return r.withColumn("v", F.when((F.col("m") == 1) & F.col("cx").isNotNull(), mean).otherwise(F.col("v"))).select(*cols)
+
+
+def box_blur(pixels: DataFrame, radius: int, w: int, h: int) -> DataFrame:
+    """Whole-number box means along rows, then columns, of windows 2 r + 1 with edges repeated; masked pixels take them."""
+    cols = pixels.columns
+    now = pixels.withColumn("b", F.col("v").cast("long"))
+    for axis, size in (("x", w), ("y", h)):
+        line = Window.partitionBy("frame_idx", *("y" if axis == "x" else "x",)).orderBy(axis)
+        c = F.col(axis)
+        low, high = F.greatest(F.lit(radius) - c, F.lit(0)), F.greatest(c + radius - (size - 1), F.lit(0))
+        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        total = F.sum("b").over(line.rangeBetween(-radius, radius)) + low * F.first("b").over(whole) + high * F.last("b").over(whole)
+        now = now.withColumn("b", F.floor(total / (2 * radius + 1)))
+    return now.withColumn("v", F.when(F.col("m") == 1, F.col("b").cast("int")).otherwise(F.col("v"))).select(*cols)
+
+
+def to_yuv(rgb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Limited-range luma of every pixel, and chroma of the mean colour of each 2 x 2 block: (y rows, uv rows)."""
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    luma = rgb.select("frame_idx", "y", "x", F.floor(F.lit(16.0) + (r * 65.481 + g * 128.553 + b * 24.966) / 255.0 + 0.5).cast("int").alias("v"))
+    four = rgb.groupBy("frame_idx", F.floor(F.col("y") / 2).alias("cy"), F.floor(F.col("x") / 2).alias("cx")).agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
+    u = F.floor(F.lit(128.0) + (r * -37.797 + g * -74.203 + b * 112.0) / 255.0 + 0.5).cast("int")
+    v = F.floor(F.lit(128.0) + (r * 112.0 + g * -93.786 + b * -18.214) / 255.0 + 0.5).cast("int")
+    return luma, four.select("frame_idx", "cy", "cx", u.alias("u"), v.alias("v"))
+
+
+def to_rgb(y, u, v):
+    """Full-range red, green and blue of limited-range luma and chroma."""
+    c, d, e = (y - 16) * 1.164, u - 128, v - 128
+    byte = lambda x: F.least(F.greatest(F.floor(x + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    return byte(c + e * 1.596), byte(c - d * 0.392 - e * 0.813), byte(c + d * 2.017)

@@ -1 +1,203 @@
-"""Queries."""
+"""Queries of mask algebra, run lengths and compositing, over 64 x 64 frames of rectangles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import compose, masks
+from ..registry import query
+from ..sources.fixtures import view
+
+S = 64
+_EDITS = ", edits AS (SELECT seq, frame_idx, op, (py + a.d)::INT AS y, (px + b.d)::INT AS x FROM patches, (SELECT unnest(range(0, 6)) AS d) a, (SELECT unnest(range(0, 6)) AS d) b WHERE a.d < side AND b.d < side)"
+
+
+def _edits(spark, sf_dir):
+    p = view(spark, sf_dir, "patches")
+    grown = p.select("seq", "frame_idx", "op", "px", "side", F.explode(F.sequence(F.col("py"), F.col("py") + F.col("side") - 1)).alias("y"))
+    return grown.select("seq", "frame_idx", "op", "y", F.explode(F.sequence(F.col("px"), F.col("px") + F.col("side") - 1)).alias("x"))
+
+
+def _count(df, name="n_px"):
+    """Pixels, and the sums of their places, by frame: enough to tell masks apart."""
+    return df.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(name), F.sum("x").cast("long").alias("sum_x"), F.sum("y").cast("long").alias("sum_y"))
+
+
+COUNT = "SELECT frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM {t} GROUP BY frame_idx"
+
+
+@query("mask_union", "-- views: pixels\n" + COUNT.format(t="pixels"))
+def mask_union(spark, sf_dir):
+    return _count(masks.union(view(spark, sf_dir, "pixels")))
+
+
+@query("mask_bbox", """-- views: pixels
+SELECT frame_idx, greatest(min(x) - 4, 0)::INT AS bx1, greatest(min(y) - 4, 0)::INT AS by1, least(max(x) + 5, 64)::INT AS bx2, least(max(y) + 5, 64)::INT AS by2 FROM pixels GROUP BY frame_idx""")
+def mask_bbox(spark, sf_dir):
+    return masks.bounds(view(spark, sf_dir, "pixels"), 4, S, S)
+
+
+@query("mask_coverage", "-- views: pixels\nSELECT frame_idx, round(100.0::DOUBLE * count(*) / 4096, 6) AS coverage_pct FROM pixels GROUP BY frame_idx")
+def mask_coverage(spark, sf_dir):
+    return view(spark, sf_dir, "pixels").groupBy("frame_idx").agg(F.round(F.lit(100.0) * F.count(F.lit(1)) / 4096, 6).alias("coverage_pct"))
+
+
+@query("mask_diff_patches", f"""-- views: pixels patches
+{_EDITS}, want AS (SELECT DISTINCT frame_idx, y, x FROM edits WHERE op = 'add'),
+d AS (SELECT 'add' AS op, * FROM (SELECT * FROM want EXCEPT SELECT * FROM pixels) UNION ALL SELECT 'erase', * FROM (SELECT * FROM pixels WHERE frame_idx IN (SELECT frame_idx FROM want) EXCEPT SELECT * FROM want))
+SELECT op, frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x FROM d GROUP BY op, frame_idx""")
+def mask_diff_patches(spark, sf_dir):
+    """The pixels that an accepted mask adds to and takes from a frame's own."""
+    have = view(spark, sf_dir, "pixels")
+    want = _edits(spark, sf_dir).where("op = 'add'").select(*masks.PIXEL).distinct()
+    have = have.join(want.select("frame_idx").distinct(), "frame_idx", "left_semi")
+    both = masks.difference(want, have).withColumn("op", F.lit("add")).union(masks.difference(have, want).withColumn("op", F.lit("erase")))
+    return both.groupBy("op", "frame_idx").agg(F.count(F.lit(1)).alias("n_px"), F.sum("x").cast("long").alias("sum_x"))
+
+
+@query("patch_replay", f"""-- views: pixels patches
+{_EDITS}, last AS (SELECT frame_idx, y, x, arg_max(op, seq) AS op FROM edits GROUP BY ALL),
+m AS (SELECT coalesce(p.frame_idx, l.frame_idx) AS frame_idx, coalesce(p.y, l.y) AS y, coalesce(p.x, l.x) AS x FROM pixels p FULL JOIN last l ON p.frame_idx = l.frame_idx AND p.y = l.y AND p.x = l.x WHERE CASE WHEN l.op IS NULL THEN true ELSE l.op = 'add' END)
+{COUNT.format(t='m')}""")
+def patch_replay(spark, sf_dir):
+    return _count(masks.replay(view(spark, sf_dir, "pixels"), _edits(spark, sf_dir)))
+
+
+@query("dilate_n", f"""-- views: pixels
+, m AS (SELECT DISTINCT frame_idx, y + a.d AS y, x + b.d AS x FROM pixels, (SELECT unnest(range(-3, 4)) AS d) a, (SELECT unnest(range(-3, 4)) AS d) b WHERE y + a.d BETWEEN 0 AND 63 AND x + b.d BETWEEN 0 AND 63) {COUNT.format(t='m')}""")
+def dilate_n(spark, sf_dir):
+    return _count(masks.dilate(view(spark, sf_dir, "pixels"), 3, S, S))
+
+
+@query("erode_n", f"""-- views: pixels
+, n AS (SELECT p.frame_idx, p.y, p.x, count(q.x) AS c FROM pixels p, (SELECT unnest(range(-2, 3)) AS d) a, (SELECT unnest(range(-2, 3)) AS d) b LEFT JOIN pixels q ON q.frame_idx = p.frame_idx AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY ALL),
+m AS (SELECT * FROM n WHERE c = (least(x + 2, 63) - greatest(x - 2, 0) + 1) * (least(y + 2, 63) - greatest(y - 2, 0) + 1)) {COUNT.format(t='m')}""")
+def erode_n(spark, sf_dir):
+    return _count(masks.erode(view(spark, sf_dir, "pixels"), 2, S, S))
+
+
+@query("shift_mask", f"""-- views: pixels
+, m AS (SELECT frame_idx, y + frame_idx % 5 - 2 AS y, x + frame_idx % 7 - 3 AS x FROM pixels WHERE y + frame_idx % 5 - 2 BETWEEN 0 AND 63 AND x + frame_idx % 7 - 3 BETWEEN 0 AND 63) {COUNT.format(t='m')}""")
+def shift_mask(spark, sf_dir):
+    return _count(masks.shift(view(spark, sf_dir, "pixels"), F.col("frame_idx") % 7 - 3, F.col("frame_idx") % 5 - 2, S, S))
+
+
+@query("smooth_prev", f"""-- views: pixels
+, g AS (SELECT DISTINCT frame_idx + 1 AS frame_idx, y + a.d AS y, x + b.d AS x FROM pixels, (SELECT unnest(range(-1, 2)) AS d) a, (SELECT unnest(range(-1, 2)) AS d) b WHERE y + a.d BETWEEN 0 AND 63 AND x + b.d BETWEEN 0 AND 63),
+m AS (SELECT frame_idx, y, x FROM pixels UNION SELECT frame_idx, y, x FROM g WHERE frame_idx IN (SELECT frame_idx FROM pixels)) {COUNT.format(t='m')}""")
+def smooth_prev(spark, sf_dir):
+    return _count(masks.smoothed(view(spark, sf_dir, "pixels"), S, S))
+
+
+RUNS_SQL = """-- views: pixels
+, f AS (SELECT DISTINCT frame_idx FROM pixels), g AS (SELECT f.frame_idx, p FROM f, (SELECT unnest(range(0, 4096)) AS p)),
+v AS (SELECT g.frame_idx, g.p, CASE WHEN q.x IS NULL THEN 0 ELSE 1 END AS val FROM g LEFT JOIN pixels q ON q.frame_idx = g.frame_idx AND q.y * 64 + q.x = g.p),
+c AS (SELECT *, CASE WHEN val IS DISTINCT FROM lag(val) OVER w THEN 1 ELSE 0 END AS edge FROM v WINDOW w AS (PARTITION BY frame_idx ORDER BY p)),
+r AS (SELECT frame_idx, val, sum(edge) OVER (PARTITION BY frame_idx ORDER BY p) AS run FROM c)
+"""
+
+
+@query("rle_encode", RUNS_SQL + "SELECT frame_idx, run::INT AS run, count(*)::INT AS len, any_value(val)::INT AS val FROM r GROUP BY frame_idx, run")
+def rle_encode(spark, sf_dir):
+    return masks.runs(view(spark, sf_dir, "pixels"), S, S)
+
+
+@query("rle_decode", "-- views: pixels\n" + COUNT.format(t="pixels"))
+def rle_decode(spark, sf_dir):
+    """Runs and back: the frame's own pixels."""
+    return _count(masks.set_pixels(masks.runs(view(spark, sf_dir, "pixels"), S, S), S))
+
+
+@query("rle_validate", RUNS_SQL + ", n AS (SELECT frame_idx, run, count(*) AS len FROM r GROUP BY ALL) SELECT frame_idx, frame_idx % 10 <> 3 AS is_valid, (4 + 5 * count(*))::INT AS file_bytes, frame_idx % 10 <> 4 AS reads_back FROM n GROUP BY frame_idx")
+def rle_validate(spark, sf_dir):
+    """Run lists checked against the frame's size, and through their file form; some are spoiled on purpose."""
+    r = masks.runs(view(spark, sf_dir, "pixels"), S, S)
+    per = r.groupBy("frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "len", "val"))), lambda q: F.struct(q["len"].alias("len"), q["val"].alias("val"))).alias("rle"))
+    height = F.when(F.col("frame_idx") % 10 == 3, S + 1).otherwise(S)
+    data = masks.encode_bytes(F.col("rle"))
+    cut = F.when(F.col("frame_idx") % 10 == 4, F.substring("data", F.lit(1), F.length("data") - 2)).otherwise(F.col("data"))
+    per = per.withColumn("data", data)
+    return per.select("frame_idx", masks.rle_valid(F.col("rle"), F.lit(S), height).alias("is_valid"), F.length("data").alias("file_bytes"), F.coalesce(masks.decode_bytes(cut) == F.col("rle"), F.lit(False)).alias("reads_back"))
+
+
+GRID_SQL = """-- views: pixels
+, k AS (SELECT DISTINCT frame_idx FROM pixels WHERE frame_idx % 4 = 0), g AS (SELECT frame_idx, y, x, ((73 * x + 151 * y + (x * y) % 17 + frame_idx * 7) % 256)::INT AS v FROM k, (SELECT unnest(range(0, 64)) AS y) a, (SELECT unnest(range(0, 64)) AS x) b),
+p AS (SELECT g.*, CASE WHEN q.x IS NULL THEN 0 ELSE 1 END AS m FROM g LEFT JOIN pixels q ON q.frame_idx = g.frame_idx AND q.y = g.y AND q.x = g.x),
+"""
+SUMS = "SELECT frame_idx, sum(v)::BIGINT AS sum_v, sum(v * (x + 64 * y))::BIGINT AS moment FROM {t} GROUP BY frame_idx"
+
+
+def _grid(spark, sf_dir):
+    """Every fourth frame as pixels with a value and whether the mask has them."""
+    lit = view(spark, sf_dir, "pixels").where("frame_idx % 4 = 0")
+    side = F.sequence(F.lit(0), F.lit(S - 1))
+    g = lit.select("frame_idx").distinct().select("frame_idx", F.explode(side).alias("y")).select("frame_idx", "y", F.explode(side).alias("x"))
+    g = g.withColumn("v", ((F.col("x") * 73 + F.col("y") * 151 + F.col("x") * F.col("y") % 17 + F.col("frame_idx") * 7) % 256).cast("int"))
+    return g.join(lit.withColumn("m", F.lit(1)), ["frame_idx", "y", "x"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+
+
+def _sums(df):
+    return df.groupBy("frame_idx").agg(F.sum("v").cast("long").alias("sum_v"), F.sum(F.col("v") * (F.col("x") + 64 * F.col("y"))).cast("long").alias("moment"))
+
+
+@query("compose_solid", GRID_SQL + "o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN 16 ELSE v END AS v FROM p) " + SUMS.format(t="o"))
+def compose_solid(spark, sf_dir):
+    return _sums(compose.solid(_grid(spark, sf_dir)))
+
+
+@query("compose_mosaic", GRID_SQL + """b AS (SELECT frame_idx, greatest(min(x) - 6, 0) AS bx1, greatest(min(y) - 6, 0) AS by1, least(max(x) + 7, 64) AS bx2, least(max(y) + 7, 64) AS by2 FROM p WHERE m = 1 GROUP BY frame_idx),
+c AS (SELECT p.frame_idx, (x - bx1) // 6 AS cx, (y - by1) // 6 AS cy, sum(v) // count(*) AS mean FROM p JOIN b ON b.frame_idx = p.frame_idx AND x >= bx1 AND x < bx2 AND y >= by1 AND y < by2 GROUP BY ALL),
+o AS (SELECT p.frame_idx, y, x, CASE WHEN m = 1 THEN c.mean ELSE v END AS v FROM p JOIN b ON b.frame_idx = p.frame_idx LEFT JOIN c ON c.frame_idx = p.frame_idx AND c.cx = (x - bx1) // 6 AND c.cy = (y - by1) // 6 AND m = 1) """ + SUMS.format(t="o"))
+def compose_mosaic(spark, sf_dir):
+    return _sums(compose.mosaic(_grid(spark, sf_dir), 6, S, S))
+
+
+@query("box_blur", GRID_SQL + """h AS (SELECT a.frame_idx, a.y, a.x, a.v, a.m, sum(b.v) // 7 AS b FROM p a, (SELECT unnest(range(-3, 4)) AS d) d JOIN p b ON b.frame_idx = a.frame_idx AND b.y = a.y AND b.x = least(greatest(a.x + d.d, 0), 63) GROUP BY ALL),
+w AS (SELECT a.frame_idx, a.y, a.x, a.v, a.m, sum(b.b) // 7 AS b FROM h a, (SELECT unnest(range(-3, 4)) AS d) d JOIN h b ON b.frame_idx = a.frame_idx AND b.x = a.x AND b.y = least(greatest(a.y + d.d, 0), 63) GROUP BY ALL),
+o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN b ELSE v END AS v FROM w) """ + SUMS.format(t="o"))
+def box_blur(spark, sf_dir):
+    return _sums(compose.box_blur(_grid(spark, sf_dir), 3, S, S))
+
+
+@query("rgb_to_nv12", GRID_SQL + """c AS (SELECT frame_idx, y, x, v AS r, (v * 3 + x) % 256 AS g, (v * 5 + y) % 256 AS b FROM p),
+l AS (SELECT frame_idx, sum(floor(16.0::DOUBLE + (r * 65.481::DOUBLE + g * 128.553::DOUBLE + b * 24.966::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_y FROM c GROUP BY frame_idx),
+q AS (SELECT frame_idx, y // 2 AS cy, x // 2 AS cx, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM c GROUP BY ALL),
+t AS (SELECT frame_idx, sum(floor(128.0::DOUBLE + (r * -37.797::DOUBLE + g * -74.203::DOUBLE + b * 112.0::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_u, sum(floor(128.0::DOUBLE + (r * 112.0::DOUBLE + g * -93.786::DOUBLE + b * -18.214::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_v FROM q GROUP BY frame_idx)
+SELECT l.frame_idx, sum_y, sum_u, sum_v FROM l JOIN t ON l.frame_idx = t.frame_idx""")
+def rgb_to_nv12(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    rgb = g.select("frame_idx", "y", "x", F.col("v").alias("r"), ((F.col("v") * 3 + F.col("x")) % 256).alias("g"), ((F.col("v") * 5 + F.col("y")) % 256).alias("b"))
+    luma, chroma = compose.to_yuv(rgb)
+    return luma.groupBy("frame_idx").agg(F.sum("v").cast("long").alias("sum_y")).join(chroma.groupBy("frame_idx").agg(F.sum("u").cast("long").alias("sum_u"), F.sum("v").cast("long").alias("sum_v")), "frame_idx")
+
+
+_B = "least(greatest(floor({x} + 0.5::DOUBLE), 0), 255)"
+_C = "(v - 16) * 1.164::DOUBLE"
+
+
+@query("nv12_to_rgba", GRID_SQL + f"""c AS (SELECT frame_idx, v, (v * 7 + y) % 256 AS u, (v * 11 + x) % 256 AS w FROM p)
+SELECT frame_idx, sum({_B.format(x=_C + ' + (w - 128) * 1.596::DOUBLE')})::BIGINT AS sum_r, sum({_B.format(x=_C + ' - (u - 128) * 0.392::DOUBLE - (w - 128) * 0.813::DOUBLE')})::BIGINT AS sum_g, sum({_B.format(x=_C + ' + (u - 128) * 2.017::DOUBLE')})::BIGINT AS sum_b FROM c GROUP BY frame_idx""")
+def nv12_to_rgba(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    r, gr, b = compose.to_rgb(F.col("v"), (F.col("v") * 7 + F.col("y")) % 256, (F.col("v") * 11 + F.col("x")) % 256)
+    return g.groupBy("frame_idx").agg(*(F.sum(c).cast("long").alias(n) for c, n in ((r, "sum_r"), (gr, "sum_g"), (b, "sum_b"))))
+
+
+@query("render_join", """-- views: frames pixels
+, m AS (SELECT frame_idx, count(*) AS n FROM pixels GROUP BY frame_idx)
+SELECT f.frame_idx, coalesce(m.n, 0)::BIGINT AS mask_px, m.n IS NULL AS passed_through FROM frames f LEFT JOIN m ON m.frame_idx = f.frame_idx""")
+def render_join(spark, sf_dir):
+    """Every frame with its mask, or passed through as it is where there is none."""
+    m = view(spark, sf_dir, "pixels").groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"))
+    return view(spark, sf_dir, "frames").join(m, "frame_idx", "left").select("frame_idx", F.coalesce("n", F.lit(0)).cast("long").alias("mask_px"), F.col("n").isNull().alias("passed_through"))
+
+
+@query("review_join", """-- views: rects pixels patches
+, m AS (SELECT frame_idx, count(*) AS n FROM pixels GROUP BY frame_idx), e AS (SELECT frame_idx, count(*) AS n, max(seq) AS last FROM patches GROUP BY frame_idx), i AS (SELECT frame_idx, count(*) AS n FROM rects GROUP BY frame_idx)
+SELECT i.frame_idx, i.n::BIGINT AS instances, coalesce(m.n, 0)::BIGINT AS mask_px, coalesce(e.n, 0)::BIGINT AS edits, e.last AS last_edit FROM i LEFT JOIN m ON m.frame_idx = i.frame_idx LEFT JOIN e ON e.frame_idx = i.frame_idx""")
+def review_join(spark, sf_dir):
+    count = lambda df, n, *more: df.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(n), *more)
+    i, m = count(view(spark, sf_dir, "rects"), "instances"), count(view(spark, sf_dir, "pixels"), "mask_px")
+    e = count(view(spark, sf_dir, "patches"), "edits", F.max("seq").alias("last_edit"))
+    out = i.join(m, "frame_idx", "left").join(e, "frame_idx", "left")
+    return out.select("frame_idx", "instances", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("mask_px", "edits")), "last_edit")
