@@ -28,7 +28,7 @@ from .common import ids_and_text, slices
 
 INDEX_BYTES = 32 << 20
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 _TABLE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
@@ -86,12 +86,12 @@ class BlockMaxIndex:
         self.block_of = np.array([k for b in blocks for k, _ in b], np.int64)
         self.block_max = np.array([x for b in blocks for _, x in b], np.float64)
 
-    def bounds(self, segment: np.ndarray, term: np.ndarray, n_segments: int) -> np.ndarray:
-        """Upper bound of any item's score in each (segment, block); (segment, term) rows are distinct."""
+    def bounds(self, window: np.ndarray, term: np.ndarray, n_windows: int) -> np.ndarray:
+        """Upper bound of any item's score in each (window, block); (window, term) rows are distinct."""
         start, size = self.first[term], self.first[term + 1] - self.first[term]
         at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        cell = np.repeat(segment, size) * self.n_blocks + self.block_of[at]
-        return np.bincount(cell, self.block_max[at], n_segments * self.n_blocks).reshape(n_segments, self.n_blocks)
+        cell = np.repeat(window, size) * self.n_blocks + self.block_of[at]
+        return np.bincount(cell, self.block_max[at], n_windows * self.n_blocks).reshape(n_windows, self.n_blocks)
 
     def wand(self, query: set[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score is at least the threshold, by block-max WAND."""
@@ -195,11 +195,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_
                     segment = np.concatenate([np.arange(len(w)) // step + s for w, s in zip(texts, at[:-1])])
                     keep = term >= 0
                     n_terms = len(index.term)
-                    pairs = np.unique(segment[keep] * n_terms + term[keep])
+                    segment, term = segment[keep], term[keep]
+                    opening = np.zeros(n_segments, bool)
+                    opening[[s for s, c in zip(at[:-1].tolist(), counts) if c]] = True
+                    # a window is a segment and the next one of its document; each term counts once in it
+                    after = ~opening[segment]
+                    pairs = np.unique(np.concatenate([segment * n_terms + term, (segment[after] - 1) * n_terms + term[after]]))
                     bound = index.bounds(pairs // n_terms, pairs % n_terms, n_segments)
-                    both = bound.copy()
-                    both[:-1] += bound[1:]  # a window is a segment and the next; past a document's end it only rises
-                    for s in np.flatnonzero((both >= threshold - 1e-9).any(axis=1)).tolist():
+                    for s in np.flatnonzero((bound >= threshold - 1e-9).any(axis=1)).tolist():
                         k = int(np.searchsorted(at, s, "right")) - 1
                         first = (s - int(at[k])) * step
                         window = texts[k][first : first + 2 * step]
