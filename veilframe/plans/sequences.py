@@ -1 +1,187 @@
-"""Queries."""
+"""Queries over ordered observations: filters, holds, tracking, linking, motion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.geometry import box, cosine, fade, iou
+from ..operators import link, motion, temporal, track
+from ..registry import query
+from ..sources.fixtures import view
+
+_K = "{{'p': {p}, 'v': {v}, 'pp': {pp}, 'pv': {pv}, 'vv': {vv}}}"
+_PRED = _K.format(p="s.k.p + s.k.v", v="s.k.v", pp="s.k.pp + s.k.pv * 2.0::DOUBLE + s.k.vv + 4.0::DOUBLE", pv="s.k.pv + s.k.vv", vv="s.k.vv + 1.0::DOUBLE")
+_UPD = _K.format(p="a.p + a.pp / (a.pp + 1.0::DOUBLE) * (o.z - a.p)", v="a.v + a.pv / (a.pp + 1.0::DOUBLE) * (o.z - a.p)", pp="(1.0::DOUBLE - a.pp / (a.pp + 1.0::DOUBLE)) * a.pp", pv="(1.0::DOUBLE - a.pp / (a.pp + 1.0::DOUBLE)) * a.pv", vv="a.vv - a.pv / (a.pp + 1.0::DOUBLE) * a.pv")
+
+
+@query("kalman_filter", f"""-- views: obs
+, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM obs),
+s AS (SELECT user_id, 1::BIGINT AS i, {_K.format(p='z', v='0.0::DOUBLE', pp='100000.0::DOUBLE', pv='0.0::DOUBLE', vv='1000000.0::DOUBLE')} AS k FROM n WHERE i = 1
+ UNION ALL SELECT s.user_id, s.i + 1, CASE WHEN o.hit THEN {_UPD} ELSE a END FROM s JOIN n o ON o.user_id = s.user_id AND o.i = s.i + 1, LATERAL (SELECT {_PRED} AS a) AS l(a))
+SELECT user_id, round(arg_max(k, i).p, 5) AS p, round(arg_max(k, i).v, 5) AS v FROM s GROUP BY user_id""")
+def kalman_filter(spark, sf_dir):
+    o = temporal.in_order(view(spark, sf_dir, "obs"), "user_id", "seq", "z", "hit")
+    k = o.select("user_id", temporal.kalman(F.col("o")).alias("k"))
+    return k.select("user_id", F.round("k.p", 5).alias("p"), F.round("k.v", 5).alias("v"))
+
+
+@query("oru_reupdate", """-- views: obs
+, n AS (SELECT *, lag(z) OVER (PARTITION BY user_id ORDER BY seq) AS last FROM obs), g AS (SELECT seq, z, last, (seq % 6 + 1)::INT AS gap FROM n WHERE last IS NOT NULL),
+s AS (SELECT seq, z, gap, 0 AS i, {'p': last, 'v': (z - last) / gap, 'pp': 100000.0::DOUBLE, 'pv': 0.0::DOUBLE, 'vv': 1000000.0::DOUBLE} AS k FROM g
+ UNION ALL SELECT s.seq, s.z, s.gap, s.i + 1, {'p': k.p + k.v, 'v': k.v, 'pp': k.pp + k.pv * 2.0::DOUBLE + k.vv + 4.0::DOUBLE, 'pv': k.pv + k.vv, 'vv': k.vv + 1.0::DOUBLE} FROM s WHERE i < gap)
+SELECT seq, round(k.p + k.pp / (k.pp + 1.0::DOUBLE) * (z - k.p), 5) AS p, round(k.v + k.pv / (k.pp + 1.0::DOUBLE) * (z - k.p), 5) AS v FROM s WHERE i = gap""")
+def oru_reupdate(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = view(spark, sf_dir, "obs").withColumn("last", F.lag("z").over(Window.partitionBy("user_id").orderBy("seq"))).where("last IS NOT NULL")
+    k = o.select("seq", temporal.after_gap(F.col("last"), F.col("z"), (F.col("seq") % 6 + 1).cast("int")).alias("k"))
+    return k.select("seq", F.round("k.p", 5).alias("p"), F.round("k.v", 5).alias("v"))
+
+
+@query("ema_fold", """-- views: obs
+, n AS (SELECT user_id, CASE WHEN hit THEN 1 ELSE 0 END AS c, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM obs),
+s AS (SELECT user_id, i, (c * 255)::BIGINT AS e FROM n WHERE i = 1 UNION ALL SELECT s.user_id, n.i, (n.c * 255 * 179 + s.e * 77) // 256 FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)
+SELECT user_id, arg_max(e, i) AS e, arg_max(e, i) >= 128 AS lit FROM s GROUP BY user_id""")
+def ema_fold(spark, sf_dir):
+    o = temporal.in_order(view(spark, sf_dir, "obs"), "user_id", "seq", "hit")
+    e = o.select("user_id", temporal.blend(F.transform("o", lambda x: x["hit"].cast("int"))).alias("e"))
+    return e.select("user_id", "e", (F.col("e") >= 128).alias("lit"))
+
+
+@query("lost_shift", """-- views: obs
+, i AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM obs),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY seq) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS lost FROM i)
+SELECT seq, lost::INT AS lost, round(CASE WHEN lost <= 6 THEN 0 ELSE least((lost - 6) / 6.0::DOUBLE, 1) END, 6)::DOUBLE AS fade, (sum(CASE WHEN hit THEN 0 ELSE seq % 9 - 4 END) OVER (PARTITION BY user_id, island ORDER BY seq))::BIGINT AS shift FROM l""")
+def lost_shift(spark, sf_dir):
+    from pyspark.sql import Window
+
+    h = temporal.holds(view(spark, sf_dir, "obs"), "user_id", "seq")
+    w = Window.partitionBy("user_id", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return h.select("seq", "lost", F.round(fade(F.col("lost"), 12), 6).alias("fade"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("seq") % 9 - 4)).over(w).alias("shift"))
+
+
+@query("debounce_350ms", """SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts > INTERVAL 350 MILLISECONDS""")
+def debounce_350ms(spark, sf_dir):
+    return temporal.debounce(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "INTERVAL '0.35' SECOND").select("event_id")
+
+
+@query("sample_every_n", "-- views: frames\nSELECT frame_idx, round(t_ms, 4) AS t_ms FROM frames WHERE frame_idx % 3 = 0")
+def sample_every_n(spark, sf_dir):
+    return view(spark, sf_dir, "frames").where("frame_idx % 3 = 0").select("frame_idx", F.round("t_ms", 4).alias("t_ms"))
+
+
+@query("annotate_select", "-- views: frames\nSELECT frame_idx FROM frames WHERE frame_idx % 50 = 0 OR abs(t_ms - 10000) < 33.5 OR abs(t_ms - 20500) < 33.5 OR abs(t_ms - 33333) < 33.5")
+def annotate_select(spark, sf_dir):
+    """Every 50th frame, and those nearest to asked times."""
+    f = view(spark, sf_dir, "frames")
+    asked = F.exists(F.array(*(F.lit(float(t)) for t in (10000, 20500, 33333))), lambda t: F.abs(F.col("t_ms") - t) < 33.5)
+    return f.where((F.col("frame_idx") % 50 == 0) | asked).select("frame_idx")
+
+
+@query("preview_sample", "-- views: frames\nSELECT frame_idx, frame_idx % 8 = 0 AS stream, frame_idx % 4 = 0 AS archive FROM frames WHERE frame_idx % 4 = 0")
+def preview_sample(spark, sf_dir):
+    return view(spark, sf_dir, "frames").where("frame_idx % 4 = 0").select("frame_idx", (F.col("frame_idx") % 8 == 0).alias("stream"), F.lit(True).alias("archive"))
+
+
+@query("resume_skip", "-- views: frames pixels\nSELECT frame_idx FROM frames WHERE frame_idx >= (SELECT coalesce(max(frame_idx) + 1, 0) FROM pixels)")
+def resume_skip(spark, sf_dir):
+    """Frames still to be analysed: those from the next after the last stored one."""
+    start = view(spark, sf_dir, "pixels").agg(F.coalesce(F.max("frame_idx") + 1, F.lit(0)).alias("start"))
+    return view(spark, sf_dir, "frames").join(F.broadcast(start), F.col("frame_idx") >= F.col("start")).select("frame_idx")
+
+
+@query("next_frame", """-- views: pixels
+, k AS (SELECT DISTINCT frame_idx FROM pixels WHERE frame_idx % 11 <> 5)
+SELECT (max(frame_idx) + 1)::BIGINT AS next_frame, (max(frame_idx) + 1 - count(*))::BIGINT AS missing FROM k""")
+def next_frame(spark, sf_dir):
+    """Where an analysis goes on, and how many frames before that have no mask."""
+    k = view(spark, sf_dir, "pixels").select("frame_idx").where("frame_idx % 11 <> 5").distinct()
+    return k.agg(F.coalesce(F.max("frame_idx") + 1, F.lit(0)).alias("next_frame"), (F.coalesce(F.max("frame_idx") + 1, F.lit(0)) - F.count(F.lit(1))).alias("missing"))
+
+
+@query("frame_seek", "-- views: frames\n, q AS (SELECT p_partkey, least(greatest(p_partkey * 100.0::DOUBLE - 500, 0), (SELECT max(t_ms) FROM frames) - 100) AS t FROM part)\nSELECT p_partkey, max(frame_idx) AS frame_idx FROM q JOIN frames ON t_ms <= t GROUP BY p_partkey")
+def frame_seek(spark, sf_dir):
+    """The frame shown at a time, with times clamped to the clip less a frame and a half.
+
+    Times and frames meet in the ten seconds they fall in; where no frame comes before, the last frame of
+    earlier stretches holds: an as-of lookup by sorted passes instead of a range join."""
+    from pyspark.sql import Window
+
+    f = view(spark, sf_dir, "frames").select("frame_idx", "t_ms")
+    end = f.agg((F.max("t_ms") - 100).alias("end"))
+    q = spark.read.parquet(f"{sf_dir}/part.parquet").join(F.broadcast(end)).select("p_partkey", F.least(F.greatest(F.col("p_partkey") * 100.0 - 500, F.lit(0.0)), F.col("end")).alias("t_ms"))
+    sec = lambda c: F.floor(c / 10_000)
+    last = f.groupBy(sec(F.col("t_ms")).alias("sec")).agg(F.max("frame_idx").alias("last"))
+    # one row for ten seconds of film: a running maximum over the clip reaches over empty stretches
+    last = q.select(sec(F.col("t_ms")).alias("sec")).distinct().join(last, "sec", "full").select("sec", F.max("last").over(Window.orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)).alias("last"))
+    both = f.select("t_ms", "frame_idx", F.lit(None).cast("long").alias("p_partkey")).unionByName(q.select("t_ms", F.lit(None).cast("long").alias("frame_idx"), "p_partkey")).withColumn("sec", sec(F.col("t_ms")))
+    w = Window.partitionBy("sec").orderBy("t_ms", F.col("p_partkey").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("here", F.max("frame_idx").over(w)).where("p_partkey IS NOT NULL").join(last, "sec", "left")
+    return seen.select("p_partkey", F.coalesce("here", "last").alias("frame_idx"))
+
+
+def _videos(spark, sf_dir):
+    """Sixteen frames to a video; boxes of a frame are those of a slow drift, so that tracks hold together."""
+    b = view(spark, sf_dir, "boxes").where("score >= 0.1 AND det_id % 4 < 2")
+    base = b.select((F.floor(F.col("frame_idx") / 4)).alias("video_id"), (F.col("frame_idx") % 4).alias("part"), "det_id", "score", "x1", "y1", "x2", "y2")
+    seen = base.where("part = 0").select("video_id", "det_id", "score", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("frame_idx")).where("(det_id + frame_idx * 7) % 5 <> 0")
+    d = F.col("frame_idx") * (F.col("det_id") % 9 - 4)
+    dets = seen.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "det_id", "score", *((F.col(n) + d).alias(n) for n in ("x1", "y1", "x2", "y2")))
+    frames = base.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("frame_idx")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    return dets, frames
+
+
+@query("track_batch")
+def track_batch(spark, sf_dir):
+    dets, frames = _videos(spark, sf_dir)
+    t = track.track(dets, frames)
+    return t.select("video_id", "frame_idx", "track_id", "lost", F.round("fade", 6).alias("fade"), F.round("score", 6).alias("score"), *(F.round(n, 3).alias(n) for n in ("x1", "y1", "x2", "y2", "shift_x", "shift_y")))
+
+
+@query("track_stream")
+def track_stream(spark, sf_dir):
+    """The same tracks from a stream of frames with state for each video."""
+    from ..streaming.tracks import stream_once
+
+    dets, frames = _videos(spark, sf_dir)
+    t = stream_once(dets.where("video_id % 4 = 0"), frames.where("video_id % 4 = 0"))
+    return t.select("video_id", "frame_idx", "track_id", "lost", F.round("score", 6).alias("score"))
+
+
+@query("masklet_link_frame", """-- views: persons
+, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT frame_idx, det_id, x1, y1, x2, y2, det_id % 500 AS vid FROM persons WHERE frame_idx % 5 = 0),
+p AS (SELECT a.frame_idx, a.det_id AS ref_id, b.det_id AS inst_id, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS x, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS area, e.v AS v, f.v AS w
+ FROM r a JOIN r b ON b.frame_idx = a.frame_idx AND a.det_id % 2 = 0 AND b.det_id % 2 = 1 AND b.det_id % 12 <= 8 JOIN e ON e.vec_id = a.vid JOIN e f ON f.vec_id = b.vid),
+s AS (SELECT frame_idx, ref_id, inst_id, x / (area - x) * 0.6::DOUBLE + greatest(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 0) * 0.4::DOUBLE AS s FROM p),
+o AS (SELECT frame_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY s DESC, ref_id, inst_id) AS i, {'ref_id': ref_id, 'inst_id': inst_id, 's': s} AS q FROM s WHERE s > 0.3),
+t AS (SELECT frame_idx, 1::BIGINT AS i, [q] AS done FROM o WHERE i = 1
+ UNION ALL SELECT t.frame_idx, t.i + 1, CASE WHEN len(list_filter(t.done, lambda d: d.ref_id = o.q.ref_id OR d.inst_id = o.q.inst_id)) = 0 THEN list_append(t.done, o.q) ELSE t.done END FROM t JOIN o ON o.frame_idx = t.frame_idx AND o.i = t.i + 1),
+z AS (SELECT frame_idx, unnest(arg_max(done, i)) AS d FROM t GROUP BY frame_idx)
+SELECT frame_idx, d.ref_id AS ref_id, d.inst_id AS inst_id, round(d.s, 5) AS score FROM z""")
+def masklet_link_frame(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("emb"))
+    p = view(spark, sf_dir, "persons").where("frame_idx % 5 = 0").withColumn("vec_id", F.col("det_id") % 500).join(e, "vec_id")
+    refs = p.where("det_id % 2 = 0").withColumnRenamed("det_id", "ref_id")
+    memory = p.where("det_id % 2 = 1").withColumn("missed", F.col("det_id") % 12).withColumnRenamed("det_id", "inst_id")
+    return link.link(refs, memory).select("frame_idx", "ref_id", "inst_id", F.round("score", 5).alias("score"))
+
+
+@query("gmc_shift")
+def gmc_shift(spark, sf_dir):
+    """Motion found between frames of a pattern that a made camera moves."""
+    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx")).where("frame_idx < 12")
+
+    def draw(batches):
+        import numpy as np
+
+        y, x = np.mgrid[0:128, 0:128]
+        for pdf in batches:
+            # cells of pseudo-random brightness, moved a little further in each frame
+            made = []
+            for v, f in zip(pdf["video_id"], pdf["frame_idx"]):
+                cx, cy = (x - 3 * f * (v % 3)) // 5, (y - 2 * f * (v % 2)) // 5
+                made.append(((cx * 73 + cy * 151 + (cx * cy) % 17 * 31 + (cx * cx * 7 + cy * cy * 13) % 101) % 256).astype(np.uint8).tobytes())
+            yield pdf.assign(w=128, h=128, luma=made)
+
+    frames = ids.mapInPandas(draw, "video_id long, frame_idx long, w int, h int, luma binary")
+    return motion.motions(frames).select("video_id", "frame_idx", F.round("dx", 3).alias("dx"), F.round("dy", 3).alias("dy"))

@@ -1 +1,58 @@
-"""Queries."""
+"""Queries of text scans, names and stored results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources import probe
+
+# Reports in the form that the usual media tool prints.
+REPORTS = [
+    ("a.mp4", "Input #0\n  Duration: 00:00:05.07, start: 0.000000, bitrate: 6000 kb/s\n  Stream #0:0[0x1](und): Video: hevc (Main) (hvc1 / 0x31637668), yuv420p(tv), 1920x1080, 5800 kb/s, 15 fps, 15 tbr, 600 tbn\n  Stream #0:1[0x2](und): Audio: aac (LC), 44100 Hz, stereo", 1920, 1080, 15.0, "hevc", 76, "aac", 5.07),
+    ("b.mov", "Input #0\n  Duration: 00:00:10.00, start: 0\n  Stream #0:0: Video: h264 (High), yuv420p, 1080x1920 [SAR 1:1], 30 tbr\n    displaymatrix: rotation of -90.00 degrees", 1920, 1080, 30.0, "h264", 300, "", 10.0),
+    ("c.mkv", "  Duration: 01:02:03.50, start: 0\n  Stream #0:0: Video: av1, yuv420p10le, 3840x2160, 29.97 fps, 1k tbn\n  Stream #0:1: Audio: truehd, 48000 Hz\n  Stream #0:2: Audio: ac3, 48000 Hz", 3840, 2160, 29.97, "av1", 111593, "truehd,ac3", 3723.5),
+    ("d.avi", "  Duration: N/A\n  Stream #0:0: Video: mjpeg, yuvj422p, 640x480, 90k tbn", 640, 480, 30.0, "mjpeg", None, "", None),
+]
+
+
+@query("probe_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {w}, {h}, {f}::DOUBLE, '{c}', {'NULL' if n is None else n}::BIGINT, '{a}')" for p, _, w, h, f, c, n, a, _ in REPORTS) + ") AS t(path, width, height, fps, codec, total_frames, audio)")
+def probe_parse(spark, sf_dir):
+    r = spark.createDataFrame([(p, t) for p, t, *_ in REPORTS], "path string, stderr string")
+    return probe.parse(r).select("path", "width", "height", "fps", "codec", "total_frames", F.array_join("audio_codecs", ",").alias("audio"))
+
+
+@query("output_name", "SELECT p_partkey, regexp_replace(p_name, ' ', '_', 'g') || '_mosaic_' || (['fast', 'balanced', 'fine'])[(p_size % 3 + 1)::INT] || '.mp4' AS output, regexp_replace(p_name, ' ', '_', 'g') || '_masks' AS masks_dir FROM part")
+def output_name(spark, sf_dir):
+    stem = F.regexp_replace("p_name", " ", "_")
+    tag = F.element_at(F.array(F.lit("fast"), F.lit("balanced"), F.lit("fine")), F.col("p_size") % 3 + 1)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(stem, F.lit("_mosaic_"), tag, F.lit(".mp4")).alias("output"), F.concat(stem, F.lit("_masks")).alias("masks_dir"))
+
+
+@query("stderr_tail", "WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents) SELECT doc_id, left(array_to_string(l[-3:], ' | '), 240) AS tail FROM l")
+def stderr_tail(spark, sf_dir):
+    """The last three lines that are not blank, on one line of at most 240 characters."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lines.alias("l"))
+    n = F.size("l")
+    return d.select("doc_id", F.substring(F.array_join(F.slice("l", F.greatest(n - 2, F.lit(1)), F.lit(3)), " | "), 1, 240).alias("tail"))
+
+
+@query("queue_restore", "SELECT event_id, event_type AS name, 'balanced' AS preset, event_id % 4 <> 1 AS face FROM events WHERE event_id % 7 <> 3")
+def queue_restore(spark, sf_dir):
+    """Waiting jobs out of JSON: missing keys take defaults, malformed options lose the row."""
+    k = F.col("event_id")
+    made = F.when(k % 7 == 3, F.lit('{"name": "x", "opts": 5')).otherwise(F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "opts": {'), F.when(k % 4 == 1, '"face": false').otherwise(""), F.lit("}}")))
+    j = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json(made, "name string, opts struct<preset:string,face:boolean>").alias("j")).where("j.opts IS NOT NULL")
+    return j.select("event_id", "j.name", F.coalesce("j.opts.preset", F.lit("balanced")).alias("preset"), F.coalesce("j.opts.face", F.lit(True)).alias("face"))
+
+
+@query("gpu_vendor", "WITH d AS (SELECT n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN 'amd' WHEN 1 THEN 'intel' END AS v FROM nation WHERE n_nationkey % 2 = 0) SELECT n_regionkey, CASE WHEN count(DISTINCT v) = 1 THEN any_value(v) END AS vendor FROM d GROUP BY n_regionkey")
+def gpu_vendor(spark, sf_dir):
+    """The one known maker among a machine's device ids in hexadecimal; none where they are mixed."""
+    ids = F.when(F.col("n_nationkey") % 3 == 0, "0x1002").when(F.col("n_nationkey") % 3 == 1, "0x8086").otherwise("0xffff")
+    n = F.conv(F.substring(ids, 3, 4), 16, 10).cast("int")
+    known = F.when(n == 0x1002, "amd").when(n == 0x8086, "intel")
+    d = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0").select("n_regionkey", known.alias("v"))
+    s = d.groupBy("n_regionkey").agg(F.collect_set("v").alias("s"))
+    return s.select("n_regionkey", F.when(F.size("s") == 1, F.col("s")[0]).alias("vendor"))
