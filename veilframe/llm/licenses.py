@@ -13,12 +13,10 @@ scanned, whatever its length.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_text
+from .common import cut, ids_and_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,6 +41,20 @@ NOTICES = [
 ]
 
 
+def _by_k(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+def _hits(k: int, hashes: list[int]):
+    """The positions whose k-gram has one of the hashes, with that k-gram."""
+    h = F.col(f"h{k}")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(h, i).isin(*hashes))
+    return F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), F.get(h, i).alias("g"), F.slice("w", i + 1, F.lit(k)).alias("gram")))
+
+
 def template_grams(phrases: list[tuple[str, str]], notices: list[tuple[str, str]], k_phrase: int = 2, k_notice: int = 4) -> list[tuple]:
     """(template, label, phrase?, grams in all, words, position, k, w0, w1, w2, w3) of every template k-gram."""
     out = []
@@ -54,33 +66,39 @@ def template_grams(phrases: list[tuple[str, str]], notices: list[tuple[str, str]
     return out
 
 
+def rolling_hashes(words: DataFrame) -> DataFrame:
+    """words (column w) with h2 and h4: hashes of the 2 and 4 words from each position on, made of the
+    hashes of single words."""
+    one = words.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    size = F.size("w")
+    two = one.withColumn("h2", F.zip_with("h1", F.slice("h1", F.lit(2), size), lambda x, y: F.xxhash64(x, y)))
+    return two.withColumn("h4", F.zip_with("h2", F.slice("h2", F.lit(3), size), lambda x, y: F.xxhash64(x, y))).drop("h1")
+
+
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None, min_covered: float = 0.6, max_drift: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with n_words, spans). A span: doc_id, text_hash, label, is_phrase, first_word, last_word,
     covered (share of the template's k-grams)."""
     spark = docs.sparkSession
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     grams = template_grams(phrases, notices)
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    split = ids_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_remove(F.split(low, NOT_WORD, -1), "").alias("w"))
-    counted = split.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
-    if not grams:
-        none = counted.where("false").select("doc_id", "text_hash", F.lit("").alias("label"), F.lit(True).alias("is_phrase"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word"), F.lit(0.0).alias("covered"))
-        return counted, none
     # the table of templates is a constant of this module or of the caller: a few hundred rows
     table = spark.createDataFrame(grams, "tpl int, label string, is_phrase boolean, n_grams int, n_tpl int, at int, k int, t0 string, t1 string, t2 string, t3 string")
-    table = table.withColumn("g", F.when(F.col("k") == 2, F.xxhash64("t0", "t1")).otherwise(F.xxhash64("t0", "t1", "t2", "t3")))
-    # shifted copies of the words side by side: positions and k-grams come out of one generator, in generated code
-    size = F.size("w")
-    shifted = F.arrays_zip("w", *(F.slice("w", k + 1, size).alias(f"w{k}") for k in (1, 2, 3)))
-    rows = split.where(size >= 2).select("doc_id", "text_hash", shifted.alias("z")).select("doc_id", "text_hash", F.posexplode("z").alias("pos", "x"))
-    rows = rows.select("doc_id", "text_hash", "pos", *(F.col("x").getField(n).alias(f"x{i}") for i, n in enumerate(["w", "w1", "w2", "w3"])))
-    hits = None
-    for k in sorted({g[6] for g in grams}):
-        names = [f"x{i}" for i in range(k)]
-        here = rows.where(F.col(names[-1]).isNotNull()).withColumn("h", F.xxhash64(*names))
-        same = reduce(lambda a, b: a & b, (F.col(f"x{i}") == F.col(f"t{i}") for i in range(k)))
-        got = here.join(F.broadcast(table.where(F.col("k") == k)), (F.col("h") == F.col("g")) & same).select("doc_id", "text_hash", "tpl", "label", "is_phrase", "n_grams", "n_tpl", "pos", "at")
-        hits = got if hits is None else hits.union(got)
+    table = table.withColumn("w", F.slice(F.array("t0", "t1", "t2", "t3"), F.lit(1), F.col("k")))
+    table = rolling_hashes(table).withColumn("g", F.when(F.col("k") == 2, F.col("h2")[0]).otherwise(F.col("h4")[0])).select("tpl", "label", "is_phrase", "n_grams", "n_tpl", "at", "k", "w", "g")
+    wanted = {k: sorted({r[1] for r in rows}) for k, rows in _by_k(table.select("k", "g").collect()).items()}
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    split = ids_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_remove(F.split(low, NOT_WORD, -1), "").alias("w"))
+    hashed = rolling_hashes(split)
+    none = F.array().cast("array<struct<k:int,pos:int,g:bigint,gram:array<string>>>")
+    found = none
+    for k, values in wanted.items():
+        found = F.concat(found, _hits(k, values))
+    # one pass over the texts leaves counts and hits; a few numbers a document
+    base = cut(hashed.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.size("w") > 0, found).otherwise(none).alias("hits")), "hits")
+    counted = base.select("doc_id", "text_hash", "n_words")
+    here = base.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode("hits").alias("x")).select("doc_id", "text_hash", "x.k", "x.pos", F.col("x.g").alias("h"), "x.gram")
+    tpl = F.broadcast(table.select("tpl", "label", "is_phrase", "n_grams", "n_tpl", "at", F.col("k").alias("tk"), "w", "g"))
+    hits = here.join(tpl, (F.col("h") == F.col("g")) & (F.col("k") == F.col("tk")) & (F.col("gram") == F.col("w"))).select("doc_id", "text_hash", "tpl", "label", "is_phrase", "n_grams", "n_tpl", "pos", "at")
     # from here on only hits; one shuffle brings a text's hits together. Rows of one text repeat: once is enough
     hits = hits.withColumn("diag", F.col("pos") - F.col("at")).repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "tpl", "pos", "at"])
     by = ["doc_id", "text_hash", "tpl", "label", "is_phrase", "n_grams", "n_tpl"]
