@@ -258,7 +258,7 @@ def test_gru_gradients():
     from veilframe.llm import gru
 
     rng = np.random.default_rng(0)
-    w = gru.Weights.start(9, np.array([6.0, 4.0, 3.0]), np.concatenate([[[3.0] * 4 + [0.0] * 60], [[1.0] * 4 + [0.0] * 60]]))
+    w = gru.Weights.start(9, np.array([6.0, 4.0, 3.0]), np.array([[3.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4), [1.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4)]))
     inputs = np.array([8, 1, 2, 3, 8, 4, 5], np.int32)
     cls, idx = np.array([0, 1, 2, 0, 1, 2, 0]), np.array([1, 2, 0, 3, 0, 0, 2])
     lengths = np.array([4, 3])
@@ -286,7 +286,7 @@ def test_gru_gradients():
 def test_state_carries_across_windows():
     from veilframe.llm import gru
 
-    w = gru.Weights.start(9, np.array([6.0, 4.0]), np.array([[3.0] * 4 + [0.0] * 60]))
+    w = gru.Weights.start(9, np.array([6.0, 4.0]), np.array([[3.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4)]))
     n = 3 * gru.WINDOW + 5
     rng = np.random.default_rng(0)
     own = rng.integers(0, 8, n)
