@@ -8,7 +8,9 @@ boundary is where enumerating costs less than scanning. Inverted lists are never
 up front: each list's most connected member is verified against the others, and only members that still
 lie in different components are paired, round by round, until no untested pair is left between
 components. So no link that decides a component is lost, while a group of n near copies costs about n
-verifications.
+verifications. Where near copies don't link with their list's centre, their differences to it stand for
+them: pairs that must link by these differences are linked without meeting, and others only meet if they
+share one.
 
 Rarity comes from counts of hashed shingles over all documents (2**SKETCH_BITS counters, a fixed size).
 It orders prefixes only: any counts give the same result.
@@ -35,14 +37,20 @@ from .bloom import bits_for, bloom_of, holds, positions
 from .common import cut, drop_cut, ids_and_text, slices, words_of
 from .components import components
 
-SKETCH_BITS = 20
-SKETCH_BLOCK = 1 << 14
+SKETCH_BITS = 22
+SKETCH_BLOCK = 1 << 15
+#: Rounds of stars at most; the last one tests every pair that is still open.
+MOST_ROUNDS = 3
 #: Words whose hashes a Python worker remembers.
 CACHE_ENTRIES = 500_000
 #: Largest set size that subset enumeration is considered for.
 LIGHT_MOST = 40
+#: Differences are kept for pairs up to this many times as far apart as linked ones may be.
+NEAR = 4
+#: Members from which on a star draws others of its lists to it.
+LARGE = 16
 #: Untested pairs between components, for each set, above which another round of stars comes before all of them are tested.
-DENSE = 4
+DENSE = 2
 
 
 class Shingler:
@@ -124,7 +132,7 @@ def _first_pass(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """A row for each document (doc_id, n_shingles, sid, key) and, at each task's end, its shingle counts."""
 
     def run(batches):
-        shingler, counts, seen = Shingler(n), np.zeros(1 << SKETCH_BITS, np.uint32), set()
+        shingler, counts, seen = Shingler(n), np.zeros(1 << SKETCH_BITS, np.uint8), set()
         for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
             sids = [_sid(s, seed) if len(s) else None for s in sets]
@@ -132,7 +140,8 @@ def _first_pass(docs: DataFrame, n: int, seed: int) -> DataFrame:
             new = {i: s for i, s in zip(sids, sets) if i is not None and i not in seen}
             seen.update(new)
             if new:
-                counts += np.bincount(np.concatenate(list(new.values())) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                at, more = np.unique((np.concatenate(list(new.values())) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 255)  # a task's count of a hot shingle ends at 255; their sum still stands out
             k = len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [(i, zlib.compress(counts[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes(), 1)) for i in range(len(counts) // SKETCH_BLOCK)]
@@ -149,12 +158,13 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH_BLOCK, np.uint32)
         for z in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(z), np.uint32)
+            x = zlib.decompress(z)
+            total += np.frombuffer(x, np.uint8 if len(x) == SKETCH_BLOCK else np.uint32)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     part = rows.where("block IS NOT NULL").groupBy("block", "salt").applyInPandas(add, "block int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for block, z in part.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 4 MB
+    for block, z in part.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 16 MB
         out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(z), np.uint32)
     return out
 
@@ -195,7 +205,10 @@ def _postings(docs: DataFrame, n: int, seed: int, sketch, boundary: int, num: in
 
 
 def _sets_of(docs: DataFrame, n: int, seed: int, wanted, bits: int) -> DataFrame:
-    """(sid, shingles) of the documents in a Bloom filter of representatives; 48 bits of each hash."""
+    """(sid, shingles) of the documents in a Bloom filter of representatives; 48 bits of each hash.
+
+    A false positive, or a representative's id on two rows, gives a set twice and verifies its pairs twice;
+    that changes nothing, and a shuffle of all sets to prevent it would cost more."""
 
     def run(batches):
         words, shingler = np.frombuffer(wanted.value, np.uint8), Shingler(n)
@@ -208,34 +221,106 @@ def _sets_of(docs: DataFrame, n: int, seed: int, wanted, bits: int) -> DataFrame
             sets = [s for s in shingler.sets(texts.take(pa.array(hit)).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_sid(s, seed) for s in sets], pa.int64()), pa.array([np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets], pa.binary())], names=["sid", "shingles"])
 
-    return docs.mapInArrow(run, "sid long, shingles binary").dropDuplicates(["sid"])
+    return docs.mapInArrow(run, "sid long, shingles binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Sets travel to the pairs, hubs last."""
+    """(a, b, linked, a_size, size, diff) of pairs: whether their sets are similar enough, their sizes and, for pairs
+    not too far apart, the shingles that only one of them has. Only the sets of these pairs travel, hubs last."""
+    spark = pairs.sparkSession
+
+    def of(side: str) -> DataFrame:
+        ids = pairs.select(side).distinct()
+        bits = bits_for(ids.count())
+        wanted = spark.sparkContext.broadcast(bloom_of(ids, bits))  # bits / 8, at most 32 MB
+
+        def pick(batches):
+            words = np.frombuffer(wanted.value, np.uint8)
+            for b in slices(batches, 4096):
+                yield b.filter(pa.array(holds(words, positions(b.column(0).to_numpy().view(np.uint64), bits))))
+
+        return sets.mapInArrow(pick, "sid long, shingles binary").select(F.col("sid").alias(side), F.col("shingles").alias("s" + side))
 
     def unpack(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
+        return wide.view(np.int64).ravel()
 
     def run(batches):
         last, x = None, None
         for b in slices(batches):
-            keep = []
-            for a, y, sa, sb in zip(*(b.column(i).to_pylist() for i in range(4))):
+            linked, a_sizes, sizes, diffs = [], [], [], []
+            for a, sa, sb in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if a != last:
                     last, x = a, unpack(sa)
-                z = unpack(sb)
-                at = np.searchsorted(x, z)
-                at[at == len(x)] = 0
-                both = int((x[at] == z).sum())
-                keep.append(den * both >= num * (len(x) + len(z) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sb = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    sa = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+                y = unpack(sb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                apart = len(x) + len(y) - 2 * both
+                linked.append(den * both >= num * (len(x) + len(y) - both))
+                a_sizes.append(len(x))
+                sizes.append(len(y))
+                diffs.append(np.setxor1d(x, y, assume_unique=True).tolist() if (den + num) * apart <= NEAR * (den - num) * (len(x) + len(y)) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(a_sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array(diffs, pa.list_(pa.int64()))], names=["a", "b", "linked", "a_size", "size", "diff"])
+
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean, a_size int, size int, diff array<long>")
+
+
+def _weights(found: DataFrame) -> DataFrame:
+    """(a, weight): members near each star's centre."""
+    return found.where("diff IS NOT NULL").groupBy("a").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _towards_large_stars(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): for each list, the centre of the largest star that any of its members is in, with every
+    member that is in another or none."""
+    weight = _weights(found).where(F.col("weight") >= LARGE)
+    reach = found.where("diff IS NOT NULL").join(weight, "a").select(F.col("b").alias("sid"), "weight", F.col("a").alias("hub"))
+    own = weight.select(F.col("a").alias("sid"), "weight", F.col("a").alias("hub"))
+    mine = reach.union(own).groupBy("sid").agg(F.max(F.struct("weight", "hub")).alias("mine"))
+    rows = members.join(mine, "sid", "left").withColumn("top", F.max("mine").over(Window.partitionBy("h")))
+    rows = rows.where(F.col("top").isNotNull() & ~F.col("top.hub").eqNullSafe(F.col("mine.hub")) & (F.col("top.hub") != F.col("sid")))
+    return rows.select(F.col("top.hub").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def _groups(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What verified stars say about pairs of a star's own members, without meeting each pair.
+
+    Members of a star are kept as differences to its centre, corrected by the differences that most
+    members share. Of two members, |a ^ b| = |da| + |db| - 2 |da & db|: where the first two are small
+    enough they link, and all such pairs hang together in a star around the member of the least
+    (den + num) |d| - (den - num) size; any other pair can link only if it shares a difference, and
+    edits of one copy are seldom those of another. Returns (links a b; lists h sid size of shared
+    differences; the star that each sid belongs to: sid grp)."""
+    near = found.where("diff IS NOT NULL").join(_weights(found), "a")
+    # the largest star within reach, so that few pairs lie across stars
+    mine = near.groupBy("b").agg(F.max(F.struct("weight", F.col("a").alias("hub"), "size", "diff")).alias("m")).select(F.col("b").alias("sid"), "m.hub", "m.size", "m.diff")
+    centres = mine.select(F.col("hub").alias("sid")).distinct()
+    # a centre belongs to its own star, with no difference
+    sizes = found.where("linked OR diff IS NOT NULL").groupBy(F.col("a").alias("sid")).agg(F.max("a_size").alias("size"))
+    mine = mine.join(centres, "sid", "left_anti").unionByName(centres.join(sizes, "sid").select("sid", F.col("sid").alias("hub"), "size", F.array().cast("array<long>").alias("diff")))
+    mine = cut(mine, "stars")
+    total = mine.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    often = mine.select("hub", F.explode("diff").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("c")).join(total, "hub").where("2 * c > n")
+    common = often.groupBy("hub").agg(F.collect_list("e").alias("u"))  # at most twice as many as a member's differences
+    d = F.when(F.col("u").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "u"), F.array_except("u", "diff")))
+    rows = cut(mine.join(common, "hub", "left").select("hub", "sid", "size", d.alias("d")).withColumn("f", F.size("d") * (den + num) - F.col("size") * (den - num)), "stars")
+    least = rows.groupBy("hub").agg(F.min(F.struct("f", "sid")).alias("m"))
+    links = rows.join(least, "hub").where((F.col("f") + F.col("m.f") <= 0) & (F.col("sid") != F.col("m.sid"))).select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
+    # a pair must share (f + f') / (2 den + 2 num) differences, so it shares one of the rarest of each:
+    # few of the member with the smaller f (its partner's is no smaller), some more of the other
+    q = den + num
+    each = rows.select("hub", "sid", "size", "f", F.size("d").alias("n"), F.explode("d").alias("e")).join(least.select("hub", F.col("m.f").alias("f0")), "hub")
+    each = each.join(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("c")), ["hub", "e"])
+    each = each.withColumn("at", F.row_number().over(Window.partitionBy("sid").orderBy("c", "e")))
+    one = F.lit(1).cast("long")
+    probe = F.col("n") - F.greatest(F.ceil((F.col("f") + F.col("f0")) / (2 * q)), one) + 1
+    index = F.col("n") - F.greatest(F.ceil(F.col("f") / q), one) + 1
+    shared = each.where(F.col("at") <= F.greatest(probe, index)).select(F.xxhash64("hub", "e").alias("h"), "sid", "size", "f", F.when(F.col("at") <= index, SHARED_FIRST).otherwise(SHARED).cast("byte").alias("role"))
+    return links, shared, mine.select("sid", F.col("hub").alias("grp"))
+
+
+#: Roles of a row in a list of shared differences: SHARED_FIRST also serves with a partner of larger f.
+SHARED, SHARED_FIRST = 9, 10
 
 
 def _can_link(x: str, y: str, num: int, den: int):
@@ -247,8 +332,10 @@ def _may_pair(boundary: int, num: int, den: int):
     lists = (F.col("role") < 2) & (F.col("role2") < 2) & (F.greatest("size", "size2") >= boundary) & _can_link("size", "size2", num, den)
     # the smaller of a pair needs only its shorter prefix
     lists = lists & (((F.col("size") <= F.col("size2")) & (F.col("role") == 1)) | ((F.col("size2") <= F.col("size")) & (F.col("role2") == 1)))
-    subset = (F.col("role") >= 2) & (F.col("role2") >= 2) & ((F.col("size") == F.col("size2")) | (F.col("role") != F.col("role2")))
-    return lists | subset
+    subset = F.col("role").between(2, 3) & F.col("role2").between(2, 3) & ((F.col("size") == F.col("size2")) | (F.col("role") != F.col("role2")))
+    shared = (F.col("role") >= SHARED) & (F.col("role2") >= SHARED) & _can_link("size", "size2", num, den) & (F.col("f") + F.col("f2") > 0)
+    shared = shared & (((F.col("f") <= F.col("f2")) & (F.col("role") == SHARED_FIRST)) | ((F.col("f2") <= F.col("f")) & (F.col("role2") == SHARED_FIRST)))
+    return (lists | subset | shared) & (F.col("grp") != F.col("grp2"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +354,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         raise RuntimeError("64-bit set ids collide under every seed")
     sizes = {int(r[0]): int(r[1]) for r in nodes.where(F.col("size") <= 2 * LIGHT_MOST).groupBy("size").count().collect()}
     boundary = choose_boundary(sizes, num, den)
-    sketch = spark.sparkContext.broadcast(_sketch(first))  # 4 MB
+    sketch = spark.sparkContext.broadcast(_sketch(first))  # 16 MB
     # one shuffle, by key: duplicates, list lengths and first members are found in place
     lists = _postings(some, n, seed, sketch, boundary, num, den).repartition("h").dropDuplicates(["h", "sid", "role"])
     lists = cut(lists.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "lists")
@@ -276,32 +363,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     bits = bits_for(degree.count())
     wanted = spark.sparkContext.broadcast(bloom_of(reps, bits))  # bits / 8, at most 32 MB
     sets = cut(_sets_of(some, n, seed, wanted, bits), "shingles")
-    members = lists.join(degree, "sid").select("h", "sid", "size", "role", "degree")
-    links, label = None, None
-    tested = None
+    members = lists.join(degree, "sid").select("h", "sid", "size", "role", "degree", F.col("sid").alias("grp"), F.lit(0).cast("long").alias("f"))
     enough = DENSE * max(1, degree.count())
     may = _may_pair(boundary, num, den)
-    for last in (False, False, False, True):
-        if label is None:
-            rows = members.withColumn("comp", F.col("sid"))
-        else:
-            rows = members.join(label, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
-        w = Window.partitionBy("h")
+    w = Window.partitionBy("h")
+    label, tested, links = None, None, None
+    for turn in range(MOST_ROUNDS):
+        rows = members.withColumn("comp", F.col("sid")) if label is None else members.join(label, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
         rows = rows.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low <> high").drop("low", "high")
-        if label is not None:
+        last = turn == MOST_ROUNDS - 1
+        if turn:
             rows = cut(rows, "open")
-            left = rows.groupBy("h", "comp").count().groupBy("h").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
+            count = lambda *by: rows.groupBy("h", *by).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0  # noqa: B023, E731
+            left = (count() - count("comp") - count("grp") + count("comp", "grp")) / 2
             if not left:
                 break
             last = last or left <= enough
         if last:
-            other = rows.select("h", F.col("sid").alias("sid2"), F.col("size").alias("size2"), F.col("role").alias("role2"), F.col("comp").alias("comp2"), F.col("degree").alias("degree2"))
+            other = rows.select("h", *(F.col(c).alias(c + "2") for c in ("sid", "size", "role", "comp", "degree", "grp", "f")))
             pairs = rows.join(other, "h").where("comp < comp2").where(may)
         else:
-            # each list's most connected member, and the most connected one outside that member's component
-            best = rows.withColumn("hub", F.max(F.struct("degree", "sid", "size", "role", "comp")).over(w))
-            best = best.withColumn("hub2", F.max(F.when(F.col("comp") != F.col("hub.comp"), F.struct("degree", "sid", "size", "role", "comp"))).over(w))
-            pairs = best.select("sid", "size", "role", "comp", "degree", F.explode(F.array("hub", "hub2")).alias("x")).select("sid", "size", "role", "comp", "degree", F.col("x.sid").alias("sid2"), F.col("x.size").alias("size2"), F.col("x.role").alias("role2"), F.col("x.comp").alias("comp2"), F.col("x.degree").alias("degree2"))
+            # each list's most connected member, and later also the most connected one outside that member's component
+            hub = F.struct("degree", "sid", "size", "role", "comp", "grp", "f")
+            best = rows.withColumn("hub", F.max(hub).over(w))
+            hubs = [F.col("hub")]
+            if turn:
+                best = best.withColumn("hub2", F.max(F.when(F.col("comp") != F.col("hub.comp"), hub)).over(w))
+                hubs.append(F.col("hub2"))
+            pairs = best.select("*", F.explode(F.array(*hubs)).alias("x")).select("sid", "size", "role", "comp", "degree", "grp", "f", *(F.col("x." + c).alias(c + "2") for c in ("sid", "size", "role", "comp", "degree", "grp", "f")))
             pairs = pairs.where("comp <> comp2").where(may)
         first_is_hub = F.struct("degree", "sid") > F.struct(F.col("degree2").alias("degree"), F.col("sid2").alias("sid"))
         pairs = pairs.select(F.when(first_is_hub, F.col("sid")).otherwise(F.col("sid2")).alias("a"), F.when(first_is_hub, F.col("sid2")).otherwise(F.col("sid")).alias("b")).distinct()
@@ -309,8 +398,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verify(pairs, sets, num, den), "links")
-        links = found if links is None else links.union(found)
+        found = cut(_verify(pairs, sets, num, den), "found")
+        more = found.where("linked").select("a", "b")
+        if not turn:
+            again = cut(_towards_large_stars(members, found).join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(again)
+            found = found.union(cut(_verify(again, sets, num, den), "found"))
+            more = found.where("linked").select("a", "b")
+            certain, shared, stars = _groups(found, num, den)
+            more = more.union(certain)
+            shared = shared.join(degree, "sid").select("h", "sid", "size", "role", "degree", F.col("sid").alias("grp"), F.col("f").cast("long").alias("f"))
+            shared = shared.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").drop("n")
+            members = members.drop("grp").join(stars, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")).select(*shared.columns)
+            members = cut(members.unionByName(shared), "members")
+        links = more if links is None else links.union(more)
         label = cut(components(links), "label")
         if last:
             break
