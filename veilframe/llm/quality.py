@@ -8,7 +8,7 @@ counts and scores cover all documents.
 
 Defined results: a null, empty or wordless text is rejected, with score 0; null ids and repeated rows are scored
 as any row; ties at the threshold are kept; an empty table gives an empty result; other columns pass
-through classify() untouched, but for those with its own three names, which are replaced.
+through classify() untouched, but for those with its own two names, which are replaced.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ def votes(text: str, words: list[str]) -> tuple[int, ...]:
     n = len(words)
     if not n:
         return (0,) * len(LABELLERS)
-    letters = sum(map(str.isalpha, text)) if n < 200 else _count_letters(text)
+    raw = text.encode()
+    letters = len(raw.translate(None, _NOT_LETTERS))
     solid = len(text) - text.count(" ") - text.count("\n")
-    odd = sum(text.count(c) for c in "$#%&*|^~<>{}[]\\=@_+")
+    odd = len(raw) - len(raw.translate(None, _ODD))
     upper = sum(1 for w in words if len(w) > 1 and w.isupper())
     same = sum(a == b for a, b in zip(words, words[1:]))
     kinds = len(set(words))
@@ -62,12 +63,9 @@ def votes(text: str, words: list[str]) -> tuple[int, ...]:
     )
 
 
-def _count_letters(text: str) -> int:
-    """Characters that are neither space, digit nor ASCII punctuation."""
-    return len(text.translate(_NOT_LETTERS))
-
-
-_NOT_LETTERS = {c: None for c in range(128) if not chr(c).isalpha()}
+#: Bytes that begin no letter: ASCII but letters, and the later bytes of longer characters.
+_NOT_LETTERS = bytes(c for c in range(192) if c >= 128 or not chr(c).isalpha())
+_ODD = b"$#%&*|^~<>{}[]\\=@_+"
 
 
 class LabelModel:
@@ -195,11 +193,10 @@ def train_quality(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with quality_posterior (the label model's), quality_score (the linear scorer's) and quality_keep."""
-    model, w = train_quality(ids_and_text(docs, id_col, text_col), fit_rows)
+    """docs with quality_score (the linear scorer's) and quality_keep."""
+    _, w = train_quality(ids_and_text(docs, id_col, text_col), fit_rows)
     weights = docs.sparkSession.sparkContext.broadcast(w)  # 2 ** BITS numbers
-    posterior, neutral = model.posterior, float(model.prior[1])
-    new = ("quality_posterior", "quality_score", "quality_keep")
+    new = ("quality_score", "quality_keep")
     names = [c for c in docs.columns if c not in new]
     at = names.index(text_col)
 
@@ -207,12 +204,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS,
         hasher = Hasher()
         w = weights.value
         for b in slices(batches):
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            words = [t.split() for t in texts]
-            post = [posterior.get(votes(t, x), neutral) if x else 0.0 for t, x in zip(texts, words)]
+            words = [(t or "").split() for t in b.column(at).to_pylist()]
             z = [float((w[i] * v).sum()) for i, v in hasher.features(words)]
             score = [float(1 / (1 + np.exp(-np.clip(s, -30, 30)))) if x else 0.0 for s, x in zip(z, words)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array([bool(x) and s >= threshold for s, x in zip(score, words)])], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array([bool(x) and s >= threshold for s, x in zip(score, words)])], names=[*names, *new])
 
     typed = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
-    return typed.mapInArrow(run, T.StructType([*typed.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.BooleanType())]))
+    return typed.mapInArrow(run, T.StructType([*typed.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.BooleanType())]))

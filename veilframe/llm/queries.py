@@ -53,7 +53,7 @@ def op5_recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_posterior", "quality_score", "quality_keep")
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "quality_keep")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
