@@ -230,6 +230,36 @@ def test_nearest(spark):
     assert vptree.nearest(t.where("false"), lambda v: v % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["one of norm 10", "lognormal"])
+def test_nearest_with_uneven_norms(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 64))[rng.integers(60, size=3000)] + 0.5 * rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if spread == "lognormal":
+        x *= np.exp(0.3 * rng.standard_normal(3000))[:, None]
+    else:
+        x[17] *= 10
+    t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in vptree.nearest(t, lambda v: v % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(w)) / 20 for i, w in enumerate(want.tolist())]) >= 0.95
+
+
+def test_product_tree_is_exact_at_one():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 8)) * np.exp(rng.standard_normal(2000))[:, None]
+    q = rng.standard_normal((40, 8))
+    some, _, _ = vptree.ProductTree(x, leaf_rows=64).search(vptree.directions(q), 10, 1.0)
+    assert all(set(a) == set(b) for a, b in zip(some, np.argsort(-(q @ x.T), axis=1)[:, :10]))
+    # with products below zero, the shortest rows are best
+    some, _, _ = vptree.ProductTree(np.abs(x), leaf_rows=64).search(vptree.directions(-np.abs(q)), 10, 1.0)
+    assert all(set(a) == set(b) for a, b in zip(some, np.argsort(np.abs(q) @ np.abs(x).T, axis=1)[:, :10]))
+
+
 # language model
 
 
