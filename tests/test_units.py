@@ -1,5 +1,7 @@
 """Small vectors with known results."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,3 +180,29 @@ def test_stream_equals_batch(spark):
     frames = spark.createDataFrame([(v, f) for v in range(3) for f in range(16)], "video_id long, frame_idx long")
     key = lambda df: sorted(tuple(r) for r in df.select("video_id", "frame_idx", "track_id", "lost").collect())
     assert key(track(dets, frames)) == key(stream_once(dets, frames))
+
+
+def test_tracks_of_all_boxes(spark):
+    """Each frame with boxes is a video, all of whose sure first detections begin a track, in batch and stream."""
+    from veilframe import registry
+    from veilframe.sources.fixtures import view
+
+    from .conftest import SF
+
+    boxes = view(spark, SF, "boxes").where("score >= 0.1")
+    want = {r.frame_idx: r.n for r in boxes.groupBy("frame_idx").agg(F.count_if((F.col("det_id") % 5 != 0) & (F.col("score") >= 0.35)).alias("n")).collect()}
+    batch, stream = (registry.QUERIES[n](spark, SF).select("video_id", "frame_idx", "track_id", "lost").collect() for n in ("track_batch", "track_stream"))
+    assert sorted(map(tuple, batch)) == sorted(map(tuple, stream))
+    began = Counter(r.video_id for r in batch if r.frame_idx == 0)
+    assert began == Counter({v: n for v, n in want.items() if n}) and len(began) > 40
+
+
+def test_motion_of_all_parts(spark):
+    from veilframe import registry
+
+    from .conftest import SF
+
+    got = {(r.video_id, r.frame_idx): (r.dx, r.dy) for r in registry.QUERIES["gmc_shift"](spark, SF).collect()}
+    keys = [r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()]
+    assert sorted(got) == sorted((k % 8, k // 8) for k in keys)
+    assert all(round(dx) == 3 * (v % 3) and round(dy) == 2 * (v % 2) for (v, f), (dx, dy) in got.items() if f)

@@ -121,10 +121,9 @@ def frame_seek(spark, sf_dir):
 
 
 def _videos(spark, sf_dir):
-    """Sixteen frames to a video; boxes of a frame are those of a slow drift, so that tracks hold together."""
-    b = view(spark, sf_dir, "boxes").where("score >= 0.1 AND det_id % 4 < 2")
-    base = b.select((F.floor(F.col("frame_idx") / 4)).alias("video_id"), (F.col("frame_idx") % 4).alias("part"), "det_id", "score", "x1", "y1", "x2", "y2")
-    seen = base.where("part = 0").select("video_id", "det_id", "score", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("frame_idx")).where("(det_id + frame_idx * 7) % 5 <> 0")
+    """A video of sixteen frames for each frame of boxes, which drift slowly, so that tracks hold together."""
+    base = view(spark, sf_dir, "boxes").where("score >= 0.1").select(F.col("frame_idx").alias("video_id"), "det_id", "score", "x1", "y1", "x2", "y2")
+    seen = base.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("(det_id + frame_idx * 7) % 5 <> 0")
     d = F.col("frame_idx") * (F.col("det_id") % 9 - 4)
     dets = seen.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "det_id", "score", *((F.col(n) + d).alias(n) for n in ("x1", "y1", "x2", "y2")))
     frames = base.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("frame_idx")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
@@ -144,7 +143,7 @@ def track_stream(spark, sf_dir):
     from ..streaming.tracks import stream_once
 
     dets, frames = _videos(spark, sf_dir)
-    t = stream_once(dets.where("video_id % 4 = 0"), frames.where("video_id % 4 = 0"))
+    t = stream_once(dets, frames)
     return t.select("video_id", "frame_idx", "track_id", "lost", F.round("score", 6).alias("score"))
 
 
@@ -169,7 +168,7 @@ def masklet_link_frame(spark, sf_dir):
 @query("gmc_shift")
 def gmc_shift(spark, sf_dir):
     """Motion found between frames of a pattern that a made camera moves."""
-    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx")).where("frame_idx < 12")
+    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx"))
 
     def draw(batches):
         import numpy as np
