@@ -139,6 +139,20 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(docs_of(spark, [text]), "other").first().text != out
 
 
+def test_pseudonyms_beside_other_words(spark):
+    card, hex_ = "4111 1111 1111 1111", "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    cases = [(f"{card} 123", card, 1), ("4111111111111111 12 items", "4111111111111111", 1), (f"223 456 {card} 1", card, 1), (f"1234 {card}", card, 1), (f"{card} 5500 0000 0000 0004 7", card, 2), (f"{card} 123-45-6789", card, 2), (f"{card} 10.0.0.1", card, 2), ("BE68 5390 0754 7034 EUR", "5390 0754", 1), ("AT61 1904 3002 3457 3201 BANK", "1904 3002", 1), ("call 555-123-4567 now", "555-123-4567", 1), (f"token={hex_}", hex_, 1), (f'api_key = "{hex_}"', hex_, 1)]
+    got = pii.pseudonymize(docs_of(spark, [t for t, _, _ in cases]), "k").orderBy("doc_id").collect()
+    for (text, gone, n), r in zip(cases, got):
+        assert gone not in r.text and r.n_pseudonyms == n, (text, r)
+    assert got[0].text.endswith(" 123") and got[1].text.endswith(" 12 items") and got[2].text.startswith("223 456 ") and got[4].text.endswith(" 7") and got[7].text.endswith(" EUR") and got[8].text.endswith(" BANK")
+    same = {got[0].text[:19], got[2].text[8:27], got[3].text[5:], got[4].text[:19], got[5].text[:19], got[6].text[:19]}
+    assert len(same) == 1 and luhn(same.pop().replace(" ", "")) and luhn(got[4].text[20:39].replace(" ", ""))
+    long_ = [" ".join(["7"] * 20_000), "1 " * 20_000 + card, "monkey: " + hex_, "1200 1300 1400 1500 1600"]
+    kept = pii.pseudonymize(docs_of(spark, long_), "k").orderBy("doc_id").collect()
+    assert [r.n_pseudonyms for r in kept] == [0, 1, 0, 0]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     texts = [f"10.0.{i // 256}.{i % 256} 19{i % 100:02d}-0{i // 100 % 9 + 1}-1{i // 900}" for i in range(2000)]
     got = [r.text.split(" ") for r in pii.pseudonymize(docs_of(spark, texts), "k").collect()]

@@ -5,10 +5,11 @@ keyed Feistel network on its own domain, so the pseudonym has the same format an
 values get equal pseudonyms in every document. Card numbers keep a right check digit, IBANs right check
 digits, social security numbers an assigned shape, dates stay real days of the same century.
 
-Kinds: card (13-19 digits, Luhn), iban, ssn (ddd-dd-dddd), phone (international, or national with
-brackets or parts), ipv4, email (the local part; the domain stays), date (yyyy-mm-dd, dd.mm.yyyy,
+Kinds: card (13-19 digits, Luhn; where other numbers stand around it, an issuer's first digit and groups of
+four or more tell it from them), iban, ssn (ddd-dd-dddd), phone (international, or national with
+brackets or parts by - or .), ipv4, email (the local part; the domain stays), date (yyyy-mm-dd, dd.mm.yyyy,
 mm/dd/yyyy, dd/mm/yyyy where it can't be the former) and secret (32 or more hexadecimal digits of one
-letter case after key, token, secret or password). A number that fails its validation stays as it is.
+letter case after key, token, secret or password, and : or =). A number that fails its validation stays as it is.
 
 Defined results: a null text stays null with no pseudonyms; an empty text stays empty; null ids and
 repeated rows are kept; equal values stay equal across rows; an empty table gives an empty result; other
@@ -24,17 +25,24 @@ from .common import ids_and_text
 
 ROUNDS = 10
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_BOUNDED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+_NATIONAL = r"(?<![\p{L}\p{N}+.-])[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![\p{L}\p{N}-]|\.[0-9])"
 # Shapes of the candidates; validation decides. Each begins and ends where no word goes on.
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?i:(?<=\b(?:key|token|secret|password)[ \"']{0,2}[:=][ \"']{1,2}))(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_BOUNDED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![\p{{L}}\p{{N}}])",
+    "secret": r"(?i:(?<=(?:\b|_|api|access|auth|secret)(?:key|token|secret|password)[ \"']{0,2}[:=][ \"']{0,2}))(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[1-9][0-9]{3}|[0-9]{2}/[0-9]{2}/[1-9][0-9]{3})(?![\p{L}\p{N}/-])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ipv4": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
-    "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])|" + _NATIONAL,
 }
+# A whole run of digit groups, in which _cards() looks; possessive, so that long runs need no stack. It ends
+# before what has a shape of its own.
+_WORD = r"[0-9]++(?:-[0-9]++)*+(?![\p{L}\p{N}-])"
+SHAPES["card"] = rf"(?<![\p{{L}}\p{{N}}.-])(?=[0-9](?:[ -]?[0-9]){{12}}){_WORD}(?: (?!{SHAPES['date']}|{SHAPES['ssn']}|{SHAPES['ipv4']}|{_NATIONAL}){_WORD})*+"
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 _LOWER, _UPPER, _LATIN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 DECIMAL = ["0123456789", _LOWER, _UPPER, _LATIN]
@@ -138,6 +146,29 @@ def _card(m: Column, key: str) -> Column:
     return F.when((_luhn_sum(digits, False) % 10 == 0) & (F.length(F.regexp_replace(digits, digits.substr(1, 1), "")) > 0), _refill(m, new))
 
 
+def _cards(m: Column, key: str) -> Column:
+    """struct (out, n): m with its n cards replaced; out is null where there is none. The whole run counts first,
+    then from each group the longest that looks like a card."""
+
+    def search(parts: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            span = lambda n: F.array_join(F.slice(parts, i + 1, n), "")
+            tries = F.transform(F.sequence(F.lit(5), F.lit(1)), lambda n: F.struct(n.alias("n"), F.regexp_replace(span(n), "[ -]$", "").alias("t")))
+            fit = F.filter(tries, lambda x: x["t"].rlike("^(?:[0-9]{4,}[ -])*[0-9]+$") & F.length(_digits(x["t"])).between(13, 19) & (i + x["n"] <= F.size(parts)))
+            made = F.filter(F.transform(fit, lambda x: F.struct(x["n"].alias("n"), _card(x["t"], key).alias("v"))), lambda x: x["v"].isNotNull())
+            plain = F.struct(F.concat(s["out"], F.get(parts, i)).alias("out"), s["n"].alias("n"), s["skip"].alias("skip"))
+            best = lambda b: F.when(b.isNull(), plain).otherwise(F.struct(F.concat(s["out"], b["v"], F.regexp_extract(F.get(parts, i + b["n"] - 1), "[ -]?$", 0)).alias("out"), (s["n"] + 1).alias("n"), (i + b["n"]).alias("skip")))
+            starts = F.get(parts, i).rlike("^(?:[3-6]|2[2-7])[0-9]{2}")
+            return F.when(i < s["skip"], s).when(~starts, plain).otherwise(F.transform(F.array(F.get(made, F.lit(0))), best)[0])
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("skip"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, lambda s: F.struct(F.when(s["n"] > 0, s["out"]).alias("out"), s["n"].alias("n")))
+
+    within = F.transform(F.array(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))), search)[0]
+    whole = F.when(F.length(_digits(m)).between(13, 19), _card(m, key))
+    return F.transform(F.array(whole), lambda w: F.when(w.isNotNull(), F.struct(w.alias("out"), F.lit(1).alias("n"))).otherwise(within))[0]
+
+
 def _mod97(text: Column) -> Column:
     """Remainder by 97 of letters and digits, a letter counting as 10 to 35."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -212,24 +243,26 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _kind(m: Column) -> Column:
-    tests = [("email", m.contains("@")), ("secret", m.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$")), ("iban", m.rlike("^[A-Z]")), ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), ("ipv4", m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")), ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})$")), ("phone", m.rlike(r"[+()]"))]
+    tests = [("email", m.contains("@")), ("secret", m.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$")), ("iban", m.rlike("^[A-Z]")), ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), ("ipv4", m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")), ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})$")), ("phone", m.rlike(r"[+()]|^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$"))]
     out = F.lit("card")
     for name, test in reversed(tests):
         out = F.when(test, F.lit(name)).otherwise(out)
     return out
 
 
-_MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "ssn": _ssn, "ipv4": _ipv4, "date": _date, "card": _card, "phone": _phone}
+_MAKERS = {"email": _email, "iban": _iban, "secret": _secret, "ssn": _ssn, "ipv4": _ipv4, "date": _date, "phone": _phone}
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """struct (value, kind) of one candidate; value is null where validation fails."""
+    """struct (value, kind, n) of one candidate, n values of which are replaced; value is null where validation fails."""
 
     def made(k: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, maker in _MAKERS.items():
             out = F.when(k == name, maker(m, key)).otherwise(out)
-        return F.struct(out.alias("value"), k.alias("kind"))
+        one = F.struct(out.alias("value"), k.alias("kind"), F.lit(1).alias("n"))
+        cards = lambda c: F.struct(c["out"].alias("value"), k.alias("kind"), c["n"].alias("n"))
+        return F.when(k == "card", F.transform(F.array(_cards(m, key)), cards)[0]).otherwise(one)
 
     return F.transform(F.array(_kind(m)), made)[0]
 
@@ -247,6 +280,6 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     return made.select(
         "doc_id",
         F.when(F.size("m") > 0, whole).otherwise(F.col("text")).alias("text"),
-        F.size(done).cast("long").alias("n_pseudonyms"),
+        F.aggregate(done, F.lit(0), lambda s, p: s + p["n"]).cast("long").alias("n_pseudonyms"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(done, lambda p: p["kind"]))), ",").alias("kinds"),
     )
