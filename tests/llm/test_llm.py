@@ -490,6 +490,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses_from_pages(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><p>all the text", "all the text"),
+        ("<head><meta charset=utf-8><title>x</title><style>p{}</style>\n<p>one<p>two", "one\ntwo"),
+        ("<head><title>x</title></head><body>one<head>two</head>", "one"),
+        ("<body>one <svg/>two <svg><path></svg>three", "one two three"),
+        ("<p>one<noscript><p>two", "one \ntwo".replace(" ", "")),
+        ("<p>one<template><p>two<svg>three", "one\ntwo three"),
+        ("<p>one<script>two", "one"),
+    ],
+)
+def test_unclosed_elements(page, want):
+    assert warc.plain_text(page) == want
+
+
+def test_charsets():
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={}\r\n\r\n"
+    assert warc.decoded("né€".encode("cp1252"), http.format("ISO-8859-1")) == "né€"
+    assert warc.decoded("жук".encode("cp1251"), http.format("windows-1251")) == "жук"
+    page = '<meta charset="shift_jis"><p>日本'
+    assert warc.decoded(page.encode("shift_jis"), None) == page
+    assert warc.decoded("né".encode(), http.format("base64")) == warc.decoded("né".encode(), None) == warc.decoded("né".encode("utf-16"), None) == "né"
+
+
 # licences
 
 

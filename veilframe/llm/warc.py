@@ -28,13 +28,20 @@ from pyspark.sql import functions as F
 from .common import slices
 
 CRLF = "\r\n"
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+# A script or style that is not closed runs to the end of the page, as in a browser; a head that is not closed
+# before the body ends at the first thing no head holds; of any other unclosed element only the tag goes.
+_SKIP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<svg\b[^>]*/>|<(noscript|template|svg)\b[^>]*>(?:.*?</\2\s*>)?"
+    r"|<head\b[^>]*>(?:(?:(?!<body\b).)*?</head\s*>|(?:\s+|<!--.*?-->|<(title|script|style|noscript|template)\b[^>]*>.*?</\3\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>)*+)",
+    re.I | re.S,
+)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|h[1-6]|section|article|header|footer|nav|aside|main|form|pre|blockquote|title|figure|figcaption)\b[^>]*>", re.I)
 _CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I | re.S)
 _CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_HTTP_CHARSET = re.compile(r"^content-type:[^\r\n]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I | re.M)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([\w-]+)", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" *\n[ \n]*")
@@ -49,6 +56,24 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def decoded(body: bytes, head: str | None) -> str:
+    """The page's text: by its byte order mark, the HTTP charset, the meta charset, or else UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name, "replace")
+    said = _HTTP_CHARSET.search(head or "")
+    meta = None if said else _CHARSET.search(body[:4096].decode("latin-1"))
+    name = (said or meta)[1].lower() if said or meta else "utf-8"
+    if name in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii"):  # what browsers take them for
+        name = "cp1252"
+    elif meta and name.startswith("utf-16"):  # it was read as bytes
+        name = "utf-8"
+    try:
+        return body.decode(name, "replace")
+    except (LookupError, ValueError):  # no such charset
+        return body.decode("utf-8", "replace")
+
+
 def plain_text(page: str) -> str:
     """The readable text: no markup, scripts or styles; a line for each block; entities resolved."""
     s = _SKIP.sub(" ", page)
@@ -129,7 +154,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             rows: list[tuple] = []
             for i, (rid, uri, date, head, body, block_digest, payload_digest) in enumerate(zip(*(b.column(n + k).to_pylist() for k in range(len(names))))):
                 body = body or b""
-                page = body.decode("utf-8", "replace")
+                page = decoded(body, head)
                 title = _TITLE.search(page)
                 charset, lang = _CHARSET.search(page), _LANG.search(page)
                 fields = [("via-record", rid), ("payload-digest", payload_digest), ("block-digest", block_digest), ("payload-length", str(len(body)))]
