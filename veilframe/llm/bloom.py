@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from .common import default_parallelism
 
 HASHES = 4
+#: Bits a key; bits_for() gives fewer only at MAX_BITS.
+FILTER_BITS = 12
 SEGMENT_BITS, MAX_BITS = 1 << 17, 1 << 28
 
 
 def bits_for(n: int) -> int:
-    return min(MAX_BITS, max(SEGMENT_BITS, 1 << int(12 * n).bit_length()))
+    return min(MAX_BITS, max(SEGMENT_BITS, 1 << int(FILTER_BITS * n).bit_length()))
 
 
 def positions(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """(node, component): every node of a link with the smallest node of its component.
 
-    Rounds end when the edges no longer change; each round's edges are written to the shared folder."""
+    Rounds end when the edges no longer change; each round's edges are written to the shared folder, as is the result."""
     now = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -35,4 +35,6 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         if new_state == state:
             break
         state = new_state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop_cut(now)
+    return out
