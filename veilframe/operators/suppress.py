@@ -7,12 +7,12 @@ frames spread over the cluster by their key.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
+from ..functions.groups import matrix, overlaps, whole_groups
 
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -34,35 +34,35 @@ def greedy(boxes: Column, max_iou: float, most: int | None = None) -> Column:
     return F.aggregate(boxes, F.slice(boxes, 1, 0), step)
 
 
-def _overlaps(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """IoU of box rows (n, 4) with one box."""
-    w = np.maximum(np.minimum(rows[:, 2], one[2]) - np.maximum(rows[:, 0], one[0]), 0)
-    h = np.maximum(np.minimum(rows[:, 3], one[3]) - np.maximum(rows[:, 1], one[1]), 0)
-    side = lambda r: np.maximum(r[..., 2] - r[..., 0], 0) * np.maximum(r[..., 3] - r[..., 1], 0)
-    union = side(rows) + side(one) - w * h
-    return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+def _sorted(boxes: DataFrame, key: str, *fields: str) -> DataFrame:
+    """Rows by key, best score first, a key's rows in one partition: what the steps over whole groups read."""
+    rows = boxes.select(key, "det_id", *fields, "score", *_BOX)
+    return rows.repartition(key).sortWithinPartitions(key, F.desc("score"), "det_id")
 
 
 def suppress(boxes: DataFrame, key: str, max_iou: float, most: int | None = 300) -> DataFrame:
     """The boxes of each key that survive: (key, det_id, score, x1, y1, x2, y2).
 
-    The same rule as greedy(), over Arrow batches of whole frames: a vector step for each box kept
+    The same rule as greedy(), over Arrow batches of many frames: one matrix of overlaps a frame
     instead of an interpreted fold over pairs."""
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        xy = pdf[list(_BOX)].to_numpy(np.float64)
-        free, kept = np.ones(len(xy), bool), []
-        for i in range(len(xy)):
-            if free[i]:
-                kept.append(i)
-                if most is not None and len(kept) == most:
-                    break
-                free[i + 1 :] &= _overlaps(xy[i + 1 :], xy[i]) <= max_iou
-        return pdf.iloc[kept]
-
-    rows = boxes.select(key, "det_id", "score", *_BOX)
-    return rows.groupBy(key).applyInPandas(keep, rows.schema)
+    def keep(batches):
+        for b, edges in whole_groups(batches, key):
+            xy, kept = matrix(b, *_BOX), []
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                over = overlaps(xy[a:z], xy[a:z]) > max_iou
+                free, n = np.ones(z - a, bool), 0
+                for i in range(z - a):
+                    if free[i]:
+                        kept.append(a + i)
+                        n += 1
+                        if n == most:
+                            break
+                        free &= ~over[i]
+            yield b.take(pa.array(kept, pa.int64()))
+
+    rows = _sorted(boxes, key)
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55) -> DataFrame:
@@ -73,15 +73,13 @@ def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55
     weighted sum over the weight of all sources. (key, cluster, score, votes, best_score, best_src, box)"""
     total = float(sum(weights))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        xy, score, src = pdf[list(_BOX)].to_numpy(np.float64), pdf["score"].to_numpy(np.float64), pdf["src"].to_numpy(int)
+    def cluster(xy: np.ndarray, score: np.ndarray, src: np.ndarray) -> tuple:
         n = len(xy)
         sums, mean, weight, mass = np.zeros((n, 4)), np.zeros((n, 4)), np.zeros(n), np.zeros(n)
         best, best_src, members = np.zeros(n), np.zeros(n, np.int32), []
         for b, s, k in zip(xy, score, src):
             m = len(members)
-            hit = np.flatnonzero(_overlaps(mean[:m], b) >= min_iou)
+            hit = np.flatnonzero(overlaps(mean[:m], b[None])[:, 0] >= min_iou)
             at = int(hit[0]) if len(hit) else m
             if at == m:
                 members.append(set())
@@ -95,12 +93,20 @@ def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55
             if s >= best[at] and s > 0:
                 best[at], best_src[at] = s, k
         m = len(members)
-        out = pd.DataFrame({key: pdf[key].iloc[0], "cluster": np.arange(m, dtype=np.int32), "score": mass[:m] / total, "votes": np.array([len(x) for x in members], np.int32), "best_score": best[:m], "best_src": best_src[:m]})
-        return out.assign(**{name: mean[:m, i] for i, name in enumerate(_BOX)})
+        return np.arange(m, dtype=np.int32), mass[:m] / total, np.array([len(x) for x in members], np.int32), best[:m], best_src[:m], *mean[:m].T
+
+    def run(batches):
+        for b, edges in whole_groups(batches, key):
+            xy, score, src = matrix(b, *_BOX), matrix(b, "score")[:, 0], matrix(b, "src")[:, 0].astype(int)
+            found = [cluster(xy[a:z], score[a:z], src[a:z]) for a, z in zip(edges[:-1], edges[1:])]
+            first = np.repeat(edges[:-1], [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=names)
 
-    rows = boxes.select(key, "det_id", "src", "score", *_BOX)
+    rows = _sorted(boxes, key, "src")
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(cluster, f"{key} {kind}, cluster int, score double, votes int, best_score double, best_src int, x1 double, y1 double, x2 double, y2 double")
+    schema = f"{key} {kind}, cluster int, score double, votes int, best_score double, best_src int, x1 double, y1 double, x2 double, y2 double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInArrow(run, schema)
 
 
 def confirmed(fused: DataFrame, conf: float) -> DataFrame:
