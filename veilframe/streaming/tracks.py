@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.track import SCHEMA, Tracker, run_frames
-
-LOCAL_SHARED = "/tmp/checkpoints/veilframe"
+from ..functions.shared import shared_dir
+from ..operators.track import SCHEMA, Tracker, frame_rows, run_frames
 
 
 def _step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -25,19 +24,21 @@ def _step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 
 def track_stream(frames: DataFrame) -> DataFrame:
-    """Tracks of a streaming DataFrame (video_id, frame_idx, det_id, score, x1, y1, x2, y2).
+    """Tracks of a streaming DataFrame (video_id, frame_idx, det_id, score, x1, y1, x2, y2, dx, dy).
 
     A micro-batch must hold whole frames, and a video's frames must arrive in order."""
     return frames.groupBy("video_id").applyInPandasWithState(_step, SCHEMA, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_once(detections: DataFrame, frames: DataFrame, parts: int = 4) -> DataFrame:
+def stream_once(detections: DataFrame, frames: DataFrame, motion: DataFrame | None = None, parts: int = 4) -> DataFrame:
     """Batch rows as a stream of `parts` files in frame order, run to its end; the result as a table."""
     spark: SparkSession = detections.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED}/stream-{uuid.uuid4().hex}"
-    rows = frames.join(detections, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "det_id", "score", "x1", "y1", "x2", "y2")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = frame_rows(detections, frames, motion)
+    first, last = frames.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+    step = max(1, -(-((last or 0) - (first or 0) + 1) // parts))
     for k in range(parts):
-        rows.where(F.floor(F.col("frame_idx") * parts / 16) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows.where(F.floor((F.col("frame_idx") - F.lit(first)) / step) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     query = track_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
