@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import compose, masks
+from ..operators import frames, masks
 from ..registry import query
 from ..sources.fixtures import view
 
@@ -26,9 +28,11 @@ def _count(df, name="n_px"):
 COUNT = "SELECT frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM {t} GROUP BY frame_idx"
 
 
-@query("mask_union", "-- views: pixels\n" + COUNT.format(t="pixels"))
+@query("mask_union", f"""-- views: pixels patches
+{_EDITS}, m AS (SELECT frame_idx, y, x FROM pixels UNION SELECT frame_idx, y, x FROM edits) {COUNT.format(t='m')}""")
 def mask_union(spark, sf_dir):
-    return _count(masks.union(view(spark, sf_dir, "pixels")))
+    """The pixels of a frame's mask and of its edits, each once."""
+    return _count(masks.union(view(spark, sf_dir, "pixels"), _edits(spark, sf_dir).select(*masks.PIXEL)))
 
 
 @query("mask_bbox", """-- views: pixels
@@ -120,67 +124,127 @@ def rle_validate(spark, sf_dir):
     return per.select("frame_idx", masks.rle_valid(F.col("rle"), F.lit(S), height).alias("is_valid"), F.length("data").alias("file_bytes"), F.coalesce(masks.decode_bytes(cut) == F.col("rle"), F.lit(False)).alias("reads_back"))
 
 
+#: Every frame with a mask as luma p (frame_idx, y, x, v, m) and chroma q (frame_idx, y, x, u, w, any4, one), and its mask's box.
 GRID_SQL = """-- views: pixels
-, k AS (SELECT DISTINCT frame_idx FROM pixels WHERE frame_idx % 4 = 0), g AS (SELECT frame_idx, y, x, ((73 * x + 151 * y + (x * y) % 17 + frame_idx * 7) % 256)::INT AS v FROM k, (SELECT unnest(range(0, 64)) AS y) a, (SELECT unnest(range(0, 64)) AS x) b),
+, k AS (SELECT DISTINCT frame_idx FROM pixels), g AS (SELECT frame_idx, y, x, ((73 * x + 151 * y + (x * y) % 17 + frame_idx * 7) % 256)::INT AS v FROM k, (SELECT unnest(range(0, 64)) AS y) a, (SELECT unnest(range(0, 64)) AS x) b),
 p AS (SELECT g.*, CASE WHEN q.x IS NULL THEN 0 ELSE 1 END AS m FROM g LEFT JOIN pixels q ON q.frame_idx = g.frame_idx AND q.y = g.y AND q.x = g.x),
+q AS (SELECT frame_idx, y // 2 AS y, x // 2 AS x, ((11 * (x // 2) + 5 * (y // 2) + frame_idx * 3) % 256)::INT AS u, ((7 * (x // 2) + 13 * (y // 2) + frame_idx * 5) % 256)::INT AS w, max(m) AS any4, max(m) FILTER (WHERE y % 2 = 0 AND x % 2 = 0) AS one FROM p GROUP BY ALL),
+e AS (SELECT frame_idx, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM p WHERE m = 1 GROUP BY frame_idx),
 """
-SUMS = "SELECT frame_idx, sum(v)::BIGINT AS sum_v, sum(v * (x + 64 * y))::BIGINT AS moment FROM {t} GROUP BY frame_idx"
 
 
-def _grid(spark, sf_dir):
-    """Every fourth frame as pixels with a value and whether the mask has them."""
-    lit = view(spark, sf_dir, "pixels").where("frame_idx % 4 = 0")
-    side = F.sequence(F.lit(0), F.lit(S - 1))
-    g = lit.select("frame_idx").distinct().select("frame_idx", F.explode(side).alias("y")).select("frame_idx", "y", F.explode(side).alias("x"))
-    g = g.withColumn("v", ((F.col("x") * 73 + F.col("y") * 151 + F.col("x") * F.col("y") % 17 + F.col("frame_idx") * 7) % 256).cast("int"))
-    return g.join(lit.withColumn("m", F.lit(1)), ["frame_idx", "y", "x"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+def _boxes_sql(pad: int) -> str:
+    return f"""b AS (SELECT frame_idx, greatest(x1 - {pad}, 0) AS x1, greatest(y1 - {pad}, 0) AS y1, least(x2 + {pad}, 64) AS x2, least(y2 + {pad}, 64) AS y2 FROM e),
+bh AS (SELECT frame_idx, x1 // 2 AS x1, y1 // 2 AS y1, (x2 + 1) // 2 AS x2, (y2 + 1) // 2 AS y2 FROM b),
+"""
+
+
+def _mosaic_sql(out: str, plane: str, box: str, hit: str, cell: int, *values: str) -> str:
+    """Blocks' whole-number means over all pixels in the box, written where hit."""
+    means = ", ".join(f"sum({v}) // count(*) AS m_{v}" for v in values)
+    new = ", ".join(f"CASE WHEN {hit} = 1 THEN m_{v} ELSE {v} END AS {v}" for v in values)
+    return f"""{out}c AS (SELECT t.frame_idx, (x - x1) // {cell} AS cx, (y - y1) // {cell} AS cy, {means} FROM {plane} t JOIN {box} z ON z.frame_idx = t.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY ALL),
+{out} AS (SELECT t.frame_idx, y, x, {new} FROM {plane} t JOIN {box} z ON z.frame_idx = t.frame_idx LEFT JOIN {out}c c ON c.frame_idx = t.frame_idx AND c.cx = (x - x1) // {cell} AND c.cy = (y - y1) // {cell} AND {hit} = 1)"""
+
+
+def _blur_sql(out: str, plane: str, box: str, hit: str, r: int, v: str) -> str:
+    """Window means along rows, with samples from the plane's left edge to the box's right one, then columns within the box."""
+    d = f"(SELECT unnest(range({-r}, {r + 1})) AS d) d"
+    return f"""{out}h AS (SELECT a.frame_idx, a.y, a.x, z.y1, z.y2, sum(b.{v}) // {2 * r + 1} AS b FROM {plane} a JOIN {box} z ON z.frame_idx = a.frame_idx AND a.x >= x1 AND a.x < x2 AND a.y >= y1 AND a.y < y2, {d} JOIN {plane} b ON b.frame_idx = a.frame_idx AND b.y = a.y AND b.x = least(greatest(a.x + d.d, 0), z.x2 - 1) GROUP BY ALL),
+{out}w AS (SELECT a.frame_idx, a.y, a.x, sum(b.b) // {2 * r + 1} AS b FROM {out}h a, {d} JOIN {out}h b ON b.frame_idx = a.frame_idx AND b.x = a.x AND b.y = least(greatest(a.y + d.d, a.y1), a.y2 - 1) GROUP BY ALL),
+{out} AS (SELECT t.frame_idx, t.y, t.x, CASE WHEN {hit} = 1 THEN w_.b ELSE {v} END AS {v} FROM {plane} t LEFT JOIN {out}w w_ ON w_.frame_idx = t.frame_idx AND w_.y = t.y AND w_.x = t.x)"""
+
+
+def _digest_sql(luma: str, u: str, w: str) -> str:
+    one = "SELECT frame_idx, sum({c})::BIGINT AS s, sum({c} * (x + {n} * y))::BIGINT AS t FROM {p} GROUP BY frame_idx"
+    a, b, c = one.format(c="v", n=64, p=luma), one.format(c="u", n=32, p=u), one.format(c="w", n=32, p=w)
+    return f" SELECT a.frame_idx, a.s AS sum_v, a.t AS moment, b.s AS sum_u, c.s AS sum_w, b.t + c.t AS moment_uv FROM ({a}) a JOIN ({b}) b ON a.frame_idx = b.frame_idx JOIN ({c}) c ON a.frame_idx = c.frame_idx"
 
 
-def _sums(df):
-    return df.groupBy("frame_idx").agg(F.sum("v").cast("long").alias("sum_v"), F.sum(F.col("v") * (F.col("x") + 64 * F.col("y"))).cast("long").alias("moment"))
+def _painted(spark, sf_dir):
+    """Every frame of rectangles as a row: NV12 bytes of a fixed pattern, and the mask of its rectangles (eight at most)."""
+    lit = view(spark, sf_dir, "rects").groupBy("frame_idx").agg(F.collect_list(F.struct("rx", "ry", "rw", "rh")).alias("rects"))
 
+    def paint(batches):
+        y, x = np.mgrid[0:S, 0:S]
+        cy, cx = np.mgrid[0 : S // 2, 0 : S // 2]
+        for b in batches:
+            nv12, masks_ = [], []
+            for k, rects in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                m = np.zeros((S, S), np.uint8)
+                for r in rects:
+                    m[r["ry"] : r["ry"] + r["rh"], r["rx"] : r["rx"] + r["rw"]] = 1
+                luma = ((73 * x + 151 * y + (x * y) % 17 + k * 7) % 256).astype(np.uint8)
+                uv = np.stack([(11 * cx + 5 * cy + k * 3) % 256, (7 * cx + 13 * cy + k * 5) % 256], axis=-1).astype(np.uint8)
+                nv12.append(luma.tobytes() + uv.tobytes())
+                masks_.append(m.tobytes())
+            side = pa.array([S] * b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), side, side, pa.array(nv12, pa.binary()), pa.array(masks_, pa.binary())], names=["frame_idx", "w", "h", "nv12", "mask"])
 
-@query("compose_solid", GRID_SQL + "o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN 16 ELSE v END AS v FROM p) " + SUMS.format(t="o"))
+    return lit.mapInArrow(paint, "frame_idx long, w int, h int, nv12 binary, mask binary")
+
+
+def _digest(frames_df):
+    """Sums of each frame's planes, plain and by place: enough to tell frames apart."""
+
+    def run(batches):
+        at, half = np.arange(S * S).reshape(S, S), np.arange(S * S // 4).reshape(S // 2, S // 2)
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                y, uv = (p.astype(np.int64) for p in frames.planes(raw, S, S))
+                rows.append((k, y.sum(), (y * at).sum(), uv[..., 0].sum(), uv[..., 1].sum(), (uv * half[..., None]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names=["frame_idx", "sum_v", "moment", "sum_u", "sum_w", "moment_uv"])
+
+    return frames_df.select("frame_idx", "nv12").mapInArrow(run, "frame_idx long, sum_v long, moment long, sum_u long, sum_w long, moment_uv long")
+
+
+@query("compose_solid", GRID_SQL + "o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN 16 ELSE v END AS v FROM p), c AS (SELECT frame_idx, y, x, CASE WHEN any4 = 1 THEN 128 ELSE u END AS u, CASE WHEN any4 = 1 THEN 128 ELSE w END AS w FROM q)" + _digest_sql("o", "c", "c"))
 def compose_solid(spark, sf_dir):
-    return _sums(compose.solid(_grid(spark, sf_dir)))
+    return _digest(frames.apply(_painted(spark, sf_dir), "solid"))
 
 
-@query("compose_mosaic", GRID_SQL + """b AS (SELECT frame_idx, greatest(min(x) - 6, 0) AS bx1, greatest(min(y) - 6, 0) AS by1, least(max(x) + 7, 64) AS bx2, least(max(y) + 7, 64) AS by2 FROM p WHERE m = 1 GROUP BY frame_idx),
-c AS (SELECT p.frame_idx, (x - bx1) // 6 AS cx, (y - by1) // 6 AS cy, sum(v) // count(*) AS mean FROM p JOIN b ON b.frame_idx = p.frame_idx AND x >= bx1 AND x < bx2 AND y >= by1 AND y < by2 GROUP BY ALL),
-o AS (SELECT p.frame_idx, y, x, CASE WHEN m = 1 THEN c.mean ELSE v END AS v FROM p JOIN b ON b.frame_idx = p.frame_idx LEFT JOIN c ON c.frame_idx = p.frame_idx AND c.cx = (x - bx1) // 6 AND c.cy = (y - by1) // 6 AND m = 1) """ + SUMS.format(t="o"))
+@query("compose_mosaic", GRID_SQL + _boxes_sql(6) + _mosaic_sql("o", "p", "b", "m", 6, "v") + ",\n" + _mosaic_sql("c", "q", "bh", "any4", 3, "u", "w") + _digest_sql("o", "c", "c"))
 def compose_mosaic(spark, sf_dir):
-    return _sums(compose.mosaic(_grid(spark, sf_dir), 6, S, S))
+    return _digest(frames.apply(_painted(spark, sf_dir), "mosaic", 6))
 
 
-@query("box_blur", GRID_SQL + """h AS (SELECT a.frame_idx, a.y, a.x, a.v, a.m, sum(b.v) // 7 AS b FROM p a, (SELECT unnest(range(-3, 4)) AS d) d JOIN p b ON b.frame_idx = a.frame_idx AND b.y = a.y AND b.x = least(greatest(a.x + d.d, 0), 63) GROUP BY ALL),
-w AS (SELECT a.frame_idx, a.y, a.x, a.v, a.m, sum(b.b) // 7 AS b FROM h a, (SELECT unnest(range(-3, 4)) AS d) d JOIN h b ON b.frame_idx = a.frame_idx AND b.x = a.x AND b.y = least(greatest(a.y + d.d, 0), 63) GROUP BY ALL),
-o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN b ELSE v END AS v FROM w) """ + SUMS.format(t="o"))
+@query("box_blur", GRID_SQL + _boxes_sql(9) + _blur_sql("o", "p", "b", "m", 3, "v") + ",\n" + _blur_sql("cu", "q", "bh", "one", 2, "u") + ",\n" + _blur_sql("cw", "q", "bh", "one", 2, "w") + _digest_sql("o", "cu", "cw"))
 def box_blur(spark, sf_dir):
-    return _sums(compose.box_blur(_grid(spark, sf_dir), 3, S, S))
+    return _digest(frames.apply(_painted(spark, sf_dir), "blur", 3))
 
 
 @query("rgb_to_nv12", GRID_SQL + """c AS (SELECT frame_idx, y, x, v AS r, (v * 3 + x) % 256 AS g, (v * 5 + y) % 256 AS b FROM p),
-l AS (SELECT frame_idx, sum(floor(16.0::DOUBLE + (r * 65.481::DOUBLE + g * 128.553::DOUBLE + b * 24.966::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_y FROM c GROUP BY frame_idx),
-q AS (SELECT frame_idx, y // 2 AS cy, x // 2 AS cx, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM c GROUP BY ALL),
-t AS (SELECT frame_idx, sum(floor(128.0::DOUBLE + (r * -37.797::DOUBLE + g * -74.203::DOUBLE + b * 112.0::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_u, sum(floor(128.0::DOUBLE + (r * 112.0::DOUBLE + g * -93.786::DOUBLE + b * -18.214::DOUBLE) / 255 + 0.5::DOUBLE))::BIGINT AS sum_v FROM q GROUP BY frame_idx)
-SELECT l.frame_idx, sum_y, sum_u, sum_v FROM l JOIN t ON l.frame_idx = t.frame_idx""")
+l AS (SELECT frame_idx, y, x, floor(16.0::DOUBLE + (r * 65.481::DOUBLE + g * 128.553::DOUBLE + b * 24.966::DOUBLE) / 255 + 0.5::DOUBLE)::BIGINT AS v FROM c),
+z AS (SELECT frame_idx, y // 2 AS y, x // 2 AS x, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM c GROUP BY ALL),
+t AS (SELECT frame_idx, y, x, floor(128.0::DOUBLE + (r * -37.797::DOUBLE + g * -74.203::DOUBLE + b * 112.0::DOUBLE) / 255 + 0.5::DOUBLE)::BIGINT AS u, floor(128.0::DOUBLE + (r * 112.0::DOUBLE + g * -93.786::DOUBLE + b * -18.214::DOUBLE) / 255 + 0.5::DOUBLE)::BIGINT AS w FROM z)""" + _digest_sql("l", "t", "t"))
 def rgb_to_nv12(spark, sf_dir):
-    g = _grid(spark, sf_dir)
-    rgb = g.select("frame_idx", "y", "x", F.col("v").alias("r"), ((F.col("v") * 3 + F.col("x")) % 256).alias("g"), ((F.col("v") * 5 + F.col("y")) % 256).alias("b"))
-    luma, chroma = compose.to_yuv(rgb)
-    return luma.groupBy("frame_idx").agg(F.sum("v").cast("long").alias("sum_y")).join(chroma.groupBy("frame_idx").agg(F.sum("u").cast("long").alias("sum_u"), F.sum("v").cast("long").alias("sum_v")), "frame_idx")
+    def convert(nv12, mask, w, h):
+        v = frames.planes(nv12, w, h)[0].astype(np.int64)
+        y, x = np.mgrid[0:h, 0:w]
+        return frames.rgb_to_nv12(np.stack([v, (v * 3 + x) % 256, (v * 5 + y) % 256], axis=-1))
+
+    return _digest(frames.each(_painted(spark, sf_dir), convert))
 
 
-_B = "least(greatest(floor({x} + 0.5::DOUBLE), 0), 255)"
+_B = "least(greatest(floor({x} + 0.5::DOUBLE), 0), 255)::BIGINT"
 _C = "(v - 16) * 1.164::DOUBLE"
 
 
-@query("nv12_to_rgba", GRID_SQL + f"""c AS (SELECT frame_idx, v, (v * 7 + y) % 256 AS u, (v * 11 + x) % 256 AS w FROM p)
-SELECT frame_idx, sum({_B.format(x=_C + ' + (w - 128) * 1.596::DOUBLE')})::BIGINT AS sum_r, sum({_B.format(x=_C + ' - (u - 128) * 0.392::DOUBLE - (w - 128) * 0.813::DOUBLE')})::BIGINT AS sum_g, sum({_B.format(x=_C + ' + (u - 128) * 2.017::DOUBLE')})::BIGINT AS sum_b FROM c GROUP BY frame_idx""")
+@query("nv12_to_rgba", GRID_SQL + f"""c AS (SELECT p.frame_idx, p.y, p.x, p.v, q.u, q.w FROM p JOIN q ON q.frame_idx = p.frame_idx AND q.y = p.y // 2 AND q.x = p.x // 2),
+o AS (SELECT frame_idx, x + 64 * y AS place, {_B.format(x=_C + ' + (w - 128) * 1.596::DOUBLE')} AS r, {_B.format(x=_C + ' - (u - 128) * 0.392::DOUBLE - (w - 128) * 0.813::DOUBLE')} AS g, {_B.format(x=_C + ' + (u - 128) * 2.017::DOUBLE')} AS b FROM c)
+SELECT frame_idx, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, sum(place * (r + 2 * g + 3 * b))::BIGINT AS moment FROM o GROUP BY frame_idx""")
 def nv12_to_rgba(spark, sf_dir):
-    g = _grid(spark, sf_dir)
-    r, gr, b = compose.to_rgb(F.col("v"), (F.col("v") * 7 + F.col("y")) % 256, (F.col("v") * 11 + F.col("x")) % 256)
-    return g.groupBy("frame_idx").agg(*(F.sum(c).cast("long").alias(n) for c, n in ((r, "sum_r"), (gr, "sum_g"), (b, "sum_b"))))
+    def run(batches):
+        at = np.arange(S * S)
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int64)
+                rows.append((k, *c[:, :3].sum(axis=0).tolist(), int((at * (c[:, :3] @ [1, 2, 3])).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["frame_idx", "sum_r", "sum_g", "sum_b", "moment"])
+
+    return frames.to_rgba(_painted(spark, sf_dir)).select("frame_idx", "rgba").mapInArrow(run, "frame_idx long, sum_r long, sum_g long, sum_b long, moment long")
 
 
 @query("render_join", """-- views: frames pixels
