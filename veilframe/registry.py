@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from .plans import boxes, control, geometry, masks, report, sequences, sources, tensors  # noqa: F401
+    from .plans import boxes, control, geometry, masks, report, sequences, sources, store, tensors  # noqa: F401
 
 
 load()
