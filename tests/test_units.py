@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as G
-from veilframe.operators import compose, gating, masks, motion, suppress, temporal
-from veilframe.operators.track import Filter, Tracker
+from veilframe.operators import assemble, frames, gating, masks, motion, suppress, temporal
+from veilframe.operators.track import Filters, Tracker
 from veilframe.sources import frames as frame_files
 
 
@@ -55,9 +55,9 @@ def test_letterbox(spark, w, h, size, want):
 
 
 def test_boxes_and_spans(spark):
-    one = spark.createDataFrame([(10.0, 20.0, 110.0, 220.0)], "x1 double, y1 double, x2 double, y2 double")
+    one = spark.createDataFrame([(90.0, 30.0, 150.0, 150.0)], "x1 double, y1 double, x2 double, y2 double")
     b = G.unletterbox(G.box(), F.lit(1.0), 0, 0, 640, 480, F.lit(True))
-    assert tuple(one.select(*b).first()) == (529, 20, 629, 220)
+    assert tuple(one.select(*b).first()) == (489, 30, 549, 150)
     head = spark.createDataFrame([(100.0, 0.0, 300.0, 1080.0)], one.schema).select(*G.head_region(G.box(), 1920, 1080)).first()
     assert [round(x) for x in head] == [116, 0, 284, 324]
     crop = spark.createDataFrame([(2.3, 2.9, 6.7, 6.2)], one.schema).select(*G.crop_span(G.box(), 8, 8)).first()
@@ -87,7 +87,7 @@ def test_tracker_holds_and_lets_go():
 def test_tracker_rescue_and_spawn():
     t = Tracker()
     t.step([(0.9, (0.0, 0.0, 100.0, 100.0))])
-    assert [(x.id, x.lost) for x in t.step([(0.18, (2.0, 0.0, 102.0, 100.0))])] == [(0, 0)]
+    assert [(x.id, x.lost) for x in t.step([(0.21, (4.0, 1.0, 104.0, 101.0))])] == [(0, 0)]
     assert Tracker().step([(0.15, (0.0, 0.0, 9.0, 9.0))]) == []
     assert [x.lost for x in t.step([(0.2, (70.0, 0.0, 170.0, 100.0))])] == [1]
     assert len(t.step([(0.9, (900.0, 0.0, 1000.0, 100.0))])) == 2
@@ -107,8 +107,8 @@ def test_camera_motion():
 
 
 def test_gap_speed():
-    f = Filter.across_gap((0.0, 0.0, 100.0, 100.0), (40.0, 0.0, 140.0, 100.0), 3)
-    assert abs(f.at[0][1] - 40 / 3) < 0.5
+    f = Filters.across_gap(np.array([[0.0, 0.0, 100.0, 100.0]]), np.array([[40.0, 0.0, 140.0, 100.0]]), np.array([3]))
+    assert abs(f.at[0, 0, 1] - 40 / 3) < 0.5
 
 
 def test_kalman(spark):
@@ -142,12 +142,115 @@ def test_replay(spark):
     assert sorted((r.frame_idx, r.x) for r in out.collect()) == [(0, x) for x in range(2, 8)] + [(5, 0)]
 
 
-def test_mosaic_ramp(spark):
-    p = spark.createDataFrame([(0, 0, x, 60 * x, 1) for x in range(4)], "frame_idx long, y int, x int, v int, m int")
-    assert [r.v for r in compose.mosaic(p, 4, 4, 1).collect()] == [90] * 4
-    assert {r.v for r in compose.solid(p).collect()} == {16}
-    none = p.withColumn("m", F.lit(0))
-    assert sorted(r.v for r in compose.mosaic(none, 4, 4, 1).collect()) == [0, 60, 120, 180]
+def plain_hide(nv12, mask, w, h, style, size):
+    """Pixel by pixel: what hide() does to whole planes."""
+    y = np.frombuffer(nv12, np.uint8)[: w * h].reshape(h, w).astype(int)
+    uv = np.frombuffer(nv12, np.uint8)[w * h :].reshape(h // 2, w // 2, 2).astype(int)
+    four = np.array([[mask[2 * b : 2 * b + 2, 2 * a : 2 * a + 2].any() for a in range(w // 2)] for b in range(h // 2)])
+    pad = {"mosaic": size, "blur": 3 * size, "solid": 0}[style]
+    ys, xs = np.nonzero(mask)
+    box = (max(xs.min() - pad, 0), max(ys.min() - pad, 0), min(xs.max() + 1 + pad, w), min(ys.max() + 1 + pad, h))
+    half = (box[0] // 2, box[1] // 2, (box[2] + 1) // 2, (box[3] + 1) // 2)
+    out = []
+    for plane, hit, (x1, y1, x2, y2), k in ((y, mask > 0, box, 1), (uv[..., 0], four, half, 2), (uv[..., 1], four, half, 2)):
+        new = plane.copy()
+        if style == "solid":
+            new[hit] = 16 if k == 1 else 128
+        elif style == "mosaic":
+            c = size if k == 1 else max(size // 2, 1)
+            for b in range(y1, y2, c):
+                for a in range(x1, x2, c):
+                    mean = plane[b : min(b + c, y2), a : min(a + c, x2)].sum() // plane[b : min(b + c, y2), a : min(a + c, x2)].size
+                    for v in range(b, min(b + c, y2)):
+                        for u in range(a, min(a + c, x2)):
+                            if hit[v, u]:
+                                new[v, u] = mean
+        else:
+            r = size if k == 1 else (size + 1) // 2
+            hit = mask[::k, ::k] > 0
+            row = {(v, u): sum(plane[v, min(max(u + d, 0), x2 - 1)] for d in range(-r, r + 1)) // (2 * r + 1) for v in range(y1, y2) for u in range(x1, x2)}
+            for v, u in row:
+                if hit[v, u]:
+                    new[v, u] = sum(row[min(max(v + d, y1), y2 - 1), u] for d in range(-r, r + 1)) // (2 * r + 1)
+        out.append(new)
+    return out[0].astype(np.uint8).tobytes() + np.stack(out[1:], axis=-1).astype(np.uint8).tobytes()
+
+
+@pytest.mark.parametrize(("style", "size"), [("solid", 0), ("mosaic", 5), ("mosaic", 2), ("blur", 1), ("blur", 4)])
+def test_hidden_frames(spark, style, size):
+    rng = np.random.default_rng(7)
+    w, h = 36, 22
+    frames_ = []
+    for k, (x, y, a, b) in enumerate([(3, 2, 9, 8), (30, 15, 6, 7), (0, 0, 36, 22), (17, 9, 1, 1)]):
+        mask = np.zeros((h, w), np.uint8)
+        mask[y : y + b, x : x + a] = 1
+        frames_.append((k, w, h, rng.integers(0, 256, w * h * 3 // 2).astype(np.uint8).tobytes(), mask))
+    rows_ = [(k, w, h, n, m.tobytes()) for k, w, h, n, m in frames_] + [(8, w, h, frames_[0][3], bytes(w * h)), (9, w, h, None, None), (10, w, h, b"short", bytes(w * h))]
+    t = spark.createDataFrame(rows_, "frame_idx long, w int, h int, nv12 binary, mask binary")
+    got = {r.frame_idx: r.nv12 and bytes(r.nv12) for r in frames.apply(t, style, size).collect()}
+    for k, _, _, n, m in frames_:
+        assert got[k] == plain_hide(n, m, w, h, style, size)
+    assert got[8] == frames_[0][3] and got[9] is None and got[10] == b"short"
+
+
+def test_colours():
+    rgb = np.zeros((2, 4, 3), np.uint8)
+    rgb[:, 2:] = 255
+    raw = frames.rgb_to_nv12(rgb)
+    assert list(raw[:8]) == [16, 16, 235, 235] * 2 and list(raw[8:]) == [128] * 4
+    back = np.frombuffer(frames.nv12_to_rgba(raw, 4, 2), np.uint8).reshape(2, 4, 4)
+    assert back[0, 0].tolist() == [0, 0, 0, 255] and back[1, 3].tolist() == [255, 255, 255, 255]
+    assert len(frames.nv12_to_rgba(raw, 4, 2, 8, 6)) == 8 * 6 * 4
+
+
+def test_assembled_masks(spark):
+    """A figure that walks, unseen on every second frame, with a face; another that stands at the edge and leaves."""
+    w, h = 80, 60
+    people = [(1, f, 10, 0.9, 10.0 + 2 * f, 20.0, 30.0 + 2 * f, 50.0) for f in range(0, 8, 2)] + [(1, 0, 11, 0.9, 60.0, 0.0, 79.0, 15.0)]
+    p = spark.createDataFrame(people, "video_id long, frame_idx long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    face = spark.createDataFrame([(1, f, 5, 0.9, 16.0 + 2 * f, 22.0, 22.0 + 2 * f, 29.0, None) for f in range(0, 8, 2)] + [(1, 2, 6, 0.3, 2.0, 2.0, 8.0, 8.0, None)], p.schema.add("eye_dist", "double"))
+    fr = spark.createDataFrame([(v, f) for v in (1, 2) for f in range(8)], "video_id long, frame_idx long")
+    got = {(r.video_id, r.frame_idx): np.frombuffer(r.mask, np.uint8).reshape(h, w) for r in assemble.assemble(fr, p, face, w, h, every=2, face_expand=0, smooth=False).collect()}
+    assert len(got) == 16 and not any(got[2, f].any() for f in range(8))
+    for f in range(0, 8, 2):
+        want = np.zeros((h, w), np.uint8)
+        want[20:50, 10 + 2 * f : 30 + 2 * f] = 1
+        if f <= 2:  # held at the edge for three frames at most
+            want[0:15, 60:79] = 1
+        assert (got[1, f][:, :60] == want[:, :60]).all() and (got[1, f][:15, 60:] == want[:15, 60:]).all(), f
+    held = got[1, 1]  # the figure of frame 0, grown by six pixels
+    assert held[14:56, 4:36].all() and not held[57:, :].any() and held[:21, 54:].all()
+    plain = assemble.assemble(fr, p, face, w, h, every=2, face_expand=0, smooth=True).where("video_id = 1 AND frame_idx = 2").first()
+    assert (np.frombuffer(plain.mask, np.uint8).reshape(h, w) == (got[1, 2] | assemble.grown(got[1, 1], 1))).all()
+    # with masks of its own a person is drawn by them
+    own = np.zeros((h, w), np.uint8)
+    own[25, 15] = 1
+    drawn = assemble.assemble(fr, p.where("frame_idx = 0 AND det_id = 10").withColumn("mask", F.lit(bytearray(own.tobytes()))), face.where("false"), w, h, smooth=False).where("video_id = 1 AND frame_idx = 0").first()
+    assert bytes(drawn.mask) == own.tobytes()
+
+
+def test_hidden_video(spark):
+    w, h = 64, 48
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, w * h * 3 // 2).astype(np.uint8).tobytes()
+    v = spark.createDataFrame([(1, f, w, h, raw) for f in range(3)], "video_id long, frame_idx long, w int, h int, nv12 binary")
+    detect = lambda fr: fr.select("video_id", "frame_idx", F.lit(1).cast("long").alias("det_id"), F.lit(0.9).alias("score"), *(F.lit(x).alias(n) for n, x in zip(("x1", "y1", "x2", "y2"), (10.0, 10.0, 20.0, 30.0))))
+    none = lambda fr: detect(fr).withColumn("eye_dist", F.lit(None).cast("double")).where("false")
+    got = assemble.hide_video(v, w, h, detect, none, "solid", follow_camera=True, smooth=False).orderBy("frame_idx").collect()
+    y = np.frombuffer(got[1].nv12, np.uint8)[: w * h].reshape(h, w)
+    was = np.frombuffer(raw, np.uint8)[: w * h].reshape(h, w)
+    assert (y[10:30, 10:20] == 16).all() and (y[31:] == was[31:]).all() and len(got) == 3
+    marked = assemble.hide_video(v, w, h, detect, none, compose=lambda x: x.select("frame_idx", F.length("mask").alias("n"))).collect()
+    assert {r.n for r in marked} == {w * h}
+
+
+def test_suppression_over_batches(spark):
+    rng = np.random.default_rng(2)
+    rows_ = [(f, f * 100 + k, float(s), float(x), float(y), float(x + a), float(y + b)) for f in range(40) for k, (s, x, y, a, b) in enumerate(zip(rng.random(30).round(2), rng.integers(0, 40, 30), rng.integers(0, 40, 30), rng.integers(5, 30, 30), rng.integers(5, 30, 30)))]
+    t = spark.createDataFrame(rows_, "frame_idx long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    folded = t.groupBy("frame_idx").agg(suppress.greedy(suppress.by_score(), 0.4, 9).alias("k")).select("frame_idx", F.explode("k.det_id").alias("det_id"))
+    key = lambda d: sorted((r.frame_idx, r.det_id) for r in d.collect())
+    assert key(suppress.suppress(t, "frame_idx", 0.4, 9)) == key(folded)
 
 
 def test_phase_correlation():
@@ -206,3 +309,105 @@ def test_motion_of_all_parts(spark):
     keys = [r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()]
     assert sorted(got) == sorted((k % 8, k // 8) for k in keys)
     assert all(round(dx) == 3 * (v % 3) and round(dy) == 2 * (v % 2) for (v, f), (dx, dy) in got.items() if f)
+
+
+def test_sinks_and_lists(spark, tmp_path):
+    from veilframe.sources import store
+
+    rows_ = spark.createDataFrame([("a, b", 12.345678, 1.0, 0.5, 33.33333, 0.1)], "label string, fps double, mean_persons double, mean_faces double, mask_cov_pct double, held_pct double")
+    store.write_sweep(rows_, str(tmp_path / "sweep"))
+    lines = next((tmp_path / "sweep" / "csv").glob("*.csv")).read_text().splitlines()
+    assert lines == ["label,fps,mean_persons,mean_faces,mask_cov_pct,held_pct", '"a, b",12.35,1.000,0.500,33.333,0.10']
+    assert spark.read.json(str(tmp_path / "sweep" / "json")).first().fps == 12.345678
+
+    def fails(_):
+        raise store.SinkFailed("busy")
+
+    took = []
+    assert store.write_first(rows_, [("one", fails), ("two", took.append), ("three", fails)]) == "two" and took == [rows_]
+    with pytest.raises(store.SinkFailed):
+        store.write_first(rows_, [("one", fails)])
+    with pytest.raises(ZeroDivisionError):  # not the sink's fault
+        store.write_first(rows_, [("one", lambda _: 1 / 0), ("two", took.append)])
+    (tmp_path / "models.json").write_text('{"models": [{"name": "n", "file": "n.bin", "sha256": "aa", "bytes": 5},\n {"name": "m", "file": "m.bin", "bytes": 7}]}')
+    models = store.read_models(spark, str(tmp_path / "models.json"))
+    found = spark.createDataFrame([("n.bin", 5), ("m.bin", 6)], "file string, bytes long")
+    assert tuple(store.readiness(models, found).first()) == (2, 1, 12, 5)
+    jobs = spark.createDataFrame([("a", "pending"), ("b", "done")], "name string, state string")
+    store.save_pending(jobs, str(tmp_path / "queue"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "queue")).collect()] == [("a",)]
+
+
+def test_mask_store(spark, tmp_path):
+    from veilframe.sources import store
+
+    path, edits = str(tmp_path / "m"), str(tmp_path / "e")
+    assert store.analyzed_frames(spark, path) == 0 and store.stored_edits(spark, edits).count() == 0
+    data = masks.encode_bytes(F.array(F.struct(F.lit(3).alias("len"), F.lit(0).alias("val")), F.struct(F.lit(1).alias("len"), F.lit(1).alias("val"))))
+    m = spark.createDataFrame([(0,), (20_000,)], "frame_idx long").select("frame_idx", F.lit(2).alias("w"), F.lit(2).alias("h"), data.alias("data"))
+    store.save_masks(m, path, 1)
+    frames_ = spark.createDataFrame([(0,), (1,), (20_000,)], "frame_idx long")
+    assert sorted((r.frame_idx, r.state) for r in store.load_masks(frames_, path, 2, 2).collect()) == [(0, "ok"), (1, "missing"), (20_000, "ok")]
+    assert store.analyzed_frames(spark, path) == 20_001
+    store.append_edits(spark.createDataFrame([(1, 0, "add", 0, 0), (2, 0, "erase", 1, 1), (3, 5, "add", 1, 0)], store.EDITS), edits)
+    store.clear_frame(spark, edits, 0, 2)
+    assert [r.seq for r in store.stored_edits(spark, edits).collect()] == [3]
+    store.append_edits(spark.createDataFrame([(4, 0, "add", 1, 0)], store.EDITS), edits)
+    store.compact(spark, path, edits, str(tmp_path / "new"))
+    assert sorted(r.seq for r in store.stored_edits(spark, str(tmp_path / "new" / "edits")).collect()) == [3, 4] and store.stored_masks(spark, str(tmp_path / "new" / "masks")).count() == 2
+
+
+def test_tensors(spark):
+    from veilframe.operators import tensors
+
+    rng = np.random.default_rng(5)
+    w, h = 12, 8
+    raw = rng.integers(16, 236, w * h).astype(np.uint8).tobytes() + rng.integers(90, 160, w * h // 2).astype(np.uint8).tobytes()
+    y, uv = np.frombuffer(raw, np.uint8)[: w * h].reshape(h, w).astype(float), np.frombuffer(raw, np.uint8)[w * h :].reshape(h // 2, w // 2, 2).astype(float)
+
+    def pixel(sx, sy):
+        x0, y0 = max(int(np.floor(sx)), 0), max(int(np.floor(sy)), 0)
+        fx, fy = min(max(sx - x0, 0), 1), min(max(sy - y0, 0), 1)
+        g = lambda a, b: y[min(b, h - 1), min(a, w - 1)]
+        v = g(x0, y0) * (1 - fx) * (1 - fy) + g(x0 + 1, y0) * fx * (1 - fy) + g(x0, y0 + 1) * (1 - fx) * fy + g(x0 + 1, y0 + 1) * fx * fy
+        u, z = uv[min(int((sy + 0.5) / 2), h // 2 - 1), min(int((sx + 0.5) / 2), w // 2 - 1)] - 128
+        c = (v - 16) * 1.1644
+        return np.clip([c + 1.596 * z, c - 0.3917 * u - 0.813 * z, c + 2.0172 * u], 0, 255)
+
+    frame = spark.createDataFrame([(1, w, h, raw), (2, w, h, None)], "frame_idx long, w int, h int, nv12 binary")
+    got = {r.frame_idx: r.tensor for r in tensors.to_tensors(frame, tensors.Spec("letterbox", 6, scale=255.0)).collect()}
+    assert got[2] is None
+    t = np.array(got[1]).reshape(3, 6, 6)
+    assert np.allclose(t[:, 0], 114 / 255) and np.allclose(t[:, 5], 114 / 255)
+    for oy in range(4):
+        for ox in range(6):
+            assert np.allclose(t[:, oy + 1, ox] * 255, pixel((ox + 0.5) * 2 - 0.5, (oy + 0.5) * 2 - 0.5), atol=0.01)
+    flipped = tensors.tensor(raw, w, h, tensors.Spec("same", mean=tensors.FACE_MEAN, bgr=True), True)
+    assert flipped.shape == (3, 8, 12) and np.allclose(flipped[:, 3, 2][::-1] + tensors.FACE_MEAN, pixel(w - 1.0 - 2, 3), atol=0.01)
+    assert tensors.tensor(raw, w, h, tensors.SPECS["looks"]).shape == (3, 256, 128) and tensors.tensor(raw, w, h, tensors.SPECS["phrases"]).shape == (3, 533, 800)
+    rois = spark.createDataFrame([(1, 7, 1.0, 1.0, 9.5, 7.0), (1, 8, 0.0, 0.0, 3.0, 3.0)], "frame_idx long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    c = tensors.crops(frame, rois, ["frame_idx"], w, h, least=4).collect()
+    assert [(r.det_id, r.ox, r.oy, r.w, r.h) for r in c] == [(7, 0, 1, 10, 6)]
+    assert (np.frombuffer(c[0].nv12, np.uint8)[:60].reshape(6, 10) == y[1:7, 0:10]).all() and len(c[0].nv12) == 90
+    t = tensors.tiles(spark.createDataFrame([(1, 200, 100)], "frame_idx long, w int, h int"), 96, 32, 64)
+    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in t.collect()) == [(0, 0, 96, 96), (64, 0, 160, 96), (128, 0, 200, 96)]
+    back = tensors.back_to_frame(spark.createDataFrame([(5, 6, 1.0, 2.0, 3.0, 4.0)], "ox int, oy int, x1 double, y1 double, x2 double, y2 double"), 2.0).first()
+    assert (back.x1, back.y1, back.x2, back.y2) == (7.0, 10.0, 11.0, 14.0)
+
+
+def test_faces_with_eyes(spark):
+    from veilframe.operators import tensors
+
+    n = 3
+    a = np.zeros((20, n))
+    a[:5] = [[50, 52, 20], [60, 60, 60], [20, 20, 10], [20, 20, 10], [0.9, 0.8, 0.7]]
+    a[5:11] = [[45, 0, 0], [55, 0, 0], [0.6, 0, 0.9], [55, 0, 0], [55, 0, 0], [0.7, 0, 0.2]]
+    df = spark.createDataFrame([(1, a.ravel().tolist())], "frame_idx long, o array<double>")
+    got = tensors.faces(df, "o", n, 0.5, 100, 200, 100).orderBy("det_id").collect()
+    assert [r.det_id for r in got] == [0, 2]  # the second overlaps the first
+    assert (got[0].x1, got[0].y1, got[0].x2, got[0].y2) == (80.0, 50.0, 120.0, 90.0) and (got[0].eyes.lx, got[0].eyes.ly, got[0].eyes.rx) == (90.0, 60.0, 110.0)
+    assert got[1].eyes is None
+    m = np.zeros((10, 10), np.uint8)
+    m[3:5, 0:5] = 1
+    out = tensors.unletterboxed(m, 20, 10)
+    assert out.sum() == out[2:6].sum() == 4 * 10 and out[:, 10:].sum() == 0 and tensors.unletterboxed(m, 20, 10, True)[:, :10].sum() == 0

@@ -137,6 +137,28 @@ def track_batch(spark, sf_dir):
     return t.select("video_id", "frame_idx", "track_id", "lost", F.round("fade", 6).alias("fade"), F.round("score", 6).alias("score"), *(F.round(n, 3).alias(n) for n in ("x1", "y1", "x2", "y2", "shift_x", "shift_y")))
 
 
+@query("assemble_masks")
+def assemble_masks(spark, sf_dir):
+    """Masks of small videos end to end: every third frame is looked at, persons are tracked and held between, faces
+    follow them. A frame of rectangles is one of a video's frames; pixels and places of each mask."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators import assemble
+
+    r = view(spark, sf_dir, "rects").select((F.col("frame_idx") % 4).alias("video_id"), F.floor(F.col("frame_idx") / 4).alias("frame_idx"), F.col("rect_id").alias("det_id"), ((F.col("rect_id") % 60 + 40) / 100.0).alias("score"), *(F.col(c).cast("double").alias(n) for c, n in (("rx", "x1"), ("ry", "y1"))), (F.col("rx") + F.col("rw") + 8).cast("double").alias("x2"), (F.col("ry") + F.col("rh") + 16).cast("double").alias("y2"))
+    faces = r.where("det_id % 3 = 0").select("video_id", "frame_idx", "det_id", "score", (F.col("x1") + 2).alias("x1"), (F.col("y1") + 1).alias("y1"), (F.col("x1") + 8).alias("x2"), (F.col("y1") + 9).alias("y2"), F.lit(None).cast("double").alias("eye_dist"))
+    made = assemble.assemble(r.select("video_id", "frame_idx").distinct(), r, faces, 64, 64, every=3, face_expand=1)
+
+    def count(batches):
+        at = np.arange(64 * 64)
+        for b in batches:
+            m = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.sum()) for x in m], pa.int64()), pa.array([int((x * at).sum()) for x in m], pa.int64())], names=["video_id", "frame_idx", "n_px", "moment"])
+
+    return made.mapInArrow(count, "video_id long, frame_idx long, n_px long, moment long")
+
+
 @query("track_stream")
 def track_stream(spark, sf_dir):
     """The same tracks from a stream of frames with state for each video."""
@@ -148,7 +170,7 @@ def track_stream(spark, sf_dir):
 
 
 @query("masklet_link_frame", """-- views: persons
-, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT frame_idx, det_id, x1, y1, x2, y2, det_id % 500 AS vid FROM persons WHERE frame_idx % 5 = 0),
+, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT frame_idx, det_id, x1, y1, x2, y2, det_id % 500 AS vid FROM persons),
 p AS (SELECT a.frame_idx, a.det_id AS ref_id, b.det_id AS inst_id, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS x, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS area, e.v AS v, f.v AS w
  FROM r a JOIN r b ON b.frame_idx = a.frame_idx AND a.det_id % 2 = 0 AND b.det_id % 2 = 1 AND b.det_id % 12 <= 8 JOIN e ON e.vec_id = a.vid JOIN e f ON f.vec_id = b.vid),
 s AS (SELECT frame_idx, ref_id, inst_id, x / (area - x) * 0.6::DOUBLE + greatest(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 0) * 0.4::DOUBLE AS s FROM p),
@@ -159,7 +181,7 @@ z AS (SELECT frame_idx, unnest(arg_max(done, i)) AS d FROM t GROUP BY frame_idx)
 SELECT frame_idx, d.ref_id AS ref_id, d.inst_id AS inst_id, round(d.s, 5) AS score FROM z""")
 def masklet_link_frame(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("emb"))
-    p = view(spark, sf_dir, "persons").where("frame_idx % 5 = 0").withColumn("vec_id", F.col("det_id") % 500).join(e, "vec_id")
+    p = view(spark, sf_dir, "persons").withColumn("vec_id", F.col("det_id") % 500).join(e, "vec_id")
     refs = p.where("det_id % 2 = 0").withColumnRenamed("det_id", "ref_id")
     memory = p.where("det_id % 2 = 1").withColumn("missed", F.col("det_id") % 12).withColumnRenamed("det_id", "inst_id")
     return link.link(refs, memory).select("frame_idx", "ref_id", "inst_id", F.round("score", 5).alias("score"))

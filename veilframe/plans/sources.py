@@ -9,10 +9,11 @@ from ..sources import probe
 
 # Reports in the form that the usual media tool prints.
 REPORTS = [
-    ("a.mp4", "Input #0\n  Duration: 00:00:05.07, start: 0.000000, bitrate: 6000 kb/s\n  Stream #0:0[0x1](und): Video: hevc (Main) (hvc1 / 0x31637668), yuv420p(tv), 1920x1080, 5800 kb/s, 15 fps, 15 tbr, 600 tbn\n  Stream #0:1[0x2](und): Audio: aac (LC), 44100 Hz, stereo", 1920, 1080, 15.0, "hevc", 76, "aac", 5.07),
-    ("b.mov", "Input #0\n  Duration: 00:00:10.00, start: 0\n  Stream #0:0: Video: h264 (High), yuv420p, 1080x1920 [SAR 1:1], 30 tbr\n    displaymatrix: rotation of -90.00 degrees", 1920, 1080, 30.0, "h264", 300, "", 10.0),
-    ("c.mkv", "  Duration: 01:02:03.50, start: 0\n  Stream #0:0: Video: av1, yuv420p10le, 3840x2160, 29.97 fps, 1k tbn\n  Stream #0:1: Audio: truehd, 48000 Hz\n  Stream #0:2: Audio: ac3, 48000 Hz", 3840, 2160, 29.97, "av1", 111593, "truehd,ac3", 3723.5),
-    ("d.avi", "  Duration: N/A\n  Stream #0:0: Video: mjpeg, yuvj422p, 640x480, 90k tbn", 640, 480, 30.0, "mjpeg", None, "", None),
+    ("walk.mp4", "Input #0, mov, from 'walk.mp4':\n  Duration: 00:00:42.25, start: 0.000000, bitrate: 3412 kb/s\n  Stream #0:0[0x1](und): Video: hevc (Main 10) (hev1 / 0x31766568), yuv420p10le(tv, bt709), 1280x720, 3301 kb/s, 24 fps, 24 tbr, 12288 tbn\n  Stream #0:1[0x2](und): Audio: opus, 48000 Hz, mono", 1280, 720, 24.0, "hevc", 1014, "opus", 42.25),
+    ("phone.mov", "Input #0\n  Duration: 00:01:40.00, start: 0\n  Stream #0:0: Video: h264 (Baseline), yuv420p, 720x1280 [SAR 1:1 DAR 9:16], 25 tbr\n    displaymatrix: rotation of 90.00 degrees", 1280, 720, 25.0, "h264", 2500, "", 100.0),
+    ("film.mkv", "  Duration: 01:02:03.50, start: 0\n  Stream #0:0: Video: av1, yuv420p10le, 3840x2160, 29.97 fps, 1k tbn\n  Stream #0:1: Audio: truehd, 48000 Hz\n  Stream #0:2: Audio: ac3, 48000 Hz", 3840, 2160, 29.97, "av1", 111593, "truehd,ac3", 3723.5),
+    ("cam.avi", "  Duration: N/A\n  Stream #0:0: Video: mjpeg, yuvj422p, 640x480, 90k tbn", 640, 480, 30.0, "mjpeg", None, "", None),
+    ("odd.ts", "  Duration: 00:00:08.00\n  Stream #0:0: Video: mpeg2video, yuv420p, 704x576, 90000 fps, 50 tbr", 704, 576, 30.0, "mpeg2video", 240, "", 8.0),
 ]
 
 
@@ -47,12 +48,12 @@ def queue_restore(spark, sf_dir):
     return j.select("event_id", "j.name", F.coalesce("j.opts.preset", F.lit("balanced")).alias("preset"), F.coalesce("j.opts.face", F.lit(True)).alias("face"))
 
 
-@query("gpu_vendor", "WITH d AS (SELECT n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN 'amd' WHEN 1 THEN 'intel' END AS v FROM nation WHERE n_nationkey % 2 = 0) SELECT n_regionkey, CASE WHEN count(DISTINCT v) = 1 THEN any_value(v) END AS vendor FROM d GROUP BY n_regionkey")
+@query("gpu_vendor", "WITH d AS (SELECT n_nationkey // 2 AS machine, CASE n_nationkey % 3 WHEN 0 THEN 'amd' WHEN 1 THEN 'intel' END AS v FROM nation) SELECT machine::BIGINT AS machine, CASE WHEN count(DISTINCT v) = 1 THEN any_value(v) END AS vendor FROM d GROUP BY machine")
 def gpu_vendor(spark, sf_dir):
     """The one known maker among a machine's device ids in hexadecimal; none where they are mixed."""
     ids = F.when(F.col("n_nationkey") % 3 == 0, "0x1002").when(F.col("n_nationkey") % 3 == 1, "0x8086").otherwise("0xffff")
     n = F.conv(F.substring(ids, 3, 4), 16, 10).cast("int")
     known = F.when(n == 0x1002, "amd").when(n == 0x8086, "intel")
-    d = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0").select("n_regionkey", known.alias("v"))
-    s = d.groupBy("n_regionkey").agg(F.collect_set("v").alias("s"))
-    return s.select("n_regionkey", F.when(F.size("s") == 1, F.col("s")[0]).alias("vendor"))
+    d = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.floor(F.col("n_nationkey") / 2).cast("long").alias("machine"), known.alias("v"))
+    s = d.groupBy("machine").agg(F.collect_set("v").alias("s"))
+    return s.select("machine", F.when(F.size("s") == 1, F.col("s")[0]).alias("vendor"))

@@ -85,11 +85,11 @@ def proto_mask(spark, sf_dir):
     return q.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_px"), F.sum(F.col("x") + F.col("y") * 28).cast("long").alias("moment"))
 
 
-@query("low_res_to_frame", """WITH p AS (SELECT vec_id, embedding AS e, unnest(range(0, 18)) AS y FROM embeddings WHERE vec_id % 4 = 0), q AS (SELECT vec_id, e, y, unnest(range(0, 32)) AS x FROM p)
+@query("low_res_to_frame", """WITH p AS (SELECT vec_id, embedding AS e, unnest(range(0, 18)) AS y FROM embeddings), q AS (SELECT vec_id, e, y, unnest(range(0, 32)) AS x FROM p)
 SELECT vec_id, count(*)::BIGINT AS n_px, sum(x + 32 * y)::BIGINT AS moment FROM q WHERE e[(y * 8 // 18) * 8 + x * 8 // 32 + 1] > 0 GROUP BY vec_id""")
 def low_res_to_frame(spark, sf_dir):
     """Low-resolution logits over 0, spread to a frame by nearest cells."""
-    e = _emb(spark, sf_dir).where("vec_id % 4 = 0").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("x"))
+    e = _emb(spark, sf_dir).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("x"))
     e = e.where(F.get("embedding", decode.gathered(F.col("y"), F.lit(8), F.lit(18)) * 8 + decode.gathered(F.col("x"), F.lit(8), F.lit(32))) > 0)
     return e.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_px"), F.sum(F.col("x") + F.col("y") * 32).cast("long").alias("moment"))
 

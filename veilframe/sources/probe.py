@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse(reports: DataFrame) -> DataFrame:
     """(path, width, height, fps, codec, duration, total_frames, rotation, has_audio, audio_codecs) of reports (path, stderr).
 
-    The first video line counts. A rate must lie between 0 and 1000, else the base rate, else 30.
+    The first video line counts. Where a line has no rate its base rate counts; a rate must lie between 0 and 1000, else it is 30.
     A picture turned by about 90 degrees has its sides exchanged."""
     lines = F.split("stderr", "\n")
     first = F.get(F.filter(lines, lambda x: x.rlike(r"Stream #.*: Video:")), F.lit(0))
@@ -25,7 +25,7 @@ def parse(reports: DataFrame) -> DataFrame:
     d = r"Duration: ([0-9]+):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?)"
     part = lambda i: F.expr(f"try_cast(nullif(regexp_extract(stderr, '{d}', {i}), '') AS double)".replace("\\", "\\\\"))
     turn = F.expr(r"try_cast(nullif(regexp_extract(stderr, 'rotation of (-?[0-9.]+) degrees', 1), '') AS double)")
-    r = r.select("path", "audio_codecs", F.regexp_extract("v", r"Video: ([^ ,(]+)", 1).alias("codec"), F.get(sizes, F.lit(0)).alias("wh"), F.coalesce(sane(fps), sane(base), F.lit(30.0)).alias("fps"), (part(1) * 3600 + part(2) * 60 + part(3)).alias("duration"), F.coalesce(turn, F.lit(0.0)).alias("rotation"))
+    r = r.select("path", "audio_codecs", F.regexp_extract("v", r"Video: ([^ ,(]+)", 1).alias("codec"), F.get(sizes, F.lit(0)).alias("wh"), F.coalesce(sane(F.coalesce(fps, base)), F.lit(30.0)).alias("fps"), (part(1) * 3600 + part(2) * 60 + part(3)).alias("duration"), F.coalesce(turn, F.lit(0.0)).alias("rotation"))
     r = r.where("wh IS NOT NULL").select("*", side_of(F.col("wh"), 1).alias("w"), side_of(F.col("wh"), 2).alias("h"))
     side = F.abs(F.abs("rotation") - 90) < 1
     return r.select(
