@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored output softmax,
 and state carried from window to window, so a document of any length gets its whole log-likelihood.
 
-Targets are (class, word in class). Head classes hold CLASS_WORDS frequent words each and have a softmax
-of their own over the hidden state; tail classes go by a word's shape, and a tail word's probability
-within its class is left to the caller, who knows the counts.
+Targets are (class, word in class). Head classes hold frequent words each and have a softmax of their own over
+the hidden state; of other classes the probability of a word within its class is left to the caller, who knows
+the counts. Arrays are laid out [unit, lane], so that each gate is one block; biases are the last row of their
+weights, and hidden states carry a row of ones for them.
 """
 
 from __future__ import annotations
@@ -12,33 +13,31 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASS_WORDS, WINDOW, LANES = 8, 32, 16, 512
-_FIELDS = ("E", "U", "b", "Wc", "bc", "Ww", "bw")
+HIDDEN, WINDOW, LANES = 16, 16, 1024
+#: Tokens that one call of the output layer takes when a text is only scored.
+SCORED = 32_768
+#: Tokens of a document that are learned from in one stretch, with the state carried; the next stretch begins anew.
+STRETCH = 1_024
+_FIELDS = ("E", "U", "Wc", "Ww")
 
 
 class Weights:
-    """E: input rows for the three gates; U, b: recurrence; Wc, bc: classes; Ww, bw: words of each head class."""
+    """E [inputs, 3 H]: the gates' input; U [H + 1, 3 H]: recurrence; Wc [H + 1, classes]; Ww [heads, H + 1, words]."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
 
     @classmethod
-    def start(cls, n_inputs: int, class_counts: np.ndarray, word_counts: np.ndarray, seed: int = 11) -> Weights:
+    def start(cls, n_inputs: int, class_counts: np.ndarray, word_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 11) -> Weights:
         """Random, but for the output biases, which begin at the training frequencies."""
         rng = np.random.default_rng(seed)
-        h, c, heads = HIDDEN, len(class_counts), len(word_counts)
+        h, c, heads = hidden, len(class_counts), len(word_counts)
         f = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(np.float32)
-        return cls(
-            {
-                "E": f(n_inputs, 3 * h, k=0.3),
-                "U": f(h, 3 * h, k=h**-0.5),
-                "b": np.zeros(3 * h, np.float32),
-                "Wc": f(h, c, k=0.05),
-                "bc": np.log((class_counts + 1) / (class_counts + 1).sum()).astype(np.float32),
-                "Ww": f(heads, h, CLASS_WORDS, k=0.05),
-                "bw": np.where(word_counts > 0, np.log(np.maximum(word_counts, 1) / np.maximum(word_counts.sum(axis=1, keepdims=True), 1)), -1e4).astype(np.float32),
-            }
-        )
+        U, Wc, Ww = f(h + 1, 3 * h, k=h**-0.5), f(h + 1, c, k=0.05), f(heads, h + 1, word_counts.shape[1], k=0.05)
+        U[h] = 0
+        Wc[h] = np.log((class_counts + 1) / (class_counts + 1).sum())
+        Ww[:, h] = np.where(word_counts > 0, np.log(np.maximum(word_counts, 1) / np.maximum(word_counts.sum(axis=1, keepdims=True), 1)), -1e4)
+        return cls({"E": f(n_inputs, 3 * h, k=0.3), "U": U, "Wc": Wc, "Ww": Ww})
 
     def pack(self) -> np.ndarray:
         return np.concatenate([self.a[k].ravel() for k in _FIELDS])
@@ -52,164 +51,228 @@ class Weights:
         return Weights(out)
 
 
-def lanes(lengths: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents dealt to lanes, longest first to the emptiest: (positions [steps, lanes], -1 past a lane's
-    end; the lanes' lengths, falling)."""
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    n = max(1, min(n_lanes, len(lengths)))
-    heap = [(0, i) for i in range(n)]
-    dealt: list[list[int]] = [[] for _ in range(n)]
-    for d in np.argsort(-lengths, kind="stable").tolist():
-        load, i = heapq.heappop(heap)
-        dealt[i].append(d)
-        heapq.heappush(heap, (load + int(lengths[d]), i))
-    rows = sorted((np.concatenate([np.arange(first[d], first[d] + lengths[d]) for d in x]) for x in dealt if x), key=len, reverse=True)
-    out = np.full((len(rows[0]) if rows else 0, len(rows)), -1, np.int64)
-    for i, r in enumerate(rows):
-        out[: len(r), i] = r
-    return out, np.array([len(r) for r in rows], np.int64)
+class Lanes:
+    """Stretches of tokens dealt to lanes, longest first to the emptiest; lanes in falling order of their lengths."""
+
+    def __init__(self, starts: np.ndarray, lengths: np.ndarray, n_lanes: int):
+        n = max(1, min(n_lanes, len(lengths)))
+        heap = [(0, i) for i in range(n)]
+        dealt: list[list[int]] = [[] for _ in range(n)]
+        for d in np.argsort(-lengths, kind="stable").tolist():
+            load, i = heapq.heappop(heap)
+            dealt[i].append(d)
+            heapq.heappush(heap, (load + int(lengths[d]), i))
+        dealt = sorted((x for x in dealt if x), key=lambda x: int(lengths[x].sum()), reverse=True)
+        order = np.array([d for x in dealt for d in x], np.int64)
+        size = lengths[order]
+        self.sizes = np.array([int(lengths[x].sum()) for x in dealt], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        #: Positions of tokens, lane by lane.
+        self.tokens = (np.repeat(starts[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())).astype(np.int32)
 
+    def window(self, at: int, steps: int) -> np.ndarray:
+        """Positions [steps, live lanes] from step `at` on, -1 past a lane's end."""
+        n = int((self.sizes > at).sum())
+        t = at + np.arange(min(steps, int(self.sizes[0]) - at))[:, None]
+        real = t < self.sizes[:n]
+        return np.where(real, self.tokens[np.where(real, self.first[:n] + t, 0)], -1)
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+
+def stretches(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of documents laid end to end, each cut into pieces of at most `most` tokens."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    pieces = -(-lengths // most)
+    k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(first, pieces) + k * most
+    return start, np.minimum(most, np.repeat(first + lengths, pieces) - start)
 
 
 class GRU:
     def __init__(self, weights: Weights, start_id: int):
         self.w, self.start_id = weights.a, start_id
-        self.n_heads = len(self.w["Ww"])
+        self.hidden = self.w["U"].shape[0] - 1
         self.grad2 = None
 
-    def _window(self, x: np.ndarray, h: np.ndarray, keep: bool):
-        """Run steps x [T, n] from h. The hidden state after each step, and what backward needs."""
-        t_max, n = x.shape
-        H = HIDDEN
-        U, b = self.w["U"], self.w["b"]
-        gates = self.w["E"][x]
-        hs = np.empty((t_max, n, H), np.float32)
-        saved = [] if keep else None
-        first = x == self.start_id
-        for t in range(t_max):
-            if first[t].any():
-                h = np.where(first[t][:, None], np.float32(0), h)
-            a = h @ U + b
+    def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
+        """Steps x [T, n] from h [H + 1, n]; lanes where fresh begin with no state. States after each step
+        [T, H + 1, n], and what backward needs."""
+        H = self.hidden
+        T, n = x.shape
+        UT = np.ascontiguousarray(self.w["U"].T)
+        kind = UT.dtype
+        gates = np.ascontiguousarray(self.w["E"][x.ravel()].reshape(T, n, 3 * H).transpose(0, 2, 1))
+        out = np.empty((T, H + 1, n), kind)
+        out[:, H] = 1
+        saved = tuple(np.empty((T, k, n), kind) for k in (H + 1, 2 * H, H, H)) if keep else None
+        a, tmp = np.empty((3 * H, n), kind), np.empty((H, n), kind)
+        any_fresh = fresh.any(axis=1).tolist()
+        for t in range(T):
+            if any_fresh[t]:
+                h = h.copy()
+                h[:H, fresh[t]] = 0
+            np.matmul(UT, h, out=a)
             g = gates[t]
-            zr = _sigmoid(g[:, : 2 * H] + a[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(g[:, 2 * H :] + r * a[:, 2 * H :])
-            new = c + z * (h - c)
+            zr = saved[1][t] if keep else g[: 2 * H]
+            np.add(g[: 2 * H], a[: 2 * H], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = saved[2][t] if keep else g[2 * H :]
+            np.multiply(zr[H:], a[2 * H :], out=tmp)
+            np.add(g[2 * H :], tmp, out=c)
+            np.tanh(c, out=c)
+            np.subtract(h[:H], c, out=tmp)
+            tmp *= zr[:H]
+            np.add(c, tmp, out=out[t, :H])
             if keep:
-                saved.append((h, z, r, c, a[:, 2 * H :]))
-            h = new
-            hs[t] = h
-        return hs, h, saved, first
+                saved[0][t], saved[3][t] = h, a[2 * H :]
+            h = out[t]
+        return out, h, saved
+
+    @staticmethod
+    def _scores(W: np.ndarray, hs: np.ndarray) -> np.ndarray:
+        """Logits [k, m], lowered by their largest where they might leave the range of exp."""
+        x = W.T @ hs
+        top = W[-1].max() + np.abs(W[:-1]).sum(axis=0).max()
+        if top > 60 or W[-1].max() < -60:
+            x -= x.max(axis=0)
+        return x
 
     def _outputs(self, hs: np.ndarray, cls: np.ndarray, idx: np.ndarray, grads: dict | None):
-        """log-probabilities (natural) of targets given hidden rows [m, H]; with grads, also d loss / d hs."""
-        w = self.w
-        logits = hs @ w["Wc"] + w["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        s = p.sum(axis=1)
-        rows = np.arange(len(cls))
-        logp = logits[rows, cls] - np.log(s)
+        """log-probabilities (natural) of targets given hidden columns [H + 1, m]; with grads, also d loss / d hs."""
+        w, H, m = self.w, self.hidden, len(cls)
+        at = np.arange(m)
+        p = self._scores(w["Wc"], hs)
+        logp = p[cls, at]
+        np.exp(p, out=p)
+        s = p.sum(axis=0)
+        logp -= np.log(s)
         dh = None
         if grads is not None:
-            p /= s[:, None]
-            p[rows, cls] -= 1
-            grads["Wc"], grads["bc"] = hs.T @ p, p.sum(axis=0)
-            dh = p @ w["Wc"].T
-            grads["Ww"], grads["bw"] = np.zeros_like(w["Ww"]), np.zeros_like(w["bw"])
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.n_heads + 1))
-        for k in range(self.n_heads):
-            at = order[bounds[k] : bounds[k + 1]]
-            if not len(at):
-                continue
-            x = hs[at]
-            lw = x @ w["Ww"][k] + w["bw"][k]
-            lw -= lw.max(axis=1, keepdims=True)
-            q = np.exp(lw)
-            sq = q.sum(axis=1)
-            own = np.arange(len(at))
-            logp[at] += lw[own, idx[at]] - np.log(sq)
+            p /= s
+            p[cls, at] -= 1
+            grads["Wc"] = hs @ p.T
+            dh = w["Wc"][:H] @ p
+            grads["Ww"] = np.zeros_like(w["Ww"])
+        heads = len(w["Ww"])
+        order = np.argsort(cls.astype(np.int16) if heads < 30_000 else cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(heads + 1))
+        order = order[: bounds[-1]]
+        x, places = hs[:, order], idx[order]
+        own, sums = np.empty(len(order), hs.dtype), np.ones(len(order), hs.dtype)
+        back = np.empty((H, len(order)), hs.dtype) if grads is not None else None
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[k], bounds[k + 1]
+            q = self._scores(w["Ww"][k], x[:, a:b])
+            here, j = places[a:b], at[: b - a]
+            own[a:b] = q[here, j]
+            np.exp(q, out=q)
+            q.sum(axis=0, out=sums[a:b])
             if grads is not None:
-                q /= sq[:, None]
-                q[own, idx[at]] -= 1
-                grads["Ww"][k], grads["bw"][k] = x.T @ q, q.sum(axis=0)
-                dh[at] += q @ w["Ww"][k].T
+                q /= sums[a:b]
+                q[here, j] -= 1
+                grads["Ww"][k] = x[:, a:b] @ q.T
+                np.matmul(w["Ww"][k][:H], q, out=back[:, a:b])
+        logp[order] += own - np.log(sums)
+        if grads is not None:
+            dh[:, order] += back
         return logp, dh
 
     def score(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability at each position of documents laid end to end."""
         out = np.zeros(len(inputs))
-        pos, sizes = lanes(lengths, LANES)
-        h = np.zeros((len(sizes), HIDDEN), np.float32)
-        for at in range(0, len(pos), WINDOW):
-            n = int((sizes > at).sum())
-            p = pos[at : at + WINDOW, :n]
-            hs, h, _, _ = self._window(np.where(p >= 0, inputs[p], 0), h[:n], False)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        dealt = Lanes(starts, lengths, 2 * LANES)
+        h = self._nothing(len(dealt.sizes))
+        at = 0
+        while at < dealt.sizes[0]:
+            n = int((dealt.sizes > at).sum())
+            steps = max(WINDOW, SCORED // n)
+            p = dealt.window(at, steps)
+            x = np.where(p >= 0, inputs[p], 0)
+            hs, h, _ = self._run(x, x == self.start_id, h[:, :n], False)
             real = p >= 0
             where = p[real]
-            out[where] = self._outputs(hs[real], cls[where], idx[where], None)[0]
+            out[where] = self._outputs(self._columns(hs, real), cls[where], idx[where], None)[0]
+            at += steps
         return out
 
+    def _nothing(self, n: int) -> np.ndarray:
+        h = np.zeros((self.hidden + 1, n), self.w["U"].dtype)
+        h[-1] = 1
+        return h
+
+    @staticmethod
+    def _columns(hs: np.ndarray, real: np.ndarray) -> np.ndarray:
+        flat = np.ascontiguousarray(hs.transpose(1, 0, 2)).reshape(hs.shape[1], -1)
+        return flat if real.all() else flat[:, real.ravel()]
+
     def train(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray, rate: float) -> float:
-        """One pass of truncated backpropagation, Adagrad steps; the mean loss a token."""
+        """One pass of truncated backpropagation over every token, Adagrad steps; the mean loss a token."""
         if self.grad2 is None:
             self.grad2 = {k: np.full_like(v, 1e-3) for k, v in self.w.items()}
+        starts, sizes = stretches(lengths, STRETCH)
+        begin = np.zeros(len(inputs), bool)
+        begin[starts] = True
         # fewer lanes for little text, so that there are steps enough
-        pos, sizes = lanes(lengths, max(16, min(LANES, len(inputs) // 1500)))
-        h = np.zeros((len(sizes), HIDDEN), np.float32)
+        dealt = Lanes(starts, sizes, max(16, min(LANES, len(inputs) // 1500)))
+        h = self._nothing(len(dealt.sizes))
         loss = 0.0
-        for at in range(0, len(pos), WINDOW):
-            n = int((sizes > at).sum())
-            p = pos[at : at + WINDOW, :n]
+        for at in range(0, int(dealt.sizes[0]), WINDOW):
+            p = dealt.window(at, WINDOW)
+            n = p.shape[1]
             real = p >= 0
             x = np.where(real, inputs[p], 0)
-            hs, h, saved, first = self._window(x, h[:n], True)
+            fresh = real & begin[p]
+            hs, h, saved = self._run(x, fresh, h[:, :n], True)
             where = p[real]
             grads: dict[str, np.ndarray] = {}
-            logp, dh = self._outputs(hs[real], cls[where], idx[where], grads)
+            logp, dh = self._outputs(self._columns(hs, real), cls[where], idx[where], grads)
             loss -= float(logp.sum())
-            d_out = np.zeros_like(hs)
-            d_out[real] = dh
-            self._backward(x, d_out, saved, first, grads)
+            d_out = np.zeros((self.hidden, *p.shape), hs.dtype)
+            d_out[:, real] = dh
+            self._backward(d_out, saved, fresh, grads)
             self._step(grads, x, real, 1 / len(where), rate)
         return loss / max(1, len(inputs))
 
-    def _backward(self, x, d_out, saved, first, grads) -> None:
-        H, U = HIDDEN, self.w["U"]
-        t_max, n = x.shape
-        d_gates = np.empty((t_max, n, 3 * H), np.float32)
-        d_a = np.empty((n, 3 * H), np.float32)
-        dU, db = np.zeros_like(U), np.zeros_like(self.w["b"])
-        dh = np.zeros((n, H), np.float32)
-        for t in range(t_max - 1, -1, -1):
-            h, z, r, c, an = saved[t]
-            d = dh + d_out[t]
-            dc = d * (1 - z) * (1 - c * c)
-            d_a[:, :H] = d * (h - c) * z * (1 - z)
-            d_a[:, H : 2 * H] = dc * an * r * (1 - r)
-            d_a[:, 2 * H :] = dc * r
-            d_gates[t] = d_a
-            d_gates[t][:, 2 * H :] = dc
-            dU += h.T @ d_a
-            db += d_a.sum(axis=0)
-            dh = d * z + d_a @ U.T
-            if first[t].any():
-                dh[first[t]] = 0
-        grads["U"], grads["b"], grads["E"] = dU, db, d_gates
+    def _backward(self, d_out, saved, fresh, grads) -> None:
+        H, U = self.hidden, self.w["U"]
+        hin, zr, c, an = saved
+        T, n = fresh.shape
+        z, r = zr[:, :H], zr[:, H:]
+        by_c, by_z, by_r = (1 - z) * (1 - c * c), (hin[:, :H] - c) * z * (1 - z), an * r * (1 - r)
+        d_gates = np.empty((T, 3 * H, n), U.dtype)
+        d_a = np.empty((3 * H, n), U.dtype)
+        dU = np.zeros_like(U)
+        dh = np.zeros((H, n), U.dtype)
+        Uh = np.ascontiguousarray(U[:H])
+        any_fresh = fresh.any(axis=1).tolist()
+        for t in range(T - 1, -1, -1):
+            dh += d_out[:, t]
+            dc = d_gates[t, 2 * H :]
+            np.multiply(dh, by_c[t], out=dc)
+            np.multiply(dh, by_z[t], out=d_a[:H])
+            np.multiply(dc, by_r[t], out=d_a[H : 2 * H])
+            np.multiply(dc, r[t], out=d_a[2 * H :])
+            d_gates[t, : 2 * H] = d_a[: 2 * H]
+            dU += hin[t] @ d_a.T
+            dh *= z[t]
+            dh += Uh @ d_a
+            if any_fresh[t]:
+                dh[:, fresh[t]] = 0
+        grads["U"], grads["E"] = dU, d_gates
 
     def _step(self, grads, x, real, scale: float, rate: float) -> None:
-        for k in ("U", "b", "Wc", "bc", "Ww", "bw"):
+        for k in ("U", "Wc", "Ww"):
             g = grads[k] * np.float32(scale)
             self.grad2[k] += g * g
             self.w[k] -= np.float32(rate) * g / np.sqrt(self.grad2[k])
-        used, g = x[real], grads["E"][real]
+        used = x[real]
         order = np.argsort(used, kind="stable")
         ids, start = np.unique(used[order], return_index=True)
-        g = np.add.reduceat(g[order], start, axis=0) * np.float32(scale)
+        g = self._columns(grads["E"], real).T[order]
+        g = np.add.reduceat(g, start, axis=0) * np.float32(scale)
         g2 = self.grad2["E"]
         g2[ids] += g * g
         self.w["E"][ids] -= np.float32(rate) * g / np.sqrt(g2[ids])

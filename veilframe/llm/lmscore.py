@@ -3,11 +3,13 @@
 Counts cover every training document. The HEAD most frequent words (a fixed number, so their table can
 be broadcast) are scored where the text is read; each document's other words go, with their numbers, to a
 join with the count table, so nothing about rare words is cut off. The recurrent model trains on every
-training document: in each round every task starts from the shared weights, goes once over its documents
-of the round, and the tasks' weights are averaged by tokens.
+training document once: in each round every task starts from the shared weights, goes over its documents
+of the round, and the tasks' weights are averaged by tokens; a document's round goes by a hash of its id.
 
-A word outside the head classes belongs to a tail class by its shape, and its probability within that
-class is (count + 1) / (class tokens + class words + 1), so unseen words have one too.
+The softmax holds the 2 sqrt(V) most frequent of V distinct training words, in classes of about 1.35 times the
+square root of their number: both grow with the corpus. Any other word belongs to a tail class by its shape and
+by whether the head table has it, and its probability within that class is (count + 1) / (class tokens + class
+words + 1), so unseen words have one too.
 
 Defined results: a null or empty text is the end token alone; a document with a null id is neither learned
 from nor held out; repeated rows are each learned from and scored; an empty table gives an empty result;
@@ -16,38 +18,40 @@ without training documents every count is 0; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ids_and_text, slices, words_of
-from .gru import CLASS_WORDS, GRU, Weights
+from .common import cut, drop_cut, ids_and_text
+from .gru import GRU, Weights
+from .words import by_bytes, split_words
 
 HEAD, HEAD_BYTES = 1 << 18, 64
-SHORTLIST = 512
 ROUNDS, RATE = 2, 0.1
-#: Tokens that a Python worker gathers before it runs the model over them.
-BATCH_TOKENS = 1_000_000
-END = b"\n"
-TAILS = 6
+#: Bytes of text that a Python worker runs the model over at a time, and distinct words that it counts before it passes them on.
+BATCH_BYTES, COUNTED = 6 << 20, 600_000
+END = "\n"
+SHAPES = 6
+#: Tail classes: SHAPES of words that the head table has, then SHAPES of others.
+TAILS = 2 * SHAPES
 LOG10 = float(np.log(10))
 
 
-def shape(word: bytes) -> int:
-    """The tail class of a word."""
+def shape(word: str) -> int:
+    """The kind of a word by its characters."""
     last = word[-1:]
-    if last in b"!$#&*%|":
+    if last in "!$#&*%|":
         return 0
     if word.isascii():
-        return 5 if any(48 <= c <= 57 for c in word) else 1 + (last in b",.")
-    return 3 + (last in b",.")
+        return 5 if any(c in word for c in "0123456789") else 1 + (last in ",.")
+    return 3 + (last in ",.")
 
 
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -59,92 +63,96 @@ def _train_filter(folds: int, fold: int):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, c long) over documents' words and ends."""
-
-    def run(batches):
-        counts: Counter = Counter()
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
-                counts[END] += 1
-            if len(counts) > 400_000:
-                yield _counted(counts)
-                counts.clear()
-        yield _counted(counts)
-
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    """(word string, c long) over documents' words and ends."""
 
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    def run(batches):
+        parts, size, ends = [], 0, 0
+        for b in by_bytes(batches, 0):
+            words, counts = split_words(b.column(0))
+            ends += len(counts)
+            seen = words.cast(pa.string()).value_counts()
+            parts.append(pa.table({"word": seen.field(0), "n": seen.field(1).cast(pa.int64())}))
+            size += len(seen)
+            if size > COUNTED:
+                whole = summed(parts)
+                parts, size = [whole], len(whole)
+                if size > COUNTED // 2:
+                    yield from whole.to_batches(max_chunksize=100_000)
+                    parts, size = [], 0
+        parts.append(pa.table({"word": pa.array([END]), "n": pa.array([ends], pa.int64())}))
+        yield from summed(parts).to_batches(max_chunksize=100_000)
+
+    return docs.select("text").mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def shortlist(v: int, head: int) -> tuple[int, int]:
+    """Words in the softmax and words a class, for v distinct training words of which the head table has `head`."""
+    short = min(head, 2 * math.isqrt(max(v, 1)) + 1)
+    return short, max(1, math.ceil(1.35 * math.sqrt(short)))
 
 
 class Vocabulary:
     """What scoring needs to know of the head words; plain arrays by head number."""
 
-    def __init__(self, head: list[tuple[bytes, int]], tail_tokens: np.ndarray, tail_words: np.ndarray, n: int, v: int):
-        head = sorted(head, key=lambda x: (-x[1], x[0]))
-        self.number = {w: i for i, (w, _) in enumerate(head)}
+    def __init__(self, head: list[tuple[str, int]], tail_tokens: np.ndarray, tail_words: np.ndarray, n: int, v: int):
+        head = sorted(head, key=lambda x: (-x[1], x[0].encode()))
+        self.words = pa.array([w for w, _ in head], pa.string())
         c = np.array([k for _, k in head], np.float64)
-        self.n_short = min(SHORTLIST, len(head))
-        heads = max(1, -(-self.n_short // CLASS_WORDS))
+        self.n_short, self.per_class = shortlist(v, len(head))
+        heads = max(1, -(-self.n_short // self.per_class))
         kinds = np.array([shape(w) for w, _ in head], np.int64)
         i = np.arange(len(head))
         short = i < self.n_short
-        # tail classes hold what the shortlist does not
-        self.tail_tokens = tail_tokens + np.bincount(kinds[~short], c[~short], TAILS)
-        self.tail_words = tail_words + np.bincount(kinds[~short], minlength=TAILS)
-        self.inputs = np.where(short, i, self.n_short + kinds).astype(np.int32)
-        self.cls = np.where(short, i // CLASS_WORDS, heads + kinds).astype(np.int32)
-        self.idx = np.where(short, i % CLASS_WORDS, 0).astype(np.int32)
-        self.within = np.where(short, 0.0, np.log10((c + 1) / self.tail_size()[kinds]))
-        self.base = np.log10((c + 1) / (n + v + 1))
+        own = [np.bincount(kinds[~short], x, SHAPES) for x in (c[~short], np.ones(int((~short).sum())))]
+        self.tail_tokens, self.tail_words = np.concatenate([own[0], tail_tokens]), np.concatenate([own[1], tail_words])
+        # one more entry, at -1, that words outside the head take for the moment
+        more = lambda x: np.concatenate([x, np.zeros(1, x.dtype)])
+        self.inputs = more(np.where(short, i, self.n_short + kinds).astype(np.int32))
+        self.cls = more(np.where(short, i // self.per_class, heads + kinds).astype(np.int32))
+        self.idx = more(np.where(short, i % self.per_class, 0).astype(np.int32))
+        self.within = more(np.where(short, 0.0, np.log10((c + 1) / self.tail_size()[kinds])))
+        self.base = more(np.log10((c + 1) / (n + v + 1)))
         self.heads, self.start_id = heads, self.n_short + TAILS
-        counts = np.zeros(heads * CLASS_WORDS)
+        counts = np.zeros(heads * self.per_class)
         counts[: self.n_short] = c[: self.n_short]
-        self.word_counts = counts.reshape(heads, CLASS_WORDS)
+        self.word_counts = counts.reshape(heads, self.per_class)
         self.class_counts = np.concatenate([self.word_counts.sum(axis=1), self.tail_tokens])
 
     def tail_size(self) -> np.ndarray:
         return self.tail_tokens + self.tail_words + 1
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Documents end to end: inputs, classes, places in class, head numbers (-1: not a head word), lengths, words."""
-        words: list[bytes] = []
-        lengths = []
-        for t in texts:
-            w = words_of(t)
-            words += w
-            words.append(END)
-            lengths.append(len(w) + 1)
-        n = len(words)
-        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, n)
+    def encode(self, texts: pa.Array) -> Encoded:
+        return Encoded(self, texts)
+
+
+class Encoded:
+    """Documents end to end, each closed by END: head numbers (-1: not a head word), classes, places in class, inputs."""
+
+    def __init__(self, voc: Vocabulary, texts: pa.Array):
+        flat, counts = split_words(texts)
+        coded = flat.cast(pa.string()).dictionary_encode()
+        self.distinct = pa.concat_arrays([coded.dictionary, pa.array([END])])
+        number = pc.fill_null(pc.index_in(self.distinct, value_set=voc.words), -1).to_numpy(zero_copy_only=False)
         rare = np.flatnonzero(number < 0)
-        kinds = np.fromiter((shape(words[i]) for i in rare.tolist()), np.int64, len(rare))
-        if len(self.inputs):
-            own, cls, idx = self.inputs[number], self.cls[number], self.idx[number]
-        else:
-            own, cls, idx = (np.zeros(n, np.int32) for _ in range(3))
-        own[rare], cls[rare], idx[rare] = self.n_short + kinds, self.heads + kinds, 0
-        lengths_ = np.array(lengths, np.int64)
-        inputs = np.empty(n, np.int32)
-        inputs[1:] = own[:-1]
-        inputs[np.concatenate([[0], np.cumsum(lengths_)[:-1]]).astype(np.int64)] = self.start_id
-        return inputs, cls, idx, number, lengths_, words
-
-
-def _batches_by_tokens(batches, texts_at: int):
-    """Lists of rows with texts of about BATCH_TOKENS tokens, at six characters a token."""
-    rows, size = [], 0
-    for b in slices(batches):
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            rows.append(r)
-            size += len(r[texts_at] or "") + 6
-            if size > 6 * BATCH_TOKENS:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        self.kind = np.zeros(len(number), np.int32)
+        self.kind[rare] = [SHAPES + shape(w) for w in self.distinct.take(pa.array(rare)).to_pylist()]
+        self.lengths = counts + 1
+        ends = np.cumsum(self.lengths) - 1
+        self.code = np.full(int(self.lengths.sum()), len(number) - 1, np.int32)
+        inside = np.ones(len(self.code), bool)
+        inside[ends] = False
+        self.code[inside] = coded.indices.to_numpy()
+        self.number = number[self.code]
+        own, cls = voc.inputs[number], voc.cls[number]
+        own[rare], cls[rare] = voc.n_short + self.kind[rare], voc.heads + self.kind[rare]
+        self.cls, self.idx = cls[self.code], voc.idx[number][self.code]
+        own = own[self.code]
+        self.inputs = np.empty(len(own), np.int32)
+        self.inputs[1:] = own[:-1]
+        self.inputs[ends + 1 - self.lengths] = voc.start_id
 
 
 def _averaged(parts: DataFrame, total: int) -> np.ndarray:
@@ -163,7 +171,7 @@ def _averaged(parts: DataFrame, total: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, shared, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
-    """The recurrent model, trained on all docs (doc_id, text): a share of them by id in each round."""
+    """The recurrent model, trained once on each of docs (doc_id, text): on a share of them by id in each round."""
     spark = docs.sparkSession
     voc: Vocabulary = shared.value
     weights = Weights.start(voc.start_id + 1, voc.class_counts, voc.word_counts)
@@ -175,10 +183,10 @@ def train(docs: DataFrame, shared, rounds: int = ROUNDS, rate: float = RATE) ->
             v = shared.value
             model = GRU(now.value.unpack(now.value.pack().copy()), v.start_id)
             tokens = 0
-            for rows in _batches_by_tokens(batches, 0):
-                inputs, cls, idx, _, lengths, _ = v.encode([r[0] for r in rows])
-                model.train(inputs, cls, idx, lengths, rate)
-                tokens += len(inputs)
+            for b in by_bytes(batches, 0, BATCH_BYTES, 1 << 20):
+                x = v.encode(b.column(0))
+                model.train(x.inputs, x.cls, x.idx, x.lengths, rate)
+                tokens += len(x.inputs)
             if tokens:
                 flat = Weights(model.w).pack().astype(np.float64) * tokens
                 blocks = [flat[i : i + 8192].tobytes() for i in range(0, size, 8192)]
@@ -212,18 +220,18 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc
             break
         least, taken = b, taken + k
     is_head = can & (bin_of >= least) if least is not None else F.lit(False)
-    head = [(bytes(w), int(c)) for w, c in counts.where(is_head).collect()]
+    head = [(w, int(c)) for w, c in counts.where(is_head).collect()]
 
     def tail_shapes(batches):
-        tokens, words = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
+        tokens, words = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for b in batches:
             if b.num_rows:
                 kinds = np.fromiter(map(shape, b.column(0).to_pylist()), np.int64, b.num_rows)
-                tokens += np.bincount(kinds, b.column(1).to_numpy(), TAILS).astype(np.int64)
-                words += np.bincount(kinds, minlength=TAILS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(TAILS), pa.int32()), pa.array(tokens), pa.array(words)], names=["kind", "tokens", "words"])
+                tokens += np.bincount(kinds, b.column(1).to_numpy(), SHAPES).astype(np.int64)
+                words += np.bincount(kinds, minlength=SHAPES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(tokens), pa.array(words)], names=["kind", "tokens", "words"])
 
-    tail_tokens, tail_words = np.zeros(TAILS), np.zeros(TAILS)
+    tail_tokens, tail_words = np.zeros(SHAPES), np.zeros(SHAPES)
     for kind, t, w in counts.where(~is_head).select("word", "c").mapInArrow(tail_shapes, "kind int, tokens long, words long").groupBy("kind").agg(F.sum("tokens"), F.sum("words")).collect():
         tail_tokens[kind], tail_words[kind] = t, w
     shared = spark.sparkContext.broadcast(Vocabulary(head, tail_tokens, tail_words, n, v))  # HEAD words
@@ -233,52 +241,46 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc
         voc = shared.value
         gru = GRU(model.value, voc.start_id)
         row_id = TaskContext.get().partitionId() << 33
-        for rows in _batches_by_tokens(batches, 1):
-            inputs, cls, idx, number, lengths, words = voc.encode([r[1] for r in rows])
-            logp = gru.score(inputs, cls, idx, lengths) / LOG10
-            doc = np.repeat(np.arange(len(rows)), lengths)
-            known = number >= 0
-            base = np.zeros(len(inputs))
-            if len(voc.base):
-                base[known] = voc.base[number[known]]
-                logp[known] += voc.within[number[known]]
-            k = len(rows)
+        for b in by_bytes(batches, 1, BATCH_BYTES, 1 << 20):
+            x = voc.encode(b.column(1))
+            logp = gru.score(x.inputs, x.cls, x.idx, x.lengths) / LOG10
+            k = b.num_rows
+            doc = np.repeat(np.arange(k), x.lengths)
+            known = x.number >= 0
+            logp += voc.within[x.number]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row_id, row_id + k)), pa.array([r[0] for r in rows], pa.int64()), pa.array([held_out(r[0], folds, fold) for r in rows]), pa.array(lengths),
-                    pa.array(np.bincount(doc, known, k).astype(np.int64)), pa.array(np.bincount(doc, base, k)), pa.array(np.bincount(doc, logp, k)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()),
+                    pa.array(np.arange(row_id, row_id + k)), b.column(0), pa.array([held_out(i, folds, fold) for i in b.column(0).to_pylist()], pa.bool_()), pa.array(x.lengths),
+                    pa.array(np.bincount(doc, known, k).astype(np.int64)), pa.array(np.bincount(doc, voc.base[x.number], k)), pa.array(np.bincount(doc, logp, k)),
+                    pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()),
                 ],
                 names=names,
             )
-            rare = Counter(zip(doc[~known].tolist(), (words[i] for i in np.flatnonzero(~known).tolist())))
-            keys = list(rare)
-            m = len(keys)
-            for at in range(0, m, 50_000):
-                part = keys[at : at + 50_000]
-                p = len(part)
+            # each document's other words, with their numbers
+            rows, times = np.unique(doc[~known] * len(x.distinct) + x.code[~known], return_counts=True)
+            for at in range(0, len(rows), 100_000):
+                who, code = np.divmod(rows[at : at + 100_000], len(x.distinct))
+                m = len(who)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.array([d for d, _ in part], np.int64) + row_id), pa.nulls(p, pa.int64()), pa.nulls(p, pa.bool_()), pa.nulls(p, pa.int64()), pa.nulls(p, pa.int64()), pa.nulls(p, pa.float64()), pa.nulls(p, pa.float64()),
-                        pa.array([w for _, w in part], pa.binary()), pa.array([rare[x] for x in part], pa.int32()),
+                        pa.array(who + row_id), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
+                        x.distinct.take(pa.array(code)), pa.array(times[at : at + m].astype(np.int32)), pa.array(x.kind[code]),
                     ],
                     names=names,
                 )
             row_id += k
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "logp", "word", "n"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "logp", "word", "n", "kind"]
     # row numbers hold only because this table is written once
-    scored = cut(some.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double, word binary, n int"), "scored")
-    sizes = shared.value.tail_size()
-    rare = scored.where("word IS NOT NULL").select("row", "word", "n")
-    rare = rare.join(counts.where(~is_head), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-
-    def tail_terms(batches):
-        for b in batches:
-            kinds = np.fromiter(map(shape, b.column(1).to_pylist()), np.int64, b.num_rows)
-            c, k = b.column(3).to_numpy().astype(np.float64), b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(c > 0, k, 0).astype(np.int64)), pa.array(k * np.log10((c + 1) / (n + v + 1))), pa.array(k * np.log10((c + 1) / sizes[kinds]))], names=["row", "known", "b", "s"])
-
-    terms = rare.select("row", "word", "n", "c").mapInArrow(tail_terms, "row long, known long, b double, s double").groupBy("row").agg(F.sum("known").alias("known"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    scored = cut(some.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double, word string, n int, kind int"), "scored")
+    sizes = F.array(*(F.lit(float(x)) for x in shared.value.tail_size()))
+    rare = scored.where("word IS NOT NULL").select("row", "word", "n", "kind")
+    c = F.coalesce("c", F.lit(0))
+    rare = rare.join(counts.where(~is_head), "word", "left").select(
+        "row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("b"), (F.col("n") * F.log10((c + 1) / F.get(sizes, F.col("kind")))).alias("s")
+    )
+    terms = cut(rare.groupBy("row").agg(F.sum("known").alias("known"), F.sum("b").alias("b"), F.sum("s").alias("s")), "terms")
+    drop_cut(counts)
     docs_ = scored.where("word IS NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "logp")
     zero = F.lit(0)
     return docs_.join(terms, "row", "left").select(
