@@ -3,7 +3,7 @@
 Only the counts per length decide a packing, so the plan is made on the length histogram (at most
 `capacity` rows however large the corpus): best-fit decreasing builds bins as patterns of lengths with a
 multiplicity, then swap-based local search exchanges or moves documents between underfull patterns so
-that squared fill rises until bins empty. The pieces get their places by rank within their length, which
+that squared fill rises until bins empty; it ends where no step is left. The pieces get their places by rank within their length, which
 Spark computes over salted buckets.
 
 Defined results: a null or empty text is one piece holding the end token alone; repeated rows are packed
@@ -12,10 +12,11 @@ as often as they occur; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, ids_and_text, slices
 
-#: Documents that can take part in one task's ranking; more salt buckets beyond that.
-BUCKET_ROWS = 50_000
+#: Pieces of one length that are ranked together, about; a length has as many salt buckets as it needs.
+BUCKET_ROWS = 1_000
 #: Pre-tokens whose ids a Python worker remembers.
 CACHE_ENTRIES = 700_000
 
@@ -158,100 +159,139 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return bins
 
 
-def _fill(p: Counter) -> int:
-    return sum(s * k for s, k in p.items())
-
-
-def _best_step(a: Counter, b: Counter, slack: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The step that moves most tokens from a to the fuller b within b's slack: a document of a moves,
-    or one or two of a are exchanged for one of b. Squared fill rises with every such step."""
+class _Kinds:
+    """Kinds of underfull bins, numbered as they come up: lengths and copies, fill, how many bins there are, and
+    what a bin can give back for what it takes (nothing, one document or two), end to end for all kinds."""
+
+    def __init__(self):
+        self.pattern: list[Pattern] = []
+        self.number: dict[Pattern, int] = {}
+        self.n = 0
+        self.fill = np.zeros(64, np.int64)
+        self.bins = np.zeros(64, np.int64)
+        self.first = [0]  # of each kind's options
+        self.m = 0
+        self.owner, self.size, self.one, self.two = (np.zeros(256, np.int64) for _ in range(4))
+
+    def add(self, pattern: Pattern, times: int) -> None:
+        """times more bins of this pattern; a kind that had run out is numbered anew, so that all look at it again."""
+        k = self.number.get(pattern)
+        if k is not None and self.bins[k]:
+            self.bins[k] += times
+            return
+        k = self.number[pattern] = self.n
+        if k == len(self.fill):
+            self.fill, self.bins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.fill, self.bins))
+        self.pattern.append(pattern)
+        self.fill[k], self.bins[k] = sum(s * c for s, c in pattern), times
+        rows = [(0, 0, 0), *gives(pattern)]
+        while self.m + len(rows) > len(self.size):
+            self.owner, self.size, self.one, self.two = (np.concatenate([x, np.zeros_like(x)]) for x in (self.owner, self.size, self.one, self.two))
+        at = slice(self.m, self.m + len(rows))
+        a = np.array(rows, np.int64)
+        self.owner[at], self.size[at], self.one[at], self.two[at] = k, a[:, 0], a[:, 1], a[:, 2]
+        self.m += len(rows)
+        self.first.append(self.m)
+        self.n += 1
+
+
+def gives(pattern: Pattern) -> list[tuple[int, int, int]]:
+    """(size, one, two) of the single documents and of the pairs that a bin can give; two is 0 for a single one."""
+    out = [(s, s, 0) for s, _ in pattern]
+    for i, (s, c) in enumerate(pattern):
+        if c > 1:
+            out.append((2 * s, s, s))
+        out += [(s + t, s, t) for t, _ in pattern[i + 1 :]]
+    return out
+
+
+def _best_step(kinds: _Kinds, a: int, since: int, capacity: int) -> tuple[int, tuple[int, int], tuple[int, int]] | None:
+    """The step from kind a to a kind numbered since or later that raises squared fill most: (kind, what a gives,
+    what it gets): one document for none, one or two, or two for none or one."""
+    lo = kinds.first[since]
+    owner = kinds.owner[lo : kinds.m]
+    back, pair = kinds.size[lo : kinds.m], kinds.two[lo : kinds.m] > 0
+    fill = kinds.fill[owner]
+    ready = kinds.bins[owner] > (owner == a)
+    least = np.maximum(kinds.fill[a] - fill, 0)
+    most = np.where(ready, capacity - fill, -1)
+    lead = fill - kinds.fill[a]
     best, found = 0, None
-    have, other = sorted(a), sorted(b)
-    at = bisect_right(have, slack)
-    if at:
-        best, found = have[at - 1], ((have[at - 1],), ())
-    for y in other:
-        if best == slack:
-            break
-        at = bisect_right(have, y + slack)
-        if at and have[at - 1] - y > best:
-            best, found = have[at - 1] - y, ((have[at - 1],), (y,))
-        for x in have:
-            if x >= y + slack:
-                break
-            at = bisect_right(have, y + slack - x)
-            while at:
-                z = have[at - 1]
-                if x + z - y <= best:
-                    break
-                if z != x or a[x] >= 2:
-                    best, found = x + z - y, ((x, z), (y,))
-                    break
-                at -= 1
-    return (best, *found) if found and best > 0 else None
-
-
-def local_search(bins: list[tuple[Pattern, int]], capacity: int, max_steps: int = 20_000) -> list[tuple[Pattern, int]]:
+    for size, x, z in gives(kinds.pattern[a]):
+        moved = size - back
+        gain = np.where((moved > least) & (moved <= most), moved * (moved + lead), 0)
+        if z:
+            gain[pair] = 0
+        at = int(gain.argmax())
+        if gain[at] > best:
+            best, found = int(gain[at]), (int(owner[at]), (x, z), (int(kinds.one[lo + at]), int(kinds.two[lo + at])))
+    return found
+
+
+def local_search(bins: list[tuple[Pattern, int]], capacity: int) -> list[tuple[Pattern, int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives to the fullest that can take something; of a kind of bin with a multiplicity
-    as many take the step as both kinds have. Ends when no step is left or after max_steps of work; no
-    document is lost either way."""
-    full = [(p, m) for p, m in bins if _fill(Counter(dict(p))) == capacity]
-    kinds: Counter = Counter()
+    Any underfull bin may give to any other, the emptiest first; of a kind of bin with a multiplicity as many take
+    the step as both kinds have. A kind that found no step is looked at again against every kind that comes up
+    later. Ends when the bins are as few as their tokens allow, or when no pair of bins has a step left."""
+    full: list[tuple[Pattern, int]] = []
+    kinds = _Kinds()
     for p, m in bins:
-        if _fill(Counter(dict(p))) < capacity:
-            kinds[tuple(sorted(p))] += m
-    total = sum(s * k * m for p, m in kinds.items() for s, k in p)
-    done: Counter = Counter()
+        if sum(s * c for s, c in p) == capacity:
+            full.append((p, m))
+        else:
+            kinds.add(tuple(sorted(p)), m)
+    n_bins = int(kinds.bins.sum())
+    total = int((kinds.fill * kinds.bins).sum())
     least = -(-total // capacity)
-    order = sorted((_fill(Counter(dict(p))), p) for p in kinds)
-    steps = 0
-    while len(order) > 1 and steps < max_steps and sum(kinds.values()) + sum(done.values()) > least:
-        fill_a, pa_ = order[0]
-        a = Counter(dict(pa_))
-        moved = False
-        for fill_b, pb in reversed(order):
-            steps += 1
-            same = pb == pa_
-            if same and kinds[pa_] < 2:
-                continue
-            b = Counter(dict(pb))
-            step = _best_step(a, b, capacity - fill_b)
-            if not step:
+    seen: list[int] = []
+    heap: list[tuple[int, int]] = []
+
+    def enlist() -> None:
+        for k in range(len(seen), kinds.n):
+            seen.append(0)
+            heapq.heappush(heap, (int(kinds.fill[k]), k))
+
+    enlist()
+    idle: list[tuple[int, int]] = []
+    while n_bins > least:
+        if not heap:
+            again = [x for x in idle if kinds.bins[x[1]] and seen[x[1]] < kinds.n]
+            if not again:
+                break
+            idle = [x for x in idle if kinds.bins[x[1]] and seen[x[1]] == kinds.n]
+            heap = again
+            heapq.heapify(heap)
+        a = heap[0][1]
+        step = _best_step(kinds, a, seen[a], capacity) if kinds.bins[a] and seen[a] < kinds.n else None
+        if not step:
+            if kinds.bins[a]:
+                seen[a] = kinds.n
+                idle.append(heap[0])
+            heapq.heappop(heap)
+            continue
+        b, out, back = step
+        times = int(kinds.bins[a] // 2 if a == b else min(kinds.bins[a], kinds.bins[b]))
+        new_a, new_b = (Counter(dict(kinds.pattern[k])) for k in (a, b))
+        for x, src, dst in [*((x, new_a, new_b) for x in out if x), *((y, new_b, new_a) for y in back if y)]:
+            src[x] -= 1
+            dst[x] += 1
+        kinds.bins[a] -= times
+        kinds.bins[b] -= times
+        n_bins -= 2 * times
+        for new in (+new_a, +new_b):
+            if not new:
                 continue
-            gain, out, back = step
-            times = kinds[pa_] // 2 if same else min(kinds[pa_], kinds[pb])
-            new_a, new_b = a.copy(), b.copy()
-            for x in out:
-                new_a[x] -= 1
-                new_b[x] += 1
-            for y in back:
-                new_b[y] -= 1
-                new_a[y] += 1
-            for p in (pa_, pb):
-                kinds[p] -= times
-                if not kinds[p]:
-                    del kinds[p]
-                    order.remove((_fill(Counter(dict(p))), p))
-            for n in (+new_a, +new_b):
-                p = tuple(sorted(n.items()))
-                if not p:
-                    continue
-                if _fill(n) == capacity:
-                    full.append((p, times))
-                    total -= capacity * times
-                    least = -(-total // capacity)
-                    continue
-                if p not in kinds:
-                    insort(order, (_fill(n), p))
-                kinds[p] += times
-            moved = True
-            break
-        if not moved:  # nothing takes from it any more: it stays as it is
-            done[pa_] += kinds.pop(pa_)
-            order.pop(0)
-    return [*full, *done.items(), *kinds.items()]
+            p, fill = tuple(sorted(new.items())), sum(s * c for s, c in new.items())
+            if fill == capacity:
+                full.append((p, times))
+                total -= capacity * times
+                least = -(-total // capacity)
+            else:
+                kinds.add(p, times)
+                n_bins += times
+        enlist()
+    return [*full, *((kinds.pattern[k], int(kinds.bins[k])) for k in range(kinds.n) if kinds.bins[k])]
 
 
 def plan_bins(hist: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -280,8 +320,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, key_cols: tuple[str, ...] = ("
     spark = pieces.sparkSession
     hist = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     layout = spark.sparkContext.broadcast(slots(plan_bins(hist, capacity)))  # bounded by the lengths, not the rows
-    buckets = max(1, sum(hist.values()) // BUCKET_ROWS + 1) * 4
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
+    buckets = F.lit([hist.get(n, 0) // BUCKET_ROWS + 1 for n in range(capacity + 1)])
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key_cols), F.get(buckets, F.col("length").cast("int"))).cast("long"))
     counts = salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*key_cols)).cast("long"))
