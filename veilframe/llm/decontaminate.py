@@ -2,8 +2,8 @@
 
 Every passage of every document is a query. Weights are divided by an item's score against itself, so
 one threshold holds for all items. Passages are windows of two segments, a segment being as long as the
-longest item, so each place where an item can stand lies whole in a window. Upper bounds of all (window,
-block of items) pairs come from the block maxima; windows with a block that can reach the threshold go
+longest of all items, so each place where an item can stand lies whole in a window. Upper bounds of all (window,
+block of items) pairs come from the block maxima, for some windows at a time; windows with a block that can reach the threshold go
 through the document-at-a-time WAND loop, which skips by block maxima and returns every item at or above
 the threshold. A hit is confirmed on the words: shares of the question's and of the answer's word
 n-grams that stand in the window.
@@ -29,6 +29,8 @@ from .common import ids_and_text, slices
 INDEX_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 BLOCK = 4
+#: Cells, of windows by blocks or by their terms' postings, that bounds are computed for at a time.
+CELLS = 2_000_000
 _TABLE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
@@ -86,12 +88,53 @@ class BlockMaxIndex:
         self.block_of = np.array([k for b in blocks for k, _ in b], np.int64)
         self.block_max = np.array([x for b in blocks for _, x in b], np.float64)
 
-    def bounds(self, window: np.ndarray, term: np.ndarray, n_windows: int) -> np.ndarray:
-        """Upper bound of any item's score in each (window, block); (window, term) rows are distinct."""
-        start, size = self.first[term], self.first[term + 1] - self.first[term]
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        cell = np.repeat(window, size) * self.n_blocks + self.block_of[at]
-        return np.bincount(cell, self.block_max[at], n_windows * self.n_blocks).reshape(n_windows, self.n_blocks)
+    def hopeful(self, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float) -> list[int]:
+        """Windows with a block whose upper bound reaches the threshold; (window, term) rows are distinct and in order."""
+        size = self.first[term + 1] - self.first[term]
+        row_of = np.searchsorted(window, np.arange(n_windows + 1))
+        cost = np.diff(np.concatenate([[0], np.cumsum(size)])[row_of]) + self.n_blocks
+        found: list[int] = []
+        at, spent = 0, np.cumsum(cost)
+        while at < n_windows:
+            stop = max(at + 1, int(np.searchsorted(spent, CELLS + (spent[at - 1] if at else 0), "right")))
+            rows = slice(row_of[at], row_of[stop])
+            n, own = size[rows], self.first[term[rows]]
+            places = np.repeat(own - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            cell = np.repeat(window[rows] - at, n) * self.n_blocks + self.block_of[places]
+            bound = np.bincount(cell, self.block_max[places], (stop - at) * self.n_blocks).reshape(stop - at, self.n_blocks)
+            found += (at + np.flatnonzero((bound >= threshold - 1e-9).any(axis=1))).tolist()
+            at = stop
+        return found
+
+    def search(self, texts: list[list[bytes]], step: int, threshold: float, min_question: float, min_answer: float, n: int) -> list[tuple]:
+        """(text number, item id, first word, score, question overlap, answer overlap) of all windows of 2 * step words."""
+        rows: list[tuple] = []
+        counts = [-(-len(w) // step) for w in texts]
+        at = np.cumsum([0, *counts])
+        n_segments = int(at[-1])
+        if not n_segments or not self.ids:
+            return rows
+        get = self.term.get
+        total = sum(map(len, texts))
+        term = np.fromiter((get(x, -1) for w in texts for x in w), np.int64, total)
+        segment = np.concatenate([np.arange(len(w)) // step + s for w, s in zip(texts, at[:-1])])
+        keep = term >= 0
+        n_terms = len(self.term)
+        segment, term = segment[keep], term[keep]
+        opening = np.zeros(n_segments, bool)
+        opening[[s for s, c in zip(at[:-1].tolist(), counts) if c]] = True
+        # a window is a segment and the next one of its document; each term counts once in it
+        after = ~opening[segment]
+        pairs = np.unique(np.concatenate([segment * n_terms + term, (segment[after] - 1) * n_terms + term[after]]))
+        for s in self.hopeful(pairs // n_terms, pairs % n_terms, n_segments, threshold):
+            k = int(np.searchsorted(at, s, "right")) - 1
+            first = (s - int(at[k])) * step
+            window = texts[k][first : first + 2 * step]
+            for item, score in self.wand({t for t in map(get, window) if t is not None}, threshold):
+                q, a = self.overlap(item, window, n)
+                if q >= min_question and a >= min_answer:
+                    rows.append((k, self.ids[item], first, min(1.0, score), q, a))
+        return rows
 
     def wand(self, query: set[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score is at least the threshold, by block-max WAND."""
@@ -163,61 +206,54 @@ def _lengths(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x for x in n if x], pa.int64())], names=["n"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, start_word, score, question_overlap, answer_overlap): a row for each document and
-    item with a window at or above all three thresholds, from the best such window."""
-    spark = docs.sparkSession
-    some = ids_and_text(docs, id_col, text_col)
+def _indexes(items: DataFrame, item_id_col: str, item_text_col: str):
+    """(index as a broadcast, words a segment) for each part of the items."""
+    spark = items.sparkSession
     test = ids_and_text(items, item_id_col, item_text_col).where("text IS NOT NULL AND doc_id IS NOT NULL")
     size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_items, mean_len = test.mapInArrow(_lengths, "n long").agg(F.count(F.lit(1)), F.avg("n")).first()
-    out_schema = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
+    n_items, mean_len, longest = test.mapInArrow(_lengths, "n long").agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
     if not n_items:
-        return spark.createDataFrame([], out_schema)
+        return
     df = test.mapInArrow(_terms, "item long, term binary").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     parts = -(-size // INDEX_BYTES)
-    found = None
     for part in range(parts):
-        shared = spark.sparkContext.broadcast(build_index(test, part, parts, df, n_items, mean_len))
+        yield spark.sparkContext.broadcast(build_index(test, part, parts, df, n_items, mean_len)), int(longest)
+
 
-        def search(batches, shared=shared):
-            index = shared.value
-            get, step = index.term.get, max(index.longest, 1)
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, start_word, score, question_overlap, answer_overlap): a row for each document and
+    item with a window at or above all three thresholds, from the best such window."""
+    some = ids_and_text(docs, id_col, text_col)
+    out_schema = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
+    found = docs.sparkSession.createDataFrame([], out_schema)
+    for shared, step in _indexes(items, item_id_col, item_text_col):
+
+        def search(batches, shared=shared, step=step):
             for b in slices(batches, 128):
                 ids, texts = b.column(0).to_pylist(), [terms_of(t) for t in b.column(1).to_pylist()]
-                rows: list[tuple] = []
-                counts = [-(-len(w) // step) for w in texts]
-                at = np.cumsum([0, *counts])
-                n_segments = int(at[-1])
-                if n_segments and index.ids:
-                    total = sum(map(len, texts))
-                    term = np.fromiter((get(x, -1) for w in texts for x in w), np.int64, total)
-                    segment = np.concatenate([np.arange(len(w)) // step + s for w, s in zip(texts, at[:-1])])
-                    keep = term >= 0
-                    n_terms = len(index.term)
-                    segment, term = segment[keep], term[keep]
-                    opening = np.zeros(n_segments, bool)
-                    opening[[s for s, c in zip(at[:-1].tolist(), counts) if c]] = True
-                    # a window is a segment and the next one of its document; each term counts once in it
-                    after = ~opening[segment]
-                    pairs = np.unique(np.concatenate([segment * n_terms + term, (segment[after] - 1) * n_terms + term[after]]))
-                    bound = index.bounds(pairs // n_terms, pairs % n_terms, n_segments)
-                    for s in np.flatnonzero((bound >= threshold - 1e-9).any(axis=1)).tolist():
-                        k = int(np.searchsorted(at, s, "right")) - 1
-                        first = (s - int(at[k])) * step
-                        window = texts[k][first : first + 2 * step]
-                        for item, score in index.wand({t for t in map(get, window) if t is not None}, threshold):
-                            q, a = index.overlap(item, window, n)
-                            if q >= min_question and a >= min_answer:
-                                rows.append((k, index.ids[item], first, min(1.0, score), q, a))
                 best: dict[tuple[int, int], tuple] = {}
-                for r in rows:
+                for r in shared.value.search(texts, step, threshold, min_question, min_answer, n):
                     if (r[0], r[1]) not in best or r[3:] > best[r[0], r[1]][3:]:
                         best[r[0], r[1]] = r
                 cols = list(zip(*((ids[r[0]], *r[1:]) for r in best.values()))) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in out_schema.split(", ")])
 
-        hits = some.mapInArrow(search, out_schema)
-        found = hits if found is None else found.unionByName(hits)
+        found = found.unionByName(some.mapInArrow(search, out_schema))
     return found
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.5, min_answer: float = 0.5, n: int = 3, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item: each row goes by its own text, whatever its id."""
+    for shared, step in _indexes(items, item_id_col, item_text_col):
+        at = docs.columns.index(text_col)
+
+        def search(batches, shared=shared, step=step, at=at):
+            for b in slices(batches, 128):
+                texts = [terms_of(None if t is None else str(t)) for t in b.column(at).to_pylist()]
+                keep = np.ones(b.num_rows, bool)
+                keep[[r[0] for r in shared.value.search(texts, step, threshold, min_question, min_answer, n)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(search, docs.schema)
+    return docs
