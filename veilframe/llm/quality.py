@@ -170,6 +170,11 @@ def label_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, pattern string")
 
 
+def share_bound(share: float) -> int:
+    """The signed 64-bit number that this share of all such numbers does not exceed."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def train_quality(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, np.ndarray]:
     """The label model over all docs (doc_id, text) and the linear weights fitted on at most about fit_rows of them."""
     counts = label_documents(docs).where("n_words > 0").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** labellers rows at most
@@ -187,7 +192,9 @@ def train_quality(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel
             rows = [(i.tobytes(), v.tobytes(), posterior.get(votes(t, w), 0.5)) for t, w, (i, v) in zip(texts, words, hasher.features(words)) if w]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], names=["ids", "values", "y"])
 
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1_000_000)) < int(share * 1_000_000))
+    # a share of all 64-bit hashes; equal rows count once, so that a text repeated without end is one row here
+    own = F.xxhash64("doc_id", F.xxhash64("text"))
+    picked = docs.where(own <= F.lit(share_bound(share))).dropDuplicates(["doc_id", "text"])
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in picked.mapInArrow(features, "ids binary, values binary, y double").collect()]
     return model, fit_linear(rows)
 
