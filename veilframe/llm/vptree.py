@@ -8,25 +8,28 @@ best inner product so far: relax 1 is the triangle inequality and exact; less sk
 by the bound alone, a wide spread of them makes radii larger and the search slower, not recall smaller.
 Candidates are scored again on the original vectors in double precision.
 
-Shards and blocks of queries are of fixed size; every block of queries meets every shard, and each
-meeting keeps k rows.
-
-Defined results: vectors that are null, of another length than most, zero, or with null or non-finite
-components take no part; a query is not its own neighbour, nor are rows under its id; ties go to the smaller id;
-repeated ids are searched once (the row with the smallest components counts); an empty table gives no rows.
+Vectors are dealt to shards by a hash, one row travelling once for each group of queries; a task holds one shard,
+builds its tree over the distinct vectors once, and searches it with its group's queries as they come. Of each
+shard and query k rows go on to the last ranking.
+
+Defined results: vectors that are null, zero, or with null or non-finite components take no part; queries and
+candidates of different lengths don't meet; a query row is not its own neighbour, but other rows under its id are
+candidates, and each row of a repeated id is searched and found for itself; ties go to the smaller id; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, default_parallelism
 
-SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 16_384, 1_024, 512
+#: Rows of a shard and queries of a group at most, about (64 MB each with 64 dimensions), and rows of a shard where
+#: there are tasks for more of them; queries searched at a time; rows of a leaf; vantage points tried for a node.
+SHARD_ROWS, LEAST_SHARD_ROWS, QUERY_ROWS, LEAF_ROWS, TRIED = 131_072, 16_384, 1_024, 512, 8
 
 
 class VPTree:
@@ -49,7 +52,10 @@ class VPTree:
                 self.nodes.append((start, stop))
                 continue
             rows = self.order[start:stop]
-            v = x[rows[rng.integers(len(rows))]]
+            # of some rows the one whose distances to others spread most
+            seen, tried = x[rng.choice(rows, min(256, len(rows)), replace=False)], x[rng.choice(rows, min(TRIED, len(rows)), replace=False)]
+            spread = ((seen[:, None] - tried[None]) ** 2).sum(axis=2)
+            v = tried[int(np.sqrt(spread).std(axis=0).argmax())]
             d = np.sqrt(np.maximum(((x[rows] - v) ** 2).sum(axis=1), 0))
             mid = len(rows) // 2
             part = np.argpartition(d, mid)
@@ -66,9 +72,9 @@ class VPTree:
         """The distance within which a row of the node must lie to cost less than worst."""
         return np.sqrt(worst)
 
-    def search(self, q: np.ndarray, k: int, relax: float, banned: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, q: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, int]:
         """For each query (k) row numbers and costs, -1 and inf where there are fewer, and the
-        number of distances computed. banned: for each query the id that may not be returned."""
+        number of distances computed."""
         n = len(q)
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
         work = 0
@@ -84,8 +90,6 @@ class VPTree:
                 rows = self.order[at[0] : at[1]]
                 d = self._cost(q[who], rows)
                 work += d.size
-                if banned is not None:
-                    d[ids[rows][None, :] == banned[who][:, None]] = np.inf
                 all_d = np.concatenate([best_d[who], d], axis=1)
                 all_i = np.concatenate([best_i[who], np.broadcast_to(rows, d.shape)], axis=1)
                 keep = np.argpartition(all_d, k - 1, axis=1)[:, :k]
@@ -139,51 +143,103 @@ class ProductTree(VPTree):
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
+    """(row, vec_id, v array<double>, dim) of the vectors that take part; row numbers hold once this is stored."""
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim"))
+
+
+class Shard:
+    """The distinct vectors of a shard in a tree, and for each the rows that have it, smallest id first."""
+
+    def __init__(self, row: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        order = np.lexsort((row, ids))
+        self.row, self.ids = row[order], ids[order]
+        x = np.ascontiguousarray(x[order])
+        # rows as opaque blocks of bytes
+        _, first, which = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        self.x = x[first]
+        self.members = np.argsort(which, kind="stable")
+        self.start = np.searchsorted(which[self.members], np.arange(len(first) + 1))
+        self.tree = ProductTree(self.x)
+
+    def nearest(self, row: np.ndarray, q: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, ...]:
+        """(query number, vec_id, row, score) of the k nearest rows found for each query, less the query's own row."""
+        at, _, _ = self.tree.search(directions(q), min(k + 1, len(self.x)), relax)
+        who, place = np.nonzero(at >= 0)
+        hit = at[who, place]
+        score = np.einsum("ij,ij->i", q[who], self.x[hit])
+        n = np.minimum(self.start[hit + 1] - self.start[hit], k + 1)
+        member = self.members[np.repeat(self.start[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        who, score = np.repeat(who, n), np.repeat(score, n)
+        own = self.row[member] == row[who]
+        who, score, member = who[~own], score[~own], member[~own]
+        order = np.lexsort((self.row[member], self.ids[member], -score, who))
+        who = who[order]
+        keep = order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+        return who[np.arange(len(who)) - np.searchsorted(who, who) < k], self.ids[member[keep]], self.row[member[keep]], score[keep]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, relax: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query(vec_id) holds, its k nearest found."""
     rows = cut(usable(vectors, id_col, vector_col), "vectors")
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim = dims[0][0]
-    rows = rows.where(F.size("v") == dim)
-    total = rows.count()
-    n_queries = rows.where(is_query(F.col("vec_id"))).count()
-    shards, blocks = -(-total // shard_rows), max(1, -(-n_queries // query_rows))
-
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
-
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
-    stored = cut(rows.select(shard.alias("shard"), "vec_id", "v").groupBy("shard").applyInPandas(index, "shard int, ids binary, x binary"), "shards")
-    asked = rows.where(is_query(F.col("vec_id"))).select(block.alias("shard"), "vec_id", "v").groupBy("shard").applyInPandas(index, "shard int, ids binary, x binary").select(F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # one copy of a block of queries for each shard: the stated query set against all rows, in blocks
-    meetings = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(stored, "shard").repartition(F.col("shard"), F.col("block"))
+    asks = is_query(F.col("vec_id"))
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("q")).where("q > 0").collect()  # a row for each length of vectors
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    cores = default_parallelism(vectors.sparkSession)
+    shards = {r.dim: max(-(-r.n // shard_rows), min(-(-r.n // min(LEAST_SHARD_ROWS, shard_rows)), 2 * cores)) for r in sizes}
+    groups = {r.dim: max(-(-r.q // shard_rows), min(-(-r.q // query_rows), -(-cores // shards[r.dim]))) for r in sizes}
+    of = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), F.col("dim"))
+    part = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), of(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
+    live = rows.where(F.col("dim").isin(list(shards)))
+    stored = live.select("dim", part(shards, 1).alias("shard"), every(groups).alias("grp"), F.lit(0).alias("asks"), "row", "vec_id", "v")
+    asked = live.where(asks).select("dim", every(shards).alias("shard"), part(groups, 2).alias("grp"), F.lit(1).alias("asks"), "row", "vec_id", "v")
+    tasks = sum(shards[d] * groups[d] for d in shards)
+    both = stored.unionByName(asked).repartition(max(tasks, 1), "dim", "shard", "grp").sortWithinPartitions("dim", "shard", "grp", "asks")
 
     def meet(batches):
-        tree, last = None, None
+        now, shard, parts, waiting = None, None, [], []
+
+        def joined(pieces):
+            row, ids, x = (np.concatenate(c) for c in zip(*pieces))
+            pieces.clear()
+            return row, ids, x
+
+        def found():
+            row, ids, q = joined(waiting)
+            for i in range(0, len(row), query_rows):
+                who, other, other_row, score = shard.nearest(row[i : i + query_rows], q[i : i + query_rows], k, relax)
+                yield pa.RecordBatch.from_arrays([pa.array(row[i : i + query_rows][who]), pa.array(ids[i : i + query_rows][who]), pa.array(other), pa.array(other_row), pa.array(score)], names=["query_row", "query_id", "vec_id", "row", "score"])
+
         for b in batches:
-            for i in range(b.num_rows):
-                s, ids, x, q_ids, q = (b.column(n)[i].as_py() for n in ("shard", "ids", "x", "q_ids", "q_x"))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x, q = np.frombuffer(x, np.float64).reshape(-1, dim), np.frombuffer(q, np.float64).reshape(-1, dim)
-                if s != last:
-                    tree, last = ProductTree(x), s
-                at, _, _ = tree.search(directions(q), min(k, len(x)), relax, q_ids, ids)
-                who, place = np.nonzero(at >= 0)
-                hit = at[who, place]
-                score = np.einsum("ij,ij->i", q[who], x[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(ids[hit]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = meetings.select("shard", "ids", "x", "q_ids", "q_x").mapInArrow(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            keys = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1 if b.num_rows else []
+            for a, z in zip([0, *edges], [*edges, b.num_rows]):
+                if a == z:
+                    continue
+                key, query = tuple(keys[a, :3]), keys[a, 3]
+                if key != now:
+                    if waiting:
+                        yield from found()
+                    now, shard = key, None
+                    parts.clear()
+                c = b.slice(a, z - a)
+                piece = c.column(4).to_numpy(), c.column(5).to_numpy(), c.column(6).flatten().to_numpy().reshape(z - a, -1)
+                if not query:
+                    parts.append(piece)
+                    continue
+                if shard is None and parts:
+                    shard = Shard(*joined(parts))
+                if shard is not None:
+                    waiting.append(piece)
+                    if sum(len(w[0]) for w in waiting) >= query_rows:
+                        yield from found()
+        if waiting:
+            yield from found()
+
+    hits = both.select("dim", "shard", "grp", "asks", "row", "vec_id", "v").mapInArrow(meet, "query_row long, query_id long, vec_id long, row long, score double")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
