@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,48 @@ def test_local_search_empties_bins():
     assert sum(m for _, m in packing.local_search([(((6, 1), (3, 1)), 1), (((5, 1), (2, 2)), 1), (((1, 2),), 1)], 10)) == 2
 
 
+def all_pairs_search(bins, capacity):
+    """Moves, one-for-one and two-for-one exchanges between any two bins, as long as squared fill rises."""
+    bins = [[s for s, k in p for _ in range(k)] for p, m in bins for _ in range(m)]
+
+    def step(a, b):
+        outs = [(x,) for x in a] + [(a[i], a[j]) for i in range(len(a)) for j in range(i)]
+        for o in outs:
+            for y in [(), *((y,) for y in b)]:
+                d = sum(o) - sum(y)
+                if d > max(0, sum(a) - sum(b)) and sum(b) + d <= capacity:
+                    return o, y
+        return None
+
+    moved = True
+    while moved:
+        moved = False
+        for a in bins:
+            for b in bins:
+                if a is not b and (found := step(a, b)):
+                    for x in found[0]:
+                        a.remove(x), b.append(x)
+                    for y in found[1]:
+                        b.remove(y), a.append(y)
+                    moved = True
+        bins = [b for b in bins if b]
+    return len(bins)
+
+
+def test_local_search_is_no_worse_than_all_pairs():
+    random.seed(1)
+    better = 0
+    for _ in range(400):
+        sizes = Counter(random.randint(8, 60) for _ in range(14))
+        start = packing.best_fit(dict(sizes), 100)
+        n = sum(m for _, m in start)
+        if n > -(-sum(sizes.elements()) // 100):
+            end = sum(m for _, m in packing.local_search(start, 100))
+            assert end <= min(n, all_pairs_search(start, 100))
+            better += end < n
+    assert better >= 25
+
+
 def test_packing_odd(spark):
     out = packing.pack_documents(odd_docs(spark), queries.tokenizer_json(), capacity=64).collect()
     check_packing(out, 64)
@@ -212,6 +255,36 @@ def test_decontamination_in_parts(spark, duck, monkeypatch):
     assert whole and key(decontaminate.contaminated(docs, items)) == whole
 
 
+def test_unequal_items_in_parts(spark, monkeypatch):
+    """A short item in one part and a long one in another: windows are those of the longest item of all."""
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(8 if i % 3 else 60)) + ".") for i in range(30)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        gap = [word() for _ in range(25)]
+        texts.append(" ".join([*(word() for _ in range(40)), *w[: len(w) // 2], *gap, *w[len(w) // 2 :], *(word() for _ in range(30))]))
+    docs, table = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((r.doc_id, r.item_id, r.start_word, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in df.collect())
+    whole = key(decontaminate.contaminated(docs, table))
+    monkeypatch.setattr(decontaminate, "CELLS", 7)
+    assert whole and key(decontaminate.contaminated(docs, table)) == whole
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 400)
+    assert key(decontaminate.contaminated(docs, table)) == whole
+    hit = {r[0] for r in whole}
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, table).collect()) == sorted(set(range(30)) - hit)
+
+
+def test_clean_rows_by_their_own_text(spark):
+    item = "which river runs through the old town of the lowlands today? the broad green meuse does."
+    rows_ = [(None, item, "a"), (None, "nothing here", "b"), (1, item, "c"), (1, "another text", "d"), (2, None, "e")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, item_id string")
+    table = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.clean_documents(docs, table).collect()) == ["b", "d", "e"]
+    assert decontaminate.clean_documents(docs, table.where("false")).count() == 5
+
+
 # vantage-point trees
 
 
@@ -231,17 +304,39 @@ def test_tree_is_exact_at_one_and_finds_most_below(spark):
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 8)).round(3)
-    rows_ = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (1004, [1.0]), (20, [9.0] * 8)]
-    t = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
-    kept = {i: min([r for j, r in rows_ if j == i]) for i in range(400)}
+    odd = [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (1004, [1.0]), (None, [1.0] * 8), (20, [9.0] * 8)]
+    # a hot vector, ties between ids, a repeated row, and vectors of another length
+    more = [(2000 + i, [2.0] * 8) for i in range(300)] + [(40, [2.0] * 8)] * 2 + [(3000 + i, [float(i + 1), 1.0]) for i in range(30)]
+    rows_ = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd + more
+    t = spark.createDataFrame([(i, v, "a", 1, 2.0) for i, v in rows_], "vec_id long, embedding array<double>, row string, dim int, score double")
     got = defaultdict(list)
     for r in vptree.nearest(t, lambda v: v % 20 == 0, k=5, relax=1.0, shard_rows=100, query_rows=7).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == set(range(0, 400, 20))
-    for q, found in got.items():
-        want = sorted((-float(np.dot(kept[q], kept[i])), i) for i in kept if i != q)[:5]
-        assert [v for _, v, _ in sorted(found)] == [i for _, i in want]
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    live = [(i, v) for i, v in rows_ if i is not None and v and all(c is not None and c == c for c in v) and any(v)]
+    want = defaultdict(list)
+    for n, (i, v) in enumerate(live):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(v, u)), j) for m, (j, u) in enumerate(live) if m != n and len(u) == len(v))[:5]
+            want[i] += [(k + 1, j, round(-s, 9)) for k, (s, j) in enumerate(near)]
+    assert {q: sorted(f) for q, f in got.items()} == {q: sorted(f) for q, f in want.items()}
     assert vptree.nearest(t.where("false"), lambda v: v % 20 == 0).count() == 0
+    assert vptree.nearest(t.where("vec_id = 1004"), lambda v: v % 2 == 0).count() == 0
+
+
+def test_registered_search_finds_most(spark, duck):
+    """The query as registered, its default factor against brute force."""
+    data = [(i, v) for i, v in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall() if v]
+    x = np.array([v for _, v in data], float)
+    ids = np.array([i for i, _ in data])
+    got = defaultdict(set)
+    for r in queries.op4_vantage_point_neighbours(spark, SF).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for n in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[n]
+        score[n] = -np.inf
+        hits.append(len(got[ids[n]] & set(ids[np.lexsort((ids, -score))[:20]])) / 20)
+    assert np.mean(hits) >= 0.9
 
 
 @pytest.mark.parametrize("spread", ["one of norm 10", "lognormal"])
@@ -298,11 +393,17 @@ def test_rare_words_join(spark, documents, monkeypatch):
     assert all(math.isclose(want[i][0], got[i][0], rel_tol=1e-9) and want[i][1] == got[i][1] for i in want)
 
 
+def small_model(class_counts, heads):
+    from veilframe.llm import gru
+
+    return gru.Weights.start(9, np.array(class_counts), np.array([[3.0, 1.0, 2.0, 1.0, 0.0]] * heads))
+
+
 def test_gru_gradients():
     from veilframe.llm import gru
 
     rng = np.random.default_rng(0)
-    w = gru.Weights.start(9, np.array([6.0, 4.0, 3.0]), np.array([[3.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4), [1.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4)]))
+    w = small_model([6.0, 4.0, 3.0], 2)
     inputs = np.array([8, 1, 2, 3, 8, 4, 5], np.int32)
     cls, idx = np.array([0, 1, 2, 0, 1, 2, 0]), np.array([1, 2, 0, 3, 0, 0, 2])
     lengths = np.array([4, 3])
@@ -314,31 +415,99 @@ def test_gru_gradients():
 
     grads = {}
     m = gru.GRU(gru.Weights({k: v.copy() for k, v in base.items()}), 8)
-    m._step = lambda g, x, real, scale, rate: grads.update({k: np.array(v, np.float64) for k, v in g.items()} | {"x": x.copy()})
+    m._step = lambda g, x, real, scale, rate: grads.update({k: np.array(v, np.float64) for k, v in g.items()} | {"x": x.copy(), "real": real})
     m.train(inputs, cls, idx, lengths, 0.1)
-    for name in ("U", "Wc", "bc", "Ww"):
-        for _ in range(6):
+    E = np.zeros_like(base["E"])
+    np.add.at(E, grads["x"][grads["real"]], grads["E"].transpose(0, 2, 1)[grads["real"]])
+    grads["E"] = E
+    for name in ("U", "Wc", "Ww", "E"):
+        for _ in range(12):
             at = tuple(rng.integers(0, s) for s in base[name].shape)
             if name == "Ww":
-                at = (at[0], at[1], at[2] % 4)
+                at = (*at[:2], at[2] % 4)
             up, down = ({k: v.copy() for k, v in base.items()} for _ in range(2))
-            up[name][at] += 1e-3
-            down[name][at] -= 1e-3
-            assert abs((loss(up) - loss(down)) / 2e-3 - grads[name][at]) < 2e-2
-
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - grads[name][at]) < 1e-5
+
+
+def plain_score(w, inputs, cls, idx, start_id):
+    """One document, one step after another, in double precision."""
+    E, U, Wc, Ww = (w.a[k].astype(np.float64) for k in ("E", "U", "Wc", "Ww"))
+    H = U.shape[1] // 3
+    h, out = np.zeros(H), []
+    soft = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for x, c, i in zip(inputs, cls, idx):
+        a = h @ U[:H] + U[H]
+        z, r = (1 / (1 + np.exp(-(E[x, k * H : (k + 1) * H] + a[k * H : (k + 1) * H]))) for k in (0, 1))
+        new = np.tanh(E[x, 2 * H :] + r * a[2 * H :])
+        h = new + z * (h - new)
+        out.append(soft(h @ Wc[:H] + Wc[H])[c] + (soft(h @ Ww[c][:H] + Ww[c][H])[i] if c < len(Ww) else 0.0))
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_pass():
+    """Documents of very unequal lengths in lanes and windows, each with its state carried to its end."""
+    from veilframe.llm import gru
 
-def test_state_carries_across_windows():
+    rng = np.random.default_rng(1)
+    w = small_model([6.0, 4.0, 3.0], 2)
+    lengths = np.array([3, 1, 700, 40, 1, 5000, 17])
+    n = int(lengths.sum())
+    cls = rng.integers(0, 3, n)
+    idx = np.where(cls < 2, rng.integers(0, 4, n), 0)
+    inputs = rng.integers(0, 8, n).astype(np.int32)
+    ends = np.cumsum(lengths)
+    inputs[ends - lengths] = 8
+    got = gru.GRU(w, 8).score(inputs, cls, idx, lengths)
+    for a, b in zip(ends - lengths, ends):
+        assert np.allclose(got[a:b], plain_score(w, inputs[a:b], cls[a:b], idx[a:b], 8), atol=2e-4)
+
+
+def test_query_scores_equal_a_plain_pass(spark, documents, monkeypatch):
+    """The registered score of each document, words outside the softmax and the head table included."""
+    kept = {}
+    plain_train = lmscore.train
+
+    def train(docs, shared, rounds):
+        kept["voc"], kept["w"] = shared.value, plain_train(docs, shared, rounds)
+        return kept["w"]
+
+    monkeypatch.setattr(lmscore, "train", train)
+    monkeypatch.setattr(lmscore, "HEAD", 900)
+    some = documents[:80]
+    got = {r.doc_id: r.score for r in lmscore.lm_scores(spark.createDataFrame(some, DOCS)).collect()}
+    voc, w = kept["voc"], kept["w"]
+    counts = Counter()
+    for i, t in some:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([x.decode() for x in (t or "").encode().lower().split()] + ["\n"])
+    head = {x: k for k, x in enumerate(voc.words.to_pylist())}
+    assert voc.n_short < len(head) < len(counts)
+    tail = defaultdict(list)
+    for x, c in counts.items():
+        if head.get(x, voc.n_short) >= voc.n_short:
+            tail[lmscore.shape(x) + lmscore.SHAPES * (x not in head)].append(c)
+    for i, t in some:
+        words = [x.decode() for x in (t or "").encode().lower().split()] + ["\n"]
+        cls, idx, within, own = [], [], 0.0, []
+        for x in words:
+            k = head.get(x, -1)
+            if 0 <= k < voc.n_short:
+                cls.append(k // voc.per_class), idx.append(k % voc.per_class), own.append(k)
+            else:
+                kind = lmscore.shape(x) + lmscore.SHAPES * (k < 0)
+                cls.append(voc.heads + kind), idx.append(0), own.append(voc.n_short + kind)
+                within += math.log10((counts[x] + 1) / (sum(tail[kind]) + len(tail[kind]) + 1))
+        want = plain_score(w, [voc.start_id, *own[:-1]], cls, idx, voc.start_id).sum() / math.log(10) + within
+        assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-3)
+
+
+def test_stretches_hold_every_token():
     from veilframe.llm import gru
 
-    w = gru.Weights.start(9, np.array([6.0, 4.0]), np.array([[3.0] * 4 + [0.0] * (gru.CLASS_WORDS - 4)]))
-    n = 3 * gru.WINDOW + 5
-    rng = np.random.default_rng(0)
-    own = rng.integers(0, 8, n)
-    inputs = np.concatenate([[8], own[:-1]]).astype(np.int32)
-    model = gru.GRU(w, 8)
-    whole = model.score(inputs, np.zeros(n, int), own % 4, np.array([n]))
-    shorter = model.score(inputs[:-2], np.zeros(n - 2, int), own[:-2] % 4, np.array([n - 2]))
-    assert np.allclose(whole[:-2], shorter, atol=1e-5)
+    starts, sizes = gru.stretches(np.array([3, 0, 2500, 1024]), 1024)
+    assert np.concatenate([np.arange(a, a + n) for a, n in zip(starts, sizes)]).tolist() == list(range(3527)) and sizes.max() == 1024
 
 
 def test_lm_odd(spark):
@@ -380,6 +549,50 @@ def test_quality_odd(spark):
     assert quality.classify(docs_of(spark, [])).count() == 0
 
 
+def test_fit_share_at_any_size(spark):
+    assert quality.share_bound(1.0) == (1 << 63) - 1 and quality.share_bound(0.5) == 0
+    tiny = quality.share_bound(6_000 / 10**13)
+    assert 0 < (tiny + (1 << 63)) / (1 << 64) * 10**13 <= 6_000
+    hot = [(1, "one and the same row again and again")] * 400 + [(i, f"the text {i} is of another kind, and it goes on") for i in range(2, 30)]
+    docs = spark.createDataFrame(hot, DOCS)
+    model, w = quality.train_quality(docs)
+    assert np.isfinite(w).all() and abs(sum(model.prior) - 1) < 1e-6 and quality.classify(docs).count() == 428
+
+
+# words
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aB\u00c9\u3000\u00a0x \t\n\v\f\r"), max_size=30)), min_size=1, max_size=6), st.integers(1, 4))
+def test_words_and_shingles(texts, n):
+    from veilframe.llm import words
+    from veilframe.llm.common import words_of
+
+    flat, counts = words.split_words(pa.array(["pad", *texts], pa.string()).slice(1))
+    want = [[w.decode() for w in words_of(t)] for t in texts]
+    assert flat.to_pylist() == [w for ws in want for w in ws] and counts.tolist() == list(map(len, want))
+    hashes = dict(zip(flat.to_pylist(), words.hash_words(flat).tolist()))
+    assert len(set(hashes.values())) == len(hashes) and words.hash_words(flat).tolist() == [hashes[w] for w in flat.to_pylist()]
+    sets = words.shingle_sets(pa.array(texts, pa.string()), n)
+    true = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()) for w in want]
+    assert list(map(len, sets)) == list(map(len, true))
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(true[i] & true[j])
+
+
+def test_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for size, other in ((10, 12), (100, 130), (300, 250), (1000, 4000)):
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 63, size + other, dtype=np.uint64)
+            x, y = np.unique(pool[:size]), np.unique(rng.choice(pool, other, replace=False))
+            apart = len(np.setxor1d(x, y))
+            for spread in (0, 2):
+                assert jaccard.least_apart(jaccard.signature(x, spread), jaccard.signature(y, spread)) <= apart
+    assert jaccard.least_apart(jaccard.signature(x), jaccard.signature(x)) == 0
+
+
 # Jaccard join
 
 
@@ -462,8 +675,10 @@ def test_full_filters_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = rows(linededup.drop_repeated_lines(docs).toPandas())
     monkeypatch.setattr(linededup, "SEGMENT_BITS", 64)
-    monkeypatch.setattr(linededup, "MAX_BITS", 64)
-    assert rows(linededup.drop_repeated_lines(docs).toPandas()) == want
+    assert linededup.filters_for(100_000, 1 << 18) == (1 << 18, 5)
+    assert rows(linededup.drop_repeated_lines(docs, most_bits=1 << 14).toPandas()) == want  # several ranges
+    monkeypatch.setattr(linededup, "BITS_A_LINE", 0)
+    assert rows(linededup.drop_repeated_lines(docs).toPandas()) == want  # one filter, all set
 
 
 # WARC
@@ -551,3 +766,25 @@ def test_pipeline(spark, documents):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     check_packing(packed, 4096)
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null ids, repeated rows and ids, null texts and an empty table; every stage decides on rows."""
+    import corpus_pipeline
+
+    good = "The town lies at a wide river and the people of it are proud of their old bridge, which was built by the grandfathers of those who live here now. "
+    item = "what colour had the seventh lantern on the northern pier in spring? it was painted amber by order of the keeper."
+    texts = [good * 3 + f"Case {i} is about the {w} of the valley, and it is told by the elders in the evening." for i, w in enumerate("mill barn well gate".split())]
+    rows_ = [(None, texts[0]), (None, texts[0]), (1, texts[0] + " And more."), (2, "completely different words are written in this line, and they are about the sea and the ships of the bay"), (2, texts[1][:200] + " " + item), (None, item), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect()
+    assert sum(bool(r.text) and r.text.startswith(texts[0]) for r in near) == 1 and sum(r.text is None for r in near) == 1
+    assert {r.text for r in near} >= {rows_[3][1], rows_[4][1], rows_[5][1], ""}
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in clean) == sorted(map(repr, (x for x in rows_ if item not in (x[1] or ""))))
+    for docs_ in (docs, docs.where("false")):
+        docs_.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        check_packing(packed, 4096)
+        assert (docs_ is docs) or not packed
