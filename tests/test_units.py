@@ -411,3 +411,35 @@ def test_faces_with_eyes(spark):
     m[3:5, 0:5] = 1
     out = tensors.unletterboxed(m, 20, 10)
     assert out.sum() == out[2:6].sum() == 4 * 10 and out[:, 10:].sum() == 0 and tensors.unletterboxed(m, 20, 10, True)[:, :10].sum() == 0
+
+
+def test_memory_of_instances():
+    from veilframe.operators.archive import Memory
+
+    m = Memory()
+    box = lambda *x: np.array(x, float).reshape(-1, 4)
+    red, blue = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    assert m.step(box(0, 0, 10, 10, 50, 0, 60, 10), [red, blue]).tolist() == [0, 1]
+    # looks win over place: both moved past each other's boxes
+    assert m.step(box(4, 0, 14, 10), [red]).tolist() == [0]
+    assert m.step(box(52, 0, 62, 10, 6, 0, 16, 10), [blue, None]).tolist() == [1, 0]
+    assert m.step(box(500, 500, 510, 510), [None]).tolist() == [2]
+    for _ in range(8):
+        m.step(box(), [])
+    assert m.ids.tolist() == [2] and m.step(box(52, 0, 62, 10), [blue]).tolist() == [3]
+
+
+def test_archive_analysis(spark):
+    from veilframe.operators import archive
+
+    fr = spark.createDataFrame([(1, f) for f in range(4)], "video_id long, frame_idx long")
+    rows_ = [(f, f * 10 + s, s, 0.8, 10.0 + 3 * f + s, 10.0, 50.0 + 3 * f + s, 90.0, 0.9) for f in range(4) if f != 2 for s in (0, 1)] + [(0, 5, 0, 0.05, 200.0, 10.0, 220.0, 50.0, 0.9)]
+    b = spark.createDataFrame(rows_, "frame_idx long, det_id long, src int, score double, x1 double, y1 double, x2 double, y2 double, fill double")
+    q = spark.createDataFrame([(0, 0, 0.9, 0.8), (1, 0, 0.2, 0.8), (3, 0, 0.2, 0.8)], "frame_idx long, cluster int, quality double, fill double")
+    faces_ = spark.createDataFrame([(f, 100 + k, 0.9, x, 15.0, x + 12, 30.0, None) for k, (f, x) in enumerate(((0, 20.0), (0, 300.0), (1, 302.0)))], "frame_idx long, det_id long, score double, x1 double, y1 double, x2 double, y2 double, eye_dist double")
+    looks = spark.createDataFrame([], "frame_idx long, cluster int, emb array<double>")
+    got = archive.analyze(fr, b, q, faces_, looks).collect()
+    assert sorted((r.kind, r.frame_idx, r.instance_id) for r in got) == [(0, 0, 0), (0, 1, 0), (0, 3, 0), (1, 0, 0), (1, 1, 0)]
+    fused = suppress.confirmed(suppress.fuse(b, "frame_idx", [1.0, 1.0]), 0.25)
+    kinds = {r.frame_idx: (r.source, round(r.score, 6)) for r in archive.with_masks(fused, q, b.where("src = 0 AND frame_idx <> 3")).collect()}
+    assert kinds == {0: ("refined", 0.8), 1: ("matched", 0.72), 3: ("rect", 0.72)}

@@ -94,11 +94,6 @@ def rle_valid(rle: Column, w: Column, h: Column) -> Column:
     return (total == w * h) & F.forall(rle, lambda r: r["val"].between(0, 1) & (r["len"] > 0))
 
 
-def rle_dense(rle: Column) -> Column:
-    """Runs as an array of pixels."""
-    return F.flatten(F.transform(rle, lambda r: F.array_repeat(r["val"], r["len"])))
-
-
 def set_pixels(rle_rows: DataFrame, w: int) -> DataFrame:
     """Rows (frame_idx, run, len, val) back to set pixels."""
     order = Window.partitionBy("frame_idx").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

@@ -114,16 +114,15 @@ def held_face_shift(spark, sf_dir):
     return h.select("det_id", move("x1", 7), move("y1", 5), move("x2", 7), move("y2", 5))
 
 
-@query("best_match", f"""-- views: persons faces
-, m AS (SELECT f.det_id, p.det_id AS pid, p.score AS ps, {IOU_SQL.format(a='f.', b='p.')} AS x, (f.x2 - f.x1) * (f.y2 - f.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s FROM persons f JOIN persons p ON p.frame_idx = f.frame_idx AND p.det_id <> f.det_id),
-r AS (SELECT det_id, pid, x / (s - x) AS iou, row_number() OVER (PARTITION BY det_id ORDER BY ps DESC, pid DESC) AS k FROM m WHERE x / (s - x) > 0.3)
-SELECT p.det_id, r.pid AS match_id, round(r.iou, 6) AS iou FROM persons p LEFT JOIN r ON r.det_id = p.det_id AND r.k = 1""")
+@query("best_match", f"""-- views: boxes
+, m AS (SELECT f.det_id, p.det_id AS pid, p.score AS ps, {IOU_SQL.format(a='f.', b='p.')} AS x, (f.x2 - f.x1) * (f.y2 - f.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s FROM boxes f JOIN boxes p ON p.frame_idx = f.frame_idx AND f.src = 0 AND p.src = 1),
+r AS (SELECT det_id, pid, x / (s - x) AS iou, row_number() OVER (PARTITION BY det_id ORDER BY ps DESC, pid DESC) AS k FROM m WHERE x / (s - x) > 0.55)
+SELECT p.det_id, r.pid AS match_id, round(r.iou, 6) AS iou FROM boxes p LEFT JOIN r ON r.det_id = p.det_id AND r.k = 1 WHERE p.src = 0""")
 def best_match(spark, sf_dir):
-    p = view(spark, sf_dir, "persons")
-    r = p.select("frame_idx", "score", *(F.col(n).alias("r_" + n) for n in ("det_id", "x1", "y1", "x2", "y2")), F.col("score").alias("r_score")).drop("score")
-    pairs = p.join(r, "frame_idx").where("det_id <> r_det_id").withColumn("iou", iou(box(), box("r_"))).where("iou > 0.3")
-    best = pairs.groupBy("det_id").agg(F.max(F.struct("r_score", "r_det_id", "iou")).alias("m"))
-    return p.select("det_id").join(best, "det_id", "left").select("det_id", F.col("m.r_det_id").alias("match_id"), F.round("m.iou", 6).alias("iou"))
+    """The best scored box of the second source over each box of the first."""
+    b = view(spark, sf_dir, "boxes")
+    best = gating.best_overlap(b.where("src = 0"), b.where("src = 1"), 0.55)
+    return best.select("det_id", F.col("m.r_det_id").alias("match_id"), F.round("m.iou", 6).alias("iou"))
 
 
 _IOU_REP = "greatest(least(c.sx2 / c.sw, o.b.x2) - greatest(c.sx1 / c.sw, o.b.x1), 0) * greatest(least(c.sy2 / c.sw, o.b.y2) - greatest(c.sy1 / c.sw, o.b.y1), 0)"

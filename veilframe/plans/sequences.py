@@ -159,6 +159,22 @@ def assemble_masks(spark, sf_dir):
     return made.mapInArrow(count, "video_id long, frame_idx long, n_px long, moment long")
 
 
+@query("track_known", """WITH d AS (SELECT p_partkey AS video_id, unnest(range(0, 3)) AS k FROM part), e AS (SELECT video_id, k, unnest(range(0, 10)) AS frame_idx FROM d),
+s AS (SELECT * FROM e WHERE (frame_idx + k * 2 + video_id) % 5 <> 0), b AS (SELECT video_id, k, min(frame_idx) AS born FROM s GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY born, (k + video_id) % 3) - 1 AS track_id FROM b),
+a AS (SELECT e.video_id, e.frame_idx, n.track_id, e.k, (SELECT max(s.frame_idx) FROM s WHERE s.video_id = e.video_id AND s.k = e.k AND s.frame_idx <= e.frame_idx) AS seen FROM e JOIN n ON n.video_id = e.video_id AND n.k = e.k AND e.frame_idx >= n.born)
+SELECT video_id, frame_idx::BIGINT AS frame_idx, track_id::BIGINT AS track_id, (frame_idx - seen)::INT AS lost, (k * 200)::DOUBLE AS x1, (video_id * 10 + k)::BIGINT AS det_id, seen::BIGINT AS seen_at FROM a""")
+def track_known(spark, sf_dir):
+    """Three standing figures in each part's video, each unseen in every fifth frame: numbers in order of first sight and score."""
+    d = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    e = d.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    seen = e.where((F.col("frame_idx") + F.col("k") * 2 + F.col("video_id")) % 5 != 0)
+    x = F.col("k") * 200.0
+    dets = seen.select("video_id", "frame_idx", (F.col("video_id") * 10 + F.col("k")).alias("det_id"), (0.9 - (F.col("k") + F.col("video_id")) % 3 * 0.1).alias("score"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 100).alias("x2"), F.lit(150.0).alias("y2"))
+    t = track.track(dets, e.select("video_id", "frame_idx").distinct())
+    return t.select("video_id", "frame_idx", "track_id", "lost", "x1", "det_id", "seen_at")
+
+
 @query("track_stream")
 def track_stream(spark, sf_dir):
     """The same tracks from a stream of frames with state for each video."""
@@ -187,9 +203,10 @@ def masklet_link_frame(spark, sf_dir):
     return link.link(refs, memory).select("frame_idx", "ref_id", "inst_id", F.round("score", 5).alias("score"))
 
 
-@query("gmc_shift")
+@query("gmc_shift", """WITH f AS (SELECT (p_partkey % 8)::BIGINT AS video_id, p_partkey // 8 AS frame_idx FROM part)
+SELECT video_id, frame_idx::BIGINT AS frame_idx, CASE WHEN lag(frame_idx) OVER w IS NULL THEN 0 ELSE 3 * (video_id % 3) END::BIGINT AS dx, CASE WHEN lag(frame_idx) OVER w IS NULL THEN 0 ELSE 2 * (video_id % 2) END::BIGINT AS dy FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)""")
 def gmc_shift(spark, sf_dir):
-    """Motion found between frames of a pattern that a made camera moves."""
+    """Motion found between frames of a pattern that a made camera moves, in whole pixels."""
     ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx"))
 
     def draw(batches):
@@ -205,4 +222,4 @@ def gmc_shift(spark, sf_dir):
             yield pdf.assign(w=128, h=128, luma=made)
 
     frames = ids.mapInPandas(draw, "video_id long, frame_idx long, w int, h int, luma binary")
-    return motion.motions(frames).select("video_id", "frame_idx", F.round("dx", 3).alias("dx"), F.round("dy", 3).alias("dy"))
+    return motion.motions(frames).select("video_id", "frame_idx", F.round("dx").cast("long").alias("dx"), F.round("dy").cast("long").alias("dy"))
