@@ -130,6 +130,17 @@ def test_erode_dilate_shift(spark):
     assert masks.difference(m, grown).count() == 0
 
 
+def test_growth_of_planes_is_that_of_pixels(spark):
+    rng = np.random.default_rng(4)
+    plane = (rng.random((32, 32)) < 0.7).astype(np.uint8)
+    rows_ = spark.createDataFrame([(0, int(y), int(x)) for y, x in zip(*np.nonzero(plane))], "frame_idx long, y int, x int")
+    as_plane = lambda d: {(r.y, r.x) for r in d.collect()}
+    for r in (1, 3):
+        assert as_plane(masks.dilate(rows_, r, 32, 32)) == set(zip(*(a.tolist() for a in np.nonzero(assemble.grown(plane, r)))))
+        assert as_plane(masks.erode(rows_, r, 32, 32)) == set(zip(*(a.tolist() for a in np.nonzero(assemble.shrunk(plane, r)))))
+    assert (assemble.moved(plane, 5, -3)[0:29, 5:] == plane[3:, :-5]).all() and not assemble.moved(plane, 40, 0).any()
+
+
 def test_runs_round_trip(spark):
     m = mask(spark, 3, 2, 17, 9)
     assert masks.difference(m, masks.set_pixels(masks.runs(m, 64, 32), 64)).count() == 0

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import frames, masks
+from ..operators import assemble, frames, masks
 from ..registry import query
 from ..sources.fixtures import view
 
@@ -70,14 +70,14 @@ def patch_replay(spark, sf_dir):
 @query("dilate_n", f"""-- views: pixels
 , m AS (SELECT DISTINCT frame_idx, y + a.d AS y, x + b.d AS x FROM pixels, (SELECT unnest(range(-3, 4)) AS d) a, (SELECT unnest(range(-3, 4)) AS d) b WHERE y + a.d BETWEEN 0 AND 63 AND x + b.d BETWEEN 0 AND 63) {COUNT.format(t='m')}""")
 def dilate_n(spark, sf_dir):
-    return _count(masks.dilate(view(spark, sf_dir, "pixels"), 3, S, S))
+    return _mask_counts(frames.each(_painted(spark, sf_dir), lambda nv12, mask, w, h: assemble.grown(np.frombuffer(mask, np.uint8).reshape(h, w), 3).tobytes(), "mask"))
 
 
 @query("erode_n", f"""-- views: pixels
 , n AS (SELECT p.frame_idx, p.y, p.x, count(q.x) AS c FROM pixels p, (SELECT unnest(range(-2, 3)) AS d) a, (SELECT unnest(range(-2, 3)) AS d) b LEFT JOIN pixels q ON q.frame_idx = p.frame_idx AND q.y = p.y + a.d AND q.x = p.x + b.d GROUP BY ALL),
 m AS (SELECT * FROM n WHERE c = (least(x + 2, 63) - greatest(x - 2, 0) + 1) * (least(y + 2, 63) - greatest(y - 2, 0) + 1)) {COUNT.format(t='m')}""")
 def erode_n(spark, sf_dir):
-    return _count(masks.erode(view(spark, sf_dir, "pixels"), 2, S, S))
+    return _mask_counts(frames.each(_painted(spark, sf_dir), lambda nv12, mask, w, h: assemble.shrunk(np.frombuffer(mask, np.uint8).reshape(h, w), 2).tobytes(), "mask"))
 
 
 @query("shift_mask", f"""-- views: pixels
@@ -199,6 +199,21 @@ def _digest(frames_df):
     return frames_df.select("frame_idx", "nv12").mapInArrow(run, "frame_idx long, sum_v long, moment long, sum_u long, sum_w long, moment_uv long")
 
 
+def _mask_counts(frames_df):
+    """The columns of COUNT, from mask bytes; frames without a masked pixel give no row."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                y, x = np.nonzero(np.frombuffer(raw, np.uint8).reshape(S, S))
+                if len(y):
+                    rows.append((k, len(y), int(x.sum()), int(y.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["frame_idx", "n_px", "sum_x", "sum_y"])
+
+    return frames_df.select("frame_idx", "mask").mapInArrow(run, "frame_idx long, n_px long, sum_x long, sum_y long")
+
+
 @query("compose_solid", GRID_SQL + "o AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN 16 ELSE v END AS v FROM p), c AS (SELECT frame_idx, y, x, CASE WHEN any4 = 1 THEN 128 ELSE u END AS u, CASE WHEN any4 = 1 THEN 128 ELSE w END AS w FROM q)" + _digest_sql("o", "c", "c"))
 def compose_solid(spark, sf_dir):
     return _digest(frames.apply(_painted(spark, sf_dir), "solid"))
