@@ -86,12 +86,23 @@ def resolve_first(spark, sf_dir):
     return c.where("o_orderkey % 3 <> 0").groupBy("o_custkey").agg(F.min_by("o_orderkey", "pos").alias("chosen"))
 
 
-@query("search_roots", "WITH p AS (SELECT page_id, string_split(url, '/') AS parts FROM pages), r AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS n, parts FROM p), d AS (SELECT page_id, n, array_to_string(parts[1:n], '/') AS root FROM r) SELECT page_id, root, min(n)::INT AS pos FROM d WHERE root <> '' GROUP BY page_id, root")
+# Ancestors of a program and of the working folder that are looked through.
+PROGRAM_UP, FOLDER_UP = 10, 3
+
+
+@query("search_roots", f"""WITH p AS (SELECT page_id, string_split(url, '/') AS parts FROM pages WHERE url IS NOT NULL), n AS (SELECT page_id, parts, len(parts) AS n, greatest(len(parts) - 2, 1) AS m FROM p),
+a AS (SELECT page_id, list_concat(list_transform(range(0, least(n, {PROGRAM_UP})), lambda k: array_to_string(parts[1:n - k], '/')), list_transform(range(0, least(m, {FOLDER_UP})), lambda k: array_to_string(parts[1:m - k], '/'))) AS l FROM n),
+r AS (SELECT page_id, unnest(l) AS root, generate_subscripts(l, 1) AS i FROM a), d AS (SELECT page_id, root, min(i) AS i FROM r WHERE root <> '' GROUP BY page_id, root)
+SELECT page_id, root, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos FROM d""")
 def search_roots(spark, sf_dir):
-    """All ancestors of a path, each once, at their first place."""
+    """Folders to look through: ancestors of a program's path (here a page's), nearest first, then those of the folder
+    it runs in (two up), each once, at their first place."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.split("url", "/", -1).alias("parts"))
-    r = p.select("page_id", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")).select("page_id", "n", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("root"))
-    return r.where("root <> ''").groupBy("page_id", "root").agg(F.min("n").alias("pos"))
+    n = F.size("parts")
+    m = F.greatest(n - 2, F.lit(1))
+    up = lambda of, most: F.transform(F.sequence(F.lit(0), F.least(of, F.lit(most)) - 1), lambda k: F.array_join(F.slice("parts", F.lit(1), of - k), "/"))
+    roots = F.array_distinct(F.filter(F.concat(up(n, PROGRAM_UP), up(m, FOLDER_UP)), lambda x: x != ""))
+    return p.where("parts IS NOT NULL").select("page_id", F.posexplode(roots).alias("pos", "root"))
 
 
 @query("encoder_chain", """WITH c AS (SELECT n_nationkey, unnest(['hevc_vt', 'hevc_nvenc', 'hevc_vaapi', 'libx265']) AS enc, unnest(range(0, 4)) AS pos FROM nation)
