@@ -227,15 +227,15 @@ def _sets_of(docs: DataFrame, n: int, seed: int, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sid long, shingles binary")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, seed: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, seed: int, num: int, den: int, wide: int = NEAR) -> DataFrame:
     """(a, b, linked, a_size, size, diff) of pairs (a, a_size, b, size): whether their sets are similar enough and, for
-    pairs not too far apart, the shingles that only one of them has. Pairs whose signatures show that they are
-    farther apart than that end there; only the sets of the others travel, hubs last."""
+    pairs not over `wide` times as far apart as linked ones may be, the shingles that only one of them has. Pairs whose
+    signatures show that they are farther apart than that end there; only the sets of the others travel, hubs last."""
 
     def near(batches):
         for b in slices(batches, 4096):
             a_size, size = b.column(1).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-            most = NEAR * (den - num) * (a_size + size) // (den + num)
+            most = wide * (den - num) * (a_size + size) // (den + num)
             keep = [least_apart(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most.tolist())]
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 2])
 
@@ -259,7 +259,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, seed: i
                 linked.append(den * both >= num * (len(x) + len(y) - both))
                 a_sizes.append(len(x))
                 sizes.append(len(y))
-                diffs.append(np.setxor1d(x, y, assume_unique=True).tolist() if (den + num) * apart <= NEAR * (den - num) * (len(x) + len(y)) else None)
+                diffs.append(np.setxor1d(x, y, assume_unique=True).tolist() if wide > 1 and (den + num) * apart <= wide * (den - num) * (len(x) + len(y)) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(a_sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array(diffs, pa.list_(pa.int64()))], names=["a", "b", "linked", "a_size", "size", "diff"])
 
     of = lambda side: sets.select(F.col("sid").alias(side), F.col("shingles").alias("s" + side))
@@ -295,7 +295,7 @@ def _salted(rows: DataFrame, about: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64("sid"), F.floor(F.col("members") / most) + 1)).join(spread, ["hub", "_salt"], "left").drop("_salt")
 
 
-def _groups(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+def _groups(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """What verified stars say about pairs of a star's own members, without meeting each pair.
 
     Members of a star are kept as differences to its centre, corrected by the differences that most
@@ -303,7 +303,8 @@ def _groups(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame,
     enough they link, and all such pairs hang together in a star around the member of the least
     (den + num) |d| - (den - num) size; any other pair can link only if it shares a difference, and
     edits of one copy are seldom those of another. Returns (links a b; lists h sid size of shared
-    differences; the star that each sid belongs to: sid grp; tables to delete once those are written)."""
+    differences; the star that each sid belongs to: sid grp; parities of the differences: sid d; tables to delete once
+    those are written)."""
     near = found.where("diff IS NOT NULL").drop("a_size").join(_weights(found), "a")
     # the largest star within reach, so that few pairs lie across stars
     mine = near.groupBy("b").agg(F.max(F.struct("weight", F.col("a").alias("hub"), "size", "diff")).alias("m")).select(F.col("b").alias("sid"), "m.hub", "m.size", "m.diff")
@@ -335,7 +336,18 @@ def _groups(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame,
     probe = F.col("n") - F.greatest(F.ceil((F.col("f") + F.col("f0")) / (2 * q)), one) + 1
     index = F.col("n") - F.greatest(F.ceil(F.col("f") / q), one) + 1
     shared = each.where(F.col("at") <= F.greatest(probe, index)).select(F.xxhash64("hub", "e").alias("h"), "sid", "size", "f", F.when(F.col("at") <= index, SHARED_FIRST).otherwise(SHARED).cast("byte").alias("role"))
-    return links, shared, mine.select("sid", F.col("hub").alias("grp")), [mine, rows, least]
+    return links, shared, mine.select("sid", F.col("hub").alias("grp")), rows.select("sid", parities(F.col("d")).alias("d")), [mine, rows, least]
+
+
+#: Longs of the parities of a member's differences; a fixed size.
+PARITY_WORDS = 8
+
+
+def parities(d):
+    """Array of PARITY_WORDS longs: for each bit the parity of the count of the hashes in d that fall on it."""
+    one = F.lit(1).cast("long")
+    word = lambda k: F.aggregate(F.filter(d, lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(PARITY_WORDS - 1)) == k), F.lit(0).cast("long"), lambda x, e: x.bitwiseXOR(F.call_function("shiftleft", one, e.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.array(*(word(k) for k in range(PARITY_WORDS)))
 
 
 #: Roles of a row in a list of shared differences: SHARED_FIRST also serves with a partner of larger f.
@@ -355,6 +367,9 @@ def _may_pair(boundary: int, num: int, den: int):
     subset = F.col("role").between(2, 3) & F.col("role2").between(2, 3) & ((F.col("size") == F.col("size2")) | (F.col("role") != F.col("role2")))
     shared = (F.col("role") >= SHARED) & (F.col("role2") >= SHARED) & _can_link("size", "size2", num, den) & (F.col("f") + F.col("f2") > 0)
     shared = shared & (((F.col("f") <= F.col("f2")) & (F.col("role") == SHARED_FIRST)) | ((F.col("f2") <= F.col("f")) & (F.col("role2") == SHARED_FIRST)))
+    # of one star: a pair differs in at least as many shingles as the parities of its differences to the centre do
+    bits = F.aggregate(F.zip_with("d", "d2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    shared = shared & (bits * (num + den) <= (F.col("size") + F.col("size2")) * (den - num))
     return (lists | subset | shared) & (F.col("grp") != F.col("grp2"))
 
 
@@ -388,9 +403,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     lists = lists.join(lists.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
     degree = cut(lists.groupBy("sid").agg(F.sum("n").alias("degree")), "degree")
     n_open = degree.count()
-    about = ("sid", "size", "role", "at", "degree", "grp", "f")
+    about = ("sid", "size", "role", "at", "degree", "grp", "f", "d")
     columns = ("h", *about)
-    members = cut(lists.join(degree, "sid").select("h", "sid", "size", "role", "at", "degree", F.col("sid").alias("grp"), F.lit(0).cast("long").alias("f"), "n"), "members")
+    members = cut(lists.join(degree, "sid").select("h", "sid", "size", "role", "at", "degree", F.col("sid").alias("grp"), F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<long>").alias("d"), "n"), "members")
     drop_cut(stored)
     may = _may_pair(boundary, num, den)
     label, tested, edges, before = None, [], [], None
@@ -420,7 +435,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             pairs = met(rows)
         else:
             # each list's most connected member, and later also the most connected one outside that member's component
-            hub = F.struct("degree", "sid", "size", "role", "at", "comp", "grp", "f")
+            hub = F.struct("degree", "sid", "size", "role", "at", "comp", "grp", "f", "d")
             long_ = rows.where(F.col("n") > SHORT) if label is None else rows
             best = long_.groupBy("h").agg(F.max(hub).alias("hub"))
             if label is None:
@@ -441,7 +456,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested.append(pairs)
-        found = _verify(pairs, nodes, some, n, seed, num, den)
+        found = _verify(pairs, nodes, some, n, seed, num, den, NEAR if label is None else 1)
         more = [found.where("linked").select("a", "b")]
         spent = [found]
         if label is None:
@@ -452,12 +467,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             spent.append(other)
             found = found.union(other)
             more.append(other.where("linked").select("a", "b"))
-            certain, shared, stars, parts = _groups(found, num, den)
+            certain, shared, stars, apart_by, parts = _groups(found, num, den)
             more.append(certain)
             shared = cut(shared.join(degree, "sid").select("h", "sid", "size", "role", F.lit(0).alias("at"), "degree", F.col("sid").alias("grp"), F.col("f").cast("long").alias("f")), "shared")
             wide = shared.groupBy("h").count().where("count > 1").select("h")
             now = members.where(F.col("n") > SHORT).drop("grp").join(stars, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")).select(*columns)
-            now = cut(now.unionByName(shared.join(wide, "h", "left_semi").select(*columns)), "members")
+            now = cut(now.unionByName(shared.join(wide, "h", "left_semi").join(apart_by, "sid").select(*columns)), "members")
             drop_cut(members)
             drop_cut(shared)
             members = now
