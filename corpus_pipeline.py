@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences: the stages run in this order, each on all its predecessor kept.
 
-Each stage takes and, but for the last, returns the columns of documents. Rows with a null doc_id pass the
-stages that decide by id (near copies, decontamination) as they are.
+Each stage takes and, but for the last, returns the columns of documents. The quality, near-copy and decontamination
+stages decide on each row by its own text; line dedup counts a null doc_id as no document and keeps its lines.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut, table
-from veilframe.llm.decontaminate import contaminated
+from veilframe.llm.common import cut, drop_cut, table
+from veilframe.llm.decontaminate import clean_documents
 from veilframe.llm.jaccard import jaccard_components
 from veilframe.llm.linededup import drop_repeated_lines
 from veilframe.llm.packing import pack_documents
@@ -32,25 +32,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the smallest id."""
-    groups = cut(jaccard_components(docs, n=5, num=80, den=100), "groups")
-    ids = groups.where("doc_id IS NOT NULL")
-    gone = ids.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():  # rows under one id: one of each text stays
-        again = cut(again, "again")
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, one row of it.
+
+    Rows are told apart by a hash of id and text, so a null or repeated id decides nothing; of a group the
+    document with the least hash stays."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = cut(jaccard_components(keyed.select("_key", "text"), n=5, num=80, den=100, id_col="_key").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_key"))
+    again = groups.where("n > 1 AND component_id = doc_id").select(F.col("doc_id").alias("_key"))
+    kept = keyed.join(gone, "_key", "left_anti")
+    if not again.isEmpty():  # equal rows: one of them stays
+        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(cut(hits, "hits"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, whatever their id."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, in sequences of at most 4096 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack_documents(docs, tokenizer_json())
 
 
@@ -67,9 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order; a stage's stored input is deleted once its output stands."""
+    docs, stored = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, f"stage{k}")
+            if stored is not None:
+                drop_cut(stored)
+            stored = docs
     return docs
