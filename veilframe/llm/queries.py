@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the synthetic tables, and their SQL where SQL can express them."""
+"""The queries op1_ to op13_ over the synthetic tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -86,6 +86,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), every=20, heads=4)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8_SQL = f"""
@@ -110,5 +128,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_license_scan": report_sql()}
