@@ -35,14 +35,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies (5-word shingles, similarity 0.8) stays, one row of it.
 
     Rows are told apart by a hash of id and text, so a null or repeated id decides nothing; of a group the
-    document with the least hash stays."""
+    document with the least hash stays. Rows of different contents under one hash all stay."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     groups = cut(jaccard_components(keyed.select("_key", "text"), n=5, num=80, den=100, id_col="_key").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_key"))
-    again = groups.where("n > 1 AND component_id = doc_id").select(F.col("doc_id").alias("_key"))
+    repeated = groups.where("n > 1").select(F.col("doc_id").alias("_key"))
+    again_seen = not repeated.isEmpty()
+    if again_seen:
+        own = keyed.join(repeated, "_key", "left_semi").select("_key", F.xxhash64(F.lit(1), "doc_id", "text").alias("_other"))
+        met = own.groupBy("_key").agg(F.count_distinct("_other").alias("n")).where("n > 1").select("_key")
+        gone = gone.join(met, "_key", "left_anti")
     kept = keyed.join(gone, "_key", "left_anti")
-    if not again.isEmpty():  # equal rows: one of them stays
-        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if again_seen:  # equal rows: one of them stays
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(kept.join(repeated, "_key", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
 
 
