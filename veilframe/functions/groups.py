@@ -17,7 +17,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tupl
         if not b.num_rows:
             continue
         if rest is not None:
-            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            b = joined(rest, b)
         change = np.zeros(b.num_rows - 1, bool)
         for k in keys:
             x = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
@@ -30,6 +30,20 @@ def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tupl
         yield rest, np.array([0, rest.num_rows])
 
 
+def joined(first: pa.RecordBatch, second: pa.RecordBatch) -> pa.RecordBatch:
+    """Two batches as one, which may hold over 2 GiB of bytes in a column."""
+    table = pa.Table.from_batches([first, second.cast(first.schema)]).combine_chunks()
+    if len(found := table.to_batches()) > 1:  # offsets of 32 bits don't reach that far
+        table = table.cast(pa.schema([f.with_type(_WIDE.get(f.type, f.type)) for f in table.schema])).combine_chunks()
+        found = table.to_batches()
+    if len(found) != 1:
+        raise MemoryError("rows of one group can't stand in one batch")
+    return found[0]
+
+
+_WIDE = {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}
+
+
 def matrix(b: pa.RecordBatch, *names: str) -> np.ndarray:
     """Columns of numbers side by side [rows, names]; nulls are NaN."""
     return np.stack([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.float64) for n in names], axis=1)
