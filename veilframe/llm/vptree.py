@@ -64,24 +64,38 @@ class VPTree:
             stack += [(start, start + mid, here, 0), (start + mid, stop, here, 1)]
 
     def _cost(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """What a search makes small: the squared distance of each query to each row."""
+        """What a search makes small, up to rounding: the squared distance of each query to each row."""
         y = self.x[rows]
         return np.maximum((q**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * (q @ y.T), 0)
 
-    def _radius(self, worst: np.ndarray, node: int) -> np.ndarray:
-        """The distance within which a row of the node must lie to cost less than worst."""
-        return np.sqrt(worst)
+    def _exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The cost by which rows are ranked, of pairs."""
+        return ((q - self.x[rows]) ** 2).sum(axis=1)
 
-    def search(self, q: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """For each query (k) row numbers and costs, -1 and inf where there are fewer, and the
-        number of distances computed."""
+    def _slack(self, q: np.ndarray) -> np.ndarray:
+        """More than _cost and _exact may differ by."""
+        return 1e-12 * ((q**2).sum(axis=1) + (self.x**2).sum(axis=1).max(initial=0))
+
+    def _radius(self, q: np.ndarray, worst: np.ndarray, node: int) -> np.ndarray:
+        """The distance within which a row of the node must lie to cost no more than worst."""
+        return np.sqrt(np.maximum(worst, 0))
+
+    def _place(self, q: np.ndarray) -> np.ndarray:
+        """Where queries stand among the rows that the tree holds."""
+        return q
+
+    def search(self, q: np.ndarray, k: int, relax: float, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each query (k) row numbers and costs, -1 and inf where there are fewer, and the number of distances
+        computed. Of rows with equal costs those of smallest rank (row number, if None) stay."""
         n = len(q)
+        rank = np.arange(len(self.x)) if rank is None else rank
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
         work = 0
+        where, slack = self._place(q), self._slack(q)
         todo: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(n), np.full(n, -np.inf))]
         while todo:
             node, who, gap = todo.pop()
-            live = gap <= relax * self._radius(best_d[who, -1], node)
+            live = gap <= relax * self._radius(q[who], best_d[who, -1] + slack[who], node) + 1e-9
             who = who[live]
             if not len(who):
                 continue
@@ -90,15 +104,25 @@ class VPTree:
                 rows = self.order[at[0] : at[1]]
                 d = self._cost(q[who], rows)
                 work += d.size
-                all_d = np.concatenate([best_d[who], d], axis=1)
-                all_i = np.concatenate([best_i[who], np.broadcast_to(rows, d.shape)], axis=1)
-                keep = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                got = np.take_along_axis(all_d, keep, axis=1)
-                order = np.argsort(got, axis=1)
-                best_d[who], best_i[who] = np.take_along_axis(got, order, axis=1), np.take_along_axis(np.take_along_axis(all_i, keep, axis=1), order, axis=1)
+                top = best_d[who, -1]
+                if len(rows) > k:
+                    top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1] + slack[who])
+                # all that may stand among the k best, ranked by exact costs and then by rank
+                i, j = np.nonzero(d <= (top + slack[who])[:, None])
+                some = np.unique(i)
+                old = best_i[who[some]]
+                has = old >= 0
+                owner = np.concatenate([np.repeat(some, k)[has.ravel()], i])
+                row = np.concatenate([old[has], rows[j]])
+                cost = np.concatenate([best_d[who[some]][has], self._exact(q[who[i]], rows[j])])
+                order = np.lexsort((rank[row], cost, owner))
+                owner, row, cost = owner[order], row[order], cost[order]
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                keep = place < k
+                best_i[who[owner[keep]], place[keep]], best_d[who[owner[keep]], place[keep]] = row[keep], cost[keep]
                 continue
             v, median, near, far = at
-            d = np.sqrt(np.maximum(((q[who] - v) ** 2).sum(axis=1), 0))
+            d = np.sqrt(np.maximum(((where[who] - v) ** 2).sum(axis=1), 0))
             work += len(who)
             inside = d < median
             away = np.abs(d - median)
@@ -109,7 +133,6 @@ class VPTree:
             for side, mask in ((near, inside), (far, ~inside)):
                 if mask.any():
                     todo.append((side, who[mask], np.full(mask.sum(), -np.inf)))
-        best_i[~np.isfinite(best_d)] = -1
         return best_i, best_d, work
 
 
@@ -125,20 +148,29 @@ def directions(x: np.ndarray) -> np.ndarray:
 
 
 class ProductTree(VPTree):
-    """A tree over directions that is searched for the largest inner products; queries come as directions."""
+    """A tree over directions that is searched for the largest inner products with the vectors as they are."""
 
     def __init__(self, x: np.ndarray, leaf_rows: int = LEAF_ROWS, seed: int = 7):
         super().__init__(directions(x), leaf_rows, seed)
-        self.norms = norms(x)
+        self.whole, self.norms = x, norms(x)
         of = [self.norms[self.order[a:b]] for a, b in self.spans]
         self.low, self.high = [n.min() for n in of], [n.max() for n in of]
 
     def _cost(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return -(q @ self.x[rows].T) * self.norms[rows]
+        return -(q @ self.whole[rows].T)
+
+    def _exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return -np.einsum("ij,ij->i", q, self.whole[rows])
+
+    def _slack(self, q: np.ndarray) -> np.ndarray:
+        return 1e-12 * norms(q) * self.norms.max(initial=0)
+
+    def _place(self, q: np.ndarray) -> np.ndarray:
+        return directions(q)
 
-    def _radius(self, worst: np.ndarray, node: int) -> np.ndarray:
+    def _radius(self, q: np.ndarray, worst: np.ndarray, node: int) -> np.ndarray:
         # a positive product is reached at the widest angle by the longest row, a negative one by the shortest
-        cosine = -worst / np.where(worst <= 0, self.high[node], self.low[node])
+        cosine = -worst / norms(q) / np.where(worst <= 0, self.high[node], self.low[node])
         return np.where(cosine <= -1, np.inf, np.sqrt(np.maximum(2 - 2 * cosine, 0)))
 
 
@@ -159,14 +191,15 @@ class Shard:
         x = np.ascontiguousarray(x[order])
         # rows as opaque blocks of bytes
         _, first, which = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        self.x = x[first]
+        self.x, self.least = x[first], self.ids[first]
         self.members = np.argsort(which, kind="stable")
         self.start = np.searchsorted(which[self.members], np.arange(len(first) + 1))
         self.tree = ProductTree(self.x)
 
     def nearest(self, row: np.ndarray, q: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, ...]:
         """(query number, vec_id, row, score) of the k nearest rows found for each query, less the query's own row."""
-        at, _, _ = self.tree.search(directions(q), min(k + 1, len(self.x)), relax)
+        # of vectors with equal products those whose smallest ids are smallest: they hold the k smallest ids
+        at, _, _ = self.tree.search(q, min(k + 1, len(self.x)), relax, self.least)
         who, place = np.nonzero(at >= 0)
         hit = at[who, place]
         score = np.einsum("ij,ij->i", q[who], self.x[hit])
