@@ -165,7 +165,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
         model, slope, offset = fit(texts, np.array(y, np.float64), share, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary()), pa.array([slope]), pa.array([offset])], names=["model", "slope", "offset"])
 
-    raw, slope, offset = rows.repartition(1).mapInArrow(run, "model binary, slope double, offset double").first()
+    fitted = rows.repartition(1).mapInArrow(run, "model binary, slope double, offset double").first()
+    if fitted is None:  # labels of no document here
+        return fit([], np.zeros(0), share)
+    raw, slope, offset = fitted
     return BiGRU.unpack(bytes(raw)), float(slope), float(offset)
 
 
