@@ -4,10 +4,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as G
+from veilframe.functions.runs import Masks
 from veilframe.operators import assemble, frames, gating, masks, motion, suppress, temporal
 from veilframe.operators.track import Filters, Tracker
 from veilframe.sources import frames as frame_files
@@ -117,40 +119,107 @@ def test_kalman(spark):
     assert abs(v - 5) < 0.5
 
 
-def mask(spark, x1, y1, x2, y2, frame=0):
-    return spark.createDataFrame([(frame, y, x) for y in range(y1, y2) for x in range(x1, x2)], "frame_idx long, y int, x int")
+def mask(spark, x1, y1, x2, y2, frame=0, w=32, h=32):
+    return spark.createDataFrame([(frame, w, h)], "frame_idx long, w int, h int").withColumn("spans", masks.rectangle(*map(F.lit, (x1, y1, x2, y2)), w, h))
 
 
 def test_erode_dilate_shift(spark):
     m = mask(spark, 8, 8, 24, 24)
-    b = lambda d: tuple(masks.bounds(d, 0, 32, 32).select("bx1", "by1", "bx2", "by2").first())
-    assert b(masks.erode(m, 4, 32, 32)) == (12, 12, 20, 20) and masks.erode(m, 20, 32, 32).count() == 0 and masks.erode(m, 0, 32, 32).count() == 256
-    assert b(masks.shift(m, F.lit(6), F.lit(3), 32, 32)) == (14, 11, 30, 27)
-    grown = masks.erode(masks.dilate(m, 2, 32, 32), 2, 32, 32)
-    assert masks.difference(m, grown).count() == 0
-
-
-def test_growth_of_planes_is_that_of_pixels(spark):
-    rng = np.random.default_rng(4)
-    plane = (rng.random((32, 32)) < 0.7).astype(np.uint8)
-    rows_ = spark.createDataFrame([(0, int(y), int(x)) for y, x in zip(*np.nonzero(plane))], "frame_idx long, y int, x int")
-    as_plane = lambda d: {(r.y, r.x) for r in d.collect()}
-    for r in (1, 3):
-        assert as_plane(masks.dilate(rows_, r, 32, 32)) == set(zip(*(a.tolist() for a in np.nonzero(assemble.grown(plane, r)))))
-        assert as_plane(masks.erode(rows_, r, 32, 32)) == set(zip(*(a.tolist() for a in np.nonzero(assemble.shrunk(plane, r)))))
-    assert (assemble.moved(plane, 5, -3)[0:29, 5:] == plane[3:, :-5]).all() and not assemble.moved(plane, 40, 0).any()
+    b = lambda d: tuple(masks.bounds(d, 0).select("bx1", "by1", "bx2", "by2").first())
+    px = lambda d: masks.numbers(d, empty=True).first().n_px
+    assert b(masks.erode(m, 4)) == (12, 12, 20, 20) and px(masks.erode(m, 20)) == 0 and px(masks.erode(m, 0)) == 256
+    assert b(masks.shift(m, F.lit(6), F.lit(3))) == (14, 11, 30, 27)
+    grown = masks.erode(masks.dilate(m, 2), 2)
+    assert px(masks.difference(m, grown)) == 0 and masks.bounds(masks.erode(m, 20), 0).count() == 0
+    assert masks.bounds(m, 10).select("bx1", "by1", "bx2", "by2").first() == (0, 0, 32, 32)
+
+
+def test_run_algebra_is_that_of_planes():
+    """Random planes of several sizes in one batch: every operation on runs gives what it gives on planes."""
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        p = [(rng.random(rng.integers(1, 12, 2)) < rng.random()).astype(np.uint8) for _ in range(rng.integers(1, 5))]
+        q = [(rng.random(x.shape) < rng.random()).astype(np.uint8) for x in p]
+        m, o, n = Masks.planes(p), Masks.planes(q), len(p)
+        dx, dy, r = rng.integers(-6, 7, n), rng.integers(-6, 7, n), rng.integers(0, 8, n)
+        for got, want in (
+            (m, p), (m.union(o), [a | b for a, b in zip(p, q)]), (m.minus(o), [a & (1 - b) for a, b in zip(p, q)]), (m.both(o), [a & b for a, b in zip(p, q)]), (m.rest(), [1 - a for a in p]),
+            (m.moved(dx, dy), [assemble.moved(a, int(x), int(y)) for a, x, y in zip(p, dx, dy)]), (m.grown(r), [assemble.grown(a, int(k)) for a, k in zip(p, r)]), (m.shrunk(r), [assemble.shrunk(a, int(k)) for a, k in zip(p, r)]),
+            (Masks.read(m.write(), m.w, m.h), p), (Masks.from_files(m.files(), m.w, m.h)[0], p), (Masks.joined([m, o]).take(np.arange(n, 2 * n)), q),
+        ):
+            assert all((got.plane(i) == want[i]).all() for i in range(n))
+        assert m.area().tolist() == [a.sum() for a in p]
+        for i, a in enumerate(p):
+            if a.any():
+                x, y, crop = m.crop(i)
+                assert (Masks.of_crop(x, y, crop, a.shape[1], a.shape[0]).plane(0) == a).all() and crop.any(axis=0)[[0, -1]].all()
+
+
+def test_large_frames_as_runs(spark):
+    """1080p frames: unions, growth, edits and files cost what their runs do."""
+    w, h = 1920, 1080
+    y, x = np.mgrid[0:h, 0:w]
+    disc = ((((x - 900) / 200.0) ** 2 + ((y - 500) / 400.0) ** 2) < 1).astype(np.uint8)
+    spans = Masks.planes([disc]).write().to_pylist()[0]
+    m = spark.createDataFrame([(f, w, h, spans) for f in range(40)], "frame_idx long, w int, h int, spans array<int>")
+    box = m.select("frame_idx", F.col("frame_idx").alias("seq"), F.when(F.col("frame_idx") % 2 == 0, "add").otherwise("erase").alias("op"), "w", "h", masks.rectangle(F.lit(850), F.lit(50), F.lit(1000), F.lit(600), w, h).alias("spans"))
+    square = np.zeros_like(disc)
+    square[50:600, 850:1000] = 1
+    edited = {r.frame_idx: r.n_px for r in masks.numbers(masks.replay(m, box)).collect()}
+    assert len(edited) == 40 and edited[0] == (disc | square).sum() and edited[1] == (disc & (1 - square)).sum()
+    files = masks.to_files(masks.dilate(m, 24))
+    back = masks.from_files(files).where("whole")
+    assert back.count() == 40 and masks.numbers(back).first().n_px == assemble.grown(disc, 24).sum()
+    assert files.agg(F.max(F.length("data"))).first()[0] < 20_000
 
 
 def test_runs_round_trip(spark):
-    m = mask(spark, 3, 2, 17, 9)
-    assert masks.difference(m, masks.set_pixels(masks.runs(m, 64, 32), 64)).count() == 0
-    assert masks.runs(m, 64, 32).agg(F.sum("len")).first()[0] == 64 * 32
+    m = mask(spark, 3, 2, 17, 9, w=64, h=32)
+    assert m.select(F.aggregate(masks.run_lengths(F.col("spans"), F.col("w"), F.col("h")), F.lit(0), lambda s, r: s + r["len"]).alias("n")).first().n == 64 * 32
+    good = masks.to_files(m)
+    read = lambda d: masks.from_files(d).first()
+    assert read(good).whole and read(good).spans == m.first().spans
+    for spoiled in ("substring(data, 1, length(data) - 1)", "substring(data, 1, 2)", "cast(null as binary)", "concat(substring(data, 1, 8), X'02', substring(data, 10))"):
+        assert not read(good.withColumn("data", F.expr(spoiled))).whole and read(good.withColumn("data", F.expr(spoiled))).spans == []
+    assert not read(good.withColumn("h", F.lit(33))).whole
 
 
 def test_replay(spark):
-    edits = spark.createDataFrame([(0, 0, x, 1, "add") for x in range(8)] + [(0, 0, x, 2, "erase") for x in range(2)], "frame_idx long, y int, x int, seq long, op string")
-    out = masks.replay(mask(spark, 0, 0, 1, 1, frame=5), edits)
-    assert sorted((r.frame_idx, r.x) for r in out.collect()) == [(0, x) for x in range(2, 8)] + [(5, 0)]
+    a, b = mask(spark, 0, 1, 8, 2).withColumns({"seq": F.lit(1), "op": F.lit("add")}), mask(spark, 0, 1, 2, 2).withColumns({"seq": F.lit(2), "op": F.lit("erase")})
+    other = mask(spark, 0, 0, 3, 3, w=16, h=16).withColumns({"seq": F.lit(3), "op": F.lit("add")})
+    out = {r.frame_idx: r.spans for r in masks.replay(mask(spark, 0, 0, 1, 1, frame=5), a.unionByName(b).unionByName(other)).collect()}
+    assert out == {0: [34, 40], 5: [0, 1]}
+    turned = masks.replay(mask(spark, 0, 0, 1, 1, frame=5), a.withColumn("seq", F.lit(9)).unionByName(b)).where("frame_idx = 0").first()
+    assert turned.spans == [32, 40]
+
+
+def test_smoothing_carries_over_empty_frames(spark):
+    frames_ = spark.createDataFrame([(f,) for f in (0, 1, 2, 4)], "frame_idx long")
+    m = mask(spark, 4, 4, 6, 6).unionByName(mask(spark, 9, 9, 10, 10, frame=2))
+    got = {r.frame_idx: r.n_px for r in masks.numbers(masks.smoothed(m, frames_)).collect()}
+    assert got == {0: 4, 1: 16, 2: 1}  # frame 1 has the mask of frame 0 alone; frame 3 is none
+
+
+@pytest.mark.parametrize("weights", [(179, 77), (90, 166), (30, 220)])
+def test_blends_are_a_fold_of_pixels(spark, weights):
+    """Assembled masks of a walking figure with a ragged mask, seen on some frames, against a plain fold a pixel."""
+    w, h, n = 40, 30, 14
+    rng = np.random.default_rng(5)
+    own = {f: (rng.random((h, w)) < 0.5).astype(np.uint8) for f in range(n) if f % 4 != 3}
+    for m in own.values():
+        m[:6], m[24:], m[:, :8], m[:, 30:] = 0, 0, 0, 0
+    box = (8.0, 6.0, 30.0, 24.0)
+    p = spark.createDataFrame([(1, f, 3, 0.9, *box, bytearray(m.tobytes())) for f, m in own.items()], "video_id long, frame_idx long, det_id long, score double, x1 double, y1 double, x2 double, y2 double, mask binary")
+    fr = spark.createDataFrame([(1, f) for f in range(n)], "video_id long, frame_idx long")
+    none = p.drop("mask").withColumn("eye_dist", F.lit(None).cast("double")).where("false")
+    made = assemble.assemble(fr, p, none, w, h, smooth=False, blend=weights)
+    got = {r.frame_idx: Masks.read(pa.array([r.spans], pa.list_(pa.int32())), [w], [h]).plane(0) for r in made.collect()}
+    grey = None
+    for f in range(n):
+        if f in own:
+            now = own[f].astype(int) * 255
+            grey = now if grey is None else (now * weights[0] + grey * weights[1]) // 256
+        assert (got[f] == (grey >= 128)).all(), f
 
 
 def plain_hide(nv12, mask, w, h, style, size):
@@ -221,7 +290,8 @@ def test_assembled_masks(spark):
     p = spark.createDataFrame(people, "video_id long, frame_idx long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
     face = spark.createDataFrame([(1, f, 5, 0.9, 16.0 + 2 * f, 22.0, 22.0 + 2 * f, 29.0, None) for f in range(0, 8, 2)] + [(1, 2, 6, 0.3, 2.0, 2.0, 8.0, 8.0, None)], p.schema.add("eye_dist", "double"))
     fr = spark.createDataFrame([(v, f) for v in (1, 2) for f in range(8)], "video_id long, frame_idx long")
-    got = {(r.video_id, r.frame_idx): np.frombuffer(r.mask, np.uint8).reshape(h, w) for r in assemble.assemble(fr, p, face, w, h, every=2, face_expand=0, smooth=False).collect()}
+    plane = lambda r: Masks.read(pa.array([r.spans], pa.list_(pa.int32())), [w], [h]).plane(0)
+    got = {(r.video_id, r.frame_idx): plane(r) for r in assemble.assemble(fr, p, face, w, h, every=2, face_expand=0, smooth=False).collect()}
     assert len(got) == 16 and not any(got[2, f].any() for f in range(8))
     for f in range(0, 8, 2):
         want = np.zeros((h, w), np.uint8)
@@ -232,12 +302,12 @@ def test_assembled_masks(spark):
     held = got[1, 1]  # the figure of frame 0, grown by six pixels
     assert held[14:56, 4:36].all() and not held[57:, :].any() and held[:21, 54:].all()
     plain = assemble.assemble(fr, p, face, w, h, every=2, face_expand=0, smooth=True).where("video_id = 1 AND frame_idx = 2").first()
-    assert (np.frombuffer(plain.mask, np.uint8).reshape(h, w) == (got[1, 2] | assemble.grown(got[1, 1], 1))).all()
+    assert (plane(plain) == (got[1, 2] | assemble.grown(got[1, 1], 1))).all()
     # with masks of its own a person is drawn by them
     own = np.zeros((h, w), np.uint8)
     own[25, 15] = 1
     drawn = assemble.assemble(fr, p.where("frame_idx = 0 AND det_id = 10").withColumn("mask", F.lit(bytearray(own.tobytes()))), face.where("false"), w, h, smooth=False).where("video_id = 1 AND frame_idx = 0").first()
-    assert bytes(drawn.mask) == own.tobytes()
+    assert (plane(drawn) == own).all()
 
 
 def test_hidden_video(spark):
@@ -354,16 +424,18 @@ def test_mask_store(spark, tmp_path):
 
     path, edits = str(tmp_path / "m"), str(tmp_path / "e")
     assert store.analyzed_frames(spark, path) == 0 and store.stored_edits(spark, edits).count() == 0
-    data = masks.encode_bytes(F.array(F.struct(F.lit(3).alias("len"), F.lit(0).alias("val")), F.struct(F.lit(1).alias("len"), F.lit(1).alias("val"))))
-    m = spark.createDataFrame([(0,), (20_000,)], "frame_idx long").select("frame_idx", F.lit(2).alias("w"), F.lit(2).alias("h"), data.alias("data"))
+    m = masks.to_files(mask(spark, 1, 1, 2, 2, w=2, h=2).unionByName(mask(spark, 0, 0, 1, 1, frame=20_000, w=2, h=2)))
     store.save_masks(m, path, 1)
     frames_ = spark.createDataFrame([(0,), (1,), (20_000,)], "frame_idx long")
     assert sorted((r.frame_idx, r.state) for r in store.load_masks(frames_, path, 2, 2).collect()) == [(0, "ok"), (1, "missing"), (20_000, "ok")]
     assert store.analyzed_frames(spark, path) == 20_001
-    store.append_edits(spark.createDataFrame([(1, 0, "add", 0, 0), (2, 0, "erase", 1, 1), (3, 5, "add", 1, 0)], store.EDITS), edits)
+    edit = lambda seq, frame, op: mask(spark, 0, 0, 1, 2, frame=frame, w=2, h=2).withColumns({"seq": F.lit(seq), "op": F.lit(op)})
+    store.append_edits(edit(1, 0, "add").unionByName(edit(2, 0, "erase")).unionByName(edit(3, 5, "add")), edits)
     store.clear_frame(spark, edits, 0, 2)
     assert [r.seq for r in store.stored_edits(spark, edits).collect()] == [3]
-    store.append_edits(spark.createDataFrame([(4, 0, "add", 1, 0)], store.EDITS), edits)
+    store.append_edits(edit(4, 0, "add"), edits)
+    replayed = {r.frame_idx: r.spans for r in masks.replay(store.load_masks(frames_, path, 2, 2).where("state = 'ok'"), store.stored_edits(spark, edits)).collect()}
+    assert replayed == {0: [0, 1, 2, 4], 5: [0, 1, 2, 3], 20_000: [0, 1]}
     store.compact(spark, path, edits, str(tmp_path / "new"))
     assert sorted(r.seq for r in store.stored_edits(spark, str(tmp_path / "new" / "edits")).collect()) == [3, 4] and store.stored_masks(spark, str(tmp_path / "new" / "masks")).count() == 2
 

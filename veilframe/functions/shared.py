@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where everything runs on one machine and spark.checkpoint.dir is not set.
 LOCAL_SHARED = "/tmp/checkpoints/veilframe"
@@ -14,3 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or LOCAL_SHARED
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once into the shared folder and read back: what stands on it runs without what it stands on."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,15 @@
 """The mask of every frame of a video, from detections to pixels: sampling, camera motion, tracking, holds and fades,
 faces that follow their persons, and smoothing in time; and a whole pass over frames with detectors as hooks.
 
-Boxes stay relational rows to the end; only the last step draws, frame after frame of a video, with the mask before
-as its state. Defined results: a frame without persons or faces has an empty mask, and so has every frame of a video
-without detections; rows of frames that `frames` does not name are ignored.
+Boxes stay relational rows to the end; only the last step draws, frame after frame of a video. Masks are runs (masks.py)
+from the first step to the last: a mask travels once, with the detection that brought it, and is the state of its track
+from then on, blended over the frames that saw the track. Defined results: a frame without persons or faces has an empty
+mask, and so has every frame of a video without detections; rows of frames that `frames` does not name are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.groups import matrix, whole_groups
+from ..functions.runs import Masks
+from ..functions.shared import stored
 from . import frames as frame_ops
-from . import gating, motion
-from .track import track
+from . import gating, masks, motion
+from .temporal import BLEND_NEW, BLEND_OLD, Blend
+from .track import Tracker, track
 
 _BOX = ("x1", "y1", "x2", "y2")
 #: Frames after which a held track at the frame's edge is let go.
@@ -77,75 +81,109 @@ def following_faces(frames: DataFrame, faces: DataFrame, tracks: DataFrame, ever
     return gating.gate(gating.plausible(now, boxes), boxes, alone)
 
 
-def draw(rows: DataFrame, w: int, h: int, smooth: bool) -> DataFrame:
-    """(video_id, frame_idx, w, h, mask) of rows sorted by video and frame (see assemble)."""
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nearest whole numbers, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) + 0.5), x).astype(np.int64)
 
-    def run(batches):
-        video, before = None, None
+
+PERSON, FACE, FRAME = 0, 1, -1
+
+
+def draw(rows: DataFrame, w: int, h: int, smooth: bool, blend: tuple[int, int] = (BLEND_NEW, BLEND_OLD), keep: int = 12) -> DataFrame:
+    """(video_id, frame_idx, w, h, spans) of rows sorted by video, frame and kind: FRAME, a frame that there is; PERSON,
+    a track, with spans where the frame saw it; FACE, spans as they are. Tracks may come back for `keep` frames.
+
+    A track's state is its blended mask; where the weights let the last mask alone decide, that mask. All masks of a
+    batch of frames are moved, grown, shrunk and joined in one step."""
+    new, old = blend
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, tracks, seen, clock, before = None, {}, {}, 0, None
         for b, edges in whole_groups(batches, "video_id", "frame_idx"):
-            ids, frame, kind = (b.column(i).to_numpy() for i in range(3))
-            n = matrix(b, *_BOX, "shift_x", "shift_y", "grow", "shrink")
-            own = b.column(b.schema.get_field_index("mask"))
-            out = []
-            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if ids[a] != video:
-                    video, before = ids[a], None
-                mask = np.zeros((h, w), np.uint8)
-                for i in range(a, z):
-                    if kind[i] < 0:
-                        continue
-                    x1, y1, x2, y2 = n[i, :4].astype(int)
-                    if kind[i] == 1:
-                        mask[max(y1, 0) : max(y2, 0), max(x1, 0) : max(x2, 0)] = 1
-                        continue
-                    raw = own[i].as_py()
-                    if raw is not None and len(raw) == w * h:
-                        m = np.frombuffer(raw, np.uint8).reshape(h, w)
+            ids, frame, kind, track_id = (b.column(i).to_numpy() for i in range(4))
+            n = matrix(b, "shift_x", "shift_y", "grow", "shrink")
+            n_rows = b.num_rows
+            given = Masks.read(b.column(8), np.full(n_rows, w), np.full(n_rows, h))
+            has = b.column(8).is_valid().to_numpy(zero_copy_only=False)
+            at_frame = clock + np.searchsorted(edges, np.arange(n_rows), "right") - 1
+            clock += len(edges) - 1
+            # a track's mask as it stands at each of its rows
+            shown: dict[int, Masks] = {}
+            for i in np.flatnonzero(kind == PERSON).tolist():
+                if ids[i] != video:
+                    video, tracks, seen = ids[i], {}, {}
+                t = int(track_id[i])
+                if has[i]:
+                    seen[t] = at_frame[i]
+                    mask = given.take(np.array([i]))
+                    if Blend.follows(new, old):
+                        tracks[t] = mask
                     else:
-                        m = np.zeros((h, w), np.uint8)
-                        m[max(y1, 0) : max(y2, 0), max(x1, 0) : max(x2, 0)] = 1
-                    dx, dy = (int(np.copysign(np.floor(abs(v) + 0.5), v)) for v in n[i, 4:6])
-                    if dx or dy:
-                        m = moved(m, dx, dy)
-                    mask |= shrunk(grown(m, int(n[i, 6])), int(n[i, 7]))
-                raw = mask
-                if smooth and before is not None:
-                    mask = mask | grown(before, 1)
-                before = raw
-                out.append(mask.tobytes())
-            first = pa.array(edges[:-1])
-            side = lambda v: pa.array([v] * len(out), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(first), b.column(1).take(first), side(w), side(h), pa.array(out, pa.binary())], names=["video_id", "frame_idx", "w", "h", "mask"])
-
-    return rows.mapInArrow(run, "video_id long, frame_idx long, w int, h int, mask binary")
-
-
-def assemble(frames: DataFrame, persons: DataFrame, faces: DataFrame, w: int, h: int, every: int = 1, moves: DataFrame | None = None, face_expand: int = 12, smooth: bool = True, **options) -> DataFrame:
-    """(video_id, frame_idx, w, h, mask) of every frame.
-
-    frames: video_id, frame_idx; persons: those, det_id, score, box and, where there is one, mask (w * h bytes; else
-    the box is filled); faces: video_id, frame_idx, det_id, score, box, eye_dist (null: unknown); moves: the
-    camera's motion. Detections count on every `every`th frame alone."""
+                        state = tracks.get(t) or (Blend(new, old), None)
+                        tracks[t] = (state[0], state[0].seen(mask))
+                if t in tracks:
+                    shown[i] = tracks[t] if isinstance(tracks[t], Masks) else tracks[t][1]
+            tracks = {t: x for t, x in tracks.items() if clock - seen[t] <= keep + 1}
+            people = np.array(sorted(shown), np.int64)
+            faces = np.flatnonzero(kind == FACE)
+            # masks that stand still, as most do, are passed on as they are
+            move = _rounded(n[people, :2]) if len(people) else np.zeros((0, 2), np.int64)
+            drawn = Masks.joined([shown[i] for i in people.tolist()]).moved(move[:, 0], move[:, 1]) if len(people) else given.take(people)
+            drawn = drawn.grown(n[people, 2].astype(np.int64)).shrunk(n[people, 3].astype(np.int64))
+            frames_at = np.arange(len(edges) - 1)
+            whose = np.searchsorted(edges, np.concatenate([edges[:-1], people, faces]), "right") - 1
+            every = Masks.joined([Masks(np.full(len(frames_at), w), np.full(len(frames_at), h), *(np.zeros(0, np.int64),) * 3), drawn, given.take(faces)])
+            order = np.argsort(whose, kind="stable")
+            raw = every.take(order).grouped(np.searchsorted(whose[order], np.arange(len(frames_at) + 1)))
+            out = raw
+            first = edges[:-1]
+            if smooth:
+                key = ids[first]
+                last = Masks(np.array([w]), np.array([h]), *(np.zeros(0, np.int64),) * 3) if before is None or before[0] != key[0] else before[1]
+                carried = Masks.joined([last, raw]).take(frames_at)  # of each frame, the one before it
+                same = np.concatenate([[True], key[1:] == key[:-1]])
+                out = raw.union(carried.only(same[carried.of]).grown(np.ones(len(frames_at), np.int64)))
+                before = (key[-1], raw.take(frames_at[-1:]))
+            side = lambda v: pa.array(np.full(len(frames_at), v, np.int32))
+            at = pa.array(first)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), side(w), side(h), out.write()], names=["video_id", "frame_idx", "w", "h", "spans"])
+
+    return rows.mapInArrow(run, "video_id long, frame_idx long, w int, h int, spans array<int>")
+
+
+def assemble(frames: DataFrame, persons: DataFrame, faces: DataFrame, w: int, h: int, every: int = 1, moves: DataFrame | None = None, face_expand: int = 12, smooth: bool = True, blend: tuple[int, int] = (BLEND_NEW, BLEND_OLD), **options) -> DataFrame:
+    """(video_id, frame_idx, w, h, spans) of every frame.
+
+    frames: video_id, frame_idx; persons: those, det_id, score, box and, where there is one, spans, or mask (w * h
+    bytes); else the box is filled; faces: video_id, frame_idx, det_id, score, box, eye_dist (null: unknown); moves: the
+    camera's motion. Detections count on every `every`th frame alone. blend: weights, of 256, of a track's new mask and
+    of its masks before."""
+    if "mask" in persons.columns:
+        persons = masks.from_planes(persons, w, h)
     tracks = person_tracks(frames, persons, every, w, h, moves, **options)
     shown = following_faces(frames, faces, tracks, every)
-    zero = F.lit(0.0)
-    flat = lambda df, kind, span, *more: df.select("video_id", "frame_idx", F.lit(kind).alias("kind"), *(c.cast("double").alias(n) for n, c in zip(_BOX, span)), *more)
-    still = (zero.alias("shift_x"), zero.alias("shift_y"), F.lit(0).cast("long").alias("grow"), F.lit(0).cast("long").alias("shrink"), F.lit(None).cast("binary").alias("mask"))
-    if "mask" in persons.columns:
-        masks = persons.select("video_id", F.col("frame_idx").alias("seen_at"), "det_id", "mask")
-        tracks = tracks.join(masks, ["video_id", "seen_at", "det_id"], "left")
-    else:
-        tracks = tracks.withColumn("mask", F.lit(None).cast("binary"))
-    rows = flat(tracks, 0, G.rect_span(G.box(), 0.0, w, h), "shift_x", "shift_y", "grow", "shrink", "mask")
+    box = masks.rectangle(*G.rect_span(G.box(), 0.0, w, h), w, h)
+    own = F.coalesce("_spans", box) if "spans" in persons.columns else box
+    fresh = F.col("seen_at") == F.col("frame_idx")
+    if "spans" in persons.columns:
+        # a mask meets its track once, on the frame that saw it
+        brought = persons.select("video_id", "frame_idx", "det_id", F.col("spans").alias("_spans"))
+        tracks = tracks.withColumn("det_id", F.when(fresh, F.col("det_id"))).join(brought, ["video_id", "frame_idx", "det_id"], "left")
+    people = tracks.select("video_id", "frame_idx", F.lit(PERSON).alias("kind"), "track_id", "shift_x", "shift_y", "grow", "shrink", F.when(fresh, own).alias("spans"))
+    none = lambda kind: (F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("track_id"), F.lit(0.0).alias("shift_x"), F.lit(0.0).alias("shift_y"), F.lit(0).cast("long").alias("grow"), F.lit(0).cast("long").alias("shrink"))
     ex = G.face_margin(F.col("x2") - F.col("x1"), F.col("eye_dist"), face_expand)
     spans = shown.select(F.col("frame_idx.video_id").alias("video_id"), F.col("frame_idx.frame_idx").alias("frame_idx"), *_BOX, ex.alias("ex"))
-    rows = rows.unionByName(flat(spans, 1, G.face_span(G.box(), F.col("ex"), face_expand, w, h), *still))
-    rows = rows.unionByName(flat(frames.select("video_id", "frame_idx"), -1, (zero,) * 4, *still))
-    return draw(rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "kind"), w, h, smooth)
+    rows = people.unionByName(spans.select("video_id", "frame_idx", *none(FACE), masks.rectangle(*G.face_span(G.box(), F.col("ex"), face_expand, w, h), w, h).alias("spans")))
+    rows = rows.unionByName(frames.select("video_id", "frame_idx", *none(FRAME), F.lit(None).cast("array<int>").alias("spans")))
+    return draw(rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "kind", "track_id"), w, h, smooth, blend, options.get("max_lost", Tracker.max_lost))
+
+
+#: Bytes of runs of a whole job up to which they are sent to the frames instead of frames to them.
+SENT_BYTES = 64 << 20
 
 
 def hide_video(video: DataFrame, w: int, h: int, detect: Callable[[DataFrame], DataFrame], find_faces: Callable[[DataFrame], DataFrame], style: str = "mosaic", size: int = 24, compose: Callable[[DataFrame], DataFrame] | None = None, follow_camera: bool = False, **options) -> DataFrame:
-    """video (video_id, frame_idx, w, h, nv12) with persons and faces hidden.
+    """video (video_id, frame_idx, w, h, nv12) with persons and faces hidden; its masks are stored once in the shared folder.
 
     Hooks: detect and find_faces take sampled frames and give boxes as assemble() reads them; compose, if given,
     takes frames with their mask instead of the style."""
@@ -154,6 +192,9 @@ def hide_video(video: DataFrame, w: int, h: int, detect: Callable[[DataFrame], D
     moves = None
     if follow_camera:
         moves = motion.motions(video.select("video_id", "frame_idx", "w", "h", F.expr("substring(nv12, 1, w * h)").alias("luma")))
-    masks = assemble(video.select("video_id", "frame_idx"), detect(sampled), find_faces(sampled), w, h, moves=moves, **options)
-    both = video.join(masks.select("video_id", "frame_idx", "mask"), ["video_id", "frame_idx"], "left")
+    made = stored(assemble(video.select("video_id", "frame_idx"), detect(sampled), find_faces(sampled), w, h, moves=moves, **options), "masks")
+    runs = made.select("video_id", "frame_idx", "spans")
+    if (made.agg(F.sum(F.size("spans") * 4 + 32)).first()[0] or 0) <= SENT_BYTES:
+        runs = F.broadcast(runs)  # frames stay where they are
+    both = masks.with_planes(video.select(*video.columns).join(runs, ["video_id", "frame_idx"], "left"))
     return compose(both) if compose else frame_ops.apply(both, style, size)

@@ -1,91 +1,214 @@
-"""Pixel masks as rows (key, y, x) of set pixels, and as run-length arrays.
+"""Pixel masks as rows (keys, w, h, spans), spans being an array lo, hi, lo, hi, ... of half-open runs of set places
+y * w + x, in order and apart.
 
-Set operations on rows are joins and distincts on the key and the pixel; growing and shrinking are two
-one-dimensional passes.
+Set operations, shifts, growth and edits work on the runs, many masks of an Arrow batch a step (functions/runs.py): no
+row, and no work, for a pixel. What has to meet meets by its keys: unions are made within each task before their rows
+are shuffled, pairs by a join of one row a mask. Keys are whole numbers, the last one the frame; a mask that is null is
+empty, and runs outside a frame are cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.groups import whole_groups
+from ..functions.runs import Masks
+
+KEYS = ("frame_idx",)
+#: Masks that are worked on at a time.
+STEP = 1_024
+
+
+def _types(keys: Iterable[str]) -> str:
+    return ", ".join(f"{k} long" for k in keys)
+
+
+def _read(b: pa.RecordBatch, at: int) -> Masks:
+    """Masks of a batch whose columns `at`, `at` + 1 and `at` + 2 are w, h and spans."""
+    w, h = (np.nan_to_num(b.column(at + k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+    return Masks.read(b.column(at + 2), w, h)
+
+
+def _side(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _rows(b: pa.RecordBatch, n_keys: int, m: Masks, of: np.ndarray | None = None) -> list[pa.Array]:
+    """Keys of a batch (of its rows `of`) with masks."""
+    keys = [b.column(k) if of is None else b.column(k).take(pa.array(of)) for k in range(n_keys)]
+    return [*keys, _side(m.w), _side(m.h), m.write()]
 
-PIXEL = ("frame_idx", "y", "x")
 
+def _map(masks: DataFrame, keys: tuple[str, ...], more: tuple[Column, ...], change: Callable[[Masks, pa.RecordBatch], Masks]) -> DataFrame:
+    """Masks changed one by one; change also sees the batch, whose columns after spans are `more`."""
+    n = len(keys)
 
-def union(*masks: DataFrame) -> DataFrame:
-    out = masks[0].select(*PIXEL)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
+            yield pa.RecordBatch.from_arrays(_rows(b, n, change(_read(b, n), b)), names=[*keys, "w", "h", "spans"])
+
+    extra = [c.alias(f"_{i}") for i, c in enumerate(more)]
+    return masks.select(*(F.col(k).cast("long").alias(k) for k in keys), "w", "h", "spans", *extra).mapInArrow(run, f"{_types(keys)}, w int, h int, spans array<int>")
+
+
+def rectangle(x1: Column, y1: Column, x2: Column, y2: Column, w: Column | int, h: Column | int) -> Column:
+    """The spans of a half-open rectangle; empty where it has no area within the frame."""
+    side = lambda c, most: F.least(F.greatest(c.cast("int"), F.lit(0)), (F.lit(most) if isinstance(most, int) else most).cast("int"))
+    a, b, c, d, wide = side(x1, w), side(y1, h), side(x2, w), side(y2, h), F.lit(w) if isinstance(w, int) else w
+    rows = F.flatten(F.transform(F.sequence(b, d - 1), lambda y: F.array((y * wide + a).cast("int"), (y * wide + c).cast("int"))))
+    return F.when((c > a) & (d > b), rows).otherwise(F.array().cast("array<int>"))
+
+
+def union(*masks: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One mask for each key: what any of its masks sets. Sizes are those of one of them."""
+    rows = masks[0].select(*keys, "w", "h", "spans")
     for m in masks[1:]:
-        out = out.union(m.select(*PIXEL))
-    return out.distinct()
+        rows = rows.unionByName(m.select(*keys, "w", "h", "spans"))
+    n, names = len(keys), [*keys, "w", "h", "spans"]
+
+    def here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(n)], axis=1)
+            order = np.lexsort(key.T[::-1])
+            new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]).any(axis=1)])
+            edges = np.append(np.flatnonzero(new), len(order))
+            m = _read(b, n).take(order).grouped(edges)
+            yield pa.RecordBatch.from_arrays(_rows(b, n, m, order[edges[:-1]]), names=names)
+
+    def all_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, edges in whole_groups(batches, *keys):
+            yield pa.RecordBatch.from_arrays(_rows(b, n, _read(b, n).grouped(edges), edges[:-1]), names=names)
+
+    schema = f"{_types(keys)}, w int, h int, spans array<int>"
+    typed = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "spans")
+    return typed.mapInArrow(here, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(all_of, schema)
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: tuple[str, ...], how: str, rule: Callable[[Masks, Masks], Masks]) -> DataFrame:
+    """Masks of a with those of b under the same keys, which must be one a key."""
+    both = a.select(*keys, "w", "h", "spans").join(b.select(*keys, F.col("spans").alias("_b")), list(keys), how)
+    n = len(keys)
+    return _map(both, keys, (F.col("_b"),), lambda m, x: rule(m, Masks.read(x.column(n + 3), m.w, m.h)))
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(*PIXEL).join(b.select(*PIXEL), list(PIXEL), "left_anti")
+def difference(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """What a sets and b does not, for every mask of a."""
+    return _pairs(a, b, keys, "left", Masks.minus)
 
 
-def bounds(mask: DataFrame, pad: int, w: int, h: int) -> DataFrame:
-    """Half-open box of the set pixels of each frame, widened by pad and clipped; no row for an empty mask."""
-    zero = F.lit(0)
-    return mask.groupBy("frame_idx").agg(
-        F.greatest(F.min("x") - pad, zero).alias("bx1"), F.greatest(F.min("y") - pad, zero).alias("by1"),
-        F.least(F.max("x") + 1 + pad, F.lit(w)).alias("bx2"), F.least(F.max("y") + 1 + pad, F.lit(h)).alias("by2"),
-    )
+def intersection(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """What both set, for keys of both."""
+    return _pairs(a, b, keys, "inner", Masks.both)
 
 
-def _spread(mask: DataFrame, axis: str, n: int, size: int) -> DataFrame:
-    moved = mask.select(*(c for c in PIXEL if c != axis), F.explode(F.sequence(F.greatest(F.col(axis) - n, F.lit(0)), F.least(F.col(axis) + n, F.lit(size - 1)))).alias(axis))
-    return moved.select(*PIXEL).distinct()
+def filled(masks: DataFrame) -> DataFrame:
+    """Masks that set something."""
+    return masks.where(F.size("spans") > 0)
 
 
-def dilate(mask: DataFrame, n: int, w: int, h: int) -> DataFrame:
-    """n steps of a 3 x 3 growth: a square of 2 n + 1, one axis after the other."""
-    return _spread(_spread(mask, "x", n, w), "y", n, h)
+def bounds(masks: DataFrame, pad: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Half-open box of the set pixels of each mask, widened by pad and clipped; no row for an empty mask."""
+    n = len(keys)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _read(b, n)
+            box = m.box()
+            low, high = np.maximum(box[:, :2] - pad, 0), np.minimum(box[:, 2:] + pad, np.stack([m.w, m.h], axis=1))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *(_side(c) for c in (*low.T, *high.T))], names=[*keys, "bx1", "by1", "bx2", "by2"])
 
-def erode(mask: DataFrame, n: int, w: int, h: int) -> DataFrame:
-    """n steps of a 3 x 3 shrinking. The frame's edge does not count as unset.
+    return filled(masks).select(*keys, "w", "h", "spans").mapInArrow(run, f"{_types(keys)}, bx1 int, by1 int, bx2 int, by2 int")
 
-    A pixel stays if along each axis its n neighbours within the frame are set: a run of rows counts them."""
-    out = mask.select(*PIXEL)
-    for axis, size in (("x", w), ("y", h)):
-        other = [c for c in PIXEL if c != axis]
-        win = Window.partitionBy(*other).orderBy(axis).rangeBetween(-n, n)
-        want = F.least(F.col(axis) + n, F.lit(size - 1)) - F.greatest(F.col(axis) - n, F.lit(0)) + 1
-        out = out.withColumn("_n", F.count(F.lit(1)).over(win)).where(F.col("_n") == want).select(*PIXEL)
-    return out
 
+def numbers(masks: DataFrame, keys: tuple[str, ...] = KEYS, empty: bool = False) -> DataFrame:
+    """keys, n_px, sum_x, sum_y: set pixels and the sums of their places; a row for an empty mask if `empty`."""
+    n = len(keys)
 
-def shift(mask: DataFrame, dx: Column, dy: Column, w: int, h: int) -> DataFrame:
-    moved = mask.select("frame_idx", (F.col("y") + dy).cast("int").alias("y"), (F.col("x") + dx).cast("int").alias("x"))
-    return moved.where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _read(b, n)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), pa.array(m.area()), *map(pa.array, m.sums())], names=[*keys, "n_px", "sum_x", "sum_y"])
 
+    return (masks if empty else filled(masks)).select(*keys, "w", "h", "spans").mapInArrow(run, f"{_types(keys)}, n_px long, sum_x long, sum_y long")
 
-def smoothed(mask: DataFrame, w: int, h: int) -> DataFrame:
-    """Each frame's mask with the raw mask of the frame before, grown by one pixel."""
-    before = dilate(mask, 1, w, h).withColumn("frame_idx", F.col("frame_idx") + 1)
-    here = mask.select("frame_idx").distinct()
-    return union(mask, before.join(here, "frame_idx", "left_semi"))
 
+def area(spans: Column) -> Column:
+    """Set pixels, without leaving the JVM."""
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
-def replay(mask: DataFrame, edits: DataFrame) -> DataFrame:
-    """Pixels after edits (frame_idx, y, x, seq, op) in order of seq: the last one at a pixel decides."""
-    last = edits.groupBy(*PIXEL).agg(F.max_by("op", "seq").alias("op"))
-    both = mask.select(*PIXEL, F.lit(1).alias("was")).join(last, list(PIXEL), "full")
-    return both.where(F.coalesce(F.col("op") == "add", F.col("was") == 1)).select(*PIXEL)
 
+def dilate(masks: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """n steps of a 3 x 3 growth: a square of 2 n + 1."""
+    return _map(masks, keys, (), lambda m, _: m.grown(np.full(len(m.w), n)))
 
-def runs(mask: DataFrame, w: int, h: int) -> DataFrame:
-    """(frame_idx, run, len, val): a frame's pixels in row order as runs that alternate, from its set pixels."""
-    per = Window.partitionBy("frame_idx").orderBy("p")
-    lit = mask.select("frame_idx", (F.col("y") * w + F.col("x")).alias("p"))
-    isle = lit.withColumn("g", F.col("p") - F.row_number().over(per)).groupBy("frame_idx", "g").agg(F.min("p").alias("lo"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("frame_idx").orderBy("lo")
-    gap = F.col("lo") - F.coalesce(F.lag(F.col("lo") + F.col("n")).over(order), F.lit(0))
-    last = F.lead("lo").over(order).isNull()
-    tail = F.lit(w * h) - F.col("lo") - F.col("n")
-    parts = F.array(F.struct(gap.cast("int").alias("len"), F.lit(0).alias("val")), F.struct(F.col("n").cast("int").alias("len"), F.lit(1).alias("val")), F.struct(F.when(last, tail).otherwise(0).cast("int").alias("len"), F.lit(0).alias("val")))
-    rows = isle.select("frame_idx", "lo", parts.alias("r")).select("frame_idx", "lo", F.posexplode("r").alias("k", "r")).where("r.len > 0")
-    return rows.select("frame_idx", F.row_number().over(Window.partitionBy("frame_idx").orderBy("lo", "k")).alias("run"), F.col("r.len").alias("len"), F.col("r.val").alias("val"))
+
+def erode(masks: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """n steps of a 3 x 3 shrinking. The frame's edge does not count as unset."""
+    return _map(masks, keys, (), lambda m, _: m.shrunk(np.full(len(m.w), n)))
+
+
+def shift(masks: DataFrame, dx: Column, dy: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Masks moved by whole pixels; what leaves the frame is lost."""
+    at = len(keys) + 3
+    return _map(masks, keys, (dx.cast("long"), dy.cast("long")), lambda m, b: m.moved(b.column(at).to_numpy(), b.column(at + 1).to_numpy()))
+
+
+def smoothed(masks: DataFrame, frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Each frame's mask with the raw mask of the frame before, grown by one pixel; frames (keys) names the frames that
+    there are: one whose own mask is empty has the grown one alone."""
+    before = dilate(masks, 1, keys).withColumn(keys[-1], F.col(keys[-1]) + 1)
+    return union(masks, before.join(frames.select(*keys).distinct(), list(keys), "left_semi"), keys=keys)
+
+
+def replay(masks: DataFrame, edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Masks after edits (keys, seq, op 'add' or 'erase', w, h, spans), in order of seq. A frame without a mask begins
+    empty, in the size of its first edit; an edit of another size than its frame is passed over."""
+    n = len(keys)
+    base = masks.select(*keys, F.lit(None).cast("long").alias("seq"), F.lit(True).alias("add"), "w", "h", "spans")
+    rows = base.unionByName(edits.select(*keys, F.col("seq").cast("long").alias("seq"), (F.col("op") == "add").alias("add"), "w", "h", "spans"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, edges in whole_groups(batches, *keys):
+            add = b.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
+            m = _read(b, n + 2)
+            first, count = edges[:-1], np.diff(edges)
+            who = np.arange(len(first))
+            now = m.take(first)
+            now = now.only(add[first][now.of])  # an erasure of nothing leaves nothing
+            size = now.w * now.h
+            done, order, k = [], [], 0
+            while len(who):
+                k += 1
+                more = count[who] > k  # frames that have a k-th edit go on, the others are done
+                done.append(now.take(np.flatnonzero(~more)))
+                order.append(who[~more])
+                now, who = now.take(np.flatnonzero(more)), who[more]
+                if len(who):
+                    edit = m.take(first[who] + k)
+                    fits = (edit.w * edit.h == size[who])[edit.of]
+                    adds = add[first[who] + k][edit.of]
+                    now = now.union(edit.only(fits & adds)).minus(edit.only(fits & ~adds))
+            place = np.argsort(np.concatenate(order), kind="stable")
+            yield pa.RecordBatch.from_arrays(_rows(b, n, Masks.joined(done).take(place), first), names=[*keys, "w", "h", "spans"])
+
+    typed = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), "seq", "add", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "spans")
+    return typed.repartition(*keys).sortWithinPartitions(*keys, F.col("seq").asc_nulls_first()).mapInArrow(run, f"{_types(keys)}, w int, h int, spans array<int>")
+
+
+def run_lengths(spans: Column, w: Column, h: Column) -> Column:
+    """An array of struct (len, val): runs of unset and set pixels in turn over the whole frame, none empty."""
+    at = F.concat(F.array(F.lit(0)), spans, F.array((w * h).cast("int")))
+    size = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: b - a)
+    return F.filter(F.transform(size, lambda n, i: F.struct(n.alias("len"), (i % 2).cast("int").alias("val"))), lambda r: r["len"] > 0)
 
 
 def rle_valid(rle: Column, w: Column, h: Column) -> Column:
@@ -94,27 +217,59 @@ def rle_valid(rle: Column, w: Column, h: Column) -> Column:
     return (total == w * h) & F.forall(rle, lambda r: r["val"].between(0, 1) & (r["len"] > 0))
 
 
-def set_pixels(rle_rows: DataFrame, w: int) -> DataFrame:
-    """Rows (frame_idx, run, len, val) back to set pixels."""
-    order = Window.partitionBy("frame_idx").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    at = rle_rows.withColumn("lo", F.coalesce(F.sum("len").over(order), F.lit(0))).where("val = 1")
-    p = at.select("frame_idx", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("len") - 1)).alias("p"))
-    return p.select("frame_idx", F.floor(F.col("p") / w).cast("int").alias("y"), (F.col("p") % w).cast("int").alias("x"))
+def with_planes(rows: DataFrame) -> DataFrame:
+    """Rows with w, h, spans, and a column mask of w * h bytes instead of spans; other columns stay as they are. Planes
+    are made where they are used: let this be the last step before a kernel."""
+    names = [c for c in rows.columns if c not in ("spans", "mask")]
+    at = [rows.columns.index(c) for c in (*names, "w", "h", "spans")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 16) for b in batches for i in range(0, b.num_rows, 16)):
+            w, h = (np.nan_to_num(b.column(k).to_numpy(zero_copy_only=False)) for k in at[-3:-1])
+            m = Masks.read(b.column(at[-1]), w, h)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in at[:-3]), pa.array([m.plane(i).tobytes() for i in range(b.num_rows)], pa.binary())], names=[*names, "mask"])
+
+    kinds = T.StructType([*(rows.schema[c] for c in names), T.StructField("mask", T.BinaryType())])
+    return rows.mapInArrow(run, kinds)
+
+
+def from_planes(rows: DataFrame, w: int, h: int) -> DataFrame:
+    """Rows with a column spans instead of mask (w * h bytes, a pixel each; null where it has another length)."""
+    names = [c for c in rows.columns if c not in ("spans", "mask")]
+    at, others = rows.columns.index("mask"), [rows.columns.index(c) for c in names]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 16) for b in batches for i in range(0, b.num_rows, 16)):
+            raw = [x if x is not None and len(x) == w * h else None for x in b.column(at).to_pylist()]
+            m = Masks.planes([np.frombuffer(x, np.uint8).reshape(h, w) if x is not None else np.zeros((h, w), np.uint8) for x in raw])
+            spans = m.write()
+            here = pa.array([x is not None for x in raw])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in others), pc.if_else(here, spans, pa.nulls(b.num_rows, spans.type))], names=[*names, "spans"])
+
+    kinds = T.StructType([*(rows.schema[c] for c in names), T.StructField("spans", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, kinds)
+
+
+def to_files(masks: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, w, h, data: masks in their file form."""
+    n = len(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n + 2)), pa.array(_read(b, n).files(), pa.binary())], names=[*keys, "w", "h", "data"])
+
+    return masks.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "spans").mapInArrow(run, f"{_types(keys)}, w int, h int, data binary")
 
 
-def encode_bytes(rle: Column) -> Column:
-    """Little-endian file form: count of runs, then each run's 32-bit length and 8-bit value."""
-    le = lambda n: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1))))
-    runs_ = F.transform(rle, lambda r: F.concat(F.hex(le(r["len"])), F.lpad(F.hex(r["val"]), 2, "0")))
-    return F.unhex(F.concat(F.hex(le(F.size(rle))), F.array_join(runs_, "")))
+def from_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, w, h, spans and whole: whether the file is one, has values of 0 and 1 alone and covers w * h pixels; spans
+    are empty where it is not."""
+    n = len(keys)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
+            w, h = (np.nan_to_num(b.column(n + k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+            m, whole = Masks.from_files(b.column(n + 2).to_pylist(), w, h)
+            yield pa.RecordBatch.from_arrays([*_rows(b, n, m), pa.array(whole)], names=[*keys, "w", "h", "spans", "whole"])
 
-def decode_bytes(data: Column) -> Column:
-    """The inverse; null if the length does not fit the count or a value is over 1."""
-    x = F.hex(data)
-    le = lambda at: F.conv(F.concat(*(F.substring(x, at + k, F.lit(2)) for k in (6, 4, 2, 0))), 16, 10).cast("long")
-    n = le(F.lit(1))
-    run = lambda i: F.struct(le(i * 10 + 9).cast("int").alias("len"), F.conv(F.substring(x, i * 10 + 17, F.lit(2)), 16, 10).cast("int").alias("val"))
-    out = F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), run)).otherwise(F.from_json(F.lit("[]"), "array<struct<len:int,val:int>>"))
-    whole = (F.length(data) >= 4) & (F.length(data) == n * 5 + 4)
-    return F.when(whole, F.transform(F.array(out), lambda r: F.when(F.forall(r, lambda q: q["val"] <= 1), r))[0])
+    return files.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "data").mapInArrow(run, f"{_types(keys)}, w int, h int, spans array<int>, whole boolean")

@@ -15,14 +15,15 @@ _EDITS = ", edits AS (SELECT seq, frame_idx, op, (py + a.d)::INT AS y, (px + b.d
 
 
 def _edits(spark, sf_dir):
-    p = view(spark, sf_dir, "patches")
-    grown = p.select("seq", "frame_idx", "op", "px", "side", F.explode(F.sequence(F.col("py"), F.col("py") + F.col("side") - 1)).alias("y"))
-    return grown.select("seq", "frame_idx", "op", "y", F.explode(F.sequence(F.col("px"), F.col("px") + F.col("side") - 1)).alias("x"))
+    """Edits as masks of their squares."""
+    x, y, n = F.col("px"), F.col("py"), F.col("side")
+    return view(spark, sf_dir, "patches").select("seq", "frame_idx", "op", F.lit(S).alias("w"), F.lit(S).alias("h"), masks.rectangle(x, y, x + n, y + n, S, S).alias("spans"))
 
 
-def _count(df, name="n_px"):
-    """Pixels, and the sums of their places, by frame: enough to tell masks apart."""
-    return df.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(name), F.sum("x").cast("long").alias("sum_x"), F.sum("y").cast("long").alias("sum_y"))
+def _masks(spark, sf_dir):
+    """The mask of every frame of rectangles."""
+    x, y = F.col("rx"), F.col("ry")
+    return masks.union(view(spark, sf_dir, "rects").select("frame_idx", F.lit(S).alias("w"), F.lit(S).alias("h"), masks.rectangle(x, y, x + F.col("rw"), y + F.col("rh"), S, S).alias("spans")))
 
 
 COUNT = "SELECT frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM {t} GROUP BY frame_idx"
@@ -32,18 +33,18 @@ COUNT = "SELECT frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x, su
 {_EDITS}, m AS (SELECT frame_idx, y, x FROM pixels UNION SELECT frame_idx, y, x FROM edits) {COUNT.format(t='m')}""")
 def mask_union(spark, sf_dir):
     """The pixels of a frame's mask and of its edits, each once."""
-    return _count(masks.union(view(spark, sf_dir, "pixels"), _edits(spark, sf_dir).select(*masks.PIXEL)))
+    return masks.numbers(masks.union(_masks(spark, sf_dir), _edits(spark, sf_dir)))
 
 
 @query("mask_bbox", """-- views: pixels
 SELECT frame_idx, greatest(min(x) - 4, 0)::INT AS bx1, greatest(min(y) - 4, 0)::INT AS by1, least(max(x) + 5, 64)::INT AS bx2, least(max(y) + 5, 64)::INT AS by2 FROM pixels GROUP BY frame_idx""")
 def mask_bbox(spark, sf_dir):
-    return masks.bounds(view(spark, sf_dir, "pixels"), 4, S, S)
+    return masks.bounds(_masks(spark, sf_dir), 4)
 
 
 @query("mask_coverage", "-- views: pixels\nSELECT frame_idx, round(100.0::DOUBLE * count(*) / 4096, 6) AS coverage_pct FROM pixels GROUP BY frame_idx")
 def mask_coverage(spark, sf_dir):
-    return view(spark, sf_dir, "pixels").groupBy("frame_idx").agg(F.round(F.lit(100.0) * F.count(F.lit(1)) / 4096, 6).alias("coverage_pct"))
+    return _masks(spark, sf_dir).select("frame_idx", F.round(F.lit(100.0) * masks.area(F.col("spans")) / (F.col("w") * F.col("h")), 6).alias("coverage_pct"))
 
 
 @query("mask_diff_patches", f"""-- views: pixels patches
@@ -52,11 +53,11 @@ d AS (SELECT 'add' AS op, * FROM (SELECT * FROM want EXCEPT SELECT * FROM pixels
 SELECT op, frame_idx, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x FROM d GROUP BY op, frame_idx""")
 def mask_diff_patches(spark, sf_dir):
     """The pixels that an accepted mask adds to and takes from a frame's own."""
-    have = view(spark, sf_dir, "pixels")
-    want = _edits(spark, sf_dir).where("op = 'add'").select(*masks.PIXEL).distinct()
-    have = have.join(want.select("frame_idx").distinct(), "frame_idx", "left_semi")
-    both = masks.difference(want, have).withColumn("op", F.lit("add")).union(masks.difference(have, want).withColumn("op", F.lit("erase")))
-    return both.groupBy("op", "frame_idx").agg(F.count(F.lit(1)).alias("n_px"), F.sum("x").cast("long").alias("sum_x"))
+    want = masks.union(_edits(spark, sf_dir).where("op = 'add'"))
+    have = _masks(spark, sf_dir)
+    added = masks.numbers(masks.difference(want, have)).withColumn("op", F.lit("add"))
+    taken = masks.numbers(masks.difference(have.join(want.select("frame_idx"), "frame_idx", "left_semi"), want)).withColumn("op", F.lit("erase"))
+    return added.unionByName(taken).select("op", "frame_idx", "n_px", "sum_x")
 
 
 @query("patch_replay", f"""-- views: pixels patches
@@ -64,7 +65,7 @@ def mask_diff_patches(spark, sf_dir):
 m AS (SELECT coalesce(p.frame_idx, l.frame_idx) AS frame_idx, coalesce(p.y, l.y) AS y, coalesce(p.x, l.x) AS x FROM pixels p FULL JOIN last l ON p.frame_idx = l.frame_idx AND p.y = l.y AND p.x = l.x WHERE CASE WHEN l.op IS NULL THEN true ELSE l.op = 'add' END)
 {COUNT.format(t='m')}""")
 def patch_replay(spark, sf_dir):
-    return _count(masks.replay(view(spark, sf_dir, "pixels"), _edits(spark, sf_dir)))
+    return masks.numbers(masks.replay(_masks(spark, sf_dir), _edits(spark, sf_dir)))
 
 
 @query("dilate_n", f"""-- views: pixels
@@ -83,14 +84,15 @@ def erode_n(spark, sf_dir):
 @query("shift_mask", f"""-- views: pixels
 , m AS (SELECT frame_idx, y + frame_idx % 5 - 2 AS y, x + frame_idx % 7 - 3 AS x FROM pixels WHERE y + frame_idx % 5 - 2 BETWEEN 0 AND 63 AND x + frame_idx % 7 - 3 BETWEEN 0 AND 63) {COUNT.format(t='m')}""")
 def shift_mask(spark, sf_dir):
-    return _count(masks.shift(view(spark, sf_dir, "pixels"), F.col("frame_idx") % 7 - 3, F.col("frame_idx") % 5 - 2, S, S))
+    return masks.numbers(masks.shift(_masks(spark, sf_dir), F.col("frame_idx") % 7 - 3, F.col("frame_idx") % 5 - 2))
 
 
-@query("smooth_prev", f"""-- views: pixels
+@query("smooth_prev", f"""-- views: pixels frames
 , g AS (SELECT DISTINCT frame_idx + 1 AS frame_idx, y + a.d AS y, x + b.d AS x FROM pixels, (SELECT unnest(range(-1, 2)) AS d) a, (SELECT unnest(range(-1, 2)) AS d) b WHERE y + a.d BETWEEN 0 AND 63 AND x + b.d BETWEEN 0 AND 63),
-m AS (SELECT frame_idx, y, x FROM pixels UNION SELECT frame_idx, y, x FROM g WHERE frame_idx IN (SELECT frame_idx FROM pixels)) {COUNT.format(t='m')}""")
+m AS (SELECT frame_idx, y, x FROM pixels UNION SELECT frame_idx, y, x FROM g WHERE frame_idx IN (SELECT frame_idx FROM frames)) {COUNT.format(t='m')}""")
 def smooth_prev(spark, sf_dir):
-    return _count(masks.smoothed(view(spark, sf_dir, "pixels"), S, S))
+    """Masks with that of the frame before, grown; also of frames whose own mask is empty."""
+    return masks.numbers(masks.smoothed(_masks(spark, sf_dir), view(spark, sf_dir, "frames")))
 
 
 RUNS_SQL = """-- views: pixels
@@ -103,25 +105,27 @@ r AS (SELECT frame_idx, val, sum(edge) OVER (PARTITION BY frame_idx ORDER BY p)
 
 @query("rle_encode", RUNS_SQL + "SELECT frame_idx, run::INT AS run, count(*)::INT AS len, any_value(val)::INT AS val FROM r GROUP BY frame_idx, run")
 def rle_encode(spark, sf_dir):
-    return masks.runs(view(spark, sf_dir, "pixels"), S, S)
+    m = _masks(spark, sf_dir).select("frame_idx", F.posexplode(masks.run_lengths(F.col("spans"), F.col("w"), F.col("h"))).alias("run", "r"))
+    return m.select("frame_idx", (F.col("run") + 1).alias("run"), "r.len", "r.val")
 
 
 @query("rle_decode", "-- views: pixels\n" + COUNT.format(t="pixels"))
 def rle_decode(spark, sf_dir):
-    """Runs and back: the frame's own pixels."""
-    return _count(masks.set_pixels(masks.runs(view(spark, sf_dir, "pixels"), S, S), S))
+    """Run lengths in their file form and back: the frame's own pixels."""
+    return masks.numbers(masks.from_files(masks.to_files(_masks(spark, sf_dir))))
 
 
 @query("rle_validate", RUNS_SQL + ", n AS (SELECT frame_idx, run, count(*) AS len FROM r GROUP BY ALL) SELECT frame_idx, frame_idx % 10 <> 3 AS is_valid, (4 + 5 * count(*))::INT AS file_bytes, frame_idx % 10 <> 4 AS reads_back FROM n GROUP BY frame_idx")
 def rle_validate(spark, sf_dir):
     """Run lists checked against the frame's size, and through their file form; some are spoiled on purpose."""
-    r = masks.runs(view(spark, sf_dir, "pixels"), S, S)
-    per = r.groupBy("frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "len", "val"))), lambda q: F.struct(q["len"].alias("len"), q["val"].alias("val"))).alias("rle"))
-    height = F.when(F.col("frame_idx") % 10 == 3, S + 1).otherwise(S)
-    data = masks.encode_bytes(F.col("rle"))
-    cut = F.when(F.col("frame_idx") % 10 == 4, F.substring("data", F.lit(1), F.length("data") - 2)).otherwise(F.col("data"))
-    per = per.withColumn("data", data)
-    return per.select("frame_idx", masks.rle_valid(F.col("rle"), F.lit(S), height).alias("is_valid"), F.length("data").alias("file_bytes"), F.coalesce(masks.decode_bytes(cut) == F.col("rle"), F.lit(False)).alias("reads_back"))
+    m = _masks(spark, sf_dir)
+    files = masks.to_files(m).select("frame_idx", "w", "h", "data")
+    k = F.col("frame_idx") % 10
+    spoiled = files.withColumn("data", F.when(k == 4, F.substring("data", F.lit(1), F.length("data") - 2)).otherwise(F.col("data")))
+    read = masks.from_files(spoiled).select("frame_idx", "whole", F.col("spans").alias("again"))
+    size = files.select("frame_idx", F.length("data").alias("file_bytes"))
+    valid = masks.rle_valid(masks.run_lengths(F.col("spans"), F.col("w"), F.col("h")), F.col("w"), F.col("h") + F.when(k == 3, 1).otherwise(0))
+    return m.join(read, "frame_idx").join(size, "frame_idx").select("frame_idx", valid.alias("is_valid"), "file_bytes", (F.col("whole") & (F.col("again") == F.col("spans"))).alias("reads_back"))
 
 
 #: Every frame with a mask as luma p (frame_idx, y, x, v, m) and chroma q (frame_idx, y, x, u, w, any4, one), and its mask's box.
@@ -267,7 +271,7 @@ def nv12_to_rgba(spark, sf_dir):
 SELECT f.frame_idx, coalesce(m.n, 0)::BIGINT AS mask_px, m.n IS NULL AS passed_through FROM frames f LEFT JOIN m ON m.frame_idx = f.frame_idx""")
 def render_join(spark, sf_dir):
     """Every frame with its mask, or passed through as it is where there is none."""
-    m = view(spark, sf_dir, "pixels").groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"))
+    m = masks.filled(_masks(spark, sf_dir)).select("frame_idx", masks.area(F.col("spans")).alias("n"))
     return view(spark, sf_dir, "frames").join(m, "frame_idx", "left").select("frame_idx", F.coalesce("n", F.lit(0)).cast("long").alias("mask_px"), F.col("n").isNull().alias("passed_through"))
 
 
@@ -276,7 +280,7 @@ def render_join(spark, sf_dir):
 SELECT i.frame_idx, i.n::BIGINT AS instances, coalesce(m.n, 0)::BIGINT AS mask_px, coalesce(e.n, 0)::BIGINT AS edits, e.last AS last_edit FROM i LEFT JOIN m ON m.frame_idx = i.frame_idx LEFT JOIN e ON e.frame_idx = i.frame_idx""")
 def review_join(spark, sf_dir):
     count = lambda df, n, *more: df.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(n), *more)
-    i, m = count(view(spark, sf_dir, "rects"), "instances"), count(view(spark, sf_dir, "pixels"), "mask_px")
+    i, m = count(view(spark, sf_dir, "rects"), "instances"), _masks(spark, sf_dir).select("frame_idx", masks.area(F.col("spans")).alias("mask_px"))
     e = count(view(spark, sf_dir, "patches"), "edits", F.max("seq").alias("last_edit"))
     out = i.join(m, "frame_idx", "left").join(e, "frame_idx", "left")
     return out.select("frame_idx", "instances", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("mask_px", "edits")), "last_edit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, cosine, fade, iou
-from ..operators import link, motion, temporal, track
+from ..operators import link, masks, motion, temporal, track
 from ..registry import query
 from ..sources.fixtures import view
 
@@ -141,22 +141,43 @@ def track_batch(spark, sf_dir):
 def assemble_masks(spark, sf_dir):
     """Masks of small videos end to end: every third frame is looked at, persons are tracked and held between, faces
     follow them. A frame of rectangles is one of a video's frames; pixels and places of each mask."""
-    import numpy as np
-    import pyarrow as pa
-
     from ..operators import assemble
 
     r = view(spark, sf_dir, "rects").select((F.col("frame_idx") % 4).alias("video_id"), F.floor(F.col("frame_idx") / 4).alias("frame_idx"), F.col("rect_id").alias("det_id"), ((F.col("rect_id") % 60 + 40) / 100.0).alias("score"), *(F.col(c).cast("double").alias(n) for c, n in (("rx", "x1"), ("ry", "y1"))), (F.col("rx") + F.col("rw") + 8).cast("double").alias("x2"), (F.col("ry") + F.col("rh") + 16).cast("double").alias("y2"))
     faces = r.where("det_id % 3 = 0").select("video_id", "frame_idx", "det_id", "score", (F.col("x1") + 2).alias("x1"), (F.col("y1") + 1).alias("y1"), (F.col("x1") + 8).alias("x2"), (F.col("y1") + 9).alias("y2"), F.lit(None).cast("double").alias("eye_dist"))
     made = assemble.assemble(r.select("video_id", "frame_idx").distinct(), r, faces, 64, 64, every=3, face_expand=1)
+    return masks.numbers(made, ("video_id", "frame_idx"), empty=True).select("video_id", "frame_idx", "n_px", (F.col("sum_x") + 64 * F.col("sum_y")).alias("moment"))
+
+
+#: Two standing figures in each part's video, faint on some frames and unseen on others; their masks change within
+#: their boxes. A faint one is followed, but begins no track.
+_FIGURES = """WITH RECURSIVE e AS (SELECT p_partkey AS v, k, f FROM part, (SELECT unnest(range(0, 2)) AS k), (SELECT unnest(range(0, 10)) AS f)),
+s AS (SELECT *, (f * 3 + k + v) % 4 = 1 AS faint FROM e WHERE (f + k * 2 + v) % 5 <> 0),
+b AS (SELECT v, k, min(f) AS born FROM s WHERE NOT faint GROUP BY ALL),
+d AS (SELECT s.v, s.k, s.f, row_number() OVER (PARTITION BY s.v, s.k ORDER BY s.f) AS i, s.k * 24 + 2 + (s.f + s.v) % 3 * 2 AS mx, 3 + s.f % 2 * 3 AS my FROM s JOIN b ON b.v = s.v AND b.k = s.k AND s.f >= b.born),
+g AS (SELECT v, k, k * 24 + 2 + a.x AS x, 3 + c.y AS y FROM b, (SELECT unnest(range(0, 11)) AS x) a, (SELECT unnest(range(0, 11)) AS y) c),
+c AS (SELECT d.v, d.k, d.i, d.f, g.x, g.y, CASE WHEN g.x >= mx AND g.x < mx + 7 AND g.y >= my AND g.y < my + 8 THEN 255 ELSE 0 END AS now FROM d JOIN g ON g.v = d.v AND g.k = d.k),
+r AS (SELECT v, k, i, f, x, y, now AS grey FROM c WHERE i = 1 UNION ALL SELECT c.v, c.k, c.i, c.f, c.x, c.y, (c.now * 90 + r.grey * 166) // 256 FROM r JOIN c ON c.v = r.v AND c.k = r.k AND c.x = r.x AND c.y = r.y AND c.i = r.i + 1),
+l AS (SELECT e.v, e.f, e.k, max(d.f) AS seen FROM e JOIN d ON d.v = e.v AND d.k = e.k AND d.f <= e.f GROUP BY ALL),
+m AS (SELECT l.v, l.f, r.x, r.y FROM l JOIN r ON r.v = l.v AND r.k = l.k AND r.f = l.seen WHERE r.grey >= 128),
+z AS (SELECT v, f, x, y FROM m UNION SELECT v, f + 1, x + a.d, y + b.d FROM m, (SELECT unnest(range(-1, 2)) AS d) a, (SELECT unnest(range(-1, 2)) AS d) b WHERE f < 9)
+SELECT p_partkey AS video_id, t.f::BIGINT AS frame_idx, count(z.x)::BIGINT AS n_px, coalesce(sum(z.x), 0)::BIGINT AS sum_x, coalesce(sum(z.y), 0)::BIGINT AS sum_y FROM part JOIN (SELECT unnest(range(0, 10)) AS f) t ON true LEFT JOIN z ON z.v = p_partkey AND z.f = t.f GROUP BY ALL"""
+
+
+@query("assemble_figures", _FIGURES)
+def assemble_figures(spark, sf_dir):
+    """Masks of every frame, from detections with masks: followed through faint and missed frames, blended over the
+    frames that saw them, smoothed in time."""
+    from ..operators import assemble
 
-    def count(batches):
-        at = np.arange(64 * 64)
-        for b in batches:
-            m = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.sum()) for x in m], pa.int64()), pa.array([int((x * at).sum()) for x in m], pa.int64())], names=["video_id", "frame_idx", "n_px", "moment"])
-
-    return made.mapInArrow(count, "video_id long, frame_idx long, n_px long, moment long")
+    e = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")).withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")))
+    f, k, v = F.col("frame_idx"), F.col("k"), F.col("video_id")
+    mx, my, x = k * 24 + 2 + (f + v) % 3 * 2, 3 + f % 2 * 3, (k * 24).cast("double")
+    score = F.when((f * 3 + k + v) % 4 == 1, 0.2).otherwise(0.9 - k * 0.1)
+    seen = e.where((f + k * 2 + v) % 5 != 0).select("video_id", "frame_idx", (v * 10 + k).alias("det_id"), score.alias("score"), x.alias("x1"), F.lit(1.0).alias("y1"), (x + 20).alias("x2"), F.lit(20.0).alias("y2"), masks.rectangle(mx, my, mx + 7, my + 8, 64, 32).alias("spans"))
+    none = seen.select("video_id", "frame_idx", "det_id", "score", "x1", "y1", "x2", "y2", F.lit(None).cast("double").alias("eye_dist")).where("false")
+    made = assemble.assemble(e.select("video_id", "frame_idx").distinct(), seen, none, 64, 32, blend=(90, 166))
+    return masks.numbers(made, ("video_id", "frame_idx"), empty=True)
 
 
 @query("track_known", """WITH d AS (SELECT p_partkey AS video_id, unnest(range(0, 3)) AS k FROM part), e AS (SELECT video_id, k, unnest(range(0, 10)) AS frame_idx FROM d),

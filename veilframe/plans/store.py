@@ -11,7 +11,7 @@ from ..operators import masks
 from ..registry import query
 from ..sources import store
 from ..sources.fixtures import view
-from .masks import _EDITS, COUNT, S, _count, _edits
+from .masks import _EDITS, COUNT, S, _edits, _masks
 
 
 @query("mask_store", """-- views: pixels
@@ -21,19 +21,19 @@ FROM (SELECT DISTINCT frame_idx FROM rects) r LEFT JOIN k ON k.frame_idx = r.fra
 def mask_store(spark, sf_dir):
     """Masks written, some of them twice, and read back by frame; some are missing, spoiled or of another size."""
     path = f"{shared_dir(spark)}/masks-{uuid.uuid4().hex}"
-    p = view(spark, sf_dir, "pixels").where("frame_idx % 7 <> 5")
+    k = F.col("frame_idx") % 7
+    m = _masks(spark, sf_dir).where(k != 5)
+    narrow = masks.intersection(m, m.where("frame_idx % 3 = 1").select("frame_idx", "w", "h", masks.rectangle(F.lit(0), F.lit(0), F.lit(40), F.lit(S), S, S).alias("spans")))
 
-    def packed(px):
-        per = masks.runs(px, S, S).groupBy("frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "len", "val"))), lambda q: F.struct(q["len"].alias("len"), q["val"].alias("val"))).alias("rle"))
-        data = masks.encode_bytes(F.col("rle"))
-        k = F.col("frame_idx") % 7
-        return per.select("frame_idx", F.when(k == 6, S + 2).otherwise(S).alias("w"), F.lit(S).alias("h"), F.when(k == 4, F.substring(data, 1, 7)).otherwise(data).alias("data"))
+    def packed(some):
+        data = F.when(k == 4, F.substring("data", 1, 7)).otherwise(F.col("data"))
+        return masks.to_files(some).select("frame_idx", F.when(k == 6, S + 2).otherwise(S).alias("w"), F.lit(S).alias("h"), data.alias("data"))
 
-    store.save_masks(packed(p), path, 1)
-    store.save_masks(packed(p.where("frame_idx % 3 = 1 AND x < 40")), path, 2)
+    store.save_masks(packed(m), path, 1)
+    store.save_masks(packed(masks.filled(narrow)), path, 2)
     frames = view(spark, sf_dir, "rects").select("frame_idx").distinct()
     got = store.load_masks(frames, path, S, S)
-    return got.select("frame_idx", "state", F.aggregate(F.filter("rle", lambda r: r["val"] == 1), F.lit(0).cast("long"), lambda s, r: s + r["len"]).alias("n_px"))
+    return got.select("frame_idx", "state", masks.area(F.col("spans")).alias("n_px"))
 
 
 @query("edit_log", f"""-- views: pixels patches
@@ -47,7 +47,7 @@ def edit_log(spark, sf_dir):
     store.append_edits(_edits(spark, sf_dir), path)
     store.clear_frame(spark, path, 3, 4999)
     store.clear_frame(spark, path, 8, 1 << 60)
-    return _count(masks.replay(view(spark, sf_dir, "pixels"), store.stored_edits(spark, path)))
+    return masks.numbers(masks.replay(_masks(spark, sf_dir), store.stored_edits(spark, path)))
 
 
 @query("ordered_results", "SELECT user_id, event_id, row_number() OVER w - 1 = rank AS ready FROM (SELECT user_id, event_id, rank + CASE WHEN rank > 4 AND user_id % 3 = 0 THEN 1 ELSE 0 END AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rank FROM events)) WINDOW w AS (PARTITION BY user_id ORDER BY rank)")
@@ -61,10 +61,10 @@ def ordered_results(spark, sf_dir):
     return store.in_order(e, "user_id", "n").select("user_id", "event_id", "ready")
 
 
-@query("progress_ticks", "WITH t AS (SELECT event_id * 40 AS at_ms, event_id + 1 AS frames FROM events) SELECT at_ms // 250 AS tick, max(at_ms)::BIGINT AS at_ms, max(frames)::BIGINT AS frames, round(max(frames) * 100.0::DOUBLE / 500, 3) AS pct, max(frames) >= 500 AS final FROM t GROUP BY 1")
+@query("progress_ticks", "WITH t AS (SELECT event_id * 40 AS at_ms, event_id + 1 AS frames FROM events) SELECT at_ms // 250 AS tick, max(at_ms)::BIGINT AS at_ms, max(frames)::BIGINT AS frames, round(max(frames) * 100.0::DOUBLE / (SELECT count(*) FROM events), 3) AS pct, max(frames) >= (SELECT count(*) FROM events) AS final FROM t GROUP BY 1")
 def progress_ticks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") * 40).alias("at_ms"), (F.col("event_id") + 1).alias("frames"))
-    return store.progress_of(e, 500)
+    return store.progress_of(e, e.count())
 
 
 @query("sweep_report", "-- views: boxes\nSELECT flag AS label, format('{:.2f}', avg(score)) AS fps, format('{:.3f}', avg(qty)) AS mean_persons, format('{:.3f}', avg(tax)) AS mean_faces, format('{:.3f}', min(score)) AS mask_cov_pct, format('{:.2f}', max(score)) AS held_pct FROM boxes GROUP BY flag")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.masks import decode_bytes, rle_valid
+from ..operators import masks as mask_ops
 
 MASKS = "frame_idx long, written long, w int, h int, data binary"
-EDITS = "seq long, frame_idx long, op string, y int, x int"
+EDITS = "seq long, frame_idx long, op string, w int, h int, data binary"
 #: Frames a folder of the mask store; scans of a range of frames read only its folders.
 FOLDER_FRAMES = 10_000
 
@@ -45,13 +45,13 @@ def stored_masks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_masks(frames: DataFrame, path: str, w: int, h: int) -> DataFrame:
-    """frames (frame_idx) with rle (runs; null where there is no mask) and state: 'ok', 'missing', 'corrupt', or
+    """frames (frame_idx) with w, h, spans (null where there is no mask) and state: 'ok', 'missing', 'corrupt', or
     'size' where the mask is one of another frame size."""
-    m = stored_masks(frames.sparkSession, path).select("frame_idx", F.col("w").alias("_w"), F.col("h").alias("_h"), decode_bytes(F.col("data")).alias("rle"), F.lit(True).alias("_there"))
-    fits = rle_valid(F.col("rle"), F.lit(w), F.lit(h))
-    state = F.when(F.col("_there").isNull(), "missing").when((F.col("_w") != w) | (F.col("_h") != h), "size").when(F.col("rle").isNull() | ~fits, "corrupt").otherwise("ok")
+    stored = stored_masks(frames.sparkSession, path)
+    m = mask_ops.from_files(stored).select("frame_idx", F.col("w").alias("_w"), F.col("h").alias("_h"), F.col("spans").alias("_spans"), "whole")
+    state = F.when(F.col("whole").isNull(), "missing").when((F.col("_w") != w) | (F.col("_h") != h), "size").when(~F.col("whole"), "corrupt").otherwise("ok")
     out = frames.join(m, "frame_idx", "left").withColumn("state", state)
-    return out.withColumn("rle", F.when(F.col("state") == "ok", F.col("rle"))).drop("_w", "_h", "_there")
+    return out.withColumns({"w": F.lit(w), "h": F.lit(h), "spans": F.when(F.col("state") == "ok", F.col("_spans"))}).drop("_w", "_h", "_spans", "whole")
 
 
 def analyzed_frames(spark: SparkSession, path: str) -> int:
@@ -61,26 +61,38 @@ def analyzed_frames(spark: SparkSession, path: str) -> int:
 
 
 def append_edits(edits: DataFrame, path: str) -> None:
-    """Append edits (seq, frame_idx, op 'add' or 'erase', y, x)."""
-    edits.selectExpr("seq", "frame_idx", "op", "y", "x").write.mode("append").parquet(path)
+    """Append edits (seq, frame_idx, op 'add' or 'erase', w, h, spans), as run lengths in their file form."""
+    op = F.when(F.col("op") == "add", 1).otherwise(0).cast("long").alias("op")
+    rows = mask_ops.to_files(edits.select("seq", "frame_idx", op, "w", "h", "spans"), ("seq", "frame_idx", "op"))
+    _write_edits(rows.withColumn("op", F.when(F.col("op") == 1, "add").otherwise("erase")), path)
+
+
+def _write_edits(rows: DataFrame, path: str) -> None:
+    rows.select("seq", "frame_idx", "op", "w", "h", "data").write.mode("append").parquet(path)
 
 
 def clear_frame(spark: SparkSession, path: str, frame_idx: int, seq: int) -> None:
-    """Undo every edit of a frame before seq."""
-    spark.createDataFrame([(seq, frame_idx, "clear", None, None)], EDITS).write.mode("append").parquet(path)
+    """Undo every edit of a frame up to seq."""
+    _write_edits(spark.createDataFrame([(seq, frame_idx, "clear", None, None, None)], EDITS), path)
 
 
-def stored_edits(spark: SparkSession, path: str) -> DataFrame:
-    """Edits that count, in the columns that masks.replay() reads."""
+def _kept_edits(spark: SparkSession, path: str) -> DataFrame:
     rows = _read(spark, path, EDITS)
     cleared = rows.where("op = 'clear'").groupBy("frame_idx").agg(F.max("seq").alias("_clear"))
-    return rows.where("op <> 'clear'").join(cleared, "frame_idx", "left").where(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).select("seq", "frame_idx", "op", "y", "x")
+    return rows.where("op <> 'clear'").join(cleared, "frame_idx", "left").where(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).drop("_clear")
+
+
+def stored_edits(spark: SparkSession, path: str) -> DataFrame:
+    """Edits that count, in the columns that masks.replay() reads; spoiled ones are passed over."""
+    add = F.when(F.col("op") == "add", 1).otherwise(0).cast("long").alias("op")
+    read = mask_ops.from_files(_kept_edits(spark, path).select("seq", "frame_idx", add, "w", "h", "data"), ("seq", "frame_idx", "op"))
+    return read.where("whole").select("seq", "frame_idx", F.when(F.col("op") == 1, "add").otherwise("erase").alias("op"), "w", "h", "spans")
 
 
 def compact(spark: SparkSession, masks: str, edits: str, into: str) -> None:
     """What counts of a mask store and an edit log, in new folders into/masks and into/edits."""
     save_masks(stored_masks(spark, masks), f"{into}/masks", 0)
-    append_edits(stored_edits(spark, edits), f"{into}/edits")
+    _write_edits(_kept_edits(spark, edits), f"{into}/edits")
 
 
 def in_order(results: DataFrame, stream: str = "video_id", at: str = "frame_idx") -> DataFrame:
