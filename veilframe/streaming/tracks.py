@@ -1,45 +1,111 @@
-"""Tracking over a stream: each video's tracker is kept as keyed state between micro-batches."""
+"""Tracking over a stream: each video's tracker is keyed state that leaves with its video.
+
+State is a packed tracker and the number of its last frame. A video's end (a row whose `ended` is true) clears it at
+once; with idle_ms, a timer clears that of a video from which nothing came for so long. Frames at or before the last
+one seen are passed over, so a source that repeats some after a restart changes nothing. A stream may begin warm, from
+trackers that operators.track.states() took at some frame of each video, or cold."""
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.shared import shared_dir
-from ..operators.track import SCHEMA, Tracker, frame_rows, run_frames
+from ..operators.track import INPUT, SCHEMA, Tracker, frame_rows, run_frames
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class VideoTracker(StatefulProcessor):
+    """One video's rows of a micro-batch through its tracker."""
+
+    def __init__(self, idle_ms: int | None = None, **options):
+        self.idle_ms, self.options = idle_ms, options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("tracker", "frame long, tracker binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows), ignore_index=True)
+        last, tracker = -(1 << 62), Tracker(**self.options)
+        if self.state.exists():
+            last, raw = self.state.get()
+            tracker = Tracker.unpack(bytes(raw), **self.options)
+        ended = bool(pdf["ended"].any())
+        new = pdf[pdf["frame_idx"] > last]
+        if len(new):
+            last = int(new["frame_idx"].max())
+            yield run_frames(tracker, key[0], new)
+        if ended:
+            self._leave()
+            return
+        self.state.update((last, tracker.pack()))
+        if self.idle_ms is not None:
+            self._stop_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        first = initialState.iloc[0]
+        self.state.update((int(first["frame_idx"]), bytes(first["tracker"])))
+
+    def _leave(self) -> None:
+        if self.state.exists():
+            self.state.clear()
+        self._stop_timers()
+
+    def _stop_timers(self) -> None:
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+
+    def close(self) -> None:
+        pass
 
 
-def _step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    tracker = pickle.loads(state.get[0]) if state.exists else Tracker()
-    frames = pd.concat(list(pdfs), ignore_index=True)
-    out = run_frames(tracker, key[0], frames)
-    state.update((pickle.dumps(tracker),))
-    yield out
+def track_stream(frames: DataFrame, start: DataFrame | None = None, idle_ms: int | None = None, **options) -> DataFrame:
+    """Tracks (SCHEMA) of a streaming DataFrame (video_id, frame_idx, det_id, score, x1, y1, x2, y2, dx, dy and, if it has
+    one, ended). start: (video_id, frame_idx, tracker) of trackers to go on with.
 
+    A micro-batch must hold whole frames, and a video's frames must arrive in order. The session's state store must be
+    the one that keeps timers (use_timed_state)."""
+    rows = frames if "ended" in frames.columns else frames.withColumn("ended", F.lit(False))
+    mode = "none" if idle_ms is None else "processingTime"
+    begun = start.select("video_id", "frame_idx", "tracker").groupBy("video_id") if start is not None else None
+    return rows.select(*INPUT, "ended").groupBy("video_id").transformWithStateInPandas(VideoTracker(idle_ms, **options), SCHEMA, "append", mode, begun)
 
-def track_stream(frames: DataFrame) -> DataFrame:
-    """Tracks of a streaming DataFrame (video_id, frame_idx, det_id, score, x1, y1, x2, y2, dx, dy).
 
-    A micro-batch must hold whole frames, and a video's frames must arrive in order."""
-    return frames.groupBy("video_id").applyInPandasWithState(_step, SCHEMA, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+def use_timed_state(spark: SparkSession) -> None:
+    """Streams begun from now on keep their state where timers are known; timers fire in batches with data, since a run
+    over what is available would else go on for their sake for ever."""
+    spark.conf.set(_STORE, _ROCKS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
-def stream_once(detections: DataFrame, frames: DataFrame, motion: DataFrame | None = None, parts: int = 4) -> DataFrame:
-    """Batch rows as a stream of `parts` files in frame order, run to its end; the result as a table."""
+def stream_once(detections: DataFrame, frames: DataFrame, motion: DataFrame | None = None, parts: int = 4, base: str | None = None, **options) -> DataFrame:
+    """Batch rows as a stream in frame order that is stopped and taken up again from its checkpoint `parts` times; the
+    result as a table. A video ends with its last frame. base: a new folder for input, output and state."""
     spark: SparkSession = detections.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = frame_rows(detections, frames, motion)
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    use_timed_state(spark)
+    ends = frames.groupBy("video_id").agg(F.max("frame_idx").alias("_end"))
+    rows = frame_rows(detections, frames, motion).join(ends, "video_id").withColumn("ended", F.col("frame_idx") == F.col("_end")).drop("_end")
     first, last = frames.agg(F.min("frame_idx"), F.max("frame_idx")).first()
     step = max(1, -(-((last or 0) - (first or 0) + 1) // parts))
+    schema = rows.schema
     for k in range(parts):
-        rows.where(F.floor((F.col("frame_idx") - F.lit(first)) / step) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = track_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+        rows.where(F.floor((F.col("frame_idx") - F.lit(first)) / step) == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        query = track_stream(stream, **options).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(SCHEMA).parquet(f"{base}/out")
