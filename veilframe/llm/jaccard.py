@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import FILTER_BITS, bits_for, bloom_of, holds, positions
-from .common import cut, drop_cut, ids_and_text, slices
+from .common import cut, drop_cut, free_shuffles, ids_and_text, slices
 from .components import components
 from .words import by_bytes, shingle_sets
 
@@ -267,6 +267,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, seed: i
     found = cut(found, "found")
     drop_cut(close)
     drop_cut(sets)
+    free_shuffles(docs.sparkSession)
     return found
 
 
@@ -407,6 +408,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     columns = ("h", *about)
     members = cut(lists.join(degree, "sid").select("h", "sid", "size", "role", "at", "degree", F.col("sid").alias("grp"), F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<long>").alias("d"), "n"), "members")
     drop_cut(stored)
+    del rows, both, lists, stored
+    free_shuffles(spark)
     may = _may_pair(boundary, num, den)
     label, tested, edges, before = None, [], [], None
     while True:
@@ -456,6 +459,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested.append(pairs)
+        free_shuffles(spark)
         found = _verify(pairs, nodes, some, n, seed, num, den, NEAR if label is None else 1)
         more = [found.where("linked").select("a", "b")]
         spent = [found]
@@ -485,6 +489,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         if label is not None:
             drop_cut(label)
         label = components(functools.reduce(DataFrame.union, edges))
+        del rows, pairs, found, spent, more
+        free_shuffles(spark)
         if last:
             break
     for t in (members, degree, *tested, *edges):
