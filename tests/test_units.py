@@ -12,7 +12,6 @@ from veilframe.functions import geometry as G
 from veilframe.functions.runs import Masks
 from veilframe.operators import assemble, frames, gating, masks, motion, suppress, temporal
 from veilframe.operators.track import Filters, Tracker
-from veilframe.sources import frames as frame_files
 
 
 def boxes(spark, rows, frame=0):
@@ -344,17 +343,6 @@ def test_phase_correlation():
     assert motion.shift_between(np.full((128, 128), 9, np.uint8), np.full((128, 128), 9, np.uint8)) == (0.0, 0.0)
 
 
-def test_frame_files(spark, tmp_path):
-    (tmp_path / "a.raw").write_bytes(bytes(range(12)) + bytes(range(12, 24)) + b"xx")
-    got = frame_files.nv12_records(spark, str(tmp_path / "a.raw"), 4, 2).orderBy("frame_idx").collect()
-    assert [bytes(r.nv12) for r in got] == [bytes(range(12)), bytes(range(12, 24))]
-    s = frame_files.JpegSplitter()
-    data = b"\xff\xd8one\xff\xd9junk\xff\xd8two\xff\xd9\xff"
-    assert [x for i in range(len(data)) for x in s.push(data[i : i + 1])] == [b"\xff\xd8one\xff\xd9", b"\xff\xd8two\xff\xd9"]
-    (tmp_path / "m.mjpeg").write_bytes(data)
-    assert frame_files.jpeg_frames(spark, str(tmp_path / "m.mjpeg"), 5).count() == 2
-
-
 def test_stream_equals_batch(spark):
     from veilframe.operators.track import track
     from veilframe.streaming.tracks import stream_once
