@@ -23,3 +23,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which a small table is sent to a large one's rows.
+SENT_BYTES = 64 << 20
+
+
+def beside(large: DataFrame, small: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """large with small's columns where keys are equal, else nulls. small is stored; where its files hold at most
+    SENT_BYTES and its rows at most a million it is sent to large's rows, which stay where they are, else both meet by keys."""
+    from pyspark.sql import functions as F
+
+    kept = stored(small, "beside")
+    jvm = kept.sparkSession.sparkContext._jvm
+    conf = kept.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    size = sum(f.getLen() for path in (jvm.org.apache.hadoop.fs.Path(x) for x in kept.inputFiles()) for f in [path.getFileSystem(conf).getFileStatus(path)])
+    if size <= SENT_BYTES // 8 and kept.count() <= 1_000_000:  # files are packed: rows may be some times as large
+        kept = F.broadcast(kept)
+    return large.join(kept, list(keys), "left")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.groups import matrix, whole_groups
 from ..functions.runs import Masks
-from ..functions.shared import stored
+from ..functions.shared import beside
 from . import frames as frame_ops
 from . import gating, masks, motion
 from .temporal import BLEND_NEW, BLEND_OLD, Blend
@@ -178,10 +178,6 @@ def assemble(frames: DataFrame, persons: DataFrame, faces: DataFrame, w: int, h:
     return draw(rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "kind", "track_id"), w, h, smooth, blend, options.get("max_lost", Tracker.max_lost))
 
 
-#: Bytes of runs of a whole job up to which they are sent to the frames instead of frames to them.
-SENT_BYTES = 64 << 20
-
-
 def hide_video(video: DataFrame, w: int, h: int, detect: Callable[[DataFrame], DataFrame], find_faces: Callable[[DataFrame], DataFrame], style: str = "mosaic", size: int = 24, compose: Callable[[DataFrame], DataFrame] | None = None, follow_camera: bool = False, **options) -> DataFrame:
     """video (video_id, frame_idx, w, h, nv12) with persons and faces hidden; its masks are stored once in the shared folder.
 
@@ -192,9 +188,6 @@ def hide_video(video: DataFrame, w: int, h: int, detect: Callable[[DataFrame], D
     moves = None
     if follow_camera:
         moves = motion.motions(video.select("video_id", "frame_idx", "w", "h", F.expr("substring(nv12, 1, w * h)").alias("luma")))
-    made = stored(assemble(video.select("video_id", "frame_idx"), detect(sampled), find_faces(sampled), w, h, moves=moves, **options), "masks")
-    runs = made.select("video_id", "frame_idx", "spans")
-    if (made.agg(F.sum(F.size("spans") * 4 + 32)).first()[0] or 0) <= SENT_BYTES:
-        runs = F.broadcast(runs)  # frames stay where they are
-    both = masks.with_planes(video.select(*video.columns).join(runs, ["video_id", "frame_idx"], "left"))
+    made = assemble(video.select("video_id", "frame_idx"), detect(sampled), find_faces(sampled), w, h, moves=moves, **options)
+    both = masks.with_planes(beside(video, made.select("video_id", "frame_idx", "spans"), ("video_id", "frame_idx")))
     return compose(both) if compose else frame_ops.apply(both, style, size)

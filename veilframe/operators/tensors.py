@@ -117,17 +117,26 @@ def crops(frames: DataFrame, rois: DataFrame, on: list[str], w: int, h: int, lea
     both = r.join(frames.select(*on, "w", "h", "nv12"), on)
 
     def cut(row: dict):
-        if not _fits(row):
-            return None
-        y, uv = planes(row["nv12"], row["w"], row["h"])
-        x0, y0, a, b = row["ox"], row["oy"], row["_cw"], row["_ch"]
-        rows = np.minimum(np.arange(y0, y0 + b), row["h"] - 1)
-        return y[rows][:, x0 : x0 + a].tobytes() + uv[np.minimum(np.arange(b // 2) + y0 // 2, len(uv) - 1)][:, x0 // 2 : (x0 + a) // 2].tobytes()
+        return cropped(row["nv12"], row["w"], row["h"], row["ox"], row["oy"], row["_cw"], row["_ch"]) if _fits(row) else None
 
     made = _map(both, "crop", T.BinaryType(), cut)
     return made.select(*r.columns[: -2], F.col("_cw").cast("int").alias("w"), F.col("_ch").cast("int").alias("h"), F.col("crop").alias("nv12"))
 
 
+def cropped(nv12: bytes, w: int, h: int, x: int, y: int, cw: int, ch: int) -> bytes:
+    """The even-sided part of a frame at an even column x and a row y, as a frame of its own."""
+    luma, uv = planes(nv12, w, h)
+    rows = np.minimum(np.arange(y, y + ch), h - 1)
+    return luma[rows][:, x : x + cw].tobytes() + uv[np.minimum(np.arange(ch // 2) + y // 2, len(uv) - 1)][:, x // 2 : (x + cw) // 2].tobytes()
+
+
+def halved(nv12: bytes, w: int, h: int) -> tuple[bytes, int, int]:
+    """Every second pixel of a frame: (nv12, w, h), sides even."""
+    luma, uv = planes(nv12, w, h)
+    hw, hh = w // 4 * 2, h // 4 * 2
+    return luma[::2, ::2][:hh, :hw].tobytes() + uv[::2, ::2][: hh // 2, : hw // 2].tobytes(), hw, hh
+
+
 def tiles(frames: DataFrame, tile: int = 1280, overlap: int = 320, least: int = LEAST_TILE) -> DataFrame:
     """A row for each tile (x1, y1, x2, y2) of each frame (w, h, ...), row by row, the last ones cut to the frame;
     tiles under `least` pixels a side are left out."""
