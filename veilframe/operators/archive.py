@@ -7,20 +7,27 @@ remembered; a null embedding counts as no likeness; ties go to the earlier obser
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.groups import matrix, overlaps, whole_groups
-from . import gating, suppress
+from ..functions.runs import Masks
+from ..functions.shared import stored
+from . import gating, masks, suppress
 from .link import APPEARANCE, LEAST, MOST_MISSED
 
 _BOX = ("x1", "y1", "x2", "y2")
 PERSON, FACE = 0, 1
 #: Least quality of a refined mask, least overlap with a detector's own box, and least share of a box that its mask fills.
 REFINED, MATCHED, FILLED, HOSTED = 0.5, 0.55, 0.3, 0.1
+#: How far beyond a person's box, in shares of it, the centre of its face may lie.
+HOST_MARGIN = 0.08
 #: What a score is worth where no refined mask stands behind it.
 FALLEN_BACK = 0.9
 
@@ -110,6 +117,85 @@ def with_masks(fused: DataFrame, refined: DataFrame, own: DataFrame) -> DataFram
     return f.select("frame_idx", "cluster", *_BOX, score.alias("score"), source.alias("source"), F.when(source == "refined", F.col("r_fill")).when(source == "matched", F.col("m.fill")).otherwise(1.0).alias("fill"), F.when(source == "matched", F.col("m.o_det_id")).alias("matched_id"))
 
 
+#: Margin of a filled box, and steps in pixels at which a box is looked at for how much of it a mask covers.
+RECT_MARGIN, LOOKED_AT = 0.05, 4
+INSTANCES = ("video_id", "frame_idx", "kind", "ref_id", "score", *_BOX, "source", "w", "h", "spans")
+
+
+def covered(rows: DataFrame, name: str) -> DataFrame:
+    """rows (box, w, h, spans) with the share of a box's pixels, looked at in steps, that its mask covers."""
+    names = list(rows.columns)
+    at = [names.index(c) for c in (*_BOX, "w", "h", "spans")]
+
+    def run(batches):
+        for b in batches:
+            x1, y1, x2, y2 = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in at[:4])
+            w, h = (np.nan_to_num(b.column(i).to_numpy(zero_copy_only=False)).astype(np.int64) for i in at[4:6])
+            m = Masks.read(b.column(at[6]), w, h)
+            a, c = np.maximum(x1, 0).astype(np.int64), np.maximum(y1, 0).astype(np.int64)
+            b_, d = np.maximum(np.minimum(np.ceil(x2), w), a + 1).astype(np.int64), np.maximum(np.minimum(np.ceil(y2), h), c + 1).astype(np.int64)
+            of, y, lo, hi = m.rows()
+            # of a row that is looked at, the places a, a + LOOKED_AT, ... that lie in a run within the box
+            on = (y >= c[of]) & (y < d[of]) & ((y - c[of]) % LOOKED_AT == 0)
+            of, lo, hi = of[on], np.maximum(lo[on], a[of[on]]), np.minimum(hi[on], b_[of[on]])
+            steps = lambda v: -(-(v - a[of]) // LOOKED_AT)  # noqa: B023, E731
+            hit = np.bincount(of, np.maximum(steps(hi) - steps(lo), 0), len(w))
+            total = -(-(b_ - a) // LOOKED_AT) * -(-(d - c) // LOOKED_AT)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit / np.maximum(total, 1))], names=[*names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def analyze_videos(frames: DataFrame, boxes: DataFrame, faces: DataFrame, refine: Callable[[DataFrame], DataFrame], looks: Callable[[DataFrame], DataFrame] | None, w: int, h: int, conf: float = 0.25, face_expand: int = 12) -> DataFrame:
+    """Instances of every frame with their masks: INSTANCES and instance_id, a number within its video and kind.
+
+    frames: video_id, frame_idx; boxes of two detectors: those, det_id, src (0, 1), score, box, spans (a mask, of src 0);
+    faces: video_id, frame_idx, det_id, score, box, eye_dist. refine takes prompts (video_id, frame_idx, prompt_id, box)
+    and gives REFINED rows (models.refine over the frames); looks takes instances and gives video_id, frame_idx, kind,
+    ref_id, emb, or is None.
+
+    A fused box has its refined mask, else that of the best own box over it, else itself with a margin, filled. A face
+    whose host's mask covers enough of the host's box is joined into that mask; any other is an instance of its own, its
+    box a prompt too. Persons and faces are asked for in one pass of refine each. Frames are numbered anew within, so
+    frame numbers may repeat from video to video."""
+    number = stored(frames.select("video_id", "frame_idx").distinct().select("*", F.monotonically_increasing_id().alias("_k")), "frames")
+    keyed = lambda df: df.join(number, ["video_id", "frame_idx"]).drop("video_id", "frame_idx").withColumnRenamed("_k", "frame_idx")
+    named = lambda df: df.withColumnRenamed("frame_idx", "_k").join(number, "_k").drop("_k")
+    side = {"w": F.lit(w), "h": F.lit(h)}
+    found = keyed(boxes)
+    fused = stored(suppress.confirmed(suppress.fuse(found, "frame_idx", [1.0, 1.0]), conf).withColumn("cluster", F.col("cluster").cast("long")), "fused")
+    refined = keyed(refine(named(fused.select("frame_idx", F.col("cluster").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED)
+    refined = refined.select("frame_idx", F.col("prompt_id").alias("cluster"), F.col("spans").alias("r_spans"))
+    own = found.where("src = 0").select("frame_idx", F.col("det_id").alias("o_det_id"), F.col("score").alias("o_score"), F.col("spans").alias("o_spans"), *(F.col(c).alias("o_" + c) for c in _BOX))
+    over = fused.join(own, "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
+    best = over.groupBy("frame_idx", "cluster").agg(F.max(F.struct("o_score", "o_det_id", "o_spans")).alias("m"))
+    people = fused.join(refined, ["frame_idx", "cluster"], "left").join(best, ["frame_idx", "cluster"], "left")
+    people = covered(people.select("frame_idx", "cluster", "score", *_BOX, "r_spans", F.col("m.o_spans").alias("spans")).withColumns(side), "fill")
+    source = F.when(F.col("r_spans").isNotNull(), "refined").when(F.col("fill") > FILLED, "matched").otherwise("rect")
+    rect = masks.rectangle(*G.rect_span(G.box(), RECT_MARGIN, w, h), w, h)
+    people = people.withColumn("source", source).select("frame_idx", F.col("cluster").alias("det_id"), F.when(source == "refined", F.col("score")).otherwise(F.col("score") * FALLEN_BACK).alias("score"), *_BOX, "source", "w", "h", F.when(source == "refined", F.col("r_spans")).when(source == "matched", F.col("spans")).otherwise(rect).alias("spans"))
+    people = stored(covered(people, "fill"), "people")
+    # faces: to their hosts' masks, or alone
+    shown = keyed(faces)
+    boxes_of = people.select("frame_idx", "det_id", "score", *_BOX)
+    shown = gating.gate(gating.plausible(shown, boxes_of), boxes_of, 0.75)
+    hosted = stored(gating.hosts(shown, people.where(F.col("fill") > HOSTED).select("frame_idx", "det_id", "score", *_BOX), HOST_MARGIN), "faces")
+    ex = G.face_margin(F.col("x2") - F.col("x1"), F.col("eye_dist"), face_expand)
+    wide = masks.rectangle(*G.face_span(G.box(), ex, face_expand, w, h), w, h)
+    keys = ("frame_idx", "det_id")
+    whose = hosted.where("host IS NOT NULL").select("frame_idx", F.col("host.p_det_id").alias("det_id"), wide.alias("spans")).withColumns(side)
+    whole = masks.union(people, whose, keys=keys).select(*keys, F.col("spans").alias("_whole"))
+    people = people.join(whole, list(keys)).withColumn("spans", F.col("_whole")).drop("_whole", "fill").withColumn("kind", F.lit(PERSON))
+    alone = hosted.where("host IS NULL").drop("host")
+    better = keyed(refine(named(alone.select("frame_idx", F.col("det_id").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED).select("frame_idx", F.col("prompt_id").alias("det_id"), F.col("spans").alias("r_spans"))
+    alone = alone.join(better, list(keys), "left").select(*keys, "score", *_BOX, F.when(F.col("r_spans").isNotNull(), "refined").otherwise("rect").alias("source"), F.coalesce("r_spans", wide).alias("spans"), F.lit(FACE).alias("kind")).withColumns(side)
+    every = stored(named(people.unionByName(alone)).withColumnRenamed("det_id", "ref_id").select(*INSTANCES), "instances")
+    at = ["video_id", "frame_idx", "kind", "ref_id"]
+    seen = every.join(looks(every).select(*at, "emb"), at, "left") if looks else every.withColumn("emb", F.lit(None).cast("array<double>"))
+    ids = remember(frames, seen).select(*at, "instance_id")
+    return every.join(ids, at)
+
+
 def analyze(frames: DataFrame, boxes: DataFrame, refined: DataFrame, faces: DataFrame, looks: DataFrame, conf: float = 0.25) -> DataFrame:
     """Instances of every frame: video_id, frame_idx, kind, ref_id, score, box, instance_id.
 

@@ -30,6 +30,10 @@ def _types(keys: Iterable[str]) -> str:
     return ", ".join(f"{k} long" for k in keys)
 
 
+def _plain(masks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return masks.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "spans")
+
+
 def _read(b: pa.RecordBatch, at: int) -> Masks:
     """Masks of a batch whose columns `at`, `at` + 1 and `at` + 2 are w, h and spans."""
     w, h = (np.nan_to_num(b.column(at + k).to_numpy(zero_copy_only=False)) for k in (0, 1))
@@ -126,7 +130,7 @@ def bounds(masks: DataFrame, pad: int, keys: tuple[str, ...] = KEYS) -> DataFram
             low, high = np.maximum(box[:, :2] - pad, 0), np.minimum(box[:, 2:] + pad, np.stack([m.w, m.h], axis=1))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *(_side(c) for c in (*low.T, *high.T))], names=[*keys, "bx1", "by1", "bx2", "by2"])
 
-    return filled(masks).select(*keys, "w", "h", "spans").mapInArrow(run, f"{_types(keys)}, bx1 int, by1 int, bx2 int, by2 int")
+    return _plain(filled(masks), keys).mapInArrow(run, f"{_types(keys)}, bx1 int, by1 int, bx2 int, by2 int")
 
 
 def numbers(masks: DataFrame, keys: tuple[str, ...] = KEYS, empty: bool = False) -> DataFrame:
@@ -138,7 +142,7 @@ def numbers(masks: DataFrame, keys: tuple[str, ...] = KEYS, empty: bool = False)
             m = _read(b, n)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), pa.array(m.area()), *map(pa.array, m.sums())], names=[*keys, "n_px", "sum_x", "sum_y"])
 
-    return (masks if empty else filled(masks)).select(*keys, "w", "h", "spans").mapInArrow(run, f"{_types(keys)}, n_px long, sum_x long, sum_y long")
+    return _plain(masks if empty else filled(masks), keys).mapInArrow(run, f"{_types(keys)}, n_px long, sum_x long, sum_y long")
 
 
 def area(spans: Column) -> Column:

@@ -180,6 +180,52 @@ def assemble_figures(spark, sf_dir):
     return masks.numbers(made, ("video_id", "frame_idx"), empty=True)
 
 
+def _sums_sql(rect: str) -> str:
+    """n, x and y sums of a rectangle's pixels, from columns a, b, c, d with a suffix: [a, b) x [c, d)."""
+    a, b, c, d = (f"{n}{rect}" for n in "abcd")
+    w, h = f"greatest({b} - {a}, 0)", f"greatest({d} - {c}, 0)"
+    return f"{w} * {h} AS n{rect}, ({a} + {b} - 1) * {w} * {h} // 2 AS x{rect}, ({c} + {d} - 1) * {h} * {w} // 2 AS y{rect}"
+
+
+#: A video of three frames for each part, with two persons and three faces; where a mask comes from goes by part, person
+#: and frame. The first face joins its host's mask in every second size of part, the second is alone, the third too unsure.
+_ARCHIVE = f"""WITH p AS (SELECT p_partkey AS v, t.f, k.k, p_size % 2 = 0 AND k.k = 0 AS face, CASE WHEN (p_partkey + k.k + t.f) % 3 = 0 THEN 'refined' WHEN (p_partkey + k.k) % 2 = 0 THEN 'matched' ELSE 'rect' END AS source FROM part, (SELECT unnest(range(0, 3)) AS f) t, (SELECT unnest([0, 1]) AS k) k),
+m AS (SELECT *, k * 60 + CASE source WHEN 'refined' THEN 12 WHEN 'matched' THEN 4 ELSE 2 END AS a1, k * 60 + CASE source WHEN 'refined' THEN 36 WHEN 'matched' THEN 24 ELSE 46 END AS b1, CASE source WHEN 'refined' THEN 12 WHEN 'matched' THEN 4 ELSE 0 END AS c1, CASE source WHEN 'refined' THEN 76 WHEN 'matched' THEN 84 ELSE 88 END AS d1, 17 AS a2, CASE WHEN face THEN 40 ELSE 17 END AS b2, 5 AS c2, 28 AS d2 FROM p),
+o AS (SELECT *, greatest(a1, a2) AS a3, least(b1, b2) AS b3, greatest(c1, c2) AS c3, least(d1, d2) AS d3 FROM m), n AS (SELECT *, {_sums_sql('1')}, {_sums_sql('2')}, {_sums_sql('3')} FROM o),
+g AS (SELECT p_partkey AS v, t.f, p_partkey % 2 = 0 AS good, CASE WHEN p_partkey % 2 = 0 THEN 134 ELSE 127 END AS a1, CASE WHEN p_partkey % 2 = 0 THEN 144 ELSE 150 END AS b1, CASE WHEN p_partkey % 2 = 0 THEN 24 ELSE 17 END AS c1, CASE WHEN p_partkey % 2 = 0 THEN 34 ELSE 40 END AS d1 FROM part, (SELECT unnest(range(0, 3)) AS f) t), z AS (SELECT *, {_sums_sql('1')} FROM g)
+SELECT v AS video_id, f::BIGINT AS frame_idx, 0 AS kind, k::BIGINT AS instance_id, source, round((0.8::DOUBLE - 0.1::DOUBLE * k) * CASE WHEN source = 'refined' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END, 6) AS score, (n1 + n2 - n3)::BIGINT AS n_px, (x1 + x2 - x3)::BIGINT AS sum_x, (y1 + y2 - y3)::BIGINT AS sum_y FROM n
+UNION ALL SELECT v, f, 1, 0, CASE WHEN good THEN 'refined' ELSE 'rect' END, 0.9::DOUBLE, n1, x1, y1 FROM z"""
+
+
+@query("archive_figures", _ARCHIVE)
+def archive_figures(spark, sf_dir):
+    """Instances with their masks, from two detectors' boxes, faces, and a made model that refines prompts."""
+    from ..operators import archive
+
+    w, h = 160, 96
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"), "p_size").withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    number = lambda x: F.lit(x).cast("double")
+    e = part.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    k, v, f = F.col("k"), F.col("video_id"), F.col("frame_idx")
+    left = k * 60 + 4
+    half = F.when((v + k) % 2 == 0, 20).otherwise(4)
+    box = (left.cast("double").alias("x1"), number(4).alias("y1"), (left + 40).cast("double").alias("x2"), number(84).alias("y2"))
+    seen = e.withColumn("src", F.explode(F.array(F.lit(0), F.lit(1)))).select("video_id", "frame_idx", (k * 2 + F.col("src")).cast("long").alias("det_id"), "src", (0.8 - 0.1 * k).alias("score"), *box, F.when(F.col("src") == 0, masks.rectangle(left, F.lit(4), left + half, F.lit(84), w, h)).alias("spans"))
+    face = lambda n, x, y, side, score, on=F.lit(True): part.where(on).select("video_id", "frame_idx", F.lit(n).cast("long").alias("det_id"), F.lit(score).alias("score"), number(x).alias("x1"), number(y).alias("y1"), number(x + side).alias("x2"), number(y + side).alias("y2"), F.lit(None).cast("double").alias("eye_dist"))
+    faces = face(0, 20, 8, 16, 0.9, F.col("p_size") % 2 == 0).unionByName(face(1, 130, 20, 16, 0.9)).unionByName(face(2, 110, 60, 10, 0.5))
+
+    def refine(prompts):
+        who = (F.col("x1") - 4) / 60
+        sure = F.when(F.col("x1") < 110, (v + who + f) % 3 == 0).otherwise(v % 2 == 0)
+        inset = F.when(F.col("x1") < 110, 8).otherwise(4)
+        last = F.when(F.col("x1") < 110, 8).otherwise(2)
+        return prompts.select("video_id", "frame_idx", "prompt_id", F.when(sure, 0.9).otherwise(0.3).alias("quality"), F.lit(w).alias("w"), F.lit(h).alias("h"), masks.rectangle(F.col("x1") + inset, F.col("y1") + inset, F.col("x2") - last, F.col("y2") - last, w, h).alias("spans"))
+
+    got = archive.analyze_videos(part.select("video_id", "frame_idx"), seen, faces, refine, None, w, h, face_expand=3)
+    keys = ("video_id", "frame_idx", "kind", "instance_id")
+    return masks.numbers(got, keys).join(got.select(*(F.col(c).cast("long").alias(c) for c in keys), "source", "score"), list(keys)).select("video_id", "frame_idx", F.col("kind").cast("int").alias("kind"), "instance_id", "source", F.round("score", 6).alias("score"), "n_px", "sum_x", "sum_y")
+
+
 @query("track_known", """WITH d AS (SELECT p_partkey AS video_id, unnest(range(0, 3)) AS k FROM part), e AS (SELECT video_id, k, unnest(range(0, 10)) AS frame_idx FROM d),
 s AS (SELECT * FROM e WHERE (frame_idx + k * 2 + video_id) % 5 <> 0), b AS (SELECT video_id, k, min(frame_idx) AS born FROM s GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY born, (k + video_id) % 3) - 1 AS track_id FROM b),
