@@ -33,17 +33,19 @@ def grid_face(cls: Column, obj: Column, dx: Column, dy: Column, dw: Column, dh:
     return {"score": F.sqrt(one(cls) * one(obj)), "x1": cx - w / 2, "y1": cy - h / 2, "x2": cx + w / 2, "y2": cy + h / 2}
 
 
-def priors(spark, w: int, h: int, steps=((8, (16, 32)), (16, (64, 128)), (32, (256, 512)))) -> DataFrame:
-    """(step, row, col, size, cx, cy, pw, ph): prior boxes of each grid cell, relative to the image."""
-    out = None
-    for step, sizes in steps:
-        rows, cols = -(-h // step), -(-w // step)
-        g = spark.range(rows * cols * len(sizes)).select(F.lit(step).alias("step"), F.col("id"))
-        k = len(sizes)
-        g = g.select("step", F.floor(F.col("id") / (cols * k)).cast("int").alias("row"), (F.floor(F.col("id") / k) % cols).cast("int").alias("col"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % k + 1).cast("int")).alias("size"))
-        g = g.select("*", ((F.col("col") + 0.5) * step / w).alias("cx"), ((F.col("row") + 0.5) * step / h).alias("cy"), (F.col("size") / F.lit(float(w))).alias("pw"), (F.col("size") / F.lit(float(h))).alias("ph"))
-        out = g if out is None else out.unionByName(g)
-    return out
+# Grids of priors, as steps in pixels and the sides of the two boxes of each cell.
+PRIORS = ((8, (16, 32)), (16, (64, 128)), (32, (256, 512)))
+
+
+def priors_of(images: DataFrame, grids=PRIORS) -> DataFrame:
+    """images (w, h, ...) with a row for each prior box: step, row, col, size, and cx, cy, pw, ph relative to the image."""
+    w, h = F.col("w"), F.col("h")
+    kinds = F.explode(F.array(*(F.struct(F.lit(step).alias("step"), F.lit(size).alias("size")) for step, sizes in grids for size in sizes)))
+    k = images.withColumn("_g", kinds).withColumn("step", F.col("_g.step")).withColumn("size", F.col("_g.size")).drop("_g")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / F.col("step")).cast("int") - 1))
+    k = k.withColumn("row", cells(h)).withColumn("col", cells(w))
+    at = lambda c, n: (F.col(c) + 0.5) * F.col("step") / n
+    return k.select("*", at("col", w).alias("cx"), at("row", h).alias("cy"), (F.col("size") / w.cast("double")).alias("pw"), (F.col("size") / h.cast("double")).alias("ph"))
 
 
 def with_variance(cx, cy, pw, ph, dx, dy, dw, dh, center: float = 0.1, size: float = 0.2) -> tuple[Column, ...]:

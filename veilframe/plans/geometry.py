@@ -154,16 +154,16 @@ def preview_size(spark, sf_dir):
     return p.select("p_partkey", "pw", F.greatest(F.lit(2).cast("long"), F.col("ph") - F.col("ph") % 2).alias("ph"))
 
 
-@query("gaussian_kernel", """WITH k AS (SELECT unnest([3, 5, 7, 9, 15]) AS k), t AS (SELECT k, unnest(range(0, k)) AS i, 0.3::DOUBLE * ((k - 1) / 2.0::DOUBLE - 1) + 0.8::DOUBLE AS sigma FROM k),
-g AS (SELECT k, i, exp(-((i - (k - 1) / 2.0::DOUBLE) * (i - (k - 1) / 2.0::DOUBLE)) / (2 * sigma * sigma)) AS e FROM t)
-SELECT k::INT AS k, i::INT AS i, round(e / sum(e) OVER (PARTITION BY k), 8) AS weight FROM g""")
+@query("gaussian_kernel", """WITH k AS (SELECT p_partkey, p_size % 16 * 2 + 3 AS k FROM part), t AS (SELECT p_partkey, k, unnest(range(0, k)) AS i, 0.3::DOUBLE * ((k - 1) / 2.0::DOUBLE - 1) + 0.8::DOUBLE AS sigma FROM k),
+g AS (SELECT p_partkey, k, i, exp(-((i - (k - 1) / 2.0::DOUBLE) * (i - (k - 1) / 2.0::DOUBLE)) / (2 * sigma * sigma)) AS e FROM t)
+SELECT p_partkey, k::INT AS k, i::INT AS i, round(e / sum(e) OVER (PARTITION BY p_partkey), 8) AS weight FROM g""")
 def gaussian_kernel(spark, sf_dir):
-    from pyspark.sql import Window
-
-    k = spark.createDataFrame([(n,) for n in (3, 5, 7, 9, 15)], "k int")
+    """Weights of a Gaussian for each part, as wide as its size says."""
+    k = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 16 * 2 + 3).cast("int").alias("k"))
     sigma = ((F.col("k") - 1) / 2.0 - 1) * 0.3 + 0.8
-    t = k.select("k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).withColumn("e", F.exp(-F.pow(F.col("i") - (F.col("k") - 1) / 2.0, 2.0) / (F.lit(2.0) * sigma * sigma)))
-    return t.select("k", "i", F.round(F.col("e") / F.sum("e").over(Window.partitionBy("k")), 8).alias("weight"))
+    e = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.exp(-F.pow(i - (F.col("k") - 1) / 2.0, F.lit(2.0)) / (F.lit(2.0) * sigma * sigma)))
+    t = k.withColumn("e", e).withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
+    return t.select("p_partkey", "k", F.posexplode("e").alias("i", "x"), "total").select("p_partkey", "k", "i", F.round(F.col("x") / F.col("total"), 8).alias("weight"))
 
 
 @query("brush_disc", """-- views: patches

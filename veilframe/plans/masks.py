@@ -254,16 +254,22 @@ _C = "(v - 16) * 1.164::DOUBLE"
 o AS (SELECT frame_idx, x + 64 * y AS place, {_B.format(x=_C + ' + (w - 128) * 1.596::DOUBLE')} AS r, {_B.format(x=_C + ' - (u - 128) * 0.392::DOUBLE - (w - 128) * 0.813::DOUBLE')} AS g, {_B.format(x=_C + ' + (u - 128) * 2.017::DOUBLE')} AS b FROM c)
 SELECT frame_idx, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, sum(place * (r + 2 * g + 3 * b))::BIGINT AS moment FROM o GROUP BY frame_idx""")
 def nv12_to_rgba(spark, sf_dir):
+    return _rgba_sums(frames.to_rgba(_painted(spark, sf_dir)))
+
+
+def _rgba_sums(rows):
+    """Sums of the channels of 64 x 64 RGBA pixels, and one by place."""
+
     def run(batches):
         at = np.arange(S * S)
         for b in batches:
-            rows = []
+            rows_ = []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int64)
-                rows.append((k, *c[:, :3].sum(axis=0).tolist(), int((at * (c[:, :3] @ [1, 2, 3])).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["frame_idx", "sum_r", "sum_g", "sum_b", "moment"])
+                rows_.append((k, *c[:, :3].sum(axis=0).tolist(), int((at * (c[:, :3] @ [1, 2, 3])).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows_) if rows_ else [[]] * 5)], names=["frame_idx", "sum_r", "sum_g", "sum_b", "moment"])
 
-    return frames.to_rgba(_painted(spark, sf_dir)).select("frame_idx", "rgba").mapInArrow(run, "frame_idx long, sum_r long, sum_g long, sum_b long, moment long")
+    return rows.select("frame_idx", "rgba").mapInArrow(run, "frame_idx long, sum_r long, sum_g long, sum_b long, moment long")
 
 
 @query("render_join", """-- views: frames pixels
@@ -284,3 +290,61 @@ def review_join(spark, sf_dir):
     e = count(view(spark, sf_dir, "patches"), "edits", F.max("seq").alias("last_edit"))
     out = i.join(m, "frame_idx", "left").join(e, "frame_idx", "left")
     return out.select("frame_idx", "instances", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("mask_px", "edits")), "last_edit")
+
+
+def _soft_sql(out: str, table: str, value: str, k: int) -> str:
+    """A Gaussian of k x k places over a value by frame_idx, y, x; nothing lies outside the frame."""
+    sigma = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
+    g = f"(SELECT d, e / sum(e) OVER () AS g FROM (SELECT d, exp(-(d * d) / (2.0::DOUBLE * {sigma} * {sigma})) AS e FROM (SELECT unnest(range({-(k // 2)}, {k // 2 + 1})) AS d)))"
+    one = "SELECT t.frame_idx, {to}, sum(g * t.{v}) AS {o} FROM {t} t, {g} g WHERE {on} GROUP BY ALL"
+    rows = one.format(to="t.y, t.x - d AS x", v=value, o="r", t=table, g=g, on="t.x - d BETWEEN 0 AND 63")
+    return f"{out}r AS ({rows}), {out} AS ({one.format(to='t.y - d AS y, t.x', v='r', o='b', t=out + 'r', g=g, on='t.y - d BETWEEN 0 AND 63')})"
+
+
+@query("feathered_blur", GRID_SQL + _soft_sql("s", "p", "v", 7) + ", " + _soft_sql("a", "p", "m", 5) + """, o AS (SELECT p.frame_idx, p.y, p.x, p.v * (1 - a.b) + s.b * a.b AS v FROM p JOIN s ON s.frame_idx = p.frame_idx AND s.y = p.y AND s.x = p.x JOIN a ON a.frame_idx = p.frame_idx AND a.y = p.y AND a.x = p.x)
+SELECT frame_idx, round(sum(v), 4) AS sum_v, round(sum(v * (x + 64 * y)) / 4096, 4) AS moment FROM o GROUP BY frame_idx""")
+def feathered_blur(spark, sf_dir):
+    """Frames' luma blurred under their masks, with edges that fade."""
+    from ..operators import drawing
+
+    def run(batches):
+        at = np.arange(S * S).reshape(S, S)
+        for b in batches:
+            made = [drawing.feathered(frames.planes(raw, S, S)[0], np.frombuffer(m, np.uint8).reshape(S, S), "blur", 7, 2) for raw, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(x.sum()) for x in made], pa.float64()), pa.array([float((x * at).sum()) / 4096 for x in made], pa.float64())], names=["frame_idx", "sum_v", "moment"])
+
+    got = _painted(spark, sf_dir).select("frame_idx", "nv12", "mask").mapInArrow(run, "frame_idx long, sum_v double, moment double")
+    return got.select("frame_idx", F.round("sum_v", 4).alias("sum_v"), F.round("moment", 4).alias("moment"))
+
+
+@query("annotated_frames", GRID_SQL + f"""c AS (SELECT p.frame_idx, p.y, p.x, p.v, p.m, q.u, q.w FROM p JOIN q ON q.frame_idx = p.frame_idx AND q.y = p.y // 2 AND q.x = p.x // 2),
+o AS (SELECT frame_idx, y, x, m, {_B.format(x=_C + ' + (w - 128) * 1.596::DOUBLE')} AS r, {_B.format(x=_C + ' - (u - 128) * 0.392::DOUBLE - (w - 128) * 0.813::DOUBLE')} AS g, {_B.format(x=_C + ' + (u - 128) * 2.017::DOUBLE')} AS b FROM c),
+tk AS (SELECT frame_idx, y, x, CASE WHEN m = 1 THEN least(r * 3 // 4 + 60, 255) ELSE r END AS r, CASE WHEN m = 1 THEN least(g + 90, 255) ELSE g END AS g, CASE WHEN m = 1 THEN least(b * 3 // 4 + 20, 255) ELSE b END AS b FROM o),
+l AS (SELECT frame_idx, rect_id, rx + a.x AS x, ry + c.y AS y FROM rects, (SELECT unnest(range(0, 17)) AS x) a, (SELECT unnest(range(0, 17)) AS y) c WHERE a.x <= rw AND c.y <= rh AND rx + a.x <= 63 AND ry + c.y <= 63 AND (a.x < 2 OR a.x + 2 > least(rw, 63 - rx) OR c.y < 2 OR c.y + 2 > least(rh, 63 - ry))),
+t AS (SELECT frame_idx, x, y, max(rect_id) AS id FROM l GROUP BY ALL),
+z AS (SELECT tk.frame_idx, tk.x + 64 * tk.y AS place, CASE WHEN t.id IS NULL THEN r ELSE ([255, 76, 255, 156, 0, 255, 121, 240])[(t.id % 8 + 1)::INT] END AS r, CASE WHEN t.id IS NULL THEN g ELSE ([76, 175, 165, 39, 230, 105, 85, 240])[(t.id % 8 + 1)::INT] END AS g, CASE WHEN t.id IS NULL THEN b ELSE ([76, 255, 0, 176, 118, 180, 72, 60])[(t.id % 8 + 1)::INT] END AS b FROM tk LEFT JOIN t ON t.frame_idx = tk.frame_idx AND t.x = tk.x AND t.y = tk.y)
+SELECT frame_idx, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, sum(place * (r + 2 * g + 3 * b))::BIGINT AS moment FROM z GROUP BY frame_idx""".replace("-- views: pixels", "-- views: pixels rects"))
+def annotated_frames(spark, sf_dir):
+    """Every frame with its mask as a tint and its rectangles bordered in the colours of their numbers."""
+    from ..operators import drawing
+
+    x, y = F.col("rx").cast("double"), F.col("ry").cast("double")
+    boxes = view(spark, sf_dir, "rects").groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct(F.col("rect_id").alias("track_id"), x.alias("x1"), y.alias("y1"), (x + F.col("rw")).alias("x2"), (y + F.col("rh")).alias("y2")))).alias("boxes"))
+    rows = _painted(spark, sf_dir).select("frame_idx", "w", "h", "nv12").join(_masks(spark, sf_dir).select("frame_idx", "spans"), "frame_idx").join(boxes, "frame_idx")
+    return _rgba_sums(drawing.annotated(rows, 2))
+
+
+@query("polygon_fill", """WITH c AS (SELECT p_partkey AS k, [(p_partkey * 7) % 40, (p_partkey * 5) % 24 + 40, (p_partkey * 3) % 60, (p_partkey * 11) % 50 + 4] AS xs, [(p_partkey * 13) % 20, (p_partkey * 17) % 40, (p_partkey * 19) % 30 + 34, (p_partkey * 23) % 60] AS ys FROM part),
+e AS (SELECT k, xs[i] AS x1, ys[i] AS y1, xs[i % 4 + 1] AS x2, ys[i % 4 + 1] AS y2 FROM c, (SELECT unnest(range(1, 5)) AS i)),
+r AS (SELECT k, t.y, x1 + (t.y - y1) * (x2 - x1)::DOUBLE / (y2 - y1) AS x FROM e, (SELECT unnest(range(0, 64)) AS y) t WHERE t.y >= least(y1, y2) AND t.y < greatest(y1, y2)),
+n AS (SELECT k, y, x, row_number() OVER (PARTITION BY k, y ORDER BY x) AS i FROM r), s AS (SELECT a.k, a.y, greatest(ceil(a.x), 0)::BIGINT AS lo, least(floor(b.x) + 1, 64)::BIGINT AS hi FROM n a JOIN n b ON b.k = a.k AND b.y = a.y AND b.i = a.i + 1 WHERE a.i % 2 = 1),
+m AS (SELECT DISTINCT s.k, s.y, t.x FROM s, (SELECT unnest(range(0, 64)) AS x) t WHERE t.x >= lo AND t.x < hi)
+SELECT k AS p_partkey, count(*)::BIGINT AS n_px, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM m GROUP BY k""")
+def polygon_fill(spark, sf_dir):
+    """A four-sided polygon for each part, some of which cross themselves."""
+    from ..operators import drawing
+
+    k = F.col("p_partkey")
+    at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    points = F.array(at(k * 7 % 40, k * 13 % 20), at(k * 5 % 24 + 40, k * 17 % 40), at(k * 3 % 60, k * 19 % 30 + 34), at(k * 11 % 50 + 4, k * 23 % 60))
+    return masks.numbers(drawing.polygons(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", points.alias("points")), S, S), ("p_partkey",))

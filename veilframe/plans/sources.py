@@ -17,9 +17,29 @@ REPORTS = [
 ]
 
 
-@query("probe_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {w}, {h}, {f}::DOUBLE, '{c}', {'NULL' if n is None else n}::BIGINT, '{a}')" for p, _, w, h, f, c, n, a, _ in REPORTS) + ") AS t(path, width, height, fps, codec, total_frames, audio)")
+#: What a part's report says of its picture, rate, sound and turn.
+_CODECS, _SOUNDS = ("hevc (Main 10)", "h264 (Baseline)", "av1"), ("aac (LC)", "opus", "truehd")
+
+_PROBE = f"""WITH p AS (SELECT p_partkey AS k, (640 + p_size % 5 * 160) AS a, (360 + p_size % 7 * 40) AS b, p_partkey % 4 AS rate, p_partkey % 3 AS turn, p_partkey % 3 AS sounds, p_partkey % 90 + 5 AS secs, (['hevc', 'h264', 'av1'])[(p_partkey % 3 + 1)::INT] AS codec FROM part),
+r AS (SELECT *, CASE rate WHEN 0 THEN 24.0::DOUBLE WHEN 1 THEN 29.97::DOUBLE WHEN 2 THEN 50.0::DOUBLE ELSE 30.0::DOUBLE END AS fps FROM p)
+SELECT 'part-' || k || '.mp4' AS path, CASE WHEN turn = 1 THEN b ELSE a END::INT AS width, CASE WHEN turn = 1 THEN a ELSE b END::INT AS height, fps, codec, round(secs * fps)::BIGINT AS total_frames, CASE sounds WHEN 0 THEN '' WHEN 1 THEN 'aac' ELSE 'aac,opus' END AS audio FROM r"""
+
+
+@query("probe_parse", _PROBE)
 def probe_parse(spark, sf_dir):
-    r = spark.createDataFrame([(p, t) for p, t, *_ in REPORTS], "path string, stderr string")
+    """Media reports, one for each part, in the form that the usual media tool prints: rates, base rates, none and
+    impossible ones, turned pictures, several sound tracks."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    a, b, secs = 640 + size % 5 * 160, 360 + size % 7 * 40, k % 90 + 5
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    rate = F.when(k % 4 == 0, ", 24 fps, 24 tbr").when(k % 4 == 1, ", 29.97 fps").when(k % 4 == 2, ", 50 tbr, 90k tbn").otherwise(", 90000 fps")
+    lines = F.concat(
+        F.format_string("Input #0, mov, from 'part-%d.mp4':\n  Duration: %02d:%02d:%02d.00, start: 0.000000\n  Stream #0:0[0x1](und): Video: ", k, F.lit(0), F.floor(secs / 60), secs % 60), pick(_CODECS, k % 3), F.lit(" (tag / 0x31766568), yuv420p, "), a.cast("string"), F.lit("x"), b.cast("string"), rate, F.lit("\n"),
+        F.when(k % 3 == 1, "    displaymatrix: rotation of -90.00 degrees\n").otherwise(""),
+        F.when(k % 3 >= 1, F.concat(F.lit("  Stream #0:1[0x2](und): Audio: "), F.lit(_SOUNDS[0]), F.lit(", 48000 Hz, stereo\n"))).otherwise(""),
+        F.when(k % 3 == 2, F.concat(F.lit("  Stream #0:2: Audio: "), F.lit(_SOUNDS[1]), F.lit(", 48000 Hz, mono\n"))).otherwise(""),
+    )
+    r = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("part-%d.mp4", k).alias("path"), lines.alias("stderr"))
     return probe.parse(r).select("path", "width", "height", "fps", "codec", "total_frames", F.array_join("audio_codecs", ",").alias("audio"))
 
 

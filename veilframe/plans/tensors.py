@@ -52,12 +52,13 @@ def decode_gd(spark, sf_dir):
     return _emb(spark, sf_dir).where(score >= 0.35).select("vec_id", F.round(score, 6).alias("score"), px(cx - w / 2, 1920).alias("x1"), px(cy - h / 2, 1080).alias("y1"), px(cx + w / 2, 1920).alias("x2"), px(cy + h / 2, 1080).alias("y2"))
 
 
-@query("retina_priors", """WITH p AS (SELECT * FROM (VALUES (8, 16), (8, 32), (16, 64), (16, 128), (32, 256), (32, 512)) AS t(step, size)),
-g AS (SELECT step, size, unnest(range(0, ((640 + step - 1) // step)::BIGINT)) AS "row" FROM p), c AS (SELECT step, size, "row", unnest(range(0, ((640 + step - 1) // step)::BIGINT)) AS col FROM g)
-SELECT step::INT AS step, "row"::INT AS "row", col::INT AS col, size::INT AS size, round((col + 0.5::DOUBLE) * step / 640, 8) AS cx, round(("row" + 0.5::DOUBLE) * step / 640, 8) AS cy, round(size / 640.0::DOUBLE, 8) AS pw FROM c""")
+@query("retina_priors", """WITH i AS (SELECT p_partkey, (p_size % 5 + 2) * 16 AS w, (p_size % 7 + 2) * 16 AS h FROM part), p AS (SELECT * FROM i, (VALUES (8, 16), (8, 32), (16, 64), (16, 128), (32, 256), (32, 512)) AS t(step, size)),
+g AS (SELECT *, unnest(range(0, ((h + step - 1) // step)::BIGINT)) AS "row" FROM p), c AS (SELECT *, unnest(range(0, ((w + step - 1) // step)::BIGINT)) AS col FROM g)
+SELECT p_partkey, step::INT AS step, "row"::INT AS "row", col::INT AS col, size::INT AS size, round((col + 0.5::DOUBLE) * step / w, 8) AS cx, round(("row" + 0.5::DOUBLE) * step / h, 8) AS cy, round(size / w::DOUBLE, 8) AS pw, round(size / h::DOUBLE, 8) AS ph FROM c""")
 def retina_priors(spark, sf_dir):
-    p = decode.priors(spark, 640, 640)
-    return p.select("step", "row", "col", "size", F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"), F.round("pw", 8).alias("pw"))
+    """Prior boxes of an image of each part's size."""
+    i = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", ((F.col("p_size") % 5 + 2) * 16).alias("w"), ((F.col("p_size") % 7 + 2) * 16).alias("h"))
+    return decode.priors_of(i).select("p_partkey", "step", "row", "col", "size", *(F.round(c, 8).alias(c) for c in ("cx", "cy", "pw", "ph")))
 
 
 @query("retina_decode", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, (vec_id % 20 + 0.5::DOUBLE) * 32 / 640 AS cx, (vec_id // 20 % 20 + 0.5::DOUBLE) * 32 / 640 AS cy FROM embeddings),
