@@ -36,6 +36,22 @@ def mask_store(spark, sf_dir):
     return got.select("frame_idx", "state", masks.area(F.col("spans")).alias("n_px"))
 
 
+@query("instance_store", """-- views: rects
+, i AS (SELECT * FROM rects WHERE rw > 4), c AS (SELECT frame_idx, rect_id, rx + a.x AS x, ry + b.y AS y FROM i, (SELECT unnest(range(0, 16)) AS x) a, (SELECT unnest(range(0, 16)) AS y) b WHERE a.x < rw AND b.y < rh),
+t AS (SELECT frame_idx, x, y, max(rect_id) AS id FROM c GROUP BY ALL), f AS (SELECT DISTINCT frame_idx FROM rects)
+SELECT i.frame_idx, i.rect_id AS instance_id, count(t.x)::BIGINT AS n_px, coalesce(sum(t.x + 64 * t.y), 0)::BIGINT AS moment FROM i LEFT JOIN t ON t.frame_idx = i.frame_idx AND t.id = i.rect_id GROUP BY ALL""")
+def instance_store(spark, sf_dir):
+    """Instances written twice, read back, and the pixels in which each is on top."""
+    path = f"{shared_dir(spark)}/instances-{uuid.uuid4().hex}"
+    r = view(spark, sf_dir, "rects")
+    x, y = F.col("rx"), F.col("ry")
+    found = r.select("frame_idx", F.col("rect_id").alias("instance_id"), F.lit(0).alias("kind"), F.lit(0.9).alias("score"), *(c.cast("double").alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), (x, y, x + F.col("rw"), y + F.col("rh")))), masks.rectangle(x, y, x + F.col("rw"), y + F.col("rh"), S, S).alias("spans"))
+    store.save_instances(r, found, path, 1, S, S)
+    store.save_instances(r, found.where(F.col("x2") - F.col("x1") > 4), path, 2, S, S)
+    loaded = store.load_instances(r.select("frame_idx").distinct(), path, S, S).where("state = 'ok'")
+    return masks.numbers(store.instance_image(loaded, S, S), ("frame_idx", "instance_id"), empty=True).select("frame_idx", "instance_id", "n_px", (F.col("sum_x") + 64 * F.col("sum_y")).alias("moment"))
+
+
 @query("edit_log", f"""-- views: pixels patches
 {_EDITS}, kept AS (SELECT * FROM edits WHERE NOT (frame_idx = 3 AND seq < 5000) AND NOT (frame_idx = 8)),
 last AS (SELECT frame_idx, y, x, arg_max(op, seq) AS op FROM kept GROUP BY ALL),

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.runs import Masks
 from ..operators import masks as mask_ops
 
 MASKS = "frame_idx long, written long, w int, h int, data binary"
@@ -54,6 +56,76 @@ def load_masks(frames: DataFrame, path: str, w: int, h: int) -> DataFrame:
     return out.withColumns({"w": F.lit(w), "h": F.lit(h), "spans": F.when(F.col("state") == "ok", F.col("_spans"))}).drop("_w", "_h", "_spans", "whole")
 
 
+# instances and what a store is of
+
+INSTANCES = "frame_idx long, written long, w int, h int, instance_id long, kind int, score double, x1 double, y1 double, x2 double, y2 double, spans array<int>"
+META = "written long, w int, h int, fps double, total_frames long"
+
+
+def save_instances(frames: DataFrame, instances: DataFrame, path: str, written: int, w: int, h: int) -> None:
+    """Append each frame's instances (frame_idx, instance_id, kind, score, box, spans); a larger `written` replaces a
+    frame's earlier ones. frames (frame_idx) names those that were looked at: one without instances is stored as such."""
+    cols = ("instance_id", "kind", "score", "x1", "y1", "x2", "y2", "spans")
+    rows = frames.select("frame_idx").distinct().join(instances.select("frame_idx", *cols), "frame_idx", "left")
+    typed = rows.select("frame_idx", F.lit(written).cast("long").alias("written"), F.lit(w).alias("w"), F.lit(h).alias("h"), *cols)
+    typed.withColumn("folder", F.floor(F.col("frame_idx") / FOLDER_FRAMES)).write.mode("append").partitionBy("folder").parquet(path)
+
+
+def load_instances(frames: DataFrame, path: str, w: int, h: int) -> DataFrame:
+    """frames (frame_idx) with state ('ok', 'missing', or 'size' where they are of another frame size) and instances, an
+    array in order of instance_id; null unless ok. A frame's instances lie in one folder and are few."""
+    rows = _read(frames.sparkSession, path, INSTANCES + ", folder long")
+    one = F.struct("instance_id", "kind", "score", "x1", "y1", "x2", "y2", "spans")
+    per = rows.groupBy("folder", "frame_idx", "written").agg(F.max("w").alias("_w"), F.max("h").alias("_h"), F.sort_array(F.collect_list(F.when(F.col("instance_id").isNotNull(), one))).alias("instances"))
+    last = per.groupBy("folder", "frame_idx").agg(F.max_by(F.struct("_w", "_h", "instances"), "written").alias("m")).select("frame_idx", "m.*", F.lit(True).alias("_there"))
+    state = F.when(F.col("_there").isNull(), "missing").when((F.col("_w") != w) | (F.col("_h") != h), "size").otherwise("ok")
+    out = frames.join(last, "frame_idx", "left").withColumn("state", state)
+    return out.withColumn("instances", F.when(F.col("state") == "ok", F.col("instances"))).drop("_w", "_h", "_there")
+
+
+def instance_image(loaded: DataFrame, w: int, h: int) -> DataFrame:
+    """(frame_idx, instance_id, w, h, spans): of each frame of load_instances() the pixels that show each instance, the
+    later of two above the earlier: an image of numbers as runs."""
+
+    def run(batches):
+        for b in batches:
+            keys, ids, parts = [], [], []
+            for k, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                above = None
+                for x in reversed(found or []):
+                    m = Masks.read(pa.array([x["spans"]], pa.list_(pa.int32())), [w], [h])
+                    keys.append(k)
+                    ids.append(x["instance_id"])
+                    parts.append(m if above is None else m.minus(above))
+                    above = m if above is None else above.union(m)
+            side = lambda v: pa.array([v] * len(keys), pa.int32())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), side(w), side(h), Masks.joined(parts).write() if parts else pa.array([], pa.list_(pa.int32()))], names=["frame_idx", "instance_id", "w", "h", "spans"])
+
+    return loaded.select("frame_idx", "instances").mapInArrow(run, "frame_idx long, instance_id long, w int, h int, spans array<int>")
+
+
+def save_meta(spark: SparkSession, path: str, written: int, w: int, h: int, fps: float, total_frames: int) -> None:
+    """What a store is of; a larger `written` replaces it."""
+    spark.createDataFrame([(written, w, h, float(fps), total_frames)], META).coalesce(1).write.mode("append").parquet(path)
+
+
+class MetaMismatch(ValueError):
+    """A store of another video than the one at hand."""
+
+
+def check_meta(spark: SparkSession, path: str, w: int, h: int, total_frames: int | None = None) -> dict | None:
+    """The store's meta, or None where there is none; another frame size or number of frames is an error that names both."""
+    found = _read(spark, path, META).orderBy(F.desc("written")).limit(1).collect()
+    if not found:
+        return None
+    m = found[0].asDict()
+    if (m["w"], m["h"]) != (w, h):
+        raise MetaMismatch(f"stored for {m['w']} x {m['h']}, not {w} x {h}")
+    if total_frames is not None and m["total_frames"] != total_frames:
+        raise MetaMismatch(f"stored for {m['total_frames']} frames, not {total_frames}")
+    return m
+
+
 def analyzed_frames(spark: SparkSession, path: str) -> int:
     """The largest stored frame + 1: where an analysis goes on."""
     last = _read(spark, path, MASKS).agg(F.max("frame_idx")).first()[0]
