@@ -143,6 +143,41 @@ def test_local_search_is_no_worse_than_all_pairs():
     assert better >= 25
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_ends_where_no_step_is_left(seed):
+    """With many kinds, of which most run out on the way and are forgotten."""
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(rng.lognormal(4.5, 0.8, 60_000).astype(int), 1, 500) if seed == 1 else rng.integers(130, 360, 20_000)
+    hist = Counter(sizes.tolist())
+    start = packing.best_fit(hist, 500)
+    end = packing.local_search(start, 500)
+    used = Counter()
+    for p, m in end:
+        assert m > 0 and sum(s * k for s, k in p) <= 500
+        used.update({s: k * m for s, k in p})
+    assert used == hist and sum(m for _, m in end) < sum(m for _, m in start)
+    if sum(m for _, m in end) > -(-int(sizes.sum()) // 500):
+        kinds = packing._Kinds()
+        for p, m in end:
+            if sum(s * k for s, k in p) < 500:
+                kinds.add(p, m)
+        assert not any(packing._best_step(kinds, k, 0, 500) for k in range(kinds.n))
+
+
+def test_kinds_that_ran_out_are_forgotten():
+    kinds = packing._Kinds()
+    for k in range(200):
+        kinds.add(((k + 1, 1), (300, 2)), k % 3)
+    before = kinds.compact()
+    assert kinds.n == 133 and before[-1] == 133 and len(kinds.pattern) == len(set(kinds.pattern)) == 133 and (kinds.bins[:133] > 0).all()
+    for k, p in enumerate(kinds.pattern):
+        a, z = kinds.first[k], kinds.first[k + 1]
+        assert kinds.number[p] == k and kinds.fill[k] == sum(s * c for s, c in p) and (kinds.owner[a:z] == k).all()
+        assert kinds.size[a:z].tolist() == [0, *(g[0] for g in packing.gives(p))]
+    kinds.add(((5, 7),), 2)
+    assert kinds.n == 134 and kinds.bins[133] == 2
+
+
 def test_packing_odd(spark):
     out = packing.pack_documents(odd_docs(spark), queries.tokenizer_json(), capacity=64).collect()
     check_packing(out, 64)

@@ -195,6 +195,24 @@ class _Kinds:
         self.n += 1
 
 
+    def compact(self) -> np.ndarray:
+        """Forget kinds of which no bin is left; how many of the kept ones came before each old number."""
+        live = self.bins[: self.n] > 0
+        before = np.concatenate([[0], np.cumsum(live)])
+        rows = live[self.owner[: self.m]]
+        for name in ("owner", "size", "one", "two"):
+            kept = getattr(self, name)[: self.m][rows]
+            setattr(self, name, np.concatenate([kept, np.zeros(max(256, len(kept)), np.int64)]))
+        self.m = int(rows.sum())
+        self.owner[: self.m] = before[self.owner[: self.m]]
+        self.pattern = [p for p, on in zip(self.pattern, live.tolist()) if on]
+        self.number = {p: k for k, p in enumerate(self.pattern)}
+        self.n = len(self.pattern)
+        self.fill, self.bins = (np.concatenate([x[: len(live)][live], np.zeros(max(64, self.n), np.int64)]) for x in (self.fill, self.bins))
+        self.first = np.searchsorted(self.owner[: self.m], np.arange(self.n + 1)).tolist()
+        return before
+
+
 def gives(pattern: Pattern) -> list[tuple[int, int, int]]:
     """(size, one, two) of the single documents and of the pairs that a bin can give; two is 0 for a single one."""
     out = [(s, s, 0) for s, _ in pattern]
@@ -254,6 +272,7 @@ def local_search(bins: list[tuple[Pattern, int]], capacity: int) -> list[tuple[P
 
     enlist()
     idle: list[tuple[int, int]] = []
+    dead = 0
     while n_bins > least:
         if not heap:
             again = [x for x in idle if kinds.bins[x[1]] and seen[x[1]] < kinds.n]
@@ -291,6 +310,14 @@ def local_search(bins: list[tuple[Pattern, int]], capacity: int) -> list[tuple[P
                 kinds.add(p, times)
                 n_bins += times
         enlist()
+        dead += int(not kinds.bins[a]) + int(a != b and not kinds.bins[b])
+        if dead > 64 and 2 * dead > kinds.n:
+            live = kinds.bins[: kinds.n] > 0
+            before = kinds.compact()
+            seen = [int(before[x]) for x, on in zip(seen, live.tolist()) if on]
+            heap, idle = ([(f, int(before[k])) for f, k in rows if live[k]] for rows in (heap, idle))
+            heapq.heapify(heap)
+            dead = 0
     return [*full, *((kinds.pattern[k], int(kinds.bins[k])) for k in range(kinds.n) if kinds.bins[k])]
 
 
