@@ -120,6 +120,24 @@ def frame_seek(spark, sf_dir):
     return seen.select("p_partkey", F.coalesce("here", "last").alias("frame_idx"))
 
 
+@query("frame_seek_again", """-- views: frames
+, f AS (SELECT user_id % 20 AS v, t_ms, frame_idx, event_type <> 'error' AS good FROM frames), e AS (SELECT v, max(t_ms) - 100.0::DOUBLE AS last FROM f GROUP BY v),
+a AS (SELECT p_partkey AS k, p_partkey % 21 AS v, p_partkey * 97.0::DOUBLE - 900 AS at_ms FROM part), t AS (SELECT a.*, greatest(least(at_ms, last), 0.0::DOUBLE) AS t FROM a LEFT JOIN e ON e.v = a.v),
+o AS (SELECT k, t.v, t.t, max(f.frame_idx) AS i FROM t LEFT JOIN f ON f.v = t.v AND f.t_ms <= t.t WHERE t.v IN (SELECT v FROM e) GROUP BY ALL),
+g AS (SELECT o.*, coalesce(f.good, false) AS good FROM o LEFT JOIN f ON f.frame_idx = o.i),
+r AS (SELECT g.k, max(f.frame_idx) AS i FROM g LEFT JOIN f ON f.v = g.v AND f.t_ms <= greatest(g.t - 250, 0) WHERE NOT g.good GROUP BY g.k)
+SELECT k AS p_partkey, i AS frame_idx, 1 AS tries FROM g WHERE good UNION ALL SELECT r.k, CASE WHEN f.good THEN r.i END, 2 FROM r LEFT JOIN f ON f.frame_idx = r.i UNION ALL SELECT k, NULL, 2 FROM t WHERE v NOT IN (SELECT v FROM e)""")
+def frame_seek_again(spark, sf_dir):
+    """Frames of twenty videos at times that parts ask for, one video of which there is not; frames of errors can't be
+    read, so what stands a quarter of a second before them is shown."""
+    from ..operators import seek
+
+    f = view(spark, sf_dir, "frames").select((F.col("user_id") % 20).alias("video_id"), "t_ms", "frame_idx", (F.col("event_type") != "error").alias("good"))
+    k = F.col("p_partkey")
+    asks = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (k % 21).alias("video_id"), (k * 97.0 - 900).alias("at_ms"))
+    return seek.frames_at(f, asks, 15.0).select("p_partkey", "frame_idx", "tries")
+
+
 def _videos(spark, sf_dir):
     """A video of sixteen frames for each frame of boxes, which drift slowly, so that tracks hold together."""
     base = view(spark, sf_dir, "boxes").where("score >= 0.1").select(F.col("frame_idx").alias("video_id"), "det_id", "score", "x1", "y1", "x2", "y2")
