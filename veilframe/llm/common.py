@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import gc
 import os
 import uuid
@@ -39,11 +39,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more, now and not when the driver happens to
-    collect its garbage: a loop over stored tables would else fill the executors' disks with those of rounds before."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most: str = "16m"):
+    """Arrow batches of at most so many bytes for what runs within: an executor holds one on either side for each of
+    its tasks, beside what the tasks make of it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

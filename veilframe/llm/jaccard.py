@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import FILTER_BITS, bits_for, bloom_of, holds, positions
-from .common import cut, drop_cut, free_shuffles, ids_and_text, slices
+from .common import arrow_batches, cut, drop_cut, free_shuffles, ids_and_text, slices
 from .components import components
 from .words import by_bytes, shingle_sets
 
@@ -378,6 +378,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """(doc_id, n_shingles, component_id) for each row: documents link where
     den * |intersection| >= num * |union| of their n-word shingle sets, and component_id is the
     smallest doc_id reachable by links."""
+    with arrow_batches(docs.sparkSession):
+        return _linked(docs, n, num, den, id_col, text_col)
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_components(), whose stored tables are all made when it returns."""
     spark = docs.sparkSession
     some = ids_and_text(docs, id_col, text_col)
     spread = 0 if NEAR * 4 * (den - num) <= den + num else 2
@@ -460,7 +466,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         pairs = cut(pairs, "pairs")
         tested.append(pairs)
         free_shuffles(spark)
-        free_shuffles(spark)
         found = _verify(pairs, nodes, some, n, seed, num, den, NEAR if label is None else 1)
         more = [found.where("linked").select("a", "b")]
         spent = [found]
