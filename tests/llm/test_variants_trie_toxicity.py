@@ -282,3 +282,10 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity_scores(some.where("false"), noisy, epochs=1).count() == 0
     assert toxicity.toxicity_scores(some, noisy.where("false")).count() == 66
     assert toxicity.toxicity_scores(some, noisy.where("toxic = 0")).count() == 66
+
+
+def test_shards_by_length():
+    lengths = [(5, 10, 50), (6, 30, 180), (7, 95, 665), (8, 250, 2000), (9, 1, 9), (10, 1, 10), (5000, 1, 5000)]
+    got = spelling.shards_of(lengths, 100, 3000)
+    assert got == [(5, 6, 0, 1), (7, 7, 0, 1), (8, 8, 0, 3), (8, 8, 1, 3), (8, 8, 2, 3), (9, 10, 0, 1), (5000, 5000, 0, 2), (5000, 5000, 1, 2)]
+    assert spelling.shards_of([], 1, 1) == []

@@ -1,13 +1,14 @@
 """Spelling variants: words one edit apart, found by Aho-Corasick automata of word halves, and grouped under their forms.
 
 A word is cut into two halves. One inserted, deleted or replaced code point leaves one half of it whole, at the start
-or at the end of the other word. The vocabulary is dealt by hash to shards of about SHARD_WORDS words and SHARD_BYTES
-bytes; a shard's automaton holds both halves of each of its words, the first behind a mark for the start of a word and
-the second before one for its end, so a hit is at the right offset. Each shard is broadcast alone (its size is bounded
-by its number and bytes of words), all words run through it, hits with a length that differs by more than one are passed
-over, and the rest of the word is verified: against each member of a small group of equal halves, through an index of
-deletions and gaps in a large one (work then follows the word, not the group). A word's both halves are in one shard,
-so a pair is found in one shard only, and a task hands on one row for each word that has neighbours, not the pairs.
+or at the end of the other word. The vocabulary is dealt by length, and by hash where a length has many words, to
+shards of about SHARD_WORDS words and SHARD_BYTES bytes; a shard's automaton holds both halves of each of its words, the
+first behind a mark for the start of a word and the second before one for its end, so a hit is at the right offset. Each
+shard is broadcast alone (its size is bounded by its number and bytes of words) and all words of compatible lengths run
+through it. Hits with a length that differs by more than one are passed over, and the rest of the word is verified:
+against each member of a small group of equal halves, through an index of deletions and gaps in a large one (work then
+follows the word, not the group). A word's both halves are in one shard, so a pair is found in one shard only, and a
+task hands on one row for each word that has neighbours, not the pairs.
 
 Counting is done by Arrow kernels; crc32(id + word) comes from crc32(word) by linear algebra over all places at once.
 
@@ -18,6 +19,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -219,17 +221,36 @@ def _shard_of(shared) -> Shard:
     return _held[1]
 
 
+def shards_of(lengths: list[tuple[int, int, int]], most_words: int, most_bytes: int) -> list[tuple[int, int, int, int]]:
+    """(shortest, longest, part, parts) of shards, from (length, words, bytes) in order: lengths in a row that together
+    stay within both bounds, and parts by hash of a length that alone does not."""
+    out: list[tuple[int, int, int, int]] = []
+    first = last = None
+    weight = 0.0
+    for size, words, bytes_ in lengths:
+        own = max(words / most_words, bytes_ / most_bytes)
+        if first is not None and weight + own > 1:
+            out.append((first, last, 0, 1))
+            first, weight = None, 0.0
+        if own > 1:
+            parts = math.ceil(own)
+            out += [(size, size, k, parts) for k in range(parts)]
+            continue
+        first, last, weight = size if first is None else first, size, weight + own
+    if first is not None:
+        out.append((first, last, 0, 1))
+    return out
+
+
 def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(word, n_near, best, best_n) of the words that have near ones in vocabulary (word, n), a stored table: how many,
-    and the one of largest n, smallest word first."""
+    """(word, n_near, best, best_n) of the words that have near ones in vocabulary (word, n, size), a stored table in
+    order of size, the words' code points: how many, and the one of largest n, smallest word first."""
     spark = vocabulary.sparkSession
-    total, size = (int(x or 0) for x in vocabulary.agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first())
-    shards = max(1, -(-total // shard_words), -(-size // shard_bytes))
-    own = F.pmod(F.xxhash64("word"), F.lit(shards))
+    lengths = vocabulary.groupBy("size").agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).orderBy("size").collect()  # a row for each length
     parts = None
-    for k in range(shards):
-        rows = vocabulary.where(own == k).toArrow()  # a shard: bounded words and bytes
-        shared = spark.sparkContext.broadcast((rows.column("word").combine_chunks(), rows.column("n").to_numpy()))
+    for low, high, k, n in shards_of([tuple(map(int, r)) for r in lengths], shard_words, shard_bytes) or [(0, 0, 0, 1)]:
+        mine = vocabulary.where(F.col("size").between(low, high) & (F.pmod(F.xxhash64("word"), F.lit(n)) == k)).toArrow()  # a shard: bounded words and bytes
+        shared = spark.sparkContext.broadcast((mine.column("word").combine_chunks(), mine.column("n").to_numpy()))
 
         def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             shard = None
@@ -243,7 +264,9 @@ def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, shard_byte
                 cols = list(zip(*out)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["word", "n_near", "best", "best_n"])
 
-        found = cut(vocabulary.select("word").mapInArrow(scan, "word string, n_near long, best string, best_n long"), "near")
+        # words of other lengths than these are near none of the shard's
+        met = vocabulary.where(F.col("size").between(low - 1, high + 1)).select("word")
+        found = cut(met.mapInArrow(scan, "word string, n_near long, best string, best_n long"), "near")
         shared.destroy()
         parts = found if parts is None else parts.unionByName(found)
     best = F.min(F.struct((-F.col("best_n")).alias("m"), "best"))
@@ -265,7 +288,11 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, every: int = 97, shortest: int = 5, least: int = 3, ratio: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word with `least` occurrences."""
-    vocabulary = cut(noted_words(ids_and_text(docs, id_col, text_col), every, shortest).where(F.col("n") >= least), "vocabulary")
+    noted = noted_words(ids_and_text(docs, id_col, text_col), every, shortest).where(F.col("n") >= least).withColumn("size", F.char_length("word"))
+    # in order of lengths, so that a shard's words and those that meet it are read without the others
+    noted = cut(noted, "noted")
+    vocabulary = cut(noted.repartitionByRange("size", F.xxhash64("word")).sortWithinPartitions("size"), "vocabulary")
+    drop_cut(noted)
     near = neighbours(vocabulary, shard_words)
     more = F.col("best_n") >= ratio * F.col("n")
     rows = cut(vocabulary.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(more, F.col("best")).alias("form"), F.when(more, F.col("best_n")).alias("form_n")), "forms")
