@@ -41,3 +41,9 @@ def beside(large: DataFrame, small: DataFrame, keys: tuple[str, ...]) -> DataFra
     if size <= SENT_BYTES // 8 and kept.count() <= 1_000_000:  # files are packed: rows may be some times as large
         kept = F.broadcast(kept)
     return large.join(kept, list(keys), "left")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session's shuffles have. Rows of little size but much work would else be
+    gathered into a few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.groups import matrix, whole_groups
 from ..functions.runs import Masks
-from ..functions.shared import beside
+from ..functions.shared import beside, spread
 from . import frames as frame_ops
 from . import gating, masks, motion
 from .temporal import BLEND_NEW, BLEND_OLD, Blend
@@ -175,7 +175,7 @@ def assemble(frames: DataFrame, persons: DataFrame, faces: DataFrame, w: int, h:
     spans = shown.select(F.col("frame_idx.video_id").alias("video_id"), F.col("frame_idx.frame_idx").alias("frame_idx"), *_BOX, ex.alias("ex"))
     rows = people.unionByName(spans.select("video_id", "frame_idx", *none(FACE), masks.rectangle(*G.face_span(G.box(), F.col("ex"), face_expand, w, h), w, h).alias("spans")))
     rows = rows.unionByName(frames.select("video_id", "frame_idx", *none(FRAME), F.lit(None).cast("array<int>").alias("spans")))
-    return draw(rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "kind", "track_id"), w, h, smooth, blend, options.get("max_lost", Tracker.max_lost))
+    return draw(spread(rows, "video_id").sortWithinPartitions("video_id", "frame_idx", "kind", "track_id"), w, h, smooth, blend, options.get("max_lost", Tracker.max_lost))
 
 
 def hide_video(video: DataFrame, w: int, h: int, detect: Callable[[DataFrame], DataFrame], find_faces: Callable[[DataFrame], DataFrame], style: str = "mosaic", size: int = 24, compose: Callable[[DataFrame], DataFrame] | None = None, follow_camera: bool = False, **options) -> DataFrame:
