@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..functions.groups import matrix, overlaps, whole_groups
 from ..functions.runs import Masks
-from ..functions.shared import stored
+from ..functions.shared import shuffled, spread, stored
 from . import gating, masks, suppress
 from .link import APPEARANCE, LEAST, MOST_MISSED
 
@@ -78,7 +78,7 @@ def remember(frames: DataFrame, refs: DataFrame) -> DataFrame:
     within its video and kind. frames names every (video_id, frame_idx)."""
     cols = ("video_id", "frame_idx", "kind", "ref_id", "score", *_BOX)
     kinds = F.explode(F.array(F.lit(PERSON), F.lit(FACE)))
-    rows = frames.select("video_id", "frame_idx", kinds.alias("kind")).join(refs.select(*cols, "emb"), ["video_id", "frame_idx", "kind"], "left").select(*cols, "emb")
+    rows = frames.select("video_id", "frame_idx", kinds.alias("kind")).join(shuffled(refs.select(*cols, "emb")), ["video_id", "frame_idx", "kind"], "left").select(*cols, "emb")
 
     def run(batches):
         now, memory = None, Memory()
@@ -99,18 +99,18 @@ def remember(frames: DataFrame, refs: DataFrame) -> DataFrame:
 
     kind_of = lambda c: rows.schema[c].dataType.simpleString()
     schema = ", ".join(f"{c} {kind_of(c)}" for c in cols) + ", instance_id long"
-    return rows.repartition("video_id", "kind").sortWithinPartitions("video_id", "kind", "frame_idx", F.desc("score"), "ref_id").mapInArrow(run, schema)
+    return spread(rows, "video_id", "kind").sortWithinPartitions("video_id", "kind", "frame_idx", F.desc("score"), "ref_id").mapInArrow(run, schema)
 
 
 def with_masks(fused: DataFrame, refined: DataFrame, own: DataFrame) -> DataFrame:
     """fused (frame_idx, cluster, score, box) with where its mask comes from: 'refined' (frame_idx, cluster, quality,
     fill) where that is good enough, else 'matched', the best own box (frame_idx, det_id, score, box, fill) over it, else
     'rect'; fill is the share of the box that its mask covers. Scores without a refined mask count a little less."""
-    f = fused.join(refined.select("frame_idx", "cluster", "quality", F.col("fill").alias("r_fill")), ["frame_idx", "cluster"], "left")
+    f = fused.join(shuffled(refined.select("frame_idx", "cluster", "quality", F.col("fill").alias("r_fill"))), ["frame_idx", "cluster"], "left")
     o = own.select("frame_idx", F.col("det_id").alias("o_det_id"), F.col("score").alias("o_score"), "fill", *(F.col(c).alias("o_" + c) for c in _BOX))
-    pairs = fused.join(o, "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
+    pairs = fused.join(shuffled(o), "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
     best = pairs.groupBy("frame_idx", "cluster").agg(F.max(F.struct("o_score", "o_det_id", "fill")).alias("m"))
-    f = f.join(best, ["frame_idx", "cluster"], "left")
+    f = f.join(shuffled(best), ["frame_idx", "cluster"], "left")
     good, match = F.coalesce(F.col("quality") >= REFINED, F.lit(False)), F.coalesce(F.col("m.fill") > FILLED, F.lit(False))
     source = F.when(good, "refined").when(match, "matched").otherwise("rect")
     score = F.when(good, F.col("score")).otherwise(F.col("score") * FALLEN_BACK)
@@ -159,17 +159,17 @@ def analyze_videos(frames: DataFrame, boxes: DataFrame, faces: DataFrame, refine
     box a prompt too. Persons and faces are asked for in one pass of refine each. Frames are numbered anew within, so
     frame numbers may repeat from video to video."""
     number = stored(frames.select("video_id", "frame_idx").distinct().select("*", F.monotonically_increasing_id().alias("_k")), "frames")
-    keyed = lambda df: df.join(number, ["video_id", "frame_idx"]).drop("video_id", "frame_idx").withColumnRenamed("_k", "frame_idx")
-    named = lambda df: df.withColumnRenamed("frame_idx", "_k").join(number, "_k").drop("_k")
+    keyed = lambda df: df.join(shuffled(number), ["video_id", "frame_idx"]).drop("video_id", "frame_idx").withColumnRenamed("_k", "frame_idx")
+    named = lambda df: df.withColumnRenamed("frame_idx", "_k").join(shuffled(number), "_k").drop("_k")
     side = {"w": F.lit(w), "h": F.lit(h)}
     found = keyed(boxes)
     fused = stored(suppress.confirmed(suppress.fuse(found, "frame_idx", [1.0, 1.0]), conf).withColumn("cluster", F.col("cluster").cast("long")), "fused")
     refined = keyed(refine(named(fused.select("frame_idx", F.col("cluster").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED)
     refined = refined.select("frame_idx", F.col("prompt_id").alias("cluster"), F.col("spans").alias("r_spans"))
     own = found.where("src = 0").select("frame_idx", F.col("det_id").alias("o_det_id"), F.col("score").alias("o_score"), F.col("spans").alias("o_spans"), *(F.col(c).alias("o_" + c) for c in _BOX))
-    over = fused.join(own, "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
+    over = fused.join(shuffled(own), "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
     best = over.groupBy("frame_idx", "cluster").agg(F.max(F.struct("o_score", "o_det_id", "o_spans")).alias("m"))
-    people = fused.join(refined, ["frame_idx", "cluster"], "left").join(best, ["frame_idx", "cluster"], "left")
+    people = fused.join(shuffled(refined), ["frame_idx", "cluster"], "left").join(shuffled(best), ["frame_idx", "cluster"], "left")
     people = covered(people.select("frame_idx", "cluster", "score", *_BOX, "r_spans", F.col("m.o_spans").alias("spans")).withColumns(side), "fill")
     source = F.when(F.col("r_spans").isNotNull(), "refined").when(F.col("fill") > FILLED, "matched").otherwise("rect")
     rect = masks.rectangle(*G.rect_span(G.box(), RECT_MARGIN, w, h), w, h)
@@ -185,15 +185,15 @@ def analyze_videos(frames: DataFrame, boxes: DataFrame, faces: DataFrame, refine
     keys = ("frame_idx", "det_id")
     whose = hosted.where("host IS NOT NULL").select("frame_idx", F.col("host.p_det_id").alias("det_id"), wide.alias("spans")).withColumns(side)
     whole = masks.union(people, whose, keys=keys).select(*keys, F.col("spans").alias("_whole"))
-    people = people.join(whole, list(keys)).withColumn("spans", F.col("_whole")).drop("_whole", "fill").withColumn("kind", F.lit(PERSON))
+    people = people.join(shuffled(whole), list(keys)).withColumn("spans", F.col("_whole")).drop("_whole", "fill").withColumn("kind", F.lit(PERSON))
     alone = hosted.where("host IS NULL").drop("host")
     better = keyed(refine(named(alone.select("frame_idx", F.col("det_id").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED).select("frame_idx", F.col("prompt_id").alias("det_id"), F.col("spans").alias("r_spans"))
-    alone = alone.join(better, list(keys), "left").select(*keys, "score", *_BOX, F.when(F.col("r_spans").isNotNull(), "refined").otherwise("rect").alias("source"), F.coalesce("r_spans", wide).alias("spans"), F.lit(FACE).alias("kind")).withColumns(side)
+    alone = alone.join(shuffled(better), list(keys), "left").select(*keys, "score", *_BOX, F.when(F.col("r_spans").isNotNull(), "refined").otherwise("rect").alias("source"), F.coalesce("r_spans", wide).alias("spans"), F.lit(FACE).alias("kind")).withColumns(side)
     every = stored(named(people.unionByName(alone)).withColumnRenamed("det_id", "ref_id").select(*INSTANCES), "instances")
     at = ["video_id", "frame_idx", "kind", "ref_id"]
-    seen = every.join(looks(every).select(*at, "emb"), at, "left") if looks else every.withColumn("emb", F.lit(None).cast("array<double>"))
+    seen = every.join(shuffled(looks(every).select(*at, "emb")), at, "left") if looks else every.withColumn("emb", F.lit(None).cast("array<double>"))
     ids = remember(frames, seen).select(*at, "instance_id")
-    return every.join(ids, at)
+    return every.join(shuffled(ids), at)
 
 
 def analyze(frames: DataFrame, boxes: DataFrame, refined: DataFrame, faces: DataFrame, looks: DataFrame, conf: float = 0.25) -> DataFrame:
@@ -206,7 +206,7 @@ def analyze(frames: DataFrame, boxes: DataFrame, refined: DataFrame, faces: Data
     people = persons.select("frame_idx", F.col("cluster").cast("long").alias("det_id"), "score", *_BOX)
     solid = persons.where(F.col("fill") > HOSTED).select("frame_idx", F.col("cluster").cast("long").alias("det_id"), "score", *_BOX)
     alone = gating.hosts(gating.gate(gating.plausible(faces, people), people, 0.75), solid, 0.08).where("host IS NULL")
-    ref = people.join(looks.select("frame_idx", F.col("cluster").cast("long").alias("det_id"), "emb"), ["frame_idx", "det_id"], "left").withColumn("kind", F.lit(PERSON))
+    ref = people.join(shuffled(looks.select("frame_idx", F.col("cluster").cast("long").alias("det_id"), "emb")), ["frame_idx", "det_id"], "left").withColumn("kind", F.lit(PERSON))
     ref = ref.unionByName(alone.select("frame_idx", "det_id", "score", *_BOX, F.lit(None).cast("array<double>").alias("emb"), F.lit(FACE).alias("kind")))
-    ref = frames.join(ref, "frame_idx").withColumnRenamed("det_id", "ref_id")
+    ref = frames.join(shuffled(ref), "frame_idx").withColumnRenamed("det_id", "ref_id")
     return remember(frames, ref)

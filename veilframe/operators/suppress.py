@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
 from ..functions.groups import matrix, overlaps, whole_groups
+from ..functions.shared import spread
 
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -37,7 +38,7 @@ def greedy(boxes: Column, max_iou: float, most: int | None = None) -> Column:
 def _sorted(boxes: DataFrame, key: str, *fields: str) -> DataFrame:
     """Rows by key, best score first, a key's rows in one partition: what the steps over whole groups read."""
     rows = boxes.select(key, "det_id", *fields, "score", *_BOX)
-    return rows.repartition(key).sortWithinPartitions(key, F.desc("score"), "det_id")
+    return spread(rows, key).sortWithinPartitions(key, F.desc("score"), "det_id")
 
 
 def suppress(boxes: DataFrame, key: str, max_iou: float, most: int | None = 300) -> DataFrame:
