@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.groups import matrix, whole_groups
 from ..functions.runs import Masks
-from ..functions.shared import beside, spread
+from ..functions.shared import beside, shuffled, spread
 from . import frames as frame_ops
 from . import gating, masks, motion
 from .temporal import BLEND_NEW, BLEND_OLD, Blend
@@ -73,7 +73,7 @@ def following_faces(frames: DataFrame, faces: DataFrame, tracks: DataFrame, ever
     key = F.struct("video_id", "frame_idx")
     people = tracks.select(key.alias("frame_idx"), F.col("track_id").alias("det_id"), "score", "shift_x", "shift_y", *((F.col(c) + F.col("shift_" + c[0])).alias(c) for c in _BOX))
     at = frames.select("video_id", key.alias("key"), (F.col("frame_idx") - F.col("frame_idx") % every).alias("frame_idx"), (F.col("frame_idx") % every != 0).alias("held"))
-    here = at.join(faces, ["video_id", "frame_idx"]).select(F.col("key").alias("frame_idx"), "held", "det_id", "score", *_BOX, "eye_dist")
+    here = at.join(shuffled(faces), ["video_id", "frame_idx"]).select(F.col("key").alias("frame_idx"), "held", "det_id", "score", *_BOX, "eye_dist")
     hosted = gating.hosts(here, people, 0.0, "left", "shift_x", "shift_y")
     by = lambda c: F.when(F.col("held"), F.coalesce(F.col("host.p_shift_" + c[0]), F.lit(0.0))).otherwise(0.0)
     now = hosted.select("frame_idx", "det_id", "score", *((F.col(c) + by(c)).alias(c) for c in _BOX), "eye_dist")
@@ -168,7 +168,7 @@ def assemble(frames: DataFrame, persons: DataFrame, faces: DataFrame, w: int, h:
     if "spans" in persons.columns:
         # a mask meets its track once, on the frame that saw it
         brought = persons.select("video_id", "frame_idx", "det_id", F.col("spans").alias("_spans"))
-        tracks = tracks.withColumn("det_id", F.when(fresh, F.col("det_id"))).join(brought, ["video_id", "frame_idx", "det_id"], "left")
+        tracks = tracks.withColumn("det_id", F.when(fresh, F.col("det_id"))).join(shuffled(brought), ["video_id", "frame_idx", "det_id"], "left")
     people = tracks.select("video_id", "frame_idx", F.lit(PERSON).alias("kind"), "track_id", "shift_x", "shift_y", "grow", "shrink", F.when(fresh, own).alias("spans"))
     none = lambda kind: (F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("track_id"), F.lit(0.0).alias("shift_x"), F.lit(0.0).alias("shift_y"), F.lit(0).cast("long").alias("grow"), F.lit(0).cast("long").alias("shrink"))
     ex = G.face_margin(F.col("x2") - F.col("x1"), F.col("eye_dist"), face_expand)
