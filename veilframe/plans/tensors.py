@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decode, geometry
+from ..functions.shared import beside, spread
 from ..registry import query
 
 
@@ -58,7 +59,10 @@ SELECT p_partkey, step::INT AS step, "row"::INT AS "row", col::INT AS col, size:
 def retina_priors(spark, sf_dir):
     """Prior boxes of an image of each part's size."""
     i = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", ((F.col("p_size") % 5 + 2) * 16).alias("w"), ((F.col("p_size") % 7 + 2) * 16).alias("h"))
-    return decode.priors_of(i).select("p_partkey", "step", "row", "col", "size", *(F.round(c, 8).alias(c) for c in ("cx", "cy", "pw", "ph")))
+    # a grid hangs on its image's size alone: each size's is made once (35 of them, of some 200 priors), then dealt out
+    prior = F.struct("step", "row", "col", "size", *(F.round(c, 8).alias(c) for c in ("cx", "cy", "pw", "ph")))
+    grids = decode.priors_of(i.select("w", "h").distinct()).groupBy("w", "h").agg(F.collect_list(prior).alias("priors"))
+    return beside(spread(i, "p_partkey"), grids, ("w", "h")).select("p_partkey", F.explode("priors").alias("p")).select("p_partkey", "p.*")
 
 
 @query("retina_decode", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, (vec_id % 20 + 0.5::DOUBLE) * 32 / 640 AS cx, (vec_id // 20 % 20 + 0.5::DOUBLE) * 32 / 640 AS cy FROM embeddings),
