@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import spread
 from ..registry import query
 from ..sources import probe
 
@@ -39,7 +40,7 @@ def probe_parse(spark, sf_dir):
         F.when(k % 3 >= 1, F.concat(F.lit("  Stream #0:1[0x2](und): Audio: "), F.lit(_SOUNDS[0]), F.lit(", 48000 Hz, stereo\n"))).otherwise(""),
         F.when(k % 3 == 2, F.concat(F.lit("  Stream #0:2: Audio: "), F.lit(_SOUNDS[1]), F.lit(", 48000 Hz, mono\n"))).otherwise(""),
     )
-    r = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("part-%d.mp4", k).alias("path"), lines.alias("stderr"))
+    r = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey").select(F.format_string("part-%d.mp4", k).alias("path"), lines.alias("stderr"))
     return probe.parse(r).select("path", "width", "height", "fps", "codec", "total_frames", F.array_join("audio_codecs", ",").alias("audio"))
 
 
