@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.runs import Masks
+from ..functions.shared import shuffled
 from ..operators import masks as mask_ops
 
 MASKS = "frame_idx long, written long, w int, h int, data binary"
@@ -52,7 +53,7 @@ def load_masks(frames: DataFrame, path: str, w: int, h: int) -> DataFrame:
     stored = stored_masks(frames.sparkSession, path)
     m = mask_ops.from_files(stored).select("frame_idx", F.col("w").alias("_w"), F.col("h").alias("_h"), F.col("spans").alias("_spans"), "whole")
     state = F.when(F.col("whole").isNull(), "missing").when((F.col("_w") != w) | (F.col("_h") != h), "size").when(~F.col("whole"), "corrupt").otherwise("ok")
-    out = frames.join(m, "frame_idx", "left").withColumn("state", state)
+    out = frames.join(shuffled(m), "frame_idx", "left").withColumn("state", state)
     return out.withColumns({"w": F.lit(w), "h": F.lit(h), "spans": F.when(F.col("state") == "ok", F.col("_spans"))}).drop("_w", "_h", "_spans", "whole")
 
 
@@ -66,7 +67,7 @@ def save_instances(frames: DataFrame, instances: DataFrame, path: str, written:
     """Append each frame's instances (frame_idx, instance_id, kind, score, box, spans); a larger `written` replaces a
     frame's earlier ones. frames (frame_idx) names those that were looked at: one without instances is stored as such."""
     cols = ("instance_id", "kind", "score", "x1", "y1", "x2", "y2", "spans")
-    rows = frames.select("frame_idx").distinct().join(instances.select("frame_idx", *cols), "frame_idx", "left")
+    rows = frames.select("frame_idx").distinct().join(shuffled(instances.select("frame_idx", *cols)), "frame_idx", "left")
     typed = rows.select("frame_idx", F.lit(written).cast("long").alias("written"), F.lit(w).alias("w"), F.lit(h).alias("h"), *cols)
     typed.withColumn("folder", F.floor(F.col("frame_idx") / FOLDER_FRAMES)).write.mode("append").partitionBy("folder").parquet(path)
 
@@ -79,7 +80,7 @@ def load_instances(frames: DataFrame, path: str, w: int, h: int) -> DataFrame:
     per = rows.groupBy("folder", "frame_idx", "written").agg(F.max("w").alias("_w"), F.max("h").alias("_h"), F.sort_array(F.collect_list(F.when(F.col("instance_id").isNotNull(), one))).alias("instances"))
     last = per.groupBy("folder", "frame_idx").agg(F.max_by(F.struct("_w", "_h", "instances"), "written").alias("m")).select("frame_idx", "m.*", F.lit(True).alias("_there"))
     state = F.when(F.col("_there").isNull(), "missing").when((F.col("_w") != w) | (F.col("_h") != h), "size").otherwise("ok")
-    out = frames.join(last, "frame_idx", "left").withColumn("state", state)
+    out = frames.join(shuffled(last), "frame_idx", "left").withColumn("state", state)
     return out.withColumn("instances", F.when(F.col("state") == "ok", F.col("instances"))).drop("_w", "_h", "_there")
 
 
