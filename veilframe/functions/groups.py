@@ -30,6 +30,11 @@ def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tupl
         yield rest, np.array([0, rest.num_rows])
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows: what is made of a batch of pictures is held for a piece of it alone."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 def joined(first: pa.RecordBatch, second: pa.RecordBatch) -> pa.RecordBatch:
     """Two batches as one, which may hold over 2 GiB of bytes in a column."""
     table = pa.Table.from_batches([first, second.cast(first.schema)]).combine_chunks()

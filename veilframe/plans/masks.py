@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.groups import pieces
+from ..functions.shared import spread
 from ..operators import assemble, frames, masks
 from ..registry import query
 from ..sources.fixtures import view
@@ -167,12 +169,12 @@ def _digest_sql(luma: str, u: str, w: str) -> str:
 
 def _painted(spark, sf_dir):
     """Every frame of rectangles as a row: NV12 bytes of a fixed pattern, and the mask of its rectangles (eight at most)."""
-    lit = view(spark, sf_dir, "rects").groupBy("frame_idx").agg(F.collect_list(F.struct("rx", "ry", "rw", "rh")).alias("rects"))
+    lit = spread(view(spark, sf_dir, "rects"), "frame_idx").groupBy("frame_idx").agg(F.collect_list(F.struct("rx", "ry", "rw", "rh")).alias("rects"))
 
     def paint(batches):
         y, x = np.mgrid[0:S, 0:S]
         cy, cx = np.mgrid[0 : S // 2, 0 : S // 2]
-        for b in batches:
+        for b in pieces(batches):
             nv12, masks_ = [], []
             for k, rects in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 m = np.zeros((S, S), np.uint8)
@@ -193,7 +195,7 @@ def _digest(frames_df):
 
     def run(batches):
         at, half = np.arange(S * S).reshape(S, S), np.arange(S * S // 4).reshape(S // 2, S // 2)
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 y, uv = (p.astype(np.int64) for p in frames.planes(raw, S, S))
@@ -207,7 +209,7 @@ def _mask_counts(frames_df):
     """The columns of COUNT, from mask bytes; frames without a masked pixel give no row."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 y, x = np.nonzero(np.frombuffer(raw, np.uint8).reshape(S, S))
@@ -262,7 +264,7 @@ def _rgba_sums(rows):
 
     def run(batches):
         at = np.arange(S * S)
-        for b in batches:
+        for b in pieces(batches):
             rows_ = []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int64)
@@ -309,7 +311,7 @@ def feathered_blur(spark, sf_dir):
 
     def run(batches):
         at = np.arange(S * S).reshape(S, S)
-        for b in batches:
+        for b in pieces(batches):
             made = [drawing.feathered(frames.planes(raw, S, S)[0], np.frombuffer(m, np.uint8).reshape(S, S), "blur", 7, 2) for raw, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(x.sum()) for x in made], pa.float64()), pa.array([float((x * at).sum()) / 4096 for x in made], pa.float64())], names=["frame_idx", "sum_v", "moment"])
 
@@ -347,4 +349,4 @@ def polygon_fill(spark, sf_dir):
     k = F.col("p_partkey")
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     points = F.array(at(k * 7 % 40, k * 13 % 20), at(k * 5 % 24 + 40, k * 17 % 40), at(k * 3 % 60, k * 19 % 30 + 34), at(k * 11 % 50 + 4, k * 23 % 60))
-    return masks.numbers(drawing.polygons(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", points.alias("points")), S, S), ("p_partkey",))
+    return masks.numbers(drawing.polygons(spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey").select("p_partkey", points.alias("points")), S, S), ("p_partkey",))
