@@ -546,3 +546,30 @@ def test_many_edits_of_a_frame(spark):
     for f, on in want.items():
         turn = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
         assert got[f] == turn.tolist()
+
+
+def test_fusion_of_crowded_boxes(spark):
+    """Clusters that grow to three sources: as a plain walk over boxes and clusters gives them."""
+    import numpy as np
+
+    from veilframe.functions.groups import overlaps
+    from veilframe.operators import suppress
+
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 30, (300, 2))
+    rows = [(int(i % 4), i, int(i % 3), float(rng.uniform(0, 1)), *map(float, (*p, *(p + rng.uniform(25, 35, 2))))) for i, p in enumerate(xy)]
+    weights, want = [2.0, 1.0, 0.7], []
+    for f in range(4):
+        clusters = []
+        for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[3], r[1])):
+            b, w = np.array(r[4:]), weights[r[2]]
+            at = next((c for c in clusters if overlaps((c["sum"] / c["w"])[None], b[None])[0, 0] >= 0.55), None)
+            if at is None:
+                clusters.append({"sum": w * b, "w": w, "mass": w * r[3], "srcs": {r[2]}})
+            elif r[2] not in at["srcs"]:
+                at["sum"], at["w"], at["mass"] = at["sum"] + w * b, at["w"] + w, at["mass"] + w * r[3]
+                at["srcs"].add(r[2])
+        want += [(f, i, round(c["mass"] / 3.7, 9), len(c["srcs"]), round(c["sum"][0] / c["w"], 9)) for i, c in enumerate(clusters)]
+    boxes = spark.createDataFrame(rows, "frame_idx long, det_id long, src int, score double, x1 double, y1 double, x2 double, y2 double")
+    got = [(r.frame_idx, r.cluster, round(r.score, 9), r.votes, round(r.x1, 9)) for r in suppress.fuse(boxes, "frame_idx", weights).collect()]
+    assert sorted(got) == sorted(want) and max(r[3] for r in got) == 3

@@ -74,27 +74,43 @@ def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55
     weighted sum over the weight of all sources. (key, cluster, score, votes, best_score, best_src, box)"""
     total = float(sum(weights))
 
+    share = np.array(weights, float)
+
     def cluster(xy: np.ndarray, score: np.ndarray, src: np.ndarray) -> tuple:
         n = len(xy)
-        sums, mean, weight, mass = np.zeros((n, 4)), np.zeros((n, 4)), np.zeros(n), np.zeros(n)
-        best, best_src, members = np.zeros(n), np.zeros(n, np.int32), []
-        for b, s, k in zip(xy, score, src):
-            m = len(members)
-            hit = np.flatnonzero(overlaps(mean[:m], b[None])[:, 0] >= min_iou)
-            at = int(hit[0]) if len(hit) else m
-            if at == m:
-                members.append(set())
-            elif k in members[at]:
+        weight, own = share[src], share[src][:, None] * xy
+        # a cluster of one box is that box: its overlaps with all others are found at once, those of larger ones as they grow
+        alone = own / weight[:, None]
+        near: dict[int, list[int]] = {}
+        for i, j in np.argwhere(np.tril(overlaps(alone, xy).T >= min_iou, -1)).tolist():
+            near.setdefault(i, []).append(j)
+        sums, mean, mass, best, best_src = own.copy(), alone.copy(), weight * score, np.where(score > 0, score, 0.0), np.where(score > 0, src, 0).astype(np.int32)
+        number, heads, grown, members = np.full(n, -1), [], [], {}
+        for i in range(n):
+            # boxes that begin a cluster are those of heads; of the ones that still stand alone the first near one counts
+            hits = [j for j in near.get(i, ()) if number[j] >= 0 and j not in members]
+            if grown:
+                some = np.flatnonzero(overlaps(mean[grown], xy[i][None])[:, 0] >= min_iou)
+                hits += [grown[k] for k in some.tolist()]
+            if not hits:
+                number[i] = len(heads)
+                heads.append(i)
+                continue
+            at, k = min(hits), int(src[i])
+            seen = members.get(at) or {int(src[at])}
+            if k in seen:
                 continue
-            members[at].add(k)
-            sums[at] += weights[k] * b
-            weight[at] += weights[k]
-            mass[at] += weights[k] * s
+            if at not in members:
+                grown.append(at)
+            members[at] = seen | {k}
+            sums[at] += own[i]
+            weight[at] += share[k]
+            mass[at] += share[k] * score[i]
             mean[at] = sums[at] / weight[at]
-            if s >= best[at] and s > 0:
-                best[at], best_src[at] = s, k
-        m = len(members)
-        return np.arange(m, dtype=np.int32), mass[:m] / total, np.array([len(x) for x in members], np.int32), best[:m], best_src[:m], *mean[:m].T
+            if score[i] >= best[at] and score[i] > 0:
+                best[at], best_src[at] = score[i], k
+        h = np.array(heads, np.int64)
+        return np.arange(len(h), dtype=np.int32), mass[h] / total, np.array([len(members.get(x, (0,))) for x in heads], np.int32), best[h], best_src[h], *mean[h].T
 
     def run(batches):
         for b, edges in whole_groups(batches, key):
