@@ -34,7 +34,7 @@ def shift_between(before: np.ndarray, now: np.ndarray, size_of: tuple[int, int]
     corr = np.abs(np.fft.ifft2(np.where(size > 1e-12, cross / np.maximum(size, 1e-12), 0)))
     flat = corr.ravel()
     at = len(flat) - 1 - int(np.argmax(flat[::-1]))
-    if flat[at] / max(np.sort(flat)[len(flat) // 2], 1e-9) < LEAST_PEAK:
+    if flat[at] / max(np.partition(flat, len(flat) // 2)[len(flat) // 2], 1e-9) < LEAST_PEAK:
         return 0.0, 0.0
     y, x = divmod(at, SIDE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, cosine, fade, iou
-from ..functions.shared import shuffled, stored
+from ..functions.shared import shuffled, spread, stored
 from ..operators import link, masks, motion, temporal, track
 from ..registry import query
 from ..sources.fixtures import view
@@ -293,18 +293,20 @@ def masklet_link_frame(spark, sf_dir):
 SELECT video_id, frame_idx::BIGINT AS frame_idx, CASE WHEN lag(frame_idx) OVER w IS NULL THEN 0 ELSE 3 * (video_id % 3) END::BIGINT AS dx, CASE WHEN lag(frame_idx) OVER w IS NULL THEN 0 ELSE 2 * (video_id % 2) END::BIGINT AS dy FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)""")
 def gmc_shift(spark, sf_dir):
     """Motion found between frames of a pattern that a made camera moves, in whole pixels."""
-    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx"))
+    ids = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey").select((F.col("p_partkey") % 8).alias("video_id"), F.floor(F.col("p_partkey") / 8).alias("frame_idx"))
 
     def draw(batches):
         import numpy as np
 
-        y, x = np.mgrid[0:128, 0:128]
+        at = np.arange(128)
         for pdf in batches:
             # cells of pseudo-random brightness, moved a little further in each frame
             made = []
             for v, f in zip(pdf["video_id"], pdf["frame_idx"]):
-                cx, cy = (x - 3 * f * (v % 3)) // 5, (y - 2 * f * (v % 2)) // 5
-                made.append(((cx * 73 + cy * 151 + (cx * cy) % 17 * 31 + (cx * cx * 7 + cy * cy * 13) % 101) % 256).astype(np.uint8).tobytes())
+                (x, to_x), (y, to_y) = (np.unique((at - by) // 5, return_inverse=True) for by in (3 * f * (v % 3), 2 * f * (v % 2)))
+                cx, cy = x[None, :], y[:, None]
+                cells = ((cx * 73 + cy * 151 + (cx * cy) % 17 * 31 + (cx * cx * 7 + cy * cy * 13) % 101) % 256).astype(np.uint8)
+                made.append(cells[np.ix_(to_y, to_x)].tobytes())
             yield pdf.assign(w=128, h=128, luma=made)
 
     frames = ids.mapInPandas(draw, "video_id long, frame_idx long, w int, h int, luma binary")
