@@ -573,3 +573,17 @@ def test_fusion_of_crowded_boxes(spark):
     boxes = spark.createDataFrame(rows, "frame_idx long, det_id long, src int, score double, x1 double, y1 double, x2 double, y2 double")
     got = [(r.frame_idx, r.cluster, round(r.score, 9), r.votes, round(r.x1, 9)) for r in suppress.fuse(boxes, "frame_idx", weights).collect()]
     assert sorted(got) == sorted(want) and max(r[3] for r in got) == 3
+
+
+def test_links_are_made_in_tasks(spark):
+    from veilframe.operators import link
+
+    one, two, half = [1.0, 0.0], [0.0, 1.0], [1.0, 1.0]
+    box = (0.0, 0.0, 10.0, 10.0)
+    refs = spark.createDataFrame([(1, 1, *box, one), (1, 2, *box, half), (2, 3, *box, None), (2, 4, 50.0, 0.0, 60.0, 10.0, one), (3, 5, *box, one)], "frame_idx long, ref_id long, x1 double, y1 double, x2 double, y2 double, emb array<float>")
+    memory = spark.createDataFrame([(1, 10, *box, one, 0), (1, 11, *box, two, 8), (1, 12, *box, one, 9), (2, 13, *box, two, 0), (2, 14, 90.0, 0.0, 99.0, 10.0, [1.0, 0.0, 0.0], 0)], "frame_idx long, inst_id long, x1 double, y1 double, x2 double, y2 double, emb array<float>, missed int")
+    got = link.link(refs, memory)
+    # the best pair takes both of its sides; unlike vectors are told apart by place alone, those missed too often don't count
+    assert [(*r[:3], round(r[3], 4)) for r in sorted(got.collect())] == [(1, 1, 10, 1.0), (1, 2, 11, round(0.6 + 0.4 / 2**0.5, 4)), (2, 3, 13, 0.6)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -283,8 +283,9 @@ t AS (SELECT frame_idx, 1::BIGINT AS i, [q] AS done FROM o WHERE i = 1
 z AS (SELECT frame_idx, unnest(arg_max(done, i)) AS d FROM t GROUP BY frame_idx)
 SELECT frame_idx, d.ref_id AS ref_id, d.inst_id AS inst_id, round(d.s, 5) AS score FROM z""")
 def masklet_link_frame(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("emb"))
-    p = view(spark, sf_dir, "persons").withColumn("vec_id", F.col("det_id") % 500).join(e, "vec_id")
+    # persons name at most 500 vectors, which meet them where their frame's pairs are made
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("abs(vec_id) < 500").select("vec_id", F.col("embedding").alias("emb"))
+    p = spread(view(spark, sf_dir, "persons"), "frame_idx").withColumn("vec_id", F.col("det_id") % 500).join(F.broadcast(e), "vec_id")
     refs = p.where("det_id % 2 = 0").withColumnRenamed("det_id", "ref_id")
     memory = p.where("det_id % 2 = 1").withColumn("missed", F.col("det_id") % 12).withColumnRenamed("det_id", "inst_id")
     return link.link(refs, memory).select("frame_idx", "ref_id", "inst_id", F.round("score", 5).alias("score"))
