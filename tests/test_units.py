@@ -587,3 +587,27 @@ def test_links_are_made_in_tasks(spark):
     assert [(*r[:3], round(r[3], 4)) for r in sorted(got.collect())] == [(1, 1, 10, 1.0), (1, 2, 11, round(0.6 + 0.4 / 2**0.5, 4)), (2, 3, 13, 0.6)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_masks_drawn_in_any_batches(spark):
+    from veilframe.operators import assemble
+
+    rows = []
+    for v in range(3):
+        for f in range(9):
+            rows.append((v, f, assemble.FRAME, 0, 0.0, 0.0, 0, 0, None))
+            for t in range(4):
+                at = 200 * t + 10 * v + f
+                # seen at every third frame and held, moved, between
+                rows.append((v, f, assemble.PERSON, t, float(f % 3), 0.0, 0, 0, [at, at + 5] if (f + t) % 3 == 0 else None))
+    d = spark.createDataFrame(rows, "video_id long, frame_idx long, kind int, track_id long, shift_x double, shift_y double, grow long, shrink long, spans array<int>")
+    d = d.repartition(1).sortWithinPartitions("video_id", "frame_idx", "kind", "track_id")
+    draw = lambda: [tuple(r) for r in assemble.draw(d, 64, 32, False).orderBy("video_id", "frame_idx").collect()]
+    whole, key = draw(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 4)
+        assert draw() == whole
+    finally:
+        spark.conf.set(key, before)
+    assert len(whole) == 27 and whole[0][4] == [0, 5, 600, 605] and whole[1][4] == [1, 6, 402, 407, 601, 606]

@@ -99,6 +99,7 @@ def draw(rows: DataFrame, w: int, h: int, smooth: bool, blend: tuple[int, int] =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, tracks, seen, clock, before = None, {}, {}, 0, None
+        follows, held = Blend.follows(new, old), Masks(*(np.zeros(0, np.int64),) * 5)
         for b, edges in whole_groups(batches, "video_id", "frame_idx"):
             ids, frame, kind, track_id = (b.column(i).to_numpy() for i in range(4))
             n = matrix(b, "shift_x", "shift_y", "grow", "shrink")
@@ -107,28 +108,35 @@ def draw(rows: DataFrame, w: int, h: int, smooth: bool, blend: tuple[int, int] =
             has = b.column(8).is_valid().to_numpy(zero_copy_only=False)
             at_frame = clock + np.searchsorted(edges, np.arange(n_rows), "right") - 1
             clock += len(edges) - 1
-            # a track's mask as it stands at each of its rows
-            shown: dict[int, Masks] = {}
+            # a track's mask as it stands at each of its rows: its place among the masks held and given, or itself
+            shown: dict[int, int | Masks] = {}
+            pool, n_held = Masks.joined([held, given]) if follows else given, len(held.w)
             for i in np.flatnonzero(kind == PERSON).tolist():
                 if ids[i] != video:
                     video, tracks, seen = ids[i], {}, {}
                 t = int(track_id[i])
                 if has[i]:
                     seen[t] = at_frame[i]
-                    mask = given.take(np.array([i]))
-                    if Blend.follows(new, old):
-                        tracks[t] = mask
+                    if follows:
+                        tracks[t] = n_held + i
                     else:
                         state = tracks.get(t) or (Blend(new, old), None)
-                        tracks[t] = (state[0], state[0].seen(mask))
+                        tracks[t] = (state[0], state[0].seen(given.take(np.array([i]))))
                 if t in tracks:
-                    shown[i] = tracks[t] if isinstance(tracks[t], Masks) else tracks[t][1]
+                    shown[i] = tracks[t] if follows else tracks[t][1]
             tracks = {t: x for t, x in tracks.items() if clock - seen[t] <= keep + 1}
+            if follows:
+                held = pool.take(np.array(list(tracks.values()), np.int64))
+                tracks = {t: j for j, t in enumerate(tracks)}
             people = np.array(sorted(shown), np.int64)
             faces = np.flatnonzero(kind == FACE)
             # masks that stand still, as most do, are passed on as they are
             move = _rounded(n[people, :2]) if len(people) else np.zeros((0, 2), np.int64)
-            drawn = Masks.joined([shown[i] for i in people.tolist()]).moved(move[:, 0], move[:, 1]) if len(people) else given.take(people)
+            if follows:
+                drawn = pool.take(np.array([shown[i] for i in people.tolist()], np.int64))
+            else:
+                drawn = Masks.joined([shown[i] for i in people.tolist()]) if len(people) else given.take(people)
+            drawn = drawn.moved(move[:, 0], move[:, 1])
             drawn = drawn.grown(n[people, 2].astype(np.int64)).shrunk(n[people, 3].astype(np.int64))
             frames_at = np.arange(len(edges) - 1)
             whose = np.searchsorted(edges, np.concatenate([edges[:-1], people, faces]), "right") - 1
