@@ -553,6 +553,37 @@ def test_query_scores_equal_a_plain_pass(spark, documents, monkeypatch):
         assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-3)
 
 
+def test_encoding_makes_no_python_word(monkeypatch):
+    """Kinds of a batch's words come from its bytes, not word by word; codes, classes and inputs fit them."""
+
+    def plain(word):
+        last = word[-1:]
+        if last in "!$#&*%|":
+            return 0
+        if word.isascii():
+            return 5 if any(c in word for c in "0123456789") else 1 + (last in ",.")
+        return 3 + (last in ",.")
+
+    words = ["a", "a.", "7", "x7,", "é", "é9", "é,", "é!", "x!", "|", "\u0661", "9.", "日本", "", "\n", "a|b", "{"]
+    assert lmscore.shapes(pa.array(words, pa.string())).tolist() == [plain(x) for x in words]
+    assert lmscore.shapes(pa.array(words, pa.string())[3:9]).tolist() == [plain(x) for x in words[3:9]]
+    assert lmscore.shapes(pa.array([], pa.string())).tolist() == []
+    voc = lmscore.Vocabulary([("a", 5), ("b", 3)], np.ones(6), np.ones(6), 20, 9)
+
+    def never(word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(lmscore, "shape", never)
+    x = voc.encode(pa.array(["A é7 b", None, "zz, a\tzz,"]))
+    assert x.lengths.tolist() == [4, 1, 4]
+    assert [x.distinct[k].as_py() for k in x.code.tolist()] == ["a", "é7", "b", "\n", "\n", "zz,", "a", "zz,", "\n"]
+    assert x.number.tolist() == [0, -1, 1, -1, -1, -1, 0, -1, -1]
+    rare = [lmscore.SHAPES + plain(w) for w in ("é7", "zz,", "\n")]
+    assert x.cls[[1, 5, 8]].tolist() == [voc.heads + k for k in rare]
+    own = [0, voc.n_short + rare[0], 1, voc.n_short + rare[2], voc.n_short + rare[2], voc.n_short + rare[1], 0, voc.n_short + rare[1]]
+    assert x.inputs.tolist() == [voc.start_id, *own[:3], voc.start_id, voc.start_id, *own[5:]]
+
+
 def test_stretches_hold_every_token():
     from veilframe.llm import gru
 

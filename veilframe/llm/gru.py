@@ -3,8 +3,8 @@ and state carried from window to window, so a document of any length gets its wh
 
 Targets are (class, word in class). Head classes hold frequent words each and have a softmax of their own over
 the hidden state; of other classes the probability of a word within its class is left to the caller, who knows
-the counts. Arrays are laid out [unit, lane], so that each gate is one block; biases are the last row of their
-weights, and hidden states carry a row of ones for them.
+the counts. Arrays are laid out [lane, unit], a block for each gate, so that rows of the input table are taken as
+they are; biases are the last row of their weights. Logits are laid out [word, token].
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import heapq
 import numpy as np
 
 HIDDEN, WINDOW, LANES = 16, 16, 1024
-#: Tokens that one call of the output layer takes when a text is only scored.
-SCORED = 32_768
+#: Lanes of a text that is only scored, few enough for a step to stay in a core's cache, and tokens that one call of the output layer then takes.
+SCORED_LANES, SCORED = 512, 16_384
 #: Tokens of a document that are learned from in one stretch, with the state carried; the next stretch begins anew.
 STRETCH = 1_024
 _FIELDS = ("E", "U", "Wc", "Ww")
@@ -94,119 +94,133 @@ class GRU:
         self.grad2 = None
 
     def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """Steps x [T, n] from h [H + 1, n]; lanes where fresh begin with no state. States after each step
-        [T, H + 1, n], and what backward needs."""
-        H = self.hidden
-        T, n = x.shape
-        UT = np.ascontiguousarray(self.w["U"].T)
-        kind = UT.dtype
-        gates = np.ascontiguousarray(self.w["E"][x.ravel()].reshape(T, n, 3 * H).transpose(0, 2, 1))
-        out = np.empty((T, H + 1, n), kind)
-        out[:, H] = 1
-        saved = tuple(np.empty((T, k, n), kind) for k in (H + 1, 2 * H, H, H)) if keep else None
-        a, tmp = np.empty((3 * H, n), kind), np.empty((H, n), kind)
+        """Steps x [T, n] from h [n, H]; lanes where fresh begin with no state. States after each step [T, n, H],
+        and what backward needs."""
+        H, (T, n) = self.hidden, x.shape
+        # both sigmoids want the negative of their sums
+        sign = np.array([-1, -1, 1], self.w["U"].dtype)[:, None, None]
+        U = self.w["U"].reshape(H + 1, 3, H).transpose(1, 0, 2) * sign
+        bias = np.repeat(U[:, H:], n, axis=1)
+        U = np.ascontiguousarray(U[:, :H])
+        gates = self.w["E"].reshape(-1, H).take(x[:, None] * np.int64(3) + np.arange(3)[:, None], axis=0)
+        out = np.empty((T, n, H), U.dtype)
+        saved = tuple(np.empty(s, U.dtype) for s in ((T, n, H), (T, 2, n, H), (T, n, H), (T, n, H))) if keep else None
+        a, tmp = np.empty((3, n, H), U.dtype), np.empty((n, H), U.dtype)
         any_fresh = fresh.any(axis=1).tolist()
         for t in range(T):
             if any_fresh[t]:
                 h = h.copy()
-                h[:H, fresh[t]] = 0
-            np.matmul(UT, h, out=a)
+                h[fresh[t]] = 0
+            np.matmul(h, U, out=a)
+            a += bias
             g = gates[t]
-            zr = saved[1][t] if keep else g[: 2 * H]
-            np.add(g[: 2 * H], a[: 2 * H], out=zr)
-            np.negative(zr, out=zr)
+            zr = saved[1][t] if keep else a[:2]
+            np.subtract(a[:2], g[:2], out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            c = saved[2][t] if keep else g[2 * H :]
-            np.multiply(zr[H:], a[2 * H :], out=tmp)
-            np.add(g[2 * H :], tmp, out=c)
+            c = saved[2][t] if keep else g[2]
+            np.multiply(zr[1], a[2], out=tmp)
+            np.add(g[2], tmp, out=c)
             np.tanh(c, out=c)
-            np.subtract(h[:H], c, out=tmp)
-            tmp *= zr[:H]
-            np.add(c, tmp, out=out[t, :H])
+            np.subtract(h, c, out=tmp)
+            tmp *= zr[0]
+            np.add(c, tmp, out=out[t])
             if keep:
-                saved[0][t], saved[3][t] = h, a[2 * H :]
+                saved[0][t], saved[3][t] = h, a[2]
             h = out[t]
         return out, h, saved
 
-    @staticmethod
-    def _scores(W: np.ndarray, hs: np.ndarray) -> np.ndarray:
-        """Logits [k, m], lowered by their largest where they might leave the range of exp."""
-        x = W.T @ hs
-        top = W[-1].max() + np.abs(W[:-1]).sum(axis=0).max()
-        if top > 60 or W[-1].max() < -60:
-            x -= x.max(axis=0)
-        return x
+    def _far(self) -> tuple[bool, list[bool]]:
+        """Whether logits of the classes, and of each head's words, might leave the range of exp."""
+
+        def far(W):
+            bias = W[..., -1, :].max(axis=-1)
+            return (bias + np.abs(W[..., :-1, :]).sum(axis=-2).max(axis=-1) > 60) | (bias < -60)
 
-    def _outputs(self, hs: np.ndarray, cls: np.ndarray, idx: np.ndarray, grads: dict | None):
-        """log-probabilities (natural) of targets given hidden columns [H + 1, m]; with grads, also d loss / d hs."""
+        return bool(far(self.w["Wc"])), far(self.w["Ww"]).tolist()
+
+    def _outputs(self, hs: np.ndarray, cls: np.ndarray, idx: np.ndarray, grads: dict | None, far: tuple[bool, list[bool]]):
+        """log-probabilities (natural) of targets given hidden rows [m, H + 1]; with grads, also d loss / d hs."""
         w, H, m = self.w, self.hidden, len(cls)
-        at = np.arange(m)
-        p = self._scores(w["Wc"], hs)
-        logp = p[cls, at]
+        Wc, Ww = w["Wc"], w["Ww"]
+        p = Wc.T @ hs.T
+        if far[0]:
+            p -= p.max(axis=0)
+        target = cls * np.int64(m) + np.arange(m)
+        logp = p.ravel().take(target)
         np.exp(p, out=p)
-        s = p.sum(axis=0)
+        s = np.ones(len(p), p.dtype) @ p
         logp -= np.log(s)
         dh = None
         if grads is not None:
-            p /= s
-            p[cls, at] -= 1
-            grads["Wc"] = hs @ p.T
-            dh = w["Wc"][:H] @ p
-            grads["Ww"] = np.zeros_like(w["Ww"])
-        heads = len(w["Ww"])
+            p *= 1 / s
+            p.ravel()[target] -= 1
+            grads["Wc"] = (p @ hs).T
+            dh = p.T @ Wc[:H].T
+            grads["Ww"] = np.zeros_like(Ww)
+        heads, _, words = Ww.shape
         order = np.argsort(cls.astype(np.int16) if heads < 30_000 else cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(heads + 1))
         order = order[: bounds[-1]]
-        x, places = hs[:, order], idx[order]
-        own, sums = np.empty(len(order), hs.dtype), np.ones(len(order), hs.dtype)
-        back = np.empty((H, len(order)), hs.dtype) if grads is not None else None
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = bounds[k], bounds[k + 1]
-            q = self._scores(w["Ww"][k], x[:, a:b])
-            here, j = places[a:b], at[: b - a]
-            own[a:b] = q[here, j]
-            np.exp(q, out=q)
-            q.sum(axis=0, out=sums[a:b])
-            if grads is not None:
-                q /= sums[a:b]
-                q[here, j] -= 1
-                grads["Ww"][k] = x[:, a:b] @ q.T
-                np.matmul(w["Ww"][k][:H], q, out=back[:, a:b])
+        x, size = hs.take(order, axis=0), np.diff(bounds)
+        # a head's logits [words, its tokens] are one block of flat
+        flat, sums, one = np.empty(len(order) * words, hs.dtype), np.empty(len(order), hs.dtype), np.ones(words, hs.dtype)
+        target = np.repeat(bounds[:-1] * (words - 1), size) + np.arange(len(order)) + idx[order] * np.repeat(size, size)
+        blocks = [(k, a, b, flat[a * words : b * words].reshape(words, b - a)) for k, a, b in zip(range(heads), bounds[:-1].tolist(), bounds[1:].tolist()) if a < b]
+        for k, a, b, q in blocks:
+            np.matmul(Ww[k].T, x[a:b].T, out=q)
+            if far[1][k]:
+                q -= q.max(axis=0)
+        own = flat.take(target)
+        np.exp(flat, out=flat)
+        for _, a, b, q in blocks:
+            np.matmul(one, q, out=sums[a:b])
         logp[order] += own - np.log(sums)
         if grads is not None:
-            dh[:, order] += back
+            back, inverse = np.empty((len(order), H), hs.dtype), 1 / sums
+            for _, a, b, q in blocks:
+                q *= inverse[a:b]
+            flat[target] -= 1
+            for k, a, b, q in blocks:
+                grads["Ww"][k] = (q @ x[a:b]).T
+                np.matmul(q.T, Ww[k][:H].T, out=back[a:b])
+            dh[order] += back
         return logp, dh
 
     def score(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability at each position of documents laid end to end."""
         out = np.zeros(len(inputs))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        dealt = Lanes(starts, lengths, 2 * LANES)
+        dealt = Lanes(starts, lengths, SCORED_LANES)
         h = self._nothing(len(dealt.sizes))
+        far = self._far()
         at = 0
         while at < dealt.sizes[0]:
             n = int((dealt.sizes > at).sum())
             steps = max(WINDOW, SCORED // n)
             p = dealt.window(at, steps)
             x = np.where(p >= 0, inputs[p], 0)
-            hs, h, _ = self._run(x, x == self.start_id, h[:, :n], False)
+            hs, h, _ = self._run(x, x == self.start_id, h[:n], False)
             real = p >= 0
             where = p[real]
-            out[where] = self._outputs(self._columns(hs, real), cls[where], idx[where], None)[0]
+            out[where] = self._outputs(self._rows(hs, real), cls[where], idx[where], None, far)[0]
             at += steps
         return out
 
     def _nothing(self, n: int) -> np.ndarray:
-        h = np.zeros((self.hidden + 1, n), self.w["U"].dtype)
-        h[-1] = 1
-        return h
+        return np.zeros((n, self.hidden), self.w["U"].dtype)
 
     @staticmethod
-    def _columns(hs: np.ndarray, real: np.ndarray) -> np.ndarray:
-        flat = np.ascontiguousarray(hs.transpose(1, 0, 2)).reshape(hs.shape[1], -1)
-        return flat if real.all() else flat[:, real.ravel()]
+    def _rows(hs: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """States [T, n, H] of real tokens as rows [m, H + 1], the last of which is 1."""
+        H = hs.shape[-1]
+        flat = hs.reshape(-1, H)
+        if not real.all():
+            flat = flat.take(np.flatnonzero(real), axis=0)
+        out = np.ones((len(flat), H + 1), hs.dtype)
+        out[:, :H] = flat
+        return out
 
     def train(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray, rate: float) -> float:
         """One pass of truncated backpropagation over every token, Adagrad steps; the mean loss a token."""
@@ -225,14 +239,16 @@ class GRU:
             real = p >= 0
             x = np.where(real, inputs[p], 0)
             fresh = real & begin[p]
-            hs, h, saved = self._run(x, fresh, h[:, :n], True)
+            hs, h, saved = self._run(x, fresh, h[:n], True)
             where = p[real]
             grads: dict[str, np.ndarray] = {}
-            logp, dh = self._outputs(self._columns(hs, real), cls[where], idx[where], grads)
+            logp, dh = self._outputs(self._rows(hs, real), cls[where], idx[where], grads, self._far())
             loss -= float(logp.sum())
-            d_out = np.zeros((self.hidden, *p.shape), hs.dtype)
-            d_out[:, real] = dh
-            self._backward(d_out, saved, fresh, grads)
+            d_out = dh
+            if len(where) < p.size:
+                d_out = np.zeros((p.size, self.hidden), hs.dtype)
+                d_out[np.flatnonzero(real)] = dh
+            self._backward(d_out.reshape(hs.shape), saved, fresh, grads)
             self._step(grads, x, real, 1 / len(where), rate)
         return loss / max(1, len(inputs))
 
@@ -240,39 +256,60 @@ class GRU:
         H, U = self.hidden, self.w["U"]
         hin, zr, c, an = saved
         T, n = fresh.shape
-        z, r = zr[:, :H], zr[:, H:]
-        by_c, by_z, by_r = (1 - z) * (1 - c * c), (hin[:, :H] - c) * z * (1 - z), an * r * (1 - r)
-        d_gates = np.empty((T, 3 * H, n), U.dtype)
-        d_a = np.empty((3 * H, n), U.dtype)
-        dU = np.zeros_like(U)
-        dh = np.zeros((H, n), U.dtype)
-        Uh = np.ascontiguousarray(U[:H])
+        z, r = zr[:, 0], zr[:, 1]
+        by_c, by_z, by_r, tmp = c * c, hin - c, an * r, 1 - z
+        np.subtract(1, by_c, out=by_c)
+        by_c *= tmp
+        tmp *= z
+        by_z *= tmp
+        by_r *= np.subtract(1, r, out=tmp)
+        # d loss / d of the sums that U gives, and of the candidate's input
+        d_a, d_c = np.empty((T, 3, n, H), U.dtype), np.empty((T, n, H), U.dtype)
+        dh, tmp = np.zeros((n, H), U.dtype), np.empty((3, n, H), U.dtype)
+        UT = np.ascontiguousarray(U[:H].reshape(H, 3, H).transpose(1, 2, 0))
         any_fresh = fresh.any(axis=1).tolist()
         for t in range(T - 1, -1, -1):
-            dh += d_out[:, t]
-            dc = d_gates[t, 2 * H :]
-            np.multiply(dh, by_c[t], out=dc)
-            np.multiply(dh, by_z[t], out=d_a[:H])
-            np.multiply(dc, by_r[t], out=d_a[H : 2 * H])
-            np.multiply(dc, r[t], out=d_a[2 * H :])
-            d_gates[t, : 2 * H] = d_a[: 2 * H]
-            dU += hin[t] @ d_a.T
+            dh += d_out[t]
+            d = d_a[t]
+            np.multiply(dh, by_c[t], out=d_c[t])
+            np.multiply(dh, by_z[t], out=d[0])
+            np.multiply(d_c[t], by_r[t], out=d[1])
+            np.multiply(d_c[t], r[t], out=d[2])
             dh *= z[t]
-            dh += Uh @ d_a
+            np.matmul(d, UT, out=tmp)
+            for part in tmp:
+                dh += part
             if any_fresh[t]:
-                dh[:, fresh[t]] = 0
-        grads["U"], grads["E"] = dU, d_gates
+                dh[fresh[t]] = 0
+        d_gates = np.empty((T, n, 3, H), U.dtype)
+        d_gates[:] = d_a.transpose(0, 2, 1, 3)
+        hin = self._rows(hin, np.True_)
+        grads["U"] = (d_gates.reshape(-1, 3 * H).T @ hin).T
+        d_gates[:, :, 2] = d_c
+        grads["E"] = d_gates.reshape(T, n, 3 * H).transpose(0, 2, 1)
 
     def _step(self, grads, x, real, scale: float, rate: float) -> None:
         for k in ("U", "Wc", "Ww"):
             g = grads[k] * np.float32(scale)
-            self.grad2[k] += g * g
-            self.w[k] -= np.float32(rate) * g / np.sqrt(self.grad2[k])
-        used = x[real]
-        order = np.argsort(used, kind="stable")
-        ids, start = np.unique(used[order], return_index=True)
-        g = self._columns(grads["E"], real).T[order]
-        g = np.add.reduceat(g, start, axis=0) * np.float32(scale)
-        g2 = self.grad2["E"]
-        g2[ids] += g * g
-        self.w["E"][ids] -= np.float32(rate) * g / np.sqrt(g2[ids])
+            g2 = self.grad2[k]
+            g2 += g * g
+            g *= np.float32(rate)
+            g /= np.sqrt(g2)
+            self.w[k] -= g
+        at = np.flatnonzero(real)
+        used = x.ravel()[at]
+        order = np.argsort(used.astype(np.uint16) if len(self.w["E"]) <= 1 << 16 else used, kind="stable")
+        used = used[order]
+        start = np.flatnonzero(np.diff(used, prepend=-1))
+        ids = used[start]
+        g = grads["E"].transpose(0, 2, 1).reshape(x.size, -1).take(at[order], axis=0)
+        if g.shape[1] % 2 == 0:  # two sums at a time
+            g = g.view(np.result_type(g, np.complex64))
+        g = np.add.reduceat(g, start, axis=0).view(self.w["E"].dtype)
+        g *= np.float32(scale)
+        g2 = self.grad2["E"].take(ids, axis=0)
+        g2 += g * g
+        self.grad2["E"][ids] = g2
+        g *= np.float32(rate)
+        g /= np.sqrt(g2, out=g2)
+        self.w["E"][ids] -= g

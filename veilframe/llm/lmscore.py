@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, ids_and_text
 from .gru import GRU, Weights
-from .words import by_bytes, split_words
+from .words import by_bytes, laid_out, split_words
 
 HEAD, HEAD_BYTES = 1 << 18, 64
 ROUNDS, RATE = 2, 0.1
@@ -44,14 +44,26 @@ TAILS = 2 * SHAPES
 LOG10 = float(np.log(10))
 
 
+#: By byte: 1 for those of other than ASCII characters, 2 for digits; last bytes of words that make kinds of their own.
+_BYTES = np.where(np.arange(256) > 127, 1, np.isin(np.arange(256), list(b"0123456789")) * 2).astype(np.uint8)
+_SIGN, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"!$#&*%|", b",."))
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """The kind of each word by its characters."""
+    out = np.zeros(len(words), np.int32)
+    raw, start, size = laid_out(words) if len(words) else (np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2)
+    some = np.flatnonzero(size)
+    if len(some):
+        start, last = start[some], raw[start[some] + size[some] - 1]
+        has = np.bitwise_or.reduceat(_BYTES[raw], start)
+        kind = np.where(has & 1, 3 + _STOP[last], np.where(has & 2, 5, 1 + _STOP[last]))
+        out[some] = np.where(_SIGN[last], 0, kind)
+    return out
+
+
 def shape(word: str) -> int:
-    """The kind of a word by its characters."""
-    last = word[-1:]
-    if last in "!$#&*%|":
-        return 0
-    if word.isascii():
-        return 5 if any(c in word for c in "0123456789") else 1 + (last in ",.")
-    return 3 + (last in ",.")
+    return int(shapes(pa.array([word], pa.string()))[0])
 
 
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -103,7 +115,7 @@ class Vocabulary:
         c = np.array([k for _, k in head], np.float64)
         self.n_short, self.per_class = shortlist(v, len(head))
         heads = max(1, -(-self.n_short // self.per_class))
-        kinds = np.array([shape(w) for w, _ in head], np.int64)
+        kinds = shapes(self.words).astype(np.int64)
         i = np.arange(len(head))
         short = i < self.n_short
         own = [np.bincount(kinds[~short], x, SHAPES) for x in (c[~short], np.ones(int((~short).sum())))]
@@ -133,23 +145,22 @@ class Encoded:
 
     def __init__(self, voc: Vocabulary, texts: pa.Array):
         flat, counts = split_words(texts)
-        coded = flat.cast(pa.string()).dictionary_encode()
-        self.distinct = pa.concat_arrays([coded.dictionary, pa.array([END])])
-        number = pc.fill_null(pc.index_in(self.distinct, value_set=voc.words), -1).to_numpy(zero_copy_only=False)
-        rare = np.flatnonzero(number < 0)
-        self.kind = np.zeros(len(number), np.int32)
-        self.kind[rare] = [SHAPES + shape(w) for w in self.distinct.take(pa.array(rare)).to_pylist()]
+        heads = len(voc.words)
+        # behind the head words, so that a head word's code is its number
+        coded = pa.concat_arrays([voc.words, pa.array([END]), flat.cast(pa.string())]).dictionary_encode()
+        self.distinct, code = coded.dictionary, coded.indices.to_numpy()
+        self.kind = np.zeros(len(self.distinct), np.int32)
+        self.kind[heads:] = SHAPES + shapes(self.distinct[heads:])
         self.lengths = counts + 1
         ends = np.cumsum(self.lengths) - 1
-        self.code = np.full(int(self.lengths.sum()), len(number) - 1, np.int32)
+        self.code = np.full(int(self.lengths.sum()), code[heads], np.int32)
         inside = np.ones(len(self.code), bool)
         inside[ends] = False
-        self.code[inside] = coded.indices.to_numpy()
-        self.number = number[self.code]
-        own, cls = voc.inputs[number], voc.cls[number]
-        own[rare], cls[rare] = voc.n_short + self.kind[rare], voc.heads + self.kind[rare]
-        self.cls, self.idx = cls[self.code], voc.idx[number][self.code]
-        own = own[self.code]
+        self.code[inside] = code[heads + 1 :]
+        self.number = np.where(self.code < heads, self.code, -1)
+        self.cls = np.concatenate([voc.cls[:-1], voc.heads + self.kind[heads:]])[self.code]
+        self.idx = voc.idx[self.number]
+        own = np.concatenate([voc.inputs[:-1], voc.n_short + self.kind[heads:]])[self.code]
         self.inputs = np.empty(len(own), np.int32)
         self.inputs[1:] = own[:-1]
         self.inputs[ends + 1 - self.lengths] = voc.start_id
@@ -226,7 +237,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc
         tokens, words = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for b in batches:
             if b.num_rows:
-                kinds = np.fromiter(map(shape, b.column(0).to_pylist()), np.int64, b.num_rows)
+                kinds = shapes(b.column(0))
                 tokens += np.bincount(kinds, b.column(1).to_numpy(), SHAPES).astype(np.int64)
                 words += np.bincount(kinds, minlength=SHAPES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(tokens), pa.array(words)], names=["kind", "tokens", "words"])

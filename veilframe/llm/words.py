@@ -48,19 +48,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes eight at a time, mixed in one after another; the length begins it."""
+def laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words end to end, where each word starts there, and its size."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
     wide = pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type)
     _, offsets, data = words.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
-    size = np.diff(at)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at[:-1] - at[0], np.diff(at)
+
+
+def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes eight at a time, mixed in one after another; the length begins it."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw, start, size = laid_out(words)
     # eight bytes from every place on, as one number; the last ones are followed by zeros
     eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
-    start = at[:-1] - at[0]
     out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed) * _ODD + _ODD)
     on = np.arange(n)
     k = 0
