@@ -141,13 +141,15 @@ class GRU:
         return bool(far(self.w["Wc"])), far(self.w["Ww"]).tolist()
 
     def _outputs(self, hs: np.ndarray, cls: np.ndarray, idx: np.ndarray, grads: dict | None, far: tuple[bool, list[bool]]):
-        """log-probabilities (natural) of targets given hidden rows [m, H + 1]; with grads, also d loss / d hs."""
+        """log-probabilities (natural) of targets, in order of their classes, given hidden rows [m, H + 1]; with grads,
+        also d loss / d hs."""
         w, H, m = self.w, self.hidden, len(cls)
         Wc, Ww = w["Wc"], w["Ww"]
         p = Wc.T @ hs.T
         if far[0]:
             p -= p.max(axis=0)
-        target = cls * np.int64(m) + np.arange(m)
+        at = np.arange(m)
+        target = cls * np.int64(m) + at
         logp = p.ravel().take(target)
         np.exp(p, out=p)
         s = np.ones(len(p), p.dtype) @ p
@@ -160,34 +162,40 @@ class GRU:
             dh = p.T @ Wc[:H].T
             grads["Ww"] = np.zeros_like(Ww)
         heads, _, words = Ww.shape
-        order = np.argsort(cls.astype(np.int16) if heads < 30_000 else cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(heads + 1))
-        order = order[: bounds[-1]]
-        x, size = hs.take(order, axis=0), np.diff(bounds)
+        bounds = np.searchsorted(cls, np.arange(heads + 1))
+        size, short = np.diff(bounds), int(bounds[-1])
         # a head's logits [words, its tokens] are one block of flat
-        flat, sums, one = np.empty(len(order) * words, hs.dtype), np.empty(len(order), hs.dtype), np.ones(words, hs.dtype)
-        target = np.repeat(bounds[:-1] * (words - 1), size) + np.arange(len(order)) + idx[order] * np.repeat(size, size)
+        flat, sums, one = np.empty(short * words, hs.dtype), np.empty(short, hs.dtype), np.ones(words, hs.dtype)
+        target = np.repeat(bounds[:-1] * (words - 1), size) + at[:short] + idx[:short] * np.repeat(size, size)
         blocks = [(k, a, b, flat[a * words : b * words].reshape(words, b - a)) for k, a, b in zip(range(heads), bounds[:-1].tolist(), bounds[1:].tolist()) if a < b]
         for k, a, b, q in blocks:
-            np.matmul(Ww[k].T, x[a:b].T, out=q)
+            np.matmul(Ww[k].T, hs[a:b].T, out=q)
             if far[1][k]:
                 q -= q.max(axis=0)
         own = flat.take(target)
         np.exp(flat, out=flat)
         for _, a, b, q in blocks:
             np.matmul(one, q, out=sums[a:b])
-        logp[order] += own - np.log(sums)
+        logp[:short] += own - np.log(sums)
         if grads is not None:
-            back, inverse = np.empty((len(order), H), hs.dtype), 1 / sums
+            back, inverse = np.empty((short, H), hs.dtype), 1 / sums
             for _, a, b, q in blocks:
                 q *= inverse[a:b]
             flat[target] -= 1
             for k, a, b, q in blocks:
-                grads["Ww"][k] = (q @ x[a:b]).T
+                grads["Ww"][k] = (q @ hs[a:b]).T
                 np.matmul(q.T, Ww[k][:H].T, out=back[a:b])
-            dh[order] += back
+            dh[:short] += back
         return logp, dh
 
+    def _by_class(self, p: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in p, and positions, of a window's tokens in order of their classes."""
+        at = np.flatnonzero(p >= 0)
+        where = p.ravel()[at]
+        kinds = cls[where]
+        order = np.argsort(kinds.astype(np.int16) if self.w["Wc"].shape[1] < 30_000 else kinds, kind="stable")
+        return at[order], where[order]
+
     def score(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability at each position of documents laid end to end."""
         out = np.zeros(len(inputs))
@@ -202,9 +210,8 @@ class GRU:
             p = dealt.window(at, steps)
             x = np.where(p >= 0, inputs[p], 0)
             hs, h, _ = self._run(x, x == self.start_id, h[:n], False)
-            real = p >= 0
-            where = p[real]
-            out[where] = self._outputs(self._rows(hs, real), cls[where], idx[where], None, far)[0]
+            place, where = self._by_class(p, cls)
+            out[where] = self._outputs(self._rows(hs, place), cls[where], idx[where], None, far)[0]
             at += steps
         return out
 
@@ -212,14 +219,11 @@ class GRU:
         return np.zeros((n, self.hidden), self.w["U"].dtype)
 
     @staticmethod
-    def _rows(hs: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """States [T, n, H] of real tokens as rows [m, H + 1], the last of which is 1."""
+    def _rows(hs: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """States [T, n, H] at these places as rows [m, H + 1], the last of which is 1."""
         H = hs.shape[-1]
-        flat = hs.reshape(-1, H)
-        if not real.all():
-            flat = flat.take(np.flatnonzero(real), axis=0)
-        out = np.ones((len(flat), H + 1), hs.dtype)
-        out[:, :H] = flat
+        out = np.ones((len(place), H + 1), hs.dtype)
+        out[:, :H] = hs.reshape(-1, H).take(place, axis=0)
         return out
 
     def train(self, inputs: np.ndarray, cls: np.ndarray, idx: np.ndarray, lengths: np.ndarray, rate: float) -> float:
@@ -240,14 +244,12 @@ class GRU:
             x = np.where(real, inputs[p], 0)
             fresh = real & begin[p]
             hs, h, saved = self._run(x, fresh, h[:n], True)
-            where = p[real]
+            place, where = self._by_class(p, cls)
             grads: dict[str, np.ndarray] = {}
-            logp, dh = self._outputs(self._rows(hs, real), cls[where], idx[where], grads, self._far())
+            logp, dh = self._outputs(self._rows(hs, place), cls[where], idx[where], grads, self._far())
             loss -= float(logp.sum())
-            d_out = dh
-            if len(where) < p.size:
-                d_out = np.zeros((p.size, self.hidden), hs.dtype)
-                d_out[np.flatnonzero(real)] = dh
+            d_out = np.zeros((p.size, self.hidden), hs.dtype)
+            d_out[place] = dh
             self._backward(d_out.reshape(hs.shape), saved, fresh, grads)
             self._step(grads, x, real, 1 / len(where), rate)
         return loss / max(1, len(inputs))
@@ -283,8 +285,9 @@ class GRU:
                 dh[fresh[t]] = 0
         d_gates = np.empty((T, n, 3, H), U.dtype)
         d_gates[:] = d_a.transpose(0, 2, 1, 3)
-        hin = self._rows(hin, np.True_)
-        grads["U"] = (d_gates.reshape(-1, 3 * H).T @ hin).T
+        rows = np.ones((T * n, H + 1), U.dtype)
+        rows[:, :H] = hin.reshape(-1, H)
+        grads["U"] = (d_gates.reshape(-1, 3 * H).T @ rows).T
         d_gates[:, :, 2] = d_c
         grads["E"] = d_gates.reshape(T, n, 3 * H).transpose(0, 2, 1)
 
@@ -312,4 +315,4 @@ class GRU:
         self.grad2["E"][ids] = g2
         g *= np.float32(rate)
         g /= np.sqrt(g2, out=g2)
-        self.w["E"][ids] -= g
+        self.w["E"][ids] = self.w["E"].take(ids, axis=0) - g
