@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilframe.llm import decontaminate, jaccard, licenses, linededup, lmscore, packing, pii, quality, queries, vptree, warc, words
+from veilframe.llm import components, decontaminate, jaccard, licenses, linededup, lmscore, packing, pii, quality, queries, vptree, warc, words
 
 from ..conftest import SF, rows
 
@@ -744,6 +744,53 @@ def test_dense_group(spark):
     assert [got[i] for i in range(90)] == comp and len(set(comp)) > 1
 
 
+def test_small_tables_take_few_tasks(spark):
+    """Each shuffle of a small table costs as many tasks as shuffles have where nothing coalesces them."""
+    random.seed(9)
+    texts = [" ".join(f"x{random.randrange(40)}" if random.random() < 0.02 else f"w{i}" for i in range(150)) for _ in range(60)]
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few_tasks", "")
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in range(60)] == brute_components(texts, 3, 90, 100)[0]
+    track = sc.statusTracker()
+    stages = {i for j in track.getJobIdsForGroup("few_tasks") for i in track.getJobInfo(j).stageIds}
+    assert sum(x.numCompletedTasks for i in stages if (x := track.getStageInfo(i))) < 1000
+
+
+@pytest.mark.parametrize("kind", ["star", "chain", "random", "none"])
+def test_components(spark, monkeypatch, kind):
+    random.seed(2)
+    n = 60
+    edges = {"star": [(i, 0) for i in range(1, n)] + [(0, 0)], "chain": [(i, i + 1) for i in range(n - 1)], "random": [(random.randrange(n), random.randrange(n)) for _ in range(45)], "none": []}[kind]
+    made = []
+    monkeypatch.setattr(components, "cut", lambda df, name, cut=components.cut: made.append(name) or cut(df, name))
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()}
+    want = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == {i: want[i] for a, b in edges if a != b for i in (a, b)}
+    if kind == "star":  # stars are seen to be done without a round more
+        assert len(made) <= 2
+
+
+def test_sketch_adds_up_many_tasks(spark, monkeypatch):
+    texts = [f"a b c d{i % 5} e f{i}" for i in range(40)]
+    total = lambda parts: jaccard._sketch(jaccard._first_pass(docs_of(spark, texts).repartition(parts, "doc_id"), 3, 0, 0))
+    one = total(1)
+    monkeypatch.setattr(jaccard, "MERGED", 2)
+    assert one.sum() == 40 * 4 and (total(7) == one).all()
+
+
 def test_jaccard_odd(spark):
     got = jaccard.jaccard_components(odd_docs(spark)).collect()
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id in (4, 6)} == {4}

@@ -42,6 +42,8 @@ from .words import by_bytes, shingle_sets
 
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 15
+#: Tasks whose counts are added up in one group.
+MERGED = 64
 #: Members of one star that a task joins with what is known of their centre; larger stars are salted, at most MOST_SALTED of them.
 STAR_ROWS, MOST_SALTED = 20_000, 1_000
 #: Largest set size that subset enumeration is considered for.
@@ -120,22 +122,26 @@ def _first_pass(docs: DataFrame, n: int, seed: int, spread: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([z for _, z in blocks], pa.binary())], names=names)
 
     names = ["doc_id", "n_shingles", "sid", "key", "sig", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, key binary, sig binary, block int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, key binary, sig binary, block int, counts binary").withColumn("task", F.spark_partition_id())
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """Sums of the tasks' counts, in two steps so that no group grows with the number of tasks."""
+    """Sums of the tasks' counts, those of MERGED tasks in one group at a time, so that no group grows with their number."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH_BLOCK, np.uint32)
         for z in pdf["counts"]:
             x = zlib.decompress(z)
             total += np.frombuffer(x, np.uint8 if len(x) == SKETCH_BLOCK else np.uint32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "task": [pdf["task"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    part = rows.where("block IS NOT NULL").groupBy("block", "salt").applyInPandas(add, "block int, counts binary")
+    part = rows.where("block IS NOT NULL").select("block", "task", "counts")
+    last = part.agg(F.max("task")).first()[0] or 0
+    while last >= MERGED:
+        part = part.withColumn("task", F.floor(F.col("task") / MERGED).cast("int")).groupBy("block", "task").applyInPandas(add, "block int, task int, counts binary")
+        last //= MERGED
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for block, z in part.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 16 MB
+    for block, _, z in part.groupBy("block").applyInPandas(add, "block int, task int, counts binary").collect():  # 16 MB
         out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(z), np.uint32)
     return out
 
@@ -197,11 +203,11 @@ def least_apart(x: bytes, y: bytes) -> int:
 
 
 def _sets_of(docs: DataFrame, n: int, seed: int, ids: DataFrame) -> DataFrame:
-    """(sid, shingles) of the documents with these ids.
+    """(sid, shingles) of the documents with these ids, which may be named more than once.
 
     They are picked where the texts are read, by a Bloom filter, or by a join where ids are too many for one. A false
     positive, or an id on two rows, gives a set twice and verifies its pairs twice; that changes nothing."""
-    count = ids.count()
+    count = ids.agg(F.approx_count_distinct(ids.columns[0], 0.02)).first()[0]
     bits = bits_for(count)
     fits = bits >= FILTER_BITS * count
     if fits:
@@ -237,14 +243,13 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, seed: i
             a_size, size = b.column(1).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
             most = wide * (den - num) * (a_size + size) // (den + num)
             keep = [least_apart(x, y) <= m for x, y, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most.tolist())]
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 2])
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 2, 6, 7])
 
     known = nodes.where("rep IS NOT NULL")
-    sig = lambda side: known.select(F.col("sid").alias(side), F.col("sig").alias("s" + side))
-    close = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "a_size", "b", "size", "sa", "sb").mapInArrow(near, "a long, b long")
+    sig = lambda side: known.select(F.col("sid").alias(side), F.col("sig").alias("s" + side), F.col("rep").alias("r" + side))
+    close = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "a_size", "b", "size", "sa", "sb", "ra", "rb").mapInArrow(near, "a long, b long, ra long, rb long")
     close = cut(close, "close")
-    ids = known.join(close.select(F.col("a").alias("sid")).union(close.select("b")).distinct(), "sid", "left_semi").select("rep")
-    sets = cut(_sets_of(docs, n, seed, ids), "shingles")
+    sets = cut(_sets_of(docs, n, seed, close.select(F.col("ra").alias("rep")).union(close.select("rb"))), "shingles")
 
     def run(batches):
         last, x = None, None
@@ -286,7 +291,7 @@ def _towards_large_stars(members: DataFrame, found: DataFrame) -> DataFrame:
     rows = members.select("h", "sid", "size").join(mine, "sid", "left")
     top = rows.where("mine IS NOT NULL").groupBy("h").agg(F.max(F.struct("mine.weight", "mine.hub", "mine.hub_size")).alias("top"))
     rows = rows.join(top, "h").where(~F.col("top.hub").eqNullSafe(F.col("mine.hub")) & (F.col("top.hub") != F.col("sid")))
-    return rows.select(F.col("top.hub").alias("a"), F.col("top.hub_size").alias("a_size"), F.col("sid").alias("b"), "size").distinct()
+    return rows.select(F.col("top.hub").alias("a"), F.col("top.hub_size").alias("a_size"), F.col("sid").alias("b"), "size").dropDuplicates(["a", "b"])
 
 
 def _salted(rows: DataFrame, about: DataFrame, most: int) -> DataFrame:
@@ -391,13 +396,14 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         first = cut(_first_pass(some, n, seed, spread), "sets")
         nodes = first.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.first("sig", ignorenulls=True).alias("sig"), (F.min("key") != F.max("key")).alias("two"))
         nodes = cut(nodes, "nodes")
-        if nodes.where("two").isEmpty():  # no two different sets share a 64-bit id
+        of_size = nodes.groupBy(F.when(F.col("size") <= 2 * LIGHT_MOST, F.col("size")).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("two").alias("two")).collect()
+        if not any(r.two for r in of_size):  # no two different sets share a 64-bit id
             break
         drop_cut(first)
         drop_cut(nodes)
     else:
         raise RuntimeError("64-bit set ids collide under every seed")
-    sizes = {int(r[0]): int(r[1]) for r in nodes.where(F.col("size") <= 2 * LIGHT_MOST).groupBy("size").count().collect()}
+    sizes = {int(r.size): int(r.n) for r in of_size if r.size is not None}
     boundary = choose_boundary(sizes, num, den)
     sketch = spark.sparkContext.broadcast(_sketch(first))  # 16 MB
     rows = cut(_postings(some, n, seed, sketch, boundary, num, den), "postings")
@@ -405,30 +411,33 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     # keys that two different sets have; a set's rows from several tasks say the same
     both = rows.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("h")
     lists = rows.join(both, "h", "left_semi").dropDuplicates(["h", "sid", "role"])
-    lists = stored = cut(lists, "lists")
+    # they lie by h already: their number takes no exchange
+    lists = cut(lists.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))), "lists")
     drop_cut(rows)
-    lists = lists.join(lists.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
     degree = cut(lists.groupBy("sid").agg(F.sum("n").alias("degree")), "degree")
     n_open = degree.count()
     about = ("sid", "size", "role", "at", "degree", "grp", "f", "d")
     columns = ("h", *about)
     members = cut(lists.join(degree, "sid").select("h", "sid", "size", "role", "at", "degree", F.col("sid").alias("grp"), F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<long>").alias("d"), "n"), "members")
-    drop_cut(stored)
-    del rows, both, lists, stored
+    drop_cut(lists)
+    del rows, both, lists
     free_shuffles(spark)
     may = _may_pair(boundary, num, den)
-    label, tested, edges, before = None, [], [], None
+    label, tested, before, last = None, [], None, False
     while True:
-        if label is None:
+        if last:  # the round before linked nothing: the lists are as they were
+            pass
+        elif label is None:
             rows = members.withColumn("comp", F.col("sid"))
         else:
             rows = members.join(label, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
             apart = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
             rows = cut(rows.join(apart, "h", "left_semi"), "open")
-        last = False
-        if label is not None:
-            count = lambda *by: rows.groupBy("h", *by).count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0  # noqa: B023, E731
-            left = (count() - count("comp") - count("grp") + count("comp", "grp")) / 2
+        if label is not None and not last:
+            # of all pairs of a list, those of one component or star don't count
+            square = F.col("k").cast("double") * F.col("k")
+            counts = rows.groupingSets([["h"], ["h", "comp"], ["h", "grp"], ["h", "comp", "grp"]], "h", "comp", "grp").agg(F.count(F.lit(1)).alias("k"), F.grouping_id().alias("by"))
+            left = (counts.agg(F.sum(F.when(F.col("by").isin(1, 2), -square).otherwise(square))).first()[0] or 0) / 2
             if not left:
                 drop_cut(rows)
                 break
@@ -460,9 +469,9 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         first_is_hub = F.struct("degree", "sid") > F.struct(F.col("degree2").alias("degree"), F.col("sid2").alias("sid"))
         one, two = ("sid", "size"), ("sid2", "size2")
         pick = lambda here, there: F.when(first_is_hub, F.col(here)).otherwise(F.col(there))  # noqa: B023, E731
-        pairs = pairs.select(pick("sid", "sid2").alias("a"), pick("size", "size2").alias("a_size"), pick("sid2", "sid").alias("b"), pick("size2", "size").alias("size")).distinct()
-        for t in tested:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.select(pick("sid", "sid2").alias("a"), pick("size", "size2").alias("a_size"), pick("sid2", "sid").alias("b"), pick("size2", "size").alias("size")).dropDuplicates(["a", "b"])
+        if tested:
+            pairs = pairs.join(functools.reduce(DataFrame.union, [t.select("a", "b") for t in tested]), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested.append(pairs)
         free_shuffles(spark)
@@ -487,19 +496,24 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
             drop_cut(shared)
             members = now
             spent += parts
-        else:
+        links = cut(functools.reduce(DataFrame.union, more), "links")
+        # later links all lie between components: without any, labels and lists stay
+        same = label is not None and links.isEmpty()
+        if label is not None and (last or not same):
             spent.append(rows)
-        edges.append(cut(functools.reduce(DataFrame.union, more).distinct(), "links"))
         for t in spent:
             drop_cut(t)
-        if label is not None:
-            drop_cut(label)
-        label = components(functools.reduce(DataFrame.union, edges))
-        del rows, pairs, found, spent, more
+        if not same:
+            old, label = label, components(links if label is None else links.union(label))
+            if old is not None:
+                drop_cut(old)
+        drop_cut(links)
+        del pairs, found, spent, more
         free_shuffles(spark)
         if last:
             break
-    for t in (members, degree, *tested, *edges):
+        last = same
+    for t in (members, degree, *tested):
         drop_cut(t)
     members_of = nodes.select("sid", "rep").join(label, F.col("sid") == F.col("node"), "left").select("sid", "rep", F.coalesce("component", "sid").alias("comp"))
     smallest = members_of.groupBy("comp").agg(F.min("rep").alias("component_id"))
