@@ -120,12 +120,16 @@ class Masks:
     def clean(self) -> Masks:
         return self._off_line(*merged(*self._line()))
 
-    def take(self, rows: np.ndarray) -> Masks:
-        """Masks of these numbers, in this order."""
+    def _runs_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the runs of masks of these numbers, in this order, and how many each has."""
         n = np.bincount(self.of, minlength=len(self.w))
         first = np.cumsum(n) - n
         k = n[rows]
-        at = np.repeat(first[rows] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return np.repeat(first[rows] - (np.cumsum(k) - k), k) + np.arange(k.sum()), k
+
+    def take(self, rows: np.ndarray) -> Masks:
+        """Masks of these numbers, in this order."""
+        at, k = self._runs_of(rows)
         return Masks(self.w[rows], self.h[rows], np.repeat(np.arange(len(rows)), k), self.lo[at], self.hi[at])
 
     def only(self, runs: np.ndarray) -> Masks:
@@ -182,6 +186,8 @@ class Masks:
 
     def moved(self, dx: np.ndarray, dy: np.ndarray) -> Masks:
         """Mask i moved by dx[i], dy[i]; what leaves the frame is lost."""
+        if not (dx.any() or dy.any()):
+            return self
         of, y, x1, x2 = self.rows()
         return self._of_rows(of, y + dy[of], x1 + dx[of], x2 + dx[of])
 
@@ -273,3 +279,43 @@ class Masks:
             hi.append(end[on])
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         return cls(w, h, join(of), join(lo), join(hi)).clean(), good
+
+
+class Greys:
+    """n grey masks of 0 to 255: runs of masks [n], each of one value [runs] above zero, in order; runs may touch."""
+
+    def __init__(self, runs: Masks, value: np.ndarray):
+        self.runs, self.value = runs, value
+
+    @classmethod
+    def of(cls, masks: Masks) -> Greys:
+        """What is set is 255."""
+        return cls(masks, np.full(len(masks.lo), 255))
+
+    def take(self, rows: np.ndarray) -> Greys:
+        return Greys(self.runs.take(rows), self.value[self.runs._runs_of(rows)[0]])
+
+    @classmethod
+    def joined(cls, parts: list[Greys]) -> Greys:
+        return cls(Masks.joined([p.runs for p in parts]), np.concatenate([p.value for p in parts]))
+
+    def blended(self, now: Masks, new: int, old: int) -> Greys:
+        """(255 * new where now sets + grey * old) // 256, for masks of the same sizes."""
+        was = self.runs
+        (a, b), (c, d) = was._line(), Masks(was.w, was.h, now.of, now.lo, now.hi)._line()
+        at = np.concatenate([a, b, c, d])
+        step = np.zeros((2, len(at)), np.int64)
+        step[0, : len(a)], step[0, len(a) : 2 * len(a)] = self.value, -self.value
+        step[1, 2 * len(a) : 2 * len(a) + len(c)], step[1, 2 * len(a) + len(c) :] = 1, -1
+        order = np.argsort(at, kind="stable")
+        at, (grey, inside) = at[order], np.cumsum(step[:, order], axis=1)
+        last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, bool)
+        at, value = at[last], ((inside[last] > 0) * (255 * new) + grey[last] * old) >> 8 & 255
+        turn = np.flatnonzero(np.diff(value, prepend=0))  # the last value is zero
+        at, value = at[turn], value[turn]
+        on = np.flatnonzero(value > 0)
+        return Greys(was._off_line(at[on], at[on + 1]), value[on])
+
+    def above(self, least: int) -> Masks:
+        """Masks of what is `least` or more."""
+        return self.runs.only(self.value >= least).clean()

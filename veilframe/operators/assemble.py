@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.groups import matrix, whole_groups
-from ..functions.runs import Masks
+from ..functions.runs import Greys, Masks
 from ..functions.shared import beside, shuffled, spread
 from . import frames as frame_ops
 from . import gating, masks, motion
-from .temporal import BLEND_NEW, BLEND_OLD, Blend
+from .temporal import BLEND_NEW, BLEND_OLD, GREY_SET, follows
 from .track import Tracker, track
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -89,53 +89,113 @@ def _rounded(x: np.ndarray) -> np.ndarray:
 PERSON, FACE, FRAME = 0, 1, -1
 
 
+class Shown:
+    """The masks of tracks as they stand at each of their rows, of rows sorted by video and frame: the blend of the masks
+    of the sights up to that row. What a batch leaves is held for the tracks of its last video, of those seen not too long
+    ago: their number, the frame they were last seen at, and their greys or, where the last mask alone decides, that."""
+
+    def __init__(self, new: int, old: int, keep: int):
+        self.new, self.old, self.keep, self.follows = new, old, keep, follows(new, old)
+        none = np.zeros(0, np.int64)
+        self.video, self.ids, self.seen = None, none, none
+        self.held = Greys.of(Masks(*(none,) * 5))
+
+    def step(self, video: np.ndarray, track: np.ndarray, at: np.ndarray, given: Masks, has: np.ndarray, now: int) -> tuple[np.ndarray, Masks]:
+        """Which of the rows of tracks have a mask, in ascending order, and these masks. at: a row's frame, counted over all batches, which
+        `now` ends; has: whether a sight brings a mask, of `given`."""
+        n = len(video)
+        order = np.lexsort((track, video))  # a track's rows stay in order
+        video, track, sight = video[order], track[order], has[order]
+        first = np.flatnonzero(np.concatenate([[True], (video[1:] != video[:-1]) | (track[1:] != track[:-1])])) if n else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        so_far = np.cumsum(sight)
+        so_far -= (so_far[first] - sight[first])[of]  # sights of the track up to a row
+        count = np.bincount(of, sight, len(first)).astype(np.int64)
+        # a track's place among those held, or -1
+        going = np.flatnonzero(video[first] == self.video) if self.video is not None else np.zeros(0, np.int64)
+        before = np.full(len(first), -1)
+        if len(going) and len(self.ids):
+            place = np.minimum(np.searchsorted(self.ids, track[first][going]), len(self.ids) - 1)
+            before[going] = np.where(self.ids[place] == track[first][going], place, -1)
+        some = np.flatnonzero((so_far > 0) | (before[of] >= 0))
+        last_at = np.full(len(first), -1)
+        rows = np.flatnonzero(sight)
+        np.maximum.at(last_at, of[rows], at[order][rows])
+        stays = video[first] == video[-1] if n else np.zeros(0, bool)
+        if self.follows:
+            pool = Masks.joined([self.held.runs, given])
+            latest = np.maximum.accumulate(np.where(sight, np.arange(n), -1))
+            put = np.where(so_far > 0, len(self.ids) + order[latest], before[of])
+            final = put[np.append(first[1:], n) - 1] if n else put
+            greys = Greys.of(pool)
+        else:
+            # tracks with more sights come first; sights of all tracks are blended side by side, one of each after another
+            rank = np.empty(len(first), np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(first))
+            turns = rows[np.lexsort((rank[of[rows]], so_far[rows]))]
+            cuts = np.searchsorted(so_far[turns], np.arange(1, int(count.max(initial=0)) + 2)).tolist()
+            sets, start, ends, ended = [self.held.above(GREY_SET)], [0, len(self.ids)], [], []
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                who, masks_now = of[turns[a:z]], given.take(order[turns[a:z]])
+                if not ends:  # the first sight: of a new track, or on what is held
+                    old = np.flatnonzero(before[who] >= 0)
+                    new = np.flatnonzero(before[who] < 0)
+                    both = Greys.joined([self.held.take(before[who[old]]).blended(masks_now.take(old), self.new, self.old), Greys.of(masks_now.take(new))])
+                    back = np.empty(len(who), np.int64)
+                    back[np.concatenate([old, new])] = np.arange(len(who))
+                    grey = both.take(back)
+                else:
+                    grey = grey.take(np.arange(z - a)).blended(masks_now, self.new, self.old)
+                sets.append(grey.above(GREY_SET))
+                start.append(start[-1] + z - a)
+                done = np.flatnonzero((count[who] == len(sets) - 1) & stays[who])
+                ends.append(grey.take(done))
+                ended.append(who[done])
+            pool = Masks.joined(sets)
+            put = np.where(so_far > 0, np.array(start)[so_far] + rank[of], before[of])
+            greys = Greys.joined([self.held, *ends])
+            final = before.copy()
+            got = np.concatenate([np.zeros(0, np.int64), *ended])
+            final[got] = len(self.ids) + np.arange(len(got))
+        back = np.argsort(order[some])
+        shown = order[some][back], pool.take(put[some][back])
+        # what is held from now on
+        if n and (self.video is None or video[-1] != self.video):
+            self.video, old = video[-1], np.zeros(0, np.int64)
+        else:
+            old = np.setdiff1d(np.arange(len(self.ids)), before[before >= 0])  # without a row here
+        mine = np.flatnonzero(stays & (final >= 0))
+        ids = np.concatenate([self.ids[old], track[first][mine]])
+        seen = np.concatenate([self.seen[old], np.maximum(last_at[mine], np.where(before[mine] >= 0, np.append(self.seen, 0)[before[mine]], -1))])
+        at_ = np.concatenate([old, final[mine]])
+        keep = np.flatnonzero(now - seen <= self.keep + 1)
+        keep = keep[np.argsort(ids[keep])]
+        self.ids, self.seen, self.held = ids[keep], seen[keep], greys.take(at_[keep])
+        return shown
+
+
 def draw(rows: DataFrame, w: int, h: int, smooth: bool, blend: tuple[int, int] = (BLEND_NEW, BLEND_OLD), keep: int = 12) -> DataFrame:
     """(video_id, frame_idx, w, h, spans) of rows sorted by video, frame and kind: FRAME, a frame that there is; PERSON,
     a track, with spans where the frame saw it; FACE, spans as they are. Tracks may come back for `keep` frames.
 
     A track's state is its blended mask; where the weights let the last mask alone decide, that mask. All masks of a
-    batch of frames are moved, grown, shrunk and joined in one step."""
+    batch of frames are blended side by side, and moved, grown, shrunk and joined in one step."""
     new, old = blend
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, tracks, seen, clock, before = None, {}, {}, 0, None
-        follows, held = Blend.follows(new, old), Masks(*(np.zeros(0, np.int64),) * 5)
+        shown, clock, before = Shown(new, old, keep), 0, None
         for b, edges in whole_groups(batches, "video_id", "frame_idx"):
-            ids, frame, kind, track_id = (b.column(i).to_numpy() for i in range(4))
+            ids, kind, track_id = (b.column(i).to_numpy() for i in (0, 2, 3))
             n = matrix(b, "shift_x", "shift_y", "grow", "shrink")
             n_rows = b.num_rows
             given = Masks.read(b.column(8), np.full(n_rows, w), np.full(n_rows, h))
             has = b.column(8).is_valid().to_numpy(zero_copy_only=False)
             at_frame = clock + np.searchsorted(edges, np.arange(n_rows), "right") - 1
             clock += len(edges) - 1
-            # a track's mask as it stands at each of its rows: its place among the masks held and given, or itself
-            shown: dict[int, int | Masks] = {}
-            pool, n_held = Masks.joined([held, given]) if follows else given, len(held.w)
-            for i in np.flatnonzero(kind == PERSON).tolist():
-                if ids[i] != video:
-                    video, tracks, seen = ids[i], {}, {}
-                t = int(track_id[i])
-                if has[i]:
-                    seen[t] = at_frame[i]
-                    if follows:
-                        tracks[t] = n_held + i
-                    else:
-                        state = tracks.get(t) or (Blend(new, old), None)
-                        tracks[t] = (state[0], state[0].seen(given.take(np.array([i]))))
-                if t in tracks:
-                    shown[i] = tracks[t] if follows else tracks[t][1]
-            tracks = {t: x for t, x in tracks.items() if clock - seen[t] <= keep + 1}
-            if follows:
-                held = pool.take(np.array(list(tracks.values()), np.int64))
-                tracks = {t: j for j, t in enumerate(tracks)}
-            people = np.array(sorted(shown), np.int64)
-            faces = np.flatnonzero(kind == FACE)
-            # masks that stand still, as most do, are passed on as they are
-            move = _rounded(n[people, :2]) if len(people) else np.zeros((0, 2), np.int64)
-            if follows:
-                drawn = pool.take(np.array([shown[i] for i in people.tolist()], np.int64))
-            else:
-                drawn = Masks.joined([shown[i] for i in people.tolist()]) if len(people) else given.take(people)
+            people, faces = np.flatnonzero(kind == PERSON), np.flatnonzero(kind == FACE)
+            some, drawn = shown.step(ids[people], track_id[people], at_frame[people], given.take(people), has[people], clock)
+            people = people[some]
+            move = _rounded(n[people, :2])
             drawn = drawn.moved(move[:, 0], move[:, 1])
             drawn = drawn.grown(n[people, 2].astype(np.int64)).shrunk(n[people, 3].astype(np.int64))
             frames_at = np.arange(len(edges) - 1)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runs import Masks
-
 # Weights of a blend, of 256, and the grey from which a pixel is set.
 BLEND_NEW, BLEND_OLD, GREY_SET = 179, 77, 128
 
@@ -74,42 +71,6 @@ def debounce(df: DataFrame, key: str, at: str, quiet: str) -> DataFrame:
     return df.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") - F.col(at) > F.expr(quiet))).drop("_next")
 
 
-class Blend:
-    """A track's mask as a weighted mean over the frames that saw it: grey planes of 0 to 255 in whole numbers, of which
-    only the rectangle above zero is held. new and old are weights of 256; set is what is GREY_SET or more."""
-
-    def __init__(self, new: int = BLEND_NEW, old: int = BLEND_OLD):
-        self.new, self.old = new, old
-        self.at: tuple[int, int, np.ndarray] | None = None
-        self.size: tuple[int, int] | None = None
-
-    @staticmethod
-    def follows(new: int, old: int) -> bool:
-        """Whether the outcome is always the last mask: one sight sets a pixel, and one miss unsets it."""
-        return new * 255 // 256 >= GREY_SET > old * 255 // 256
-
-    def seen(self, mask: Masks) -> Masks:
-        """The blended mask after one more sight (a single mask); a mask of another frame size begins anew."""
-        w, h = int(mask.w[0]), int(mask.h[0])
-        x, y, now = mask.crop(0)
-        if self.at is None or self.size != (w, h):
-            self.at, self.size = (x, y, now * np.uint8(255)), (w, h)
-        else:
-            ox, oy, grey = self.at
-            boxes = [(a, b, a + p.shape[1], b + p.shape[0]) for a, b, p in ((x, y, now), (ox, oy, grey)) if p.size]
-            if boxes:
-                x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes)
-                total = np.zeros((max(b[3] for b in boxes) - y1, max(b[2] for b in boxes) - x1), np.uint32)
-                for a, b, p, weight in ((x, y, now.astype(np.uint32) * 255, self.new), (ox, oy, grey.astype(np.uint32), self.old)):
-                    if p.size:
-                        total[b - y1 : b - y1 + p.shape[0], a - x1 : a - x1 + p.shape[1]] += p * np.uint32(weight)
-                grey = (total >> np.uint32(8)).astype(np.uint8)
-                rows, cols = np.flatnonzero(grey.any(axis=1)), np.flatnonzero(grey.any(axis=0))
-                if len(rows):
-                    grey = grey[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
-                    x1, y1 = x1 + int(cols[0]), y1 + int(rows[0])
-                else:
-                    grey = grey[:0, :0]
-                self.at = (x1, y1, grey)
-        x1, y1, grey = self.at
-        return Masks.of_crop(x1, y1, (grey >= GREY_SET).astype(np.uint8), w, h)
+def follows(new: int, old: int) -> bool:
+    """Whether a blend with these weights, of 256, is always the last mask: one sight sets a pixel, and one miss unsets it."""
+    return new * 255 // 256 >= GREY_SET > old * 255 // 256
