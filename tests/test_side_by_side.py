@@ -72,3 +72,58 @@ def test_pairs_of_few_boxes_are_found_at_once(monkeypatch):
         for x, y in zip(got, track_ops.near_pairs(a, of_a, b, of_b, 40, apart)):
             assert x.tolist() == y.tolist()
     assert len(few[False][0]) > 50
+
+
+def test_fusion_of_many_small_frames(spark, monkeypatch):
+    """Frames side by side give the same clusters as one by one."""
+    from veilframe.operators import suppress
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        p = rng.uniform(0, 12, 2)
+        rows.append((int(rng.integers(0, 90)), i, int(rng.integers(0, 3)), float(rng.choice([0.0, 0.3, 0.5, 0.9])), *map(float, (*p, *(p + rng.uniform(20, 30, 2))))))
+    d = spark.createDataFrame(rows, "frame_idx long, det_id long, src int, score double, x1 double, y1 double, x2 double, y2 double")
+    fuse = lambda: sorted(tuple(r) for r in suppress.fuse(d, "frame_idx", [0.7, 1.0, 1.3]).collect())
+    few = fuse()
+    monkeypatch.setattr(suppress, "FEW_PAIRS", 0)
+    assert few == fuse() and 90 < len(few) < 350 and {r[3] for r in few} == {1, 2, 3}
+
+
+def test_instances_of_many_videos(monkeypatch):
+    """Videos side by side, cut into batches anywhere, give the same instances as each one alone."""
+    from veilframe.operators.archive import Memory, instances
+
+    rng = np.random.default_rng(2)
+    frames = []  # (video, boxes, looks)
+    for v in range(30):
+        for _ in range(int(rng.integers(1, 14))):
+            n = int(rng.integers(0, 4))
+            p = rng.uniform(0, 30, (n, 2))
+            frames.append((v, np.concatenate([p, p + rng.uniform(10, 20, (n, 2))], axis=1), [rng.normal(size=int(rng.integers(2, 4))) if rng.random() < 0.6 else None for _ in range(n)]))
+    want, now = [], None
+    for v, boxes, looks in frames:
+        if v != now:
+            now, alone = v, Memory()
+        want.append(alone.step(boxes, looks).tolist())
+    calls, plain = [], Memory.step
+    monkeypatch.setattr(Memory, "step", lambda *a: calls.append(1) or plain(*a))
+    for size in (len(frames), 7, 1):
+        got, now, memory = [], None, Memory()
+        calls.clear()
+        for a in range(0, len(frames), size):
+            some = frames[a : a + size]
+            # a frame without observations has a row that is none
+            real = np.concatenate([np.full(max(len(f[1]), 1), len(f[1]) > 0) for f in some])
+            xy = np.concatenate([f[1] if len(f[1]) else np.zeros((1, 4)) for f in some])
+            looks = [x for f in some for x in (f[2] or [None])]
+            edges = np.cumsum([0, *(max(len(f[1]), 1) for f in some)])
+            video = np.array([f[0] for f in some])
+            starts = np.flatnonzero(np.append(True, video[1:] != video[:-1]))
+            ids, memory = instances(memory if now == video[0] else Memory(), starts, edges, real, xy, lambda at: [looks[i] for i in at.tolist()])  # noqa: B023
+            now = video[-1]
+            got += [ids[x:z][real[x:z]].tolist() for x, z in zip(edges[:-1], edges[1:])]
+        assert got == want
+        if size == len(frames):
+            assert len(calls) <= 13
+    assert max(max(w, default=0) for w in want) > 5

@@ -61,3 +61,17 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     side = lambda r: np.maximum(r[:, 2] - r[:, 0], 0) * np.maximum(r[:, 3] - r[:, 1], 0)
     union = side(a)[:, None] + side(b)[None] - w * h
     return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of box rows a [n, 4] with b [n, 4], one by one; 0 where neither has an area."""
+    w = np.maximum(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0)
+    h = np.maximum(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0)
+    side = lambda r: np.maximum(r[:, 2] - r[:, 0], 0) * np.maximum(r[:, 3] - r[:, 1], 0)
+    union = side(a) + side(b) - w * h
+    return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ..., n[i] of them, for one i after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())

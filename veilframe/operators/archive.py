@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..functions.groups import matrix, overlaps, whole_groups
+from ..functions.groups import matrix, paired, ranges, whole_groups
 from ..functions.runs import Masks
 from ..functions.shared import shuffled, spread, stored
 from . import gating, masks, suppress
@@ -33,45 +33,91 @@ FALLEN_BACK = 0.9
 
 
 class Memory:
-    """Instances seen before: last box and looks, and for how many frames they were missing."""
-
-    def __init__(self):
-        self.next_id = 0
-        self.ids, self.missed = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.boxes, self.looks = np.zeros((0, 4)), []
-
-    def step(self, boxes: np.ndarray, looks: list[np.ndarray | None]) -> np.ndarray:
-        """The instance of each observation; new ones where none is like it."""
-        near = overlaps(boxes, self.boxes) * (1 - APPEARANCE)
-        for i, a in enumerate(looks):
-            for j, b in enumerate(self.looks):
-                if a is not None and b is not None and len(a) == len(b):
-                    size = np.sqrt((a @ a) * (b @ b))
-                    near[i, j] += APPEARANCE * max(float(a @ b / size) if size > 0 else 0.0, 0.0)
+    """Instances seen before, of n videos side by side: last box and looks, and for how many frames they were missing; of:
+    each one's video, ascending."""
+
+    def __init__(self, n: int = 1):
+        self.next_id = np.zeros(n, np.int64)
+        self.ids, self.missed, self.of = (np.zeros(0, np.int64) for _ in range(3))
+        self.boxes, self.looks = np.zeros((0, 4)), np.zeros(0, object)
+
+    def step(self, boxes: np.ndarray, looks: list[np.ndarray | None], of: np.ndarray | None = None) -> np.ndarray:
+        """The instance of each observation; new ones where none is like it. of: each one's video, ascending."""
+        of = np.zeros(len(boxes), np.int64) if of is None else of
+        looked = np.empty(len(boxes), object)
+        looked[:] = looks
+        first = np.searchsorted(self.of, of)
+        n = np.searchsorted(self.of, of, "right") - first
+        rows, cols = np.repeat(np.arange(len(boxes)), n), ranges(first, n)
+        near = paired(boxes[rows], self.boxes[cols]) * (1 - APPEARANCE)
+        known = lambda x: np.array([v is not None for v in x], bool)
+        for p in np.flatnonzero(known(looked)[rows] & known(self.looks)[cols]).tolist():
+            a, b = looked[rows[p]], self.looks[cols[p]]
+            if len(a) == len(b):
+                size = np.sqrt((a @ a) * (b @ b))
+                near[p] += APPEARANCE * max(float(a @ b / size) if size > 0 else 0.0, 0.0)
         own = np.full(len(boxes), -1)
-        rows, cols = np.nonzero(near > LEAST)
-        order = np.argsort(-near[rows, cols], kind="stable")
-        taken = np.zeros(len(self.ids), bool)
-        for i, j in zip(rows[order].tolist(), cols[order].tolist()):
-            if own[i] < 0 and not taken[j]:
-                own[i], taken[j] = j, True
+        over = np.flatnonzero(near > LEAST)
+        over = over[np.argsort(-near[over], kind="stable")]
+        taken: set[int] = set()
+        for i, j in zip(rows[over].tolist(), cols[over].tolist()):
+            if own[i] < 0 and j not in taken:
+                own[i] = j
+                taken.add(j)
         hit = np.flatnonzero(own >= 0)
         self.missed += 1
         self.missed[own[hit]] = 0
         self.boxes[own[hit]] = boxes[hit]
-        for i in hit.tolist():
-            if looks[i] is not None:
-                self.looks[own[i]] = looks[i]
+        shown = hit[known(looked[hit])]
+        self.looks[own[shown]] = looked[shown]
         new = np.flatnonzero(own < 0)
+        count = np.bincount(of[new], minlength=len(self.next_id))
         ids = np.empty(len(boxes), np.int64)
-        ids[hit], ids[new] = self.ids[own[hit]], self.next_id + np.arange(len(new))
-        self.next_id += len(new)
+        ids[hit], ids[new] = self.ids[own[hit]], ranges(self.next_id, count)
+        self.next_id = self.next_id + count
         keep = self.missed <= MOST_MISSED
-        self.looks = [x for x, k in zip(self.looks, keep.tolist()) if k] + [looks[i] for i in new.tolist()]
-        self.ids, self.missed = np.concatenate([self.ids[keep], ids[new]]), np.concatenate([self.missed[keep], np.zeros(len(new), np.int64)])
-        self.boxes = np.concatenate([self.boxes[keep], boxes[new]])
+        if len(new) or not keep.all():
+            order = np.argsort(np.concatenate([self.of[keep], of[new]]), kind="stable")
+            join = lambda old, more: np.concatenate([old[keep], more])[order]
+            self.ids, self.missed, self.of = join(self.ids, ids[new]), join(self.missed, np.zeros(len(new), np.int64)), join(self.of, of[new])
+            self.boxes, self.looks = join(self.boxes, boxes[new]), join(self.looks, looked[new])
         return ids
 
+    def between(self, a: int, z: int) -> Memory:
+        """That of videos a to z alone."""
+        m, on = Memory(), slice(*np.searchsorted(self.of, [a, z]).tolist())
+        m.next_id, m.of = self.next_id[a:z].copy(), self.of[on] - a
+        m.ids, m.missed, m.boxes, m.looks = (x[on].copy() for x in (self.ids, self.missed, self.boxes, self.looks))
+        return m
+
+
+def instances(memory: Memory, starts: np.ndarray, edges: np.ndarray, real: np.ndarray, xy: np.ndarray, looks: Callable[[np.ndarray], list]) -> tuple[np.ndarray, Memory]:
+    """The instance of each row that is real, and the last video's memory. Frame f has the rows edges[f] to edges[f + 1],
+    video v begins with frame starts[v]; memory is the first one's. The first frames of all videos are walked side by
+    side, then the second ones, and so on; looks gives those of some rows."""
+    length = np.diff(np.append(starts, len(edges) - 1))
+    longest = np.argsort(-length, kind="stable")  # those at their end leave from behind
+    slot = np.empty(len(starts), np.int64)
+    slot[longest] = np.arange(len(starts))
+    video = np.repeat(np.arange(len(starts)), length)
+    rows = np.flatnonzero(real)
+    frame = np.searchsorted(edges, rows, "right") - 1
+    turn, of = (np.arange(len(edges) - 1) - starts[video])[frame], slot[video[frame]]
+    order = np.lexsort((rows, of, turn))
+    rows, turn, of = rows[order], turn[order], of[order]
+    all_, last, ids = Memory(len(starts)), slot[-1], np.empty(len(real), np.int64)
+    all_.next_id[slot[0]], all_.of = memory.next_id[0], np.full(len(memory.ids), slot[0])
+    all_.ids, all_.missed, all_.boxes, all_.looks = memory.ids, memory.missed, memory.boxes, memory.looks
+    cuts = np.searchsorted(turn, np.arange(int(length.max()) + 1)).tolist()
+    active = np.searchsorted(-length[longest], -np.arange(int(length.max())), "left").tolist()
+    for a, z, n in zip(cuts[:-1], cuts[1:], active):
+        if n < len(all_.next_id):
+            if n <= last < len(all_.next_id):
+                memory = all_.between(last, last + 1)
+            all_ = all_.between(0, n)
+        ids[rows[a:z]] = all_.step(xy[rows[a:z]], looks(rows[a:z]), of[a:z])
+    return ids, all_.between(last, last + 1) if last < len(all_.next_id) else memory
+
 
 def remember(frames: DataFrame, refs: DataFrame) -> DataFrame:
     """refs (video_id, frame_idx, kind, ref_id, score, box, emb: array of double or null) with instance_id, a number
@@ -83,19 +129,16 @@ def remember(frames: DataFrame, refs: DataFrame) -> DataFrame:
     def run(batches):
         now, memory = None, Memory()
         for b, edges in whole_groups(batches, "video_id", "kind", "frame_idx"):
-            video, kind = b.column(0).to_numpy(), b.column(2).to_numpy()
+            video, kind = (b.column(i).to_numpy()[edges[:-1]] for i in (0, 2))
+            starts = np.flatnonzero(np.concatenate([[True], (video[1:] != video[:-1]) | (kind[1:] != kind[:-1])]))
             real = b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            xy, emb = matrix(b, *_BOX), b.column(len(cols))
-            found, at = [], []
-            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if (video[a], kind[a]) != now:
-                    now, memory = (video[a], kind[a]), Memory()
-                i = a + np.flatnonzero(real[a:z])
-                looks = [None if e is None else np.array(e, float) for e in emb.take(pa.array(i)).to_pylist()]
-                found.append(memory.step(xy[i], looks))
-                at.append(i)
-            kept = b.take(pa.array(np.concatenate(at))).select(list(cols))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(found))], names=[*cols, "instance_id"])
+            emb = b.column(len(cols))
+            looks = lambda at: [None if e is None else np.array(e, float) for e in emb.take(pa.array(at)).to_pylist()]  # noqa: B023, E731
+            ids, memory = instances(memory if now == (video[0], kind[0]) else Memory(), starts, edges, real, matrix(b, *_BOX), looks)
+            now = video[-1], kind[-1]
+            at = np.flatnonzero(real)
+            kept = b.take(pa.array(at)).select(list(cols))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids[at])], names=[*cols, "instance_id"])
 
     kind_of = lambda c: rows.schema[c].dataType.simpleString()
     schema = ", ".join(f"{c} {kind_of(c)}" for c in cols) + ", instance_id long"

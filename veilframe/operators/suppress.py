@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
-from ..functions.groups import matrix, overlaps, whole_groups
+from ..functions.groups import matrix, overlaps, paired, ranges, whole_groups
 from ..functions.shared import spread
 
 _BOX = ("x1", "y1", "x2", "y2")
+#: Pairs of boxes a frame up to which the frames of a batch are fused side by side.
+FEW_PAIRS = 256
 
 
 def by_score(*fields: str) -> Column:
@@ -112,9 +114,42 @@ def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55
         h = np.array(heads, np.int64)
         return np.arange(len(h), dtype=np.int32), mass[h] / total, np.array([len(members.get(x, (0,))) for x in heads], np.int32), best[h], best_src[h], *mean[h].T
 
+    def side_by_side(xy: np.ndarray, score: np.ndarray, src: np.ndarray, edges: np.ndarray) -> tuple:
+        """The same for the frames between edges: the first boxes of all, then the second ones, and so on. Clusters stand at their first box's row."""
+        n = np.diff(edges)
+        weight, own = share[src], share[src][:, None] * xy
+        sums, mean, mass, best, best_src = own.copy(), own / weight[:, None], weight * score, np.where(score > 0, score, 0.0), np.where(score > 0, src, 0).astype(np.int32)
+        head, seen = np.zeros(len(xy), bool), np.zeros((len(xy), len(share)), bool)
+        for t in range(int(n.max(initial=0))):
+            rows = edges[:-1][n > t] + t
+            j = ranges(rows - t, np.full(len(rows), t))
+            i = np.repeat(rows, t)
+            on = np.flatnonzero(head[j])
+            on = on[paired(mean[j[on]], xy[i[on]]) >= min_iou]
+            i, first = np.unique(i[on], return_index=True)  # the first cluster that is near
+            at, k = j[on[first]], src[i]
+            begins = np.setdiff1d(rows, i, assume_unique=True)
+            head[begins], seen[begins, src[begins]] = True, True
+            new = ~seen[at, k]
+            i, at, k = i[new], at[new], k[new]
+            seen[at, k] = True
+            sums[at] += own[i]
+            weight[at] += share[k]
+            mass[at] += share[k] * score[i]
+            mean[at] = sums[at] / weight[at][:, None]
+            better = (score[i] >= best[at]) & (score[i] > 0)
+            best[at[better]], best_src[at[better]] = score[i[better]], k[better]
+        h = np.flatnonzero(head)
+        count = np.diff(np.searchsorted(h, edges))
+        return h, ranges(np.zeros(len(count), np.int64), count).astype(np.int32), mass[h] / total, seen[h].sum(axis=1).astype(np.int32), best[h], best_src[h], *mean[h].T
+
     def run(batches):
         for b, edges in whole_groups(batches, key):
             xy, score, src = matrix(b, *_BOX), matrix(b, "score")[:, 0], matrix(b, "src")[:, 0].astype(int)
+            if (np.diff(edges) ** 2).sum() <= FEW_PAIRS * (len(edges) - 1):
+                h, *found = side_by_side(xy, score, src, edges)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(h)), *map(pa.array, found)], names=names)
+                continue
             found = [cluster(xy[a:z], score[a:z], src[a:z]) for a, z in zip(edges[:-1], edges[1:])]
             first = np.repeat(edges[:-1], [len(f[0]) for f in found])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=names)

@@ -224,7 +224,8 @@ def archive_figures(spark, sf_dir):
     from ..operators import archive
 
     w, h = 160, 96
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"), "p_size").withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"), "p_size"), "video_id")  # before each becomes many
+    part = part.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
     number = lambda x: F.lit(x).cast("double")
     e = part.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     k, v, f = F.col("k"), F.col("video_id"), F.col("frame_idx")
