@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from veilframe.functions.runs import Greys, Masks
 from veilframe.operators import assemble
@@ -127,3 +128,21 @@ def test_instances_of_many_videos(monkeypatch):
         if size == len(frames):
             assert len(calls) <= 13
     assert max(max(w, default=0) for w in want) > 5
+
+
+def test_instances_travel_with_their_masks(spark):
+    """The masks of instances are not stored and joined with their numbers: these come with them."""
+    from veilframe import registry
+    from veilframe.operators import archive, masks
+
+    plan = registry.QUERIES["archive_figures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Exchange")]
+    assert "Join" not in after and after.count("MapInArrow") == 2
+    # refs of frames that are not named go, and what a frame refers to is real
+    f = spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "video_id long, frame_idx long")
+    at = [(1, 0, 0, 5, 0.9), (1, 1, 0, 6, 0.9), (1, 2, 0, 7, 0.8), (2, 0, 1, 1, 0.7), (2, 5, 0, 1, 0.7), (1, None, 0, 1, 0.7), (1, 2, 0, None, 0.7)]
+    r = spark.createDataFrame([(*x, 0.0, 0.0, 9.0, 9.0, None, f"{x[0]}{x[1]}") for x in at], "video_id long, frame_idx long, kind int, ref_id long, score double, x1 double, y1 double, x2 double, y2 double, emb array<double>, mark string")
+    got = sorted((x.video_id, x.frame_idx, x.kind, x.ref_id, x.instance_id, x.mark) for x in archive.remember(f, r, ("mark",)).collect())
+    assert got == [(1, 0, 0, 5, 0, "10"), (1, 2, 0, 7, 0, "12"), (2, 0, 1, 1, 0, "20")]
+    box = spark.createDataFrame([(-2, 1, 5, 3, 8, 4), (0, 0, 8, 2, 8, 4), (3, 2, 3, 4, 8, 4), (2, 3, 9, 9, 8, 4), (None, 0, 1, 1, 8, 4)], "a int, b int, c int, d int, w int, h int")
+    assert [x[0] for x in box.select(masks.rectangle(*(F.col(c) for c in "abcdwh"))).collect()] == [[8, 13, 16, 21], [0, 8, 8, 16], [], [26, 32], [0, 1]]

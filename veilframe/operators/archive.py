@@ -119,29 +119,38 @@ def instances(memory: Memory, starts: np.ndarray, edges: np.ndarray, real: np.nd
     return ids, all_.between(last, last + 1) if last < len(all_.next_id) else memory
 
 
-def remember(frames: DataFrame, refs: DataFrame) -> DataFrame:
-    """refs (video_id, frame_idx, kind, ref_id, score, box, emb: array of double or null) with instance_id, a number
-    within its video and kind. frames names every (video_id, frame_idx)."""
+def remember(frames: DataFrame, refs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """refs (video_id, frame_idx, kind, ref_id, score, box, emb: array of double or null) with their columns `also` and
+    instance_id, a number within its video and kind. frames names every (video_id, frame_idx); refs of others go."""
     cols = ("video_id", "frame_idx", "kind", "ref_id", "score", *_BOX)
-    kinds = F.explode(F.array(F.lit(PERSON), F.lit(FACE)))
-    rows = frames.select("video_id", "frame_idx", kinds.alias("kind")).join(shuffled(refs.select(*cols, "emb")), ["video_id", "frame_idx", "kind"], "left").select(*cols, "emb")
+    known = refs.where(" AND ".join(f"{c} IS NOT NULL" for c in cols[:4])).select(*cols, "emb", *also)
+    none = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in (*cols[3:], "emb", *also)]
+    # a frame has a row of its own for each kind, so that what it refers to travels once
+    rows = frames.select("video_id", "frame_idx", F.explode(F.array(F.lit(PERSON), F.lit(FACE))).alias("kind"), *none).unionByName(known)
 
     def run(batches):
         now, memory = None, Memory()
         for b, edges in whole_groups(batches, "video_id", "kind", "frame_idx"):
+            real = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            named = np.logical_or.reduceat(~real, edges[:-1])
+            if not named.all():
+                n = np.diff(edges)
+                b = b.take(pa.array(np.flatnonzero(np.repeat(named, n))))
+                if not b.num_rows:
+                    continue
+                real, edges = b.column(3).is_valid().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n[named]))
             video, kind = (b.column(i).to_numpy()[edges[:-1]] for i in (0, 2))
             starts = np.flatnonzero(np.concatenate([[True], (video[1:] != video[:-1]) | (kind[1:] != kind[:-1])]))
-            real = b.column(3).is_valid().to_numpy(zero_copy_only=False)
             emb = b.column(len(cols))
-            looks = lambda at: [None if e is None else np.array(e, float) for e in emb.take(pa.array(at)).to_pylist()]  # noqa: B023, E731
+            looks = lambda at: [None if e is None else np.array(e, float) for e in emb.take(pa.array(at)).to_pylist()] if emb.null_count < len(emb) else [None] * len(at)  # noqa: B023, E731
             ids, memory = instances(memory if now == (video[0], kind[0]) else Memory(), starts, edges, real, matrix(b, *_BOX), looks)
             now = video[-1], kind[-1]
             at = np.flatnonzero(real)
-            kept = b.take(pa.array(at)).select(list(cols))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids[at])], names=[*cols, "instance_id"])
+            kept = b.select([*cols, *also]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids[at])], names=[*cols, *also, "instance_id"])
 
     kind_of = lambda c: rows.schema[c].dataType.simpleString()
-    schema = ", ".join(f"{c} {kind_of(c)}" for c in cols) + ", instance_id long"
+    schema = ", ".join(f"{c} {kind_of(c)}" for c in (*cols, *also)) + ", instance_id long"
     return spread(rows, "video_id", "kind").sortWithinPartitions("video_id", "kind", "frame_idx", F.desc("score"), "ref_id").mapInArrow(run, schema)
 
 
@@ -165,8 +174,9 @@ RECT_MARGIN, LOOKED_AT = 0.05, 4
 INSTANCES = ("video_id", "frame_idx", "kind", "ref_id", "score", *_BOX, "source", "w", "h", "spans")
 
 
-def covered(rows: DataFrame, name: str) -> DataFrame:
-    """rows (box, w, h, spans) with the share of a box's pixels, looked at in steps, that its mask covers."""
+def covered(rows: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """rows (box, w, h, spans) with the share of a box's pixels, looked at in steps, that its mask covers; tidy: with runs
+    in order, apart and within the frame."""
     names = list(rows.columns)
     at = [names.index(c) for c in (*_BOX, "w", "h", "spans")]
 
@@ -184,7 +194,8 @@ def covered(rows: DataFrame, name: str) -> DataFrame:
             steps = lambda v: -(-(v - a[of]) // LOOKED_AT)  # noqa: B023, E731
             hit = np.bincount(of, np.maximum(steps(hi) - steps(lo), 0), len(w))
             total = -(-(b_ - a) // LOOKED_AT) * -(-(d - c) // LOOKED_AT)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit / np.maximum(total, 1))], names=[*names, name])
+            kept = [m.write() if tidy and i == at[6] else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hit / np.maximum(total, 1))], names=[*names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
@@ -199,44 +210,47 @@ def analyze_videos(frames: DataFrame, boxes: DataFrame, faces: DataFrame, refine
 
     A fused box has its refined mask, else that of the best own box over it, else itself with a margin, filled. A face
     whose host's mask covers enough of the host's box is joined into that mask; any other is an instance of its own, its
-    box a prompt too. Persons and faces are asked for in one pass of refine each. Frames are numbered anew within, so
-    frame numbers may repeat from video to video."""
-    number = stored(frames.select("video_id", "frame_idx").distinct().select("*", F.monotonically_increasing_id().alias("_k")), "frames")
-    keyed = lambda df: df.join(shuffled(number), ["video_id", "frame_idx"]).drop("video_id", "frame_idx").withColumnRenamed("_k", "frame_idx")
-    named = lambda df: df.withColumnRenamed("frame_idx", "_k").join(shuffled(number), "_k").drop("_k")
+    box a prompt too. Persons and faces are asked for in one pass of refine each. Frame numbers may repeat from video to
+    video; what stands on frames that `frames` does not name goes."""
+    frame, own_key = ("video_id", "frame_idx"), F.struct("video_id", "frame_idx").alias("frame_idx")
+    keys = (*frame, "det_id")
     side = {"w": F.lit(w), "h": F.lit(h)}
-    found = keyed(boxes)
-    fused = stored(suppress.confirmed(suppress.fuse(found, "frame_idx", [1.0, 1.0]), conf).withColumn("cluster", F.col("cluster").cast("long")), "fused")
-    refined = keyed(refine(named(fused.select("frame_idx", F.col("cluster").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED)
-    refined = refined.select("frame_idx", F.col("prompt_id").alias("cluster"), F.col("spans").alias("r_spans"))
-    own = found.where("src = 0").select("frame_idx", F.col("det_id").alias("o_det_id"), F.col("score").alias("o_score"), F.col("spans").alias("o_spans"), *(F.col(c).alias("o_" + c) for c in _BOX))
-    over = fused.join(shuffled(own), "frame_idx").where(G.iou(G.box("o_"), G.box()) > MATCHED)
-    best = over.groupBy("frame_idx", "cluster").agg(F.max(F.struct("o_score", "o_det_id", "o_spans")).alias("m"))
-    people = fused.join(shuffled(refined), ["frame_idx", "cluster"], "left").join(shuffled(best), ["frame_idx", "cluster"], "left")
-    people = covered(people.select("frame_idx", "cluster", "score", *_BOX, "r_spans", F.col("m.o_spans").alias("spans")).withColumns(side), "fill")
+    there = lambda df: df.where("video_id IS NOT NULL AND frame_idx IS NOT NULL")
+    found = there(boxes)
+    fused = stored(suppress.confirmed(suppress.fuse(found, frame, [1.0, 1.0]), conf).withColumn("cluster", F.col("cluster").cast("long")), "fused")
+    refined = refine(fused.select(*frame, F.col("cluster").alias("prompt_id"), *_BOX)).where(F.col("quality") >= REFINED)
+    refined = refined.select(*frame, F.col("prompt_id").alias("cluster"), F.col("spans").alias("r_spans"))
+    own = found.where("src = 0").select(*frame, F.col("det_id").alias("o_det_id"), F.col("score").alias("o_score"), F.col("spans").alias("o_spans"), *(F.col(c).alias("o_" + c) for c in _BOX))
+    over = fused.join(shuffled(own), list(frame)).where(G.iou(G.box("o_"), G.box()) > MATCHED)
+    best = over.groupBy(*frame, "cluster").agg(F.max(F.struct("o_score", "o_det_id", "o_spans")).alias("m"))
+    people = fused.join(shuffled(refined), [*frame, "cluster"], "left").join(shuffled(best), [*frame, "cluster"], "left")
+    people = covered(people.select(*frame, "cluster", "score", *_BOX, "r_spans", F.col("m.o_spans").alias("spans")).withColumns(side), "fill")
     source = F.when(F.col("r_spans").isNotNull(), "refined").when(F.col("fill") > FILLED, "matched").otherwise("rect")
     rect = masks.rectangle(*G.rect_span(G.box(), RECT_MARGIN, w, h), w, h)
-    people = people.withColumn("source", source).select("frame_idx", F.col("cluster").alias("det_id"), F.when(source == "refined", F.col("score")).otherwise(F.col("score") * FALLEN_BACK).alias("score"), *_BOX, "source", "w", "h", F.when(source == "refined", F.col("r_spans")).when(source == "matched", F.col("spans")).otherwise(rect).alias("spans"))
-    people = stored(covered(people, "fill"), "people")
+    people = people.withColumn("source", source).select(*frame, F.col("cluster").alias("det_id"), F.when(source == "refined", F.col("score")).otherwise(F.col("score") * FALLEN_BACK).alias("score"), *_BOX, "source", "w", "h", F.when(source == "refined", F.col("r_spans")).when(source == "matched", F.col("spans")).otherwise(rect).alias("spans"))
+    people = stored(covered(people, "fill", tidy=True), "people")
     # faces: to their hosts' masks, or alone
-    shown = keyed(faces)
-    boxes_of = people.select("frame_idx", "det_id", "score", *_BOX)
-    shown = gating.gate(gating.plausible(shown, boxes_of), boxes_of, 0.75)
-    hosted = stored(gating.hosts(shown, people.where(F.col("fill") > HOSTED).select("frame_idx", "det_id", "score", *_BOX), HOST_MARGIN), "faces")
+    by_frame = lambda df: df.select(own_key, "det_id", "score", *_BOX)
+    shown = there(faces).withColumn("frame_idx", own_key).drop("video_id")
+    shown = gating.gate(gating.plausible(shown, by_frame(people)), by_frame(people), 0.75)
+    hosted = gating.hosts(shown, by_frame(people.where(F.col("fill") > HOSTED)), HOST_MARGIN)
+    hosted = stored(hosted.withColumns({"video_id": F.col("frame_idx.video_id"), "frame_idx": F.col("frame_idx.frame_idx")}), "faces")
     ex = G.face_margin(F.col("x2") - F.col("x1"), F.col("eye_dist"), face_expand)
     wide = masks.rectangle(*G.face_span(G.box(), ex, face_expand, w, h), w, h)
-    keys = ("frame_idx", "det_id")
-    whose = hosted.where("host IS NOT NULL").select("frame_idx", F.col("host.p_det_id").alias("det_id"), wide.alias("spans")).withColumns(side)
-    whole = masks.union(people, whose, keys=keys).select(*keys, F.col("spans").alias("_whole"))
-    people = people.join(shuffled(whole), list(keys)).withColumn("spans", F.col("_whole")).drop("_whole", "fill").withColumn("kind", F.lit(PERSON))
+    whose = hosted.where("host IS NOT NULL").select(*frame, F.col("host.p_det_id").alias("det_id"), wide.alias("spans")).withColumns(side)
+    # masks of hosts alone are made anew
+    whole = masks.union(people.join(shuffled(whose.select(*keys).distinct()), list(keys), "left_semi"), whose, keys=keys).select(*keys, F.col("spans").alias("_whole"))
+    people = people.join(shuffled(whole), list(keys), "left").withColumn("spans", F.coalesce("_whole", "spans")).drop("_whole", "fill").withColumn("kind", F.lit(PERSON))
     alone = hosted.where("host IS NULL").drop("host")
-    better = keyed(refine(named(alone.select("frame_idx", F.col("det_id").alias("prompt_id"), *_BOX)))).where(F.col("quality") >= REFINED).select("frame_idx", F.col("prompt_id").alias("det_id"), F.col("spans").alias("r_spans"))
+    better = refine(alone.select(*frame, F.col("det_id").alias("prompt_id"), *_BOX)).where(F.col("quality") >= REFINED).select(*frame, F.col("prompt_id").alias("det_id"), F.col("spans").alias("r_spans"))
     alone = alone.join(shuffled(better), list(keys), "left").select(*keys, "score", *_BOX, F.when(F.col("r_spans").isNotNull(), "refined").otherwise("rect").alias("source"), F.coalesce("r_spans", wide).alias("spans"), F.lit(FACE).alias("kind")).withColumns(side)
-    every = stored(named(people.unionByName(alone)).withColumnRenamed("det_id", "ref_id").select(*INSTANCES), "instances")
-    at = ["video_id", "frame_idx", "kind", "ref_id"]
-    seen = every.join(shuffled(looks(every).select(*at, "emb")), at, "left") if looks else every.withColumn("emb", F.lit(None).cast("array<double>"))
-    ids = remember(frames, seen).select(*at, "instance_id")
-    return every.join(shuffled(ids), at)
+    every = people.unionByName(alone).withColumnRenamed("det_id", "ref_id").select(*INSTANCES)
+    if looks:
+        every, at = stored(every, "instances"), ["video_id", "frame_idx", "kind", "ref_id"]
+        seen = every.join(shuffled(looks(every).select(*at, "emb")), at, "left")
+    else:
+        seen = every.withColumn("emb", F.lit(None).cast("array<double>"))
+    return remember(frames, seen, ("source", "w", "h", "spans")).select(*INSTANCES, "instance_id")
 
 
 def analyze(frames: DataFrame, boxes: DataFrame, refined: DataFrame, faces: DataFrame, looks: DataFrame, conf: float = 0.25) -> DataFrame:

@@ -37,10 +37,10 @@ def greedy(boxes: Column, max_iou: float, most: int | None = None) -> Column:
     return F.aggregate(boxes, F.slice(boxes, 1, 0), step)
 
 
-def _sorted(boxes: DataFrame, key: str, *fields: str) -> DataFrame:
-    """Rows by key, best score first, a key's rows in one partition: what the steps over whole groups read."""
-    rows = boxes.select(key, "det_id", *fields, "score", *_BOX)
-    return spread(rows, key).sortWithinPartitions(key, F.desc("score"), "det_id")
+def _sorted(boxes: DataFrame, keys: tuple[str, ...], *fields: str) -> DataFrame:
+    """Rows by keys, best score first, a key's rows in one partition: what the steps over whole groups read."""
+    rows = boxes.select(*keys, "det_id", *fields, "score", *_BOX)
+    return spread(rows, *keys).sortWithinPartitions(*keys, F.desc("score"), "det_id")
 
 
 def suppress(boxes: DataFrame, key: str, max_iou: float, most: int | None = 300) -> DataFrame:
@@ -64,16 +64,17 @@ def suppress(boxes: DataFrame, key: str, max_iou: float, most: int | None = 300)
                         free &= ~over[i]
             yield b.take(pa.array(kept, pa.int64()))
 
-    rows = _sorted(boxes, key)
+    rows = _sorted(boxes, (key,))
     return rows.mapInArrow(keep, rows.schema)
 
 
-def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55) -> DataFrame:
+def fuse(boxes: DataFrame, key: str | tuple[str, ...], weights: list[float], min_iou: float = 0.55) -> DataFrame:
     """Weighted fusion of boxes of several sources (column src: 0, 1, ...).
 
     In score order a box joins the first cluster whose mean box it overlaps by min_iou; a second box of
     a source in a cluster is dropped. A cluster's box is the weighted mean of its members, its score the
-    weighted sum over the weight of all sources. (key, cluster, score, votes, best_score, best_src, box)"""
+    weighted sum over the weight of all sources. (key or keys, cluster, score, votes, best_score, best_src, box)"""
+    keys = (key,) if isinstance(key, str) else key
     total = float(sum(weights))
 
     share = np.array(weights, float)
@@ -144,19 +145,19 @@ def fuse(boxes: DataFrame, key: str, weights: list[float], min_iou: float = 0.55
         return h, ranges(np.zeros(len(count), np.int64), count).astype(np.int32), mass[h] / total, seen[h].sum(axis=1).astype(np.int32), best[h], best_src[h], *mean[h].T
 
     def run(batches):
-        for b, edges in whole_groups(batches, key):
+        for b, edges in whole_groups(batches, *keys):
             xy, score, src = matrix(b, *_BOX), matrix(b, "score")[:, 0], matrix(b, "src")[:, 0].astype(int)
             if (np.diff(edges) ** 2).sum() <= FEW_PAIRS * (len(edges) - 1):
                 h, *found = side_by_side(xy, score, src, edges)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(h)), *map(pa.array, found)], names=names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(h)) for c in range(len(keys))), *map(pa.array, found)], names=names)
                 continue
             found = [cluster(xy[a:z], score[a:z], src[a:z]) for a, z in zip(edges[:-1], edges[1:])]
             first = np.repeat(edges[:-1], [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(first)) for c in range(len(keys))), *(pa.array(np.concatenate(c)) for c in zip(*found))], names=names)
 
-    rows = _sorted(boxes, key, "src")
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, cluster int, score double, votes int, best_score double, best_src int, x1 double, y1 double, x2 double, y2 double"
+    rows = _sorted(boxes, keys, "src")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, cluster int, score double, votes int, best_score double, best_src int, x1 double, y1 double, x2 double, y2 double"
     names = [c.split()[0] for c in schema.split(", ")]
     return rows.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, cosine, fade, iou
-from ..functions.shared import shuffled, spread, stored
+from ..functions.shared import spread
 from ..operators import link, masks, motion, temporal, track
 from ..registry import query
 from ..sources.fixtures import view
@@ -243,9 +243,9 @@ def archive_figures(spark, sf_dir):
         last = F.when(F.col("x1") < 110, 8).otherwise(2)
         return prompts.select("video_id", "frame_idx", "prompt_id", F.when(sure, 0.9).otherwise(0.3).alias("quality"), F.lit(w).alias("w"), F.lit(h).alias("h"), masks.rectangle(F.col("x1") + inset, F.col("y1") + inset, F.col("x2") - last, F.col("y2") - last, w, h).alias("spans"))
 
-    got = stored(archive.analyze_videos(part.select("video_id", "frame_idx"), seen, faces, refine, None, w, h, face_expand=3), "archive")
-    keys = ("video_id", "frame_idx", "kind", "instance_id")
-    return masks.numbers(got, keys).join(shuffled(got.select(*(F.col(c).cast("long").alias(c) for c in keys), "source", "score")), list(keys)).select("video_id", "frame_idx", F.col("kind").cast("int").alias("kind"), "instance_id", "source", F.round("score", 6).alias("score"), "n_px", "sum_x", "sum_y")
+    got = archive.analyze_videos(part.select("video_id", "frame_idx"), seen, faces, refine, None, w, h, face_expand=3)
+    n = masks.numbers(got, ("video_id", "frame_idx", "instance_id"), also=("kind", "source", "score"))
+    return n.select("video_id", "frame_idx", F.col("kind").cast("int").alias("kind"), "instance_id", "source", F.round("score", 6).alias("score"), "n_px", "sum_x", "sum_y")
 
 
 @query("track_known", """WITH d AS (SELECT p_partkey AS video_id, unnest(range(0, 3)) AS k FROM part), e AS (SELECT video_id, k, unnest(range(0, 10)) AS frame_idx FROM d),
